@@ -6,18 +6,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftwise.llm.common import materialise, read_table, work_dir
+from weftwise.llm.near_dup import near_duplicates
+from weftwise.llm.packing import pack_documents
+from weftwise.llm.pii import replace_entities
+from weftwise.llm.quality import keep_good
+from weftwise.llm.queries import SURROGATE_KEY, vocabulary_path
 from weftwise.llm.repeats import remove_repeats
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _with_length(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")).select(COLUMNS)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a rule rejects go."""
+    return keep_good(docs).select(COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays; repeated rows of an id become one."""
+    found = materialise(near_duplicates(docs).select("doc_id", "kept"), f"{work_dir(spark)}/found")
+    gone = found.filter("not kept").select("doc_id").distinct()
+    out = docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    if not found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        named = out.filter("doc_id is not null").dropDuplicates(["doc_id"])
+        out = named.unionByName(out.filter("doc_id is null"))
+    return out
+
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Long passages that stand more than once leave every text; n_chars follows."""
-    out = remove_repeats(docs, length=200)
-    return out.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
+    """Long passages that stand more than once leave every text."""
+    return _with_length(remove_repeats(docs.select(COLUMNS), length=200))
+
+
+def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by surrogates."""
+    return _with_length(replace_entities(docs.select(COLUMNS), SURROGATE_KEY))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The corpus as pieces of token sequences."""
+    return pack_documents(docs, vocabulary_path())
 
 
-STAGES = [("suffix_dedup", suffix_dedup)]
+STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup), ("pii_surrogates", pii_surrogates), ("packing", packing)]
 
-#: Matching statistics and token ids can't be had from SQL; tests compare with a brute force.
+#: Token ids and the components of near copies can't be had from SQL; tests compare with a brute force.
 ORACLE_SQL = None
 
 

@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftwise.llm.bpe import encoding_digests
 from weftwise.llm.common import read_table
 from weftwise.llm.license_scan import scan_licenses
 from weftwise.llm.near_dup import near_duplicates
+from weftwise.llm.packing import pack_documents
+from weftwise.llm.pii import replace_entities
 from weftwise.llm.quality import judge
 from weftwise.llm.repeats import remove_repeats
 
@@ -17,6 +20,17 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def vocabulary_path() -> str:
+    """The published vocabulary's file, as installed on every node."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_documents(spark, sf_dir), vocabulary_path(), size=2048, separator=0)
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
@@ -25,6 +39,10 @@ def op4_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_digests(_documents(spark, sf_dir), vocabulary_path())
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -33,11 +51,22 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_documents(spark, sf_dir), length=200).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+#: The key of the surrogates; a production run brings its own.
+SURROGATE_KEY = "a key that each run sets for itself"
+
+
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_entities(_documents(spark, sf_dir), SURROGATE_KEY).select("doc_id", "n_entities", "entity_kinds", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op3_license_scan": op3_license_scan,
     "op4_minhash_near_dup": op4_minhash_near_dup,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_bpe_round_trip": op6_bpe_round_trip,
     "op9_quality_rules": op9_quality_rules,
+    "op10_pii_surrogates": op10_pii_surrogates,
 }
 
 ORACLE: dict[str, str] = {}
