@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftwise.llm.bpe import encoding_digests
 from weftwise.llm.common import read_table
+from weftwise.llm.fingerprints import edit_probe
+from weftwise.llm.importance import good_ids, resample
 from weftwise.llm.license_scan import scan_licenses
 from weftwise.llm.near_dup import near_duplicates
 from weftwise.llm.packing import pack_documents
 from weftwise.llm.pii import replace_entities
+from weftwise.llm.preferences import conversations_of, format_preferences, masks, pair_neighbours
 from weftwise.llm.quality import judge
 from weftwise.llm.repeats import remove_repeats
 
@@ -31,6 +35,14 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir), vocabulary_path(), size=2048, separator=0)
 
 
+#: Share of the documents that resampling keeps.
+KEEP_SHARE = 0.85
+
+
+def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_documents(spark, sf_dir), good_ids(read_table(spark, sf_dir, "labels")), KEEP_SHARE)
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
@@ -43,6 +55,18 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(_documents(spark, sf_dir), vocabulary_path())
 
 
+def op7_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_probe(_documents(spark, sf_dir))
+
+
+def op8_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = pair_neighbours(conversations_of(read_table(spark, sf_dir, "conversations")))
+    made = format_preferences(pairs)
+    return made.select(
+        "pair_id", "prefix_turns", "prompt", "chosen", "rejected", masks(F.col("chosen_segments")).alias("chosen_mask"), masks(F.col("rejected_segments")).alias("rejected_mask"), "usable"
+    )
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -61,10 +85,13 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_importance_resampling": op2_importance_resampling,
     "op3_license_scan": op3_license_scan,
     "op4_minhash_near_dup": op4_minhash_near_dup,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_bpe_round_trip": op6_bpe_round_trip,
+    "op7_edit_fingerprints": op7_edit_fingerprints,
+    "op8_preference_pairs": op8_preference_pairs,
     "op9_quality_rules": op9_quality_rules,
     "op10_pii_surrogates": op10_pii_surrogates,
 }
