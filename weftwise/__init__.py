@@ -1 +1 @@
-
+"""Record linkage and identity resolution over DataFrames."""

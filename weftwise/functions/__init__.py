@@ -1 +1 @@
-
+"""Scalar functions as native column expressions."""

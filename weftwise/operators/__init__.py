@@ -1 +1 @@
-
+"""Operators over DataFrames: lookups, graph steps, components, clusters, attributes."""
