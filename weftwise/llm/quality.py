@@ -98,6 +98,7 @@ RULES = [
     Rule("few_words", lambda t, f: f["n_words"] < 10),
     Rule("repetition", lambda t, f: 100 * f["n_repeat_words"] > 20 * f["n_words"]),
     Rule("symbols", lambda t, f: 10 * f["n_symbols"] > 3 * f["n_words"]),
+    Rule("shouting", lambda t, f: 10 * (F.octet_length(t) - F.octet_length(F.replace(t, F.lit("!"), F.lit("")))) > 5 * f["n_words"]),
     Rule("duplicate_lines", lambda t, f: 10 * f["n_dup_lines"] > 3 * F.size(f["lines"])),
     Rule("word_length", lambda t, f: (f["word_chars"] < 2 * f["n_words"]) | (f["word_chars"] > 20 * f["n_words"])),
     Rule("few_letters", lambda t, f: 2 * F.char_length(F.regexp_replace(F.coalesce(t, F.lit("")), r"\P{L}+", "")) < f["word_chars"]),
