@@ -4,7 +4,9 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pytest
 
+from weftwise.llm import near_dup
 from weftwise.llm.components import connected_components
 from weftwise.llm.near_dup import near_duplicates
 
@@ -83,3 +85,30 @@ def test_components(spark, tmp_path):
     for task_links in (10_000, 130):
         got = connected_components(spark.createDataFrame(links, "a long, b long").repartition(4), f"file://{tmp_path}/{task_links}", task_links).collect()
         assert sorted(map(tuple, got)) == sorted((d, r) for d, r in want.items() if d != r)
+
+
+def template_corpus(seed, documents=700, pairs=40):
+    """Documents that share a template (likeness below 0.75 to each other), some with one partner just over it."""
+    rng = np.random.default_rng(seed)
+    template = [f"t{i}" for i in range(160)]
+    rows = []
+    for d in range(documents):
+        own = [f"d{d}x{i}" for i in range(30)]
+        rows.append((d, " ".join(template + own)))
+    for k in range(pairs):
+        # half of the document's own end is new: 0.83 to that document, 0.72 to all others
+        words = rows[k][1].split()
+        rows.append((documents + k, " ".join(words[:-17] + [f"p{k}x{i}" for i in range(17)])))
+    order = rng.permutation(len(rows))
+    return [(int(order[i]), t) for i, (_, t) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("block", [4096, 60])
+def test_pairs_within_a_crowded_template(spark, block, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    monkeypatch.setattr(near_dup, "TEXTS", block // 4)
+    rows = template_corpus(3, 400)
+    want = brute(rows)
+    assert sum(not kept for _, _, kept in want.values()) == 40
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got.collect()} == want

@@ -8,11 +8,14 @@ result is each document's component in the graph of links.
 2. The forest: each of ``TREES`` trees orders the classes by its own sequence of MinHash values. The trees
    are one table, range-partitioned and sorted, so a crowded region spreads over as many partitions as it
    needs. Neighbours by longest common prefix are candidates: the rows next to each other within a region
-   (equal first values), and each row with the first of its region and of its deeper region; how deep two
-   neighbours agree adapts to how crowded the region is. Work and candidates are linear in the rows.
+   (equal first values), and each row with the first of its region and of its deeper region. The order has
+   three fixed depths: 3, 6 and 12 equal values. Work and candidates are linear in the rows.
 3. A packed sketch of the values travels with each row and drops candidates far below the threshold.
 4. Confirmation: the texts of classes with candidates are set aside once; the likeliest candidates of each
    class are confirmed first, then only those that would join different components, until none is left.
+5. The rest: regions whose rows are still in different components are compared in full, in blocks of
+   ``BLOCK`` rows; every likely pair across components is confirmed on whole sets, where the sets of a part
+   of a region are read once for all its pairs. This is square in the rows of such a region, and only there.
 
 A pair at the threshold shares a region in at least one tree with probability 1 - (1 - 0.75**3)**20, over
 0.9999. Nulls: a null or blank text has an empty set and is linked with nothing; a document without an id
@@ -35,6 +38,8 @@ SIZE = 64
 TREES, DEPTH = 20, 3
 #: Rows before it that a row is compared with: all in a region of NEIGHBOURS + 1, fewer where the region is crowded.
 NEIGHBOURS, CROWDED = 5, 2
+#: Rows of a region that are compared with one another at a time, texts of a region that are confirmed at a time.
+BLOCK, TEXTS = 4096, 256
 #: A sketch of SIZE values has a standard deviation of 0.054 at the threshold; 4.6 of these below it.
 LEAST_ESTIMATE = 0.5
 _RNG = np.random.Generator(np.random.PCG64(77))
@@ -105,7 +110,7 @@ def _folded(values: np.ndarray, columns) -> np.ndarray:
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a tree: region, order within it, class, sketch."""
+    """One row a tree: region, order within it, class, sketch, and the columns after the first two."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -117,7 +122,8 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in range(TREES):
             region = mix64(_folded(values, range(DEPTH * t, DEPTH * (t + 1))) + U64(t))
             deep = (_folded(values, _DEEP[t][:3]) >> U64(32) << U64(32)) | (_folded(values, _DEEP[t][3:]) >> U64(32))
-            yield pa.RecordBatch.from_arrays([pa.array(region.view(np.int64)), pa.array(deep.view(np.int64)), batch.column(0), *flat], names=["region", "deep", "c", "s0", "s1", "s2", "s3"])
+            more = batch.schema.names[2:]
+            yield pa.RecordBatch.from_arrays([pa.array(region.view(np.int64)), pa.array(deep.view(np.int64)), batch.column(0), *flat, *(batch.column(k) for k in more)], names=["region", "deep", "c", "s0", "s1", "s2", "s3", *more])
 
 
 def _estimate(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -195,12 +201,147 @@ def _confirm(percent: int, width: int):
     return confirm
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by their first ``keys`` columns, cut only where a group ends."""
+
+    def last(batch: pa.RecordBatch) -> int:
+        new = np.zeros(batch.num_rows, bool)
+        new[0] = True
+        for k in range(keys):
+            x = np.asarray(batch.column(k))
+            new[1:] |= x[1:] != x[:-1]
+        return int(np.flatnonzero(new)[-1])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cut = last(batch)
+        if held and not cut and all(held[-1].column(k)[0] == batch.column(k)[0] for k in range(keys)):
+            held.append(batch)
+            continue
+        held.append(batch.slice(0, cut))
+        whole = pa.concat_batches(held)
+        if whole.num_rows:
+            yield whole
+        held = [batch.slice(cut)]
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _across(percent: int):
+    """Likely pairs of different labels within each group (region, p, q): rows of block p with those of q."""
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_groups(batches, 3):
+            region, p, q, own, c, label, size = (np.asarray(batch.column(k)) for k in range(7))
+            s = np.stack([np.asarray(batch.column(k)).view(U64) for k in range(7, 11)], axis=1)
+            new = np.ones(batch.num_rows, bool)
+            new[1:] = (region[1:] != region[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])
+            edge = np.append(np.flatnonzero(new), batch.num_rows)
+            sizes = np.diff(edge)
+            end = np.repeat(edge[1:], sizes)
+            small = np.repeat((sizes <= 64) & (p[edge[:-1]] == q[edge[:-1]]), sizes)
+
+            def likely(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+                ok = (label[i] != label[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
+                i, j = i[ok], j[ok]
+                ok = _estimate(s[i], s[j]) >= LEAST_ESTIMATE
+                i, j = i[ok], j[ok]
+                return pa.RecordBatch.from_arrays([pa.array(np.minimum(c[i], c[j])), pa.array(np.maximum(c[i], c[j])), pa.array(region[i])], names=["a", "b", "region"])
+
+            at = np.flatnonzero(small)
+            for lag in range(1, int(sizes[sizes <= 64].max(initial=1))):
+                at = at[at + lag < end[at]]
+                yield likely(at, at + lag)
+            for k in np.flatnonzero(~small[edge[:-1]]):
+                rows = np.arange(edge[k], edge[k + 1])
+                one, same = p[rows[0]], p[rows[0]] == q[rows[0]]
+                left, right = rows[own[rows] == one], rows if same else rows[own[rows] != one]
+                if not len(right):
+                    continue
+                # rows of the commonest label are not compared with one another
+                names, counts = np.unique(label[rows], return_counts=True)
+                common = label == names[counts.argmax()]
+                rare_left, rare_right = left[~common[left]], right[~common[right]]
+                for x, y in ((rare_left, right), (left[:0] if same else left[common[left]], rare_right)):
+                    step = max(1, (1 << 18) // max(1, len(y)))
+                    for z in range(0, len(x), step):
+                        i, j = np.repeat(x[z : z + step], len(y)), np.tile(y, len(x[z : z + step]))
+                        if same:  # each pair once
+                            once = (i < j) | common[j]
+                            i, j = i[once], j[once]
+                        yield likely(i, j)
+
+    return across
+
+
+def _confirm_parts(percent: int, width: int):
+    """Groups (region, p, q) of (id, text, partners) to the linked pairs, each text's set made once a group."""
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_groups(batches, 3):
+            keys = np.stack([np.asarray(batch.column(k)) for k in range(3)], axis=1)
+            n, doc, partners = batch.num_rows, np.asarray(batch.column(3)), batch.column(5)
+            hashes, sizes = [], []
+            for _, _, data, offsets in text_chunks(batch.column(4)):
+                h, at = shingles(data, offsets, width)
+                hashes.append(h)
+                sizes.append(np.diff(at))
+            size = np.concatenate(sizes)
+            at = np.append(0, np.cumsum(size))
+            values, flat = np.unique(np.concatenate(hashes), return_inverse=True)
+            has = np.zeros(len(values), bool)
+            edge = np.append(np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1))), n)
+            a, b = [], []
+            for lo, hi in zip(edge[:-1], edge[1:]):
+                order = np.argsort(doc[lo:hi])
+                for i in range(lo, hi):
+                    other = partners[i].values
+                    if other is None or not len(other):
+                        continue
+                    j = lo + order[np.searchsorted(doc[lo:hi], np.asarray(other), sorter=order)]
+                    has[flat[at[i] : at[i + 1]]] = True
+                    total = np.append(0, np.cumsum(has[flat[at[lo] : at[hi]]]))
+                    has[flat[at[i] : at[i + 1]]] = False
+                    shared = total[at[j + 1] - at[lo]] - total[at[j] - at[lo]]
+                    j = j[(100 * shared >= percent * (size[i] + size[j] - shared)) & (shared > 0)]
+                    a.append(np.full(len(j), doc[i]))
+                    b.append(doc[j])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    return confirm
+
+
+def _rest_of_regions(classes: DataFrame, labels: DataFrame, tested: DataFrame, plain: DataFrame, percent: int, width: int, work: str) -> DataFrame:
+    """The links (a, b) between components that share a region of a tree and that no tested pair has shown."""
+    known = classes.join(labels.withColumnRenamed("node", "c"), "c", "left").select("c", "sig", F.coalesce("label", "c").alias("label"), F.col("n_shingles").alias("size"))
+    known = materialise(known, f"{work}/known")
+    rows = known.select("c", "sig", "label", "size").mapInArrow(_trees, "region long, deep long, c long, s0 long, s1 long, s2 long, s3 long, label long, size long")
+    mixed = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("region", "n")
+    mixed = materialise(mixed, f"{work}/mixed")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
+    rows = rows.join(mixed.hint("merge"), "region").withColumn("own", F.pmod(F.xxhash64("c"), blocks))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), blocks - 1))).select("region", F.least("own", "k").alias("p"), F.greatest("own", "k").alias("q"), "own", "c", "label", "size", "s0", "s1", "s2", "s3")
+    rows = rows.repartition("region", "p", "q").sortWithinPartitions("region", "p", "q")
+    found = rows.mapInArrow(_across(percent), "a long, b long, region long").groupBy("a", "b").agg(F.min("region").alias("region"))
+    found = materialise(found.join(tested.select("a", "b"), ["a", "b"], "left_anti"), f"{work}/found")
+    parts = F.ceil(F.col("n") / TEXTS).cast("long")
+    asked = found.join(mixed.hint("merge"), "region").select("region", F.pmod(F.xxhash64("a"), parts).alias("p"), F.pmod(F.xxhash64("b"), parts).alias("q"), "a", "b")
+    asked = asked.select("region", "p", "q", F.inline(F.array(F.struct(F.col("a").alias("doc_id"), F.col("b").alias("with")), F.struct(F.col("b").alias("doc_id"), F.lit(None).cast("long").alias("with")))))
+    asked = asked.groupBy("region", "p", "q", "doc_id").agg(F.collect_list("with").alias("partners"))
+    texts = plain.join(found.select(F.col("a").alias("doc_id")).union(found.select("b")).distinct().hint("merge"), "doc_id").dropDuplicates(["doc_id"])
+    groups = asked.join(texts.hint("merge"), "doc_id").select("region", "p", "q", "doc_id", "text", "partners").repartition("region", "p", "q").sortWithinPartitions("region", "p", "q")
+    return materialise(groups.mapInArrow(_confirm_parts(percent, width), "a long, b long"), f"{work}/links")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, width: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``; see the module's text."""
     spark, work = docs.sparkSession, work_dir(docs.sparkSession)
     plain = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     signed = materialise(plain.mapInArrow(_signatures(width), "doc_id long, n_shingles long, f1 long, f2 long, sig binary"), f"{work}/signed")
-    classes = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("c"), F.first("sig").alias("sig"))
+    classes = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("c"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
     classes = materialise(classes, f"{work}/classes")
     forest = classes.select("c", "sig").mapInArrow(_trees, "region long, deep long, c long, s0 long, s1 long, s2 long, s3 long")
     ordered = forest.repartitionByRange("region", "deep", "c").sortWithinPartitions("region", "deep", "c")
@@ -236,6 +377,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         else:
             ask = rest.select("a", "b")
     drop_path(spark, f"{work}/texts")
+    more = _rest_of_regions(classes, labels, tested, plain.filter("doc_id is not null"), percent, width, f"{work}/regions")
+    if not more.isEmpty():
+        labels = connected_components(links.union(more), f"{work}/components{k + 1}")
     known = classes.select("f1", "f2", "c").join(labels.withColumnRenamed("node", "c"), "c", "left").select("f1", "f2", F.coalesce("label", "c").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "f1", "f2").join(known, ["f1", "f2"], "left")
     # an empty set's hash is no class's, and a document without an id stands alone
