@@ -540,6 +540,14 @@ def person_tickets(spark, sf_dir):
     return graph.person_tickets(asked, edges, tickets).select("person_id", "ticket_node", "xid", "subject", "description", "status", "priority", "created_at")
 
 
+@query(_GRAPH + "select person_id, ticket_node, v.xid, subject, description, status, priority, created_at from links join view v on v.id = ticket_node")
+def person_tickets_all(spark, sf_dir):
+    """``person_tickets`` for every person of an edge."""
+    edges, tickets = _graph(spark, sf_dir)
+    asked = edges.select(F.explode(F.array("in_id", "out_id")).alias("person_id")).filter("person_id like 'c-%'")
+    return graph.person_tickets(asked, edges, tickets).select("person_id", "ticket_node", "xid", "subject", "description", "status", "priority", "created_at")
+
+
 _TICKET_KEYS = "requests as (select i as request_id, case i % 3 when 0 then 'E' || i::varchar when 1 then 'T' || i::varchar else 't-' || i::varchar end as key, 'c-' || (i % 50)::varchar as person_id from range(400) r(i))"
 _ANY_ID = """listed as (select id, ext_id as key, 1 as prio from ticket union all select id, ticket_id, 2 from ticket union all select id, id, 3 from ticket),
 found as (select request_id, person_id, key, id from (select r.*, l.id, row_number() over (partition by request_id order by prio, l.id) as nth from requests r join listed l on l.key = r.key) where nth = 1)"""
