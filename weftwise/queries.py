@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftwise.functions import aliases, phonetic, similarity, text
@@ -623,9 +623,15 @@ def system_variables(spark, sf_dir):
     return _intents(spark, sf_dir).select("id", F.explode(attributes.system_variables(F.col("attrs"))).alias("name", "value"))
 
 
-def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Issues from events: each uses an intent's variables and brings its own."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_id < 5000").withColumn("id", F.concat(F.lit("i-"), (F.col("event_id") % 200).cast("string")))
+def _issues(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Issues from events: each uses an intent's variables and brings its own; ``whole`` takes all events over all intents."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    if whole:
+        parts = spark.read.parquet(f"{sf_dir}/part.parquet").agg(F.count(F.lit(1)).alias("parts"))
+        events = events.crossJoin(F.broadcast(parts))
+    else:
+        events = events.filter("event_id < 5000").withColumn("parts", F.lit(200))
+    events = events.withColumn("id", F.concat(F.lit("i-"), (F.col("event_id") % F.col("parts")).cast("string")))
     rows = events.join(_intents(spark, sf_dir), "id")
     user = F.map_from_arrays(F.array(F.lit("/v3"), F.lit("/subject"), F.lit("user")), F.array("event_type", F.when(F.col("event_id") % 4 == 0, F.concat(F.lit(" s"), F.col("event_id").cast("string"))).otherwise(" "), F.col("user_id").cast("string")))
     return attributes.issue_attributes(rows.select(
@@ -648,9 +654,29 @@ def issue_attributes(spark, sf_dir):
     return _issues(spark, sf_dir).select("event_id", F.explode("attrs").alias("key", "value"))
 
 
-@query(f"""{_ISSUES}, whole as (select event_id, key, value from attrs union all select event_id, 'ogit/_type', 'ogit/Automation/AutomationIssue' from ev)
-select event_id, '{{' || string_agg('"' || key || '":"' || value || '"', ',' order by key) || '}}' as payload from whole group by event_id""")
+_PAYLOAD = """whole as (select event_id, key, value from attrs union all select event_id, 'ogit/_type', 'ogit/Automation/AutomationIssue' from ev)
+select event_id, '{' || string_agg('"' || key || '":"' || value || '"', ',' order by key) || '}' as payload from whole group by event_id"""
+
+
+def _payload() -> Column:
+    return attributes.payload("ogit/Automation/AutomationIssue", F.create_map().cast("map<string,string>"), F.col("attrs")).alias("payload")
+
+
+@query(f"{_ISSUES}, {_PAYLOAD}")
 def issue_payload_json(spark, sf_dir):
-    made = attributes.payload("ogit/Automation/AutomationIssue", F.create_map().cast("map<string,string>"), F.col("attrs"))
-    return _issues(spark, sf_dir).select("event_id", made.alias("payload"))
+    return _issues(spark, sf_dir).select("event_id", _payload())
+
+
+# every event, over all intents (parts are numbered from 0)
+_ALL_ISSUES = _ISSUES.replace("where event_id < 5000 and", "where").replace("event_id % 200", "event_id % (select count(*) from part)")
+
+
+@query(f"{_ALL_ISSUES} select event_id, key, value from attrs")
+def issue_attributes_all(spark, sf_dir):
+    return _issues(spark, sf_dir, whole=True).select("event_id", F.explode("attrs").alias("key", "value"))
+
+
+@query(f"{_ALL_ISSUES}, {_PAYLOAD}")
+def issue_payload_json_all(spark, sf_dir):
+    return _issues(spark, sf_dir, whole=True).select("event_id", _payload())
 
