@@ -66,3 +66,17 @@ def test_key_and_empty_table(spark):
     one, two, again = (replace_entities(df, k).first()["text"] for k in ("a", "b", "a"))
     assert one != two and one == again
     assert replace_entities(spark.createDataFrame([], "text string"), KEY).count() == 0
+
+
+@pytest.mark.parametrize("lookup_rows", [2000, -1])
+def test_persons_of_one_surname_stay_apart(spark, lookup_rows):
+    men = ["Adam", "Bruno", "Conrad", "Edgar", "Felix", "Hugo", "Leon", "Oscar", "John", "Peter", "Paul", "Mark"]
+    names = [f"Mr {g} Smith" for g in men] + [f"Mrs {g} Smith" for g in ("Clara", "Jane", "Alma")] + ["Dr Αλέξης Smith", "Dr Νίκη Smith", "Dr Ρένα Smith"]
+    rows = [(i, f"seen: {n}.") for i, n in enumerate(names)] + [(100, "seen: Mr Smith."), (101, "seen: Mr. John Smith."), (102, "seen: Mr John Weber.")]
+    got = {r["doc_id"]: r["text"][6:-1] for r in replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), KEY, lookup_rows=lookup_rows).collect()}
+    people = [got[i] for i in range(len(names))]
+    assert len(set(people)) == len(names), people
+    given = {p.split()[1] for p in people}
+    assert len(given) == len(names) and not given & {n.split()[1] for n in names}, people
+    assert {p.split()[-1] for p in people} == {got[100].split()[-1]} and got[101].replace(".", "") == got[8]
+    assert got[102].split()[1] == got[8].split()[1] and got[102].split()[2] != got[8].split()[2]

@@ -5,7 +5,8 @@ tokens, and names behind a form of address. Each is replaced by a keyed surrogat
 and separators, digits for digits and letters for letters of the same case, cards that pass the Luhn check if
 the original does, private IP ranges that stay private, given names of the same gender and surnames in the same
 script. One entity has one surrogate in the whole table however it is written (coreference), two entities never
-share one, and none is another's original (collision checks):
+share one, and none is another's original (collision checks). Surnames and given names are entities of their own, so
+a surname alone stays the same as in a full name, and two given names (by gender and script) never become one:
 
 1. The distinct entities of all texts are collected as narrow rows (aggregated before the shuffle).
 2. Each gets a surrogate for round 0. Those whose surrogate another entity has, or which is an entity itself,
@@ -29,6 +30,8 @@ from weftwise.llm.common import drop_path, free_name, materialise, row_key, work
 from weftwise.llm.quality import let
 
 LOOKUP_ROWS, ROUNDS = 2000, 24
+#: Rounds in which a given name is one of its list; each round after them adds a syllable.
+PLAIN_GIVEN = 3
 
 # Forms of address by gender, and given names by script and gender.
 TITLES = {"m": ["Mr", "Herr", "Monsieur", "Señor", "Господин", "Κύριος"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Госпожа", "Κυρία"], "n": ["Dr", "Prof", "Mx"]}
@@ -83,6 +86,18 @@ def canonical(kind: Column, match: Column) -> Column:
     )
 
 
+def _gender(match: Column) -> Column:
+    title = F.regexp_extract(match, rf"^(?:{_TITLE})\.?", 0)
+    return F.when(title.rlike(rf"^(?:{'|'.join(TITLES['m'])})\.?$"), "m").when(title.rlike(rf"^(?:{'|'.join(TITLES['f'])})\.?$"), "f").otherwise("n")
+
+
+def given_of(kind: Column, match: Column) -> Column:
+    """Gender, script and given name of a full name, else null."""
+    words = F.split(match, " ")
+    word = F.lower(F.get(words, F.lit(1)))
+    return F.when((kind == "name") & (F.size(words) > 2), F.concat_ws("|", _gender(match), _script(word), word))
+
+
 def _number(hex_: Column, i: Column | int, base: int) -> Column:
     """The i-th number below ``base`` of a hexadecimal stream."""
     at = (F.lit(i) if isinstance(i, int) else i) * 4 + 1
@@ -154,7 +169,27 @@ def surrogate(key: str, kind: Column, canon: Column, round_: Column) -> Column:
         )
 
     seed = F.concat_ws("\x1f", kind, canon, round_.cast("string"))
-    return let(F.struct(canon.alias("c"), _stream(key, seed, F.char_length(canon) + 24).alias("h")), build)
+    whole = let(F.struct(canon.alias("c"), _stream(key, seed, F.char_length(canon) + 24).alias("h")), build)
+    return F.when(kind == "given", given_surrogate(key, canon, round_)).otherwise(whole)
+
+
+def given_surrogate(key: str, canon: Column, round_: Column) -> Column:
+    """Another given name for one of ``given_of``, in the same form: from the list, with syllables in later rounds."""
+
+    def build(x: Column) -> Column:
+        out = None
+        for script, names in GIVEN.items():
+            parts = SYLLABLES[script]
+            for g, known in names.items():
+                one = F.get(F.lit([n.lower() for n in known]), _number(x["h"], 0, len(known)))
+                more = F.transform(F.sequence(F.lit(1), F.greatest(x["r"] - PLAIN_GIVEN + 1, F.lit(1))), lambda i: F.get(F.lit(parts), _number(x["h"], i, len(parts))))  # noqa: B023
+                made = F.concat(F.lit(f"{g}|{script}|"), one, F.when(x["r"] >= PLAIN_GIVEN, F.concat(F.lit("-"), F.array_join(more, ""))).otherwise(""))
+                fits = x["c"].startswith(f"{g}|{script}|")
+                out = F.when(fits, made) if out is None else out.when(fits, made)
+        return out
+
+    seed = F.concat_ws("\x1f", F.lit("given"), canon, round_.cast("string"))
+    return let(F.struct(canon.alias("c"), round_.alias("r"), _stream(key, seed, round_ + 4).alias("h")), build)
 
 
 def _syllables(parts: list[str], hex_: Column, round_: Column) -> Column:
@@ -166,7 +201,7 @@ def _syllables(parts: list[str], hex_: Column, round_: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3) + round_), pick), "")
 
 
-def _spelt(key: str, kind: Column, match: Column, core: Column) -> Column:
+def _spelt(kind: Column, match: Column, core: Column, given: Column) -> Column:
     """A surrogate in the spelling of the match that it replaces."""
     digits = F.regexp_replace(core, r"[^0-9A-Z]", "")
 
@@ -176,18 +211,11 @@ def _spelt(key: str, kind: Column, match: Column, core: Column) -> Column:
 
     spaced = F.array_join(F.transform(F.regexp_extract_all(match, F.lit("(?s)."), 0), sign), "")
     title = F.regexp_extract(match, rf"^(?:{_TITLE})\.?", 0)
-    words = F.split(match, " ")
-    gender = F.when(title.rlike(rf"^(?:{'|'.join(TITLES['m'])})\.?$"), "m").when(title.rlike(rf"^(?:{'|'.join(TITLES['f'])})\.?$"), "f").otherwise("n")
+    gender = _gender(match)
     last = F.initcap(core)
     last = F.when((gender == "f") & _surname(match).rlike("(?:ова|ева|ина)$"), F.concat(last, F.lit("ова"))).otherwise(last)
-    given = None
-    for script, names in GIVEN.items():
-        for g, known in names.items():
-            hex_ = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("given"), F.lower(F.get(words, F.lit(1)))), 256)
-            one = F.get(F.lit(known), _number(hex_, 0, len(known)))
-            fits = (_script(F.get(words, F.lit(1))) == script) & (gender == g)
-            given = F.when(fits, one) if given is None else given.when(fits, one)
-    name = F.concat_ws(" ", title, F.when(F.size(words) > 2, given), last)
+    first = F.array_join(F.transform(F.split(F.substring_index(given, "|", -1), "-"), F.initcap), "-")
+    name = F.concat_ws(" ", title, first, last)
     return F.when(kind == "name", name).when(kind.isin("phone", "card", "iban", "ssn"), spaced).when((kind == "email") & (match == F.upper(match)), F.upper(core)).otherwise(core)
 
 
@@ -197,8 +225,11 @@ def mentions(text: Column) -> Column:
 
 
 def _entities(found: DataFrame) -> DataFrame:
-    """(kind, canon) of a column ``m`` of matches."""
-    return found.withColumn("kind", kind_of(F.col("m"))).select("kind", canonical(F.col("kind"), F.col("m")).alias("canon"))
+    """The other columns with (kind, canon) of a column ``m`` of matches; a full name has two rows."""
+    kind, m = F.col("kind"), F.col("m")
+    own = F.array(F.struct(kind.alias("kind"), canonical(kind, m).alias("canon")), F.struct(F.lit("given").alias("kind"), given_of(kind, m).alias("canon")))
+    others = [c for c in found.columns if c != "m"]
+    return found.withColumn("kind", kind_of(m)).select(*others, F.inline(own)).filter("canon is not null")
 
 
 def later_rounds(entities: DataFrame, key: str, work: str) -> DataFrame:
@@ -240,8 +271,8 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text", lookup_r
         round_of = lambda kind, canon: F.coalesce(F.element_at(table, F.concat_ws(" ", kind, canon)), F.lit(0)) if rows else F.lit(0)
     else:
         _, th = row_key(F.lit(0), text)
-        by_text = docs.select(th.alias("th"), F.explode(F.array_distinct(mentions(text))).alias("m")).withColumn("kind", kind_of(F.col("m")))
-        by_text = by_text.select("th", "kind", canonical(F.col("kind"), F.col("m")).alias("canon")).distinct().join(later, ["kind", "canon"])
+        by_text = docs.select(th.alias("th"), F.explode(F.array_distinct(mentions(text))).alias("m"))
+        by_text = _entities(by_text).distinct().join(later, ["kind", "canon"])
         by_text = by_text.groupBy("th").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(" ", "kind", "canon"), "round"))).alias(name["rounds"]))
         key_col = free_name(docs, "text_key")
         out = out.withColumn(key_col, th).join(by_text.withColumnRenamed("th", key_col), key_col, "left").drop(key_col)
@@ -250,11 +281,12 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text", lookup_r
     def replaced(m: Column) -> Column:
         def known(x: Column) -> Column:
             canon = canonical(x["kind"], x["m"])
-            return let(F.struct(x["kind"].alias("kind"), x["m"].alias("m"), canon.alias("canon")), core)
+            return let(F.struct(x["kind"].alias("kind"), x["m"].alias("m"), canon.alias("canon"), given_of(x["kind"], x["m"]).alias("given")), core)
 
         def core(x: Column) -> Column:
             made = surrogate(key, x["kind"], x["canon"], round_of(x["kind"], x["canon"]))
-            return let(F.struct(x["kind"].alias("kind"), x["m"].alias("m"), made.alias("core")), lambda y: _spelt(key, y["kind"], y["m"], y["core"]))
+            given = F.when(x["given"].isNotNull(), given_surrogate(key, x["given"], round_of(F.lit("given"), x["given"])))
+            return let(F.struct(x["kind"].alias("kind"), x["m"].alias("m"), made.alias("core"), given.alias("given")), lambda y: _spelt(y["kind"], y["m"], y["core"], y["given"]))
 
         return let(F.struct(kind_of(m).alias("kind"), m.alias("m")), known)
 
