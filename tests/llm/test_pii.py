@@ -80,3 +80,14 @@ def test_persons_of_one_surname_stay_apart(spark, lookup_rows):
     assert len(given) == len(names) and not given & {n.split()[1] for n in names}, people
     assert {p.split()[-1] for p in people} == {got[100].split()[-1]} and got[101].replace(".", "") == got[8]
     assert got[102].split()[1] == got[8].split()[1] and got[102].split()[2] != got[8].split()[2]
+
+
+def test_full_spaces_have_a_way_out(spark):
+    """Every address of 192.168.x.y and every short number of a country digit is in the table."""
+    rows = [("ip", f"192.168.{i // 256}.{i % 256}") for i in range(65536)] + [("phone", f"+1{i:04d}") for i in range(10000)]
+    entities = spark.createDataFrame(rows, "kind string, canon string")
+    later = later_rounds(entities, KEY, work_dir(spark))
+    all_ = entities.join(later, ["kind", "canon"], "left").withColumn("core", surrogate(KEY, F.col("kind"), F.col("canon"), F.coalesce("round", F.lit(0)))).cache()
+    assert all_.select("kind", "core").distinct().count() == len(rows)
+    assert all_.join(entities.select("kind", F.col("canon").alias("core")), ["kind", "core"], "left_semi").count() == 0
+    assert all_.filter("kind = 'ip' and core not like '10.%'").count() == 0

@@ -3,7 +3,8 @@
 Entities found: e-mail addresses, phone, card, bank account and social security numbers, IP addresses, access
 tokens, and names behind a form of address. Each is replaced by a keyed surrogate of its own kind: same length
 and separators, digits for digits and letters for letters of the same case, cards that pass the Luhn check if
-the original does, private IP ranges that stay private, given names of the same gender and surnames in the same
+the original does (numbers grow by a digit a round where all of a length are taken), private IP ranges that stay
+private (or go to a wider private or the reserved range where one is full), given names of the same gender and surnames in the same
 script. One entity has one surrogate in the whole table however it is written (coreference), two entities never
 share one, and none is another's original (collision checks). Surnames and given names are entities of their own, so
 a surname alone stays the same as in a full name, and two given names (by gender and script) never become one:
@@ -22,6 +23,7 @@ Without the key surrogates can't be recomputed; the key is a parameter and isn't
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,7 +31,9 @@ from pyspark.sql import functions as F
 from weftwise.llm.common import drop_path, free_name, materialise, row_key, work_dir
 from weftwise.llm.quality import let
 
-LOOKUP_ROWS, ROUNDS = 2000, 24
+LOOKUP_ROWS = 2000
+#: From this round on a surrogate leaves a space that has run out: numbers get longer, private addresses go to a wider range.
+WIDER = 6
 #: Rounds in which a given name is one of its list; each round after them adds a syllable.
 PLAIN_GIVEN = 3
 
@@ -153,19 +157,26 @@ def surrogate(key: str, kind: Column, canon: Column, round_: Column) -> Column:
             F.when(c.startswith("10."), F.concat_ws(".", F.lit("10"), *octet[1:])).when(c.startswith("192.168."), F.concat_ws(".", F.lit("192.168"), *octet[2:]))
             .when(c.rlike(r"^172\.(1[6-9]|2\d|3[01])\."), F.concat_ws(".", F.lit("172"), (16 + _number(h, 1, 16)).cast("string"), *octet[2:]))
             .otherwise(F.concat_ws(".", (11 + _number(h, 0, 100)).cast("string"), *octet[1:]))
+        )
+        inner = c.rlike(r"^(?:192\.168|172\.(?:1[6-9]|2\d|3[01]))\.")
+        ip = (
+            F.when((round_ >= 2 * WIDER) | ((round_ >= WIDER) & ~inner), F.concat_ws(".", (240 + _number(h, 0, 15)).cast("string"), *octet[1:]))
+            .when(round_ >= WIDER, F.concat_ws(".", F.lit("10"), *octet[1:])).otherwise(ip)
         )
         country = F.when(c.startswith("+"), F.substr(c, F.lit(1), F.lit(2))).otherwise("")
-        phone = F.concat(country, _same_classes(F.substr(c, F.char_length(country) + 1), h))
-        body = F.concat(F.substr(c, F.lit(1), F.lit(1)), _same_classes(F.substr(c, F.lit(2), F.char_length(c) - 2), h))
+        # digits beyond the original's length, from their own end of the stream
+        longer = F.when(round_ >= WIDER, F.translate(F.substr(F.reverse(h), F.lit(1), (round_ - WIDER + 1).cast("int")), "abcdef", "012345")).otherwise("")
+        phone = F.concat(country, _same_classes(F.substr(c, F.char_length(country) + 1), h), longer)
+        body = F.concat(F.substr(c, F.lit(1), F.lit(1)), _same_classes(F.substr(c, F.lit(2), F.char_length(c) - 2), h), longer)
         check = let(body, lambda b: F.concat(b, ((10 - _luhn(F.concat(b, F.lit("0"))) % 10 + F.when(_luhn(c) % 10 == 0, 0).otherwise(1)) % 10).cast("string")))
-        iban = F.concat(F.substr(c, F.lit(1), F.lit(2)), _same_classes(F.substr(c, F.lit(3)), h))
+        iban = F.concat(F.substr(c, F.lit(1), F.lit(2)), _same_classes(F.substr(c, F.lit(3)), h), longer)
         name = None
         for script, parts in SYLLABLES.items():
             made = _syllables(parts, h, round_)
             name = F.when(_script(c) == script, made) if name is None else name.when(_script(c) == script, made)
         return (
             F.when(kind == "email", email).when(kind == "token", token).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", check)
-            .when(kind == "iban", iban).when(kind == "name", F.lower(name)).otherwise(_same_classes(c, h))
+            .when(kind == "iban", iban).when(kind == "name", F.lower(name)).otherwise(F.concat(_same_classes(c, h), longer))
         )
 
     seed = F.concat_ws("\x1f", kind, canon, round_.cast("string"))
@@ -210,6 +221,7 @@ def _spelt(kind: Column, match: Column, core: Column, given: Column) -> Column:
         return F.when(c.rlike("[0-9A-Z]"), F.substr(digits, (before + 1).cast("int"), F.lit(1))).otherwise(c)
 
     spaced = F.array_join(F.transform(F.regexp_extract_all(match, F.lit("(?s)."), 0), sign), "")
+    spaced = F.concat(spaced, F.substr(digits, F.char_length(F.regexp_replace(match, r"[^0-9A-Z]", "")) + 1))
     title = F.regexp_extract(match, rf"^(?:{_TITLE})\.?", 0)
     gender = _gender(match)
     last = F.initcap(core)
@@ -238,7 +250,7 @@ def later_rounds(entities: DataFrame, key: str, work: str) -> DataFrame:
     first = Window.partitionBy("kind", "core").orderBy(F.xxhash64("canon"), "canon")
     real = entities.select("kind", F.col("canon").alias("core")).withColumn("real", F.lit(True))
     pending, settled = entities.withColumn("round", F.lit(0)), None
-    for r in range(ROUNDS):
+    for r in count():  # every space grows in later rounds, so this ends
         tried = pending.withColumn("core", core(F.col("round"))).withColumn("nth", F.row_number().over(first)).join(real, ["kind", "core"], "left")
         if settled is not None:
             tried = tried.join(settled.select("kind", "core").withColumn("taken", F.lit(True)), ["kind", "core"], "left")
@@ -251,7 +263,6 @@ def later_rounds(entities: DataFrame, key: str, work: str) -> DataFrame:
         pending = tried.filter("not ok").select("kind", "canon", (F.col("round") + 1).alias("round"))
         if pending.isEmpty():
             return settled.filter("round > 0").select("kind", "canon", "round")
-    raise RuntimeError(f"entities still collide after {ROUNDS} rounds; the kind has too few surrogates")
 
 
 def replace_entities(docs: DataFrame, key: str, text_col: str = "text", lookup_rows: int = LOOKUP_ROWS) -> DataFrame:
