@@ -4,7 +4,7 @@ import hashlib
 
 import numpy as np
 
-from weftwise.llm.fingerprints import BINS, edit_probe, fingerprint_documents, fingerprint_texts, likeness, near_pairs
+from weftwise.llm.fingerprints import BAND, BINS, edit_probe, fingerprint_documents, fingerprint_texts, likeness, near_pairs
 
 
 def prose(rng, n):
@@ -65,3 +65,17 @@ def test_banding_finds_near_copies(spark):
     rows = [(i, base[:k] + "Z" + base[k:]) for i, k in enumerate(rng.integers(0, 2000, 40))] + [(100 + i, prose(rng, 1500)) for i in range(20)] + [(200, None), (None, base)]
     got = near_pairs(fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
     assert {r["b"] for r in got} == set(range(1, 40)) and all(r["a"] < 40 and r["likeness"] >= 0.8 for r in got) and len(got) < 40 * 32
+
+
+def test_pairs_whose_bands_are_led_by_others(spark):
+    rng = np.random.default_rng(9)
+    x = rng.integers(1, 256, BINS).astype(np.uint8)
+    y = x.copy()
+    y[:BAND] = 0
+    rows = [(1000, x), (1001, y), (1002, x)]
+    for k in range(BINS // BAND):
+        leader = rng.integers(1, 256, BINS).astype(np.uint8)
+        leader[k * BAND : (k + 1) * BAND] = x[k * BAND : (k + 1) * BAND]
+        rows.append((k, leader))
+    got = near_pairs(spark.createDataFrame([(d, p.tobytes().hex()) for d, p in rows], "doc_id long, fingerprint string")).collect()
+    assert {(r["a"], r["b"]) for r in got} == {(1000, 1001), (1000, 1002)}

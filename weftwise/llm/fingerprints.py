@@ -132,16 +132,19 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def near_pairs(prints: DataFrame, least: float = 0.8) -> DataFrame:
-    """(a, b, likeness) of fingerprints of ``least`` likeness that share a band: each row with its band's smallest id.
+    """(a, b, likeness) of fingerprints of ``least`` likeness that share a band.
 
-    Linear in the rows: a band's rows aren't paired with each other but with one leader, so a large group of
-    near copies comes out as a star. ``prints`` is what ``fingerprint_documents`` gives.
+    Rows of equal fingerprints are paired with the smallest id among them, which stands for them in all other
+    pairs; different fingerprints of a band are compared in full, which is square in their number.
+    ``prints`` is what ``fingerprint_documents`` gives.
     """
     width = 2 * BAND
     bands = F.transform(F.sequence(F.lit(0), F.lit(BINS // BAND - 1)), lambda k: F.xxhash64(k, F.substr("fingerprint", (k * width + 1).cast("int"), F.lit(width))))
-    rows = prints.filter("doc_id is not null").select("doc_id", F.explode(bands).alias("band"))
-    leader = rows.groupBy("band").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    pairs = rows.join(leader, "band").filter("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    prints = prints.filter("doc_id is not null").select("doc_id", "fingerprint").distinct()
+    heads = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("head"))
+    copies = prints.join(heads, "fingerprint").filter("head < doc_id").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
+    rows = heads.select(F.col("head").alias("a"), F.explode(bands).alias("band"))
+    pairs = rows.join(rows.select(F.col("a").alias("b"), "band"), "band").filter("a < b").select("a", "b").union(copies).distinct()
     p, q = prints.select(F.col("doc_id").alias("a"), F.col("fingerprint").alias("p")), prints.select(F.col("doc_id").alias("b"), F.col("fingerprint").alias("q"))
     both = pairs.join(p, "a").join(q, "b")
 
