@@ -73,11 +73,35 @@ def test_odd_rows(spark):
     text = " ".join(f"w{i}" for i in range(50))
     rows = [(4, text, "x"), (4, text, "y"), (9, text, "z"), (None, text, "n"), (None, None, "m")]
     df = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
-    got = sorted(map(tuple, near_duplicates(df).collect()), key=str)
+    got = sorted((tuple(r)[:4] for r in near_duplicates(df).collect()), key=str)
     assert got == sorted([(4, 46, 4, True), (4, 46, 4, True), (9, 46, 4, False), (None, 46, None, True), (None, 0, None, True)], key=str)
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_rows_that_share_an_id_but_not_a_text(spark):
+    one, two = (" ".join(f"{x}{i}" for i in range(50)) for x in "ab")
+    rows = [(4, one), (4, two), (9, one + " x"), (10, two + " y"), (3, two + " y z")]
+    got = sorted(tuple(r)[:4] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(3, 48, 3, True), (4, 46, 3, False), (4, 46, 4, True), (9, 47, 4, False), (10, 47, 3, False)]
+    rows = [(4, one), (4, one), (4, one + " x"), (4, two), (7, None), (7, None)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # one row of each group stays, and the repeated rows of that row
+    assert all(r["kept"] and r["component_id"] == r["doc_id"] for r in got)
+    stay = {(r["n_shingles"], r["text_hash"]) for r in got if r["stays"]}
+    assert len(stay) == 3 and {n for n, _ in stay} in ({0, 46}, {0, 46, 47})
+
+
+def test_very_long_texts(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{x}" for x in rng.integers(0, 50_000, 150_000)]
+    near = list(words)
+    for k in rng.integers(0, len(near), 3000):
+        near[k] = "changed"
+    rows = [(1, " ".join(near)), (2, " ".join(words)), (3, " ".join(words[:60_000])), (4, "x" * 2_000_000), (5, "x" * 2_000_000 + " ")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got.collect()} == brute(rows)
+
+
 def test_components(spark, tmp_path):
     rng = np.random.default_rng(2)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1100)] + [(5000, i) for i in range(5001, 5200)]
@@ -103,12 +127,43 @@ def template_corpus(seed, documents=700, pairs=40):
     return [(int(order[i]), t) for i, (_, t) in enumerate(rows)]
 
 
-@pytest.mark.parametrize("block", [4096, 60])
-def test_pairs_within_a_crowded_template(spark, block, monkeypatch):
+@pytest.mark.parametrize(("block", "size"), [(4096, 2_000_000), (60, 2_000_000), (4096, 9_000)])
+def test_pairs_within_a_crowded_template(spark, block, size, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK", block)
-    monkeypatch.setattr(near_dup, "TEXTS", block // 4)
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", size)
     rows = template_corpus(3, 400)
     want = brute(rows)
     assert sum(not kept for _, _, kept in want.values()) == 40
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got.collect()} == want
+
+
+def crowded_corpus(seed, documents=1000, words=120, edits=3):
+    """One base text with a few edits each: most pairs are below 0.75, some hundreds just over it."""
+    rng = np.random.default_rng(seed)
+    base = [f"b{x}" for x in rng.integers(0, 10_000, words)]
+    rows = []
+    for d in range(documents):
+        w = list(base)
+        for k in rng.choice(words, edits, replace=False):
+            w[k] = f"e{d}x{k}"
+        rows.append((d, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_crowded_group_near_the_threshold(spark, seed):
+    rows = crowded_corpus(seed)
+    want = brute(rows)
+    assert 300 < len({c for _, c, _ in want.values()}) < 900
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got.collect()} == want
+
+
+def test_depth_grows_only_where_a_prefix_is_crowded():
+    region = np.array([1] * 3 + [2] * 20)
+    deep = np.array([5, 6, 7, *(np.arange(20) // 10 * (1 << 60) + np.arange(20) // 5 * (1 << 40) + np.arange(20))])
+    first, leaf, above = near_dup._leaves(region, deep)
+    assert first.tolist() == [0] * 3 + [3] * 20
+    assert leaf.tolist() == [0] * 3 + [3] * 5 + [8] * 5 + [13] * 5 + [18] * 5
+    assert above.tolist() == [0] * 3 + [3] * 10 + [13] * 10

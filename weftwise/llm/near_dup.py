@@ -5,21 +5,24 @@ result is each document's component in the graph of links.
 
 1. One pass over the texts makes, per document, the size of its set, a 128-bit hash of the set, and 64
    MinHash values. Equal sets (copies) become one class here, so a group of copies is one row from now on.
-2. The forest: each of ``TREES`` trees orders the classes by its own sequence of MinHash values. The trees
-   are one table, range-partitioned and sorted, so a crowded region spreads over as many partitions as it
-   needs. Neighbours by longest common prefix are candidates: the rows next to each other within a region
-   (equal first values), and each row with the first of its region and of its deeper region. The order has
-   three fixed depths: 3, 6 and 12 equal values. Work and candidates are linear in the rows.
+2. The forest: each of ``TREES`` trees sorts the classes by its own sequence of MinHash values: three whole
+   ones (a region), then sixteen by 4 bits each. The trees are one table, range-partitioned and sorted, so a
+   crowded region spreads over as many partitions as it needs. Rows next to each other have the longest common
+   prefixes and are candidates. Depth adapts: where more than ``LEAF`` rows share a prefix it grows by a value
+   at a time until fewer do, and the rows of such a leaf are candidates of one another, and each of the first
+   row of its region and of the crowded prefix above its leaf. Work and candidates are linear in the rows.
 3. A packed sketch of the values travels with each row and drops candidates far below the threshold.
 4. Confirmation: the texts of classes with candidates are set aside once; the likeliest candidates of each
    class are confirmed first, then only those that would join different components, until none is left.
 5. The rest: regions whose rows are still in different components are compared in full, in blocks of
-   ``BLOCK`` rows; every likely pair across components is confirmed on whole sets, where the sets of a part
-   of a region are read once for all its pairs. This is square in the rows of such a region, and only there.
+   ``BLOCK`` rows: signatures rule pairs out, whole sets decide on the others, in the same task, which gives
+   only the links that join components. Each pair is looked at in the first region that it shares. This is
+   square in the rows of such a region, and only there; what is shuffled and given out is linear in its rows.
 
 A pair at the threshold shares a region in at least one tree with probability 1 - (1 - 0.75**3)**20, over
 0.9999. Nulls: a null or blank text has an empty set and is linked with nothing; a document without an id
-is never linked and is kept. Repeated rows of an id share set and component. Other columns aren't read.
+is never linked and is kept. Rows are judged by their own text: repeated rows share set and component, rows
+that share an id but not a text are nodes of their own. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -31,22 +34,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftwise.llm.common import LOWER, U64, RollingHash, drop_path, materialise, mix64, text_chunks, words_of, work_dir
+from weftwise.llm.common import LOWER, U64, RollingHash, drop_path, materialise, mix64, row_key, text_chunks, words_of, work_dir
 from weftwise.llm.components import connected_components
 
 SIZE = 64
 TREES, DEPTH = 20, 3
-#: Rows before it that a row is compared with: all in a region of NEIGHBOURS + 1, fewer where the region is crowded.
-NEIGHBOURS, CROWDED = 5, 2
-#: Rows of a region that are compared with one another at a time, texts of a region that are confirmed at a time.
-BLOCK, TEXTS = 4096, 256
-#: A sketch of SIZE values has a standard deviation of 0.054 at the threshold; 4.6 of these below it.
+#: Rows that may share a prefix before it grows, and rows before it that every row is compared with.
+LEAF, ADJACENT = 6, 2
+#: Rows and shingles of a region's block that are compared with one another at a time.
+BLOCK, BLOCK_SHINGLES = 4096, 2_000_000
+#: Rows of a region that a task sorts at a time.
+HELD = 1 << 20
+#: A signature of SIZE values has a standard deviation of 0.054 at the threshold; 4.6 of these below it.
 LEAST_ESTIMATE = 0.5
 _RNG = np.random.Generator(np.random.PCG64(77))
 _XOR = _RNG.integers(0, 2**63, SIZE, dtype=np.uint64) * U64(2)
 _MUL = _RNG.integers(0, 2**62, SIZE, dtype=np.uint64) * U64(2) + U64(1)
 #: Tree t's first values are its own; the deeper ones are drawn from all.
-_DEEP = [_RNG.permutation([c for c in range(SIZE) if not DEPTH * t <= c < DEPTH * (t + 1)])[:9] for t in range(TREES)]
+_DEEP = [_RNG.permutation([c for c in range(SIZE) if not DEPTH * t <= c < DEPTH * (t + 1)])[:16] for t in range(TREES)]
 _FOLD = U64(0x9FB21C651E98DF25)
 
 
@@ -84,7 +89,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.
 def _signatures(width: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offsets in text_chunks(batch.column(1)):
+            for i, j, data, offsets in text_chunks(batch.column(2)):
                 sets, at = shingles(data, offsets, width)
                 n = np.diff(at)
                 full = np.flatnonzero(n)
@@ -97,7 +102,8 @@ def _signatures(width: int):
                     for c in range(SIZE):
                         values[full, c] = np.minimum.reduceat((sets ^ _XOR[c]) * _MUL[c], heads) >> U64(32)
                 flat = pa.Array.from_buffers(pa.binary(4 * SIZE), j - i, [None, pa.py_buffer(values.tobytes())])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), flat.cast(pa.binary())], names=["doc_id", "n_shingles", "f1", "f2", "sig"])
+                keys = [batch.column(k).slice(i, j - i) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(n.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), flat.cast(pa.binary())], names=["doc_id", "th", "n_shingles", "f1", "f2", "sig"])
 
     return sign
 
@@ -109,21 +115,37 @@ def _folded(values: np.ndarray, columns) -> np.ndarray:
     return h
 
 
+def _values(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), SIZE)
+
+
+def _region(values: np.ndarray, tree: int) -> np.ndarray:
+    return mix64(_folded(values, range(DEPTH * tree, DEPTH * (tree + 1))) + U64(tree))
+
+
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a tree: region, order within it, class, sketch, and the columns after the first two."""
+    """One row a tree: region, the order within it (16 values by 4 bits), class, sketch."""
+    shift = (np.arange(15, -1, -1, dtype=U64)) * U64(4)
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(n, SIZE)
-        nibble = (values & 15).astype(U64).reshape(n, 4, 16)
-        sketch = (nibble << (np.arange(16, dtype=U64) * U64(4))).sum(axis=2, dtype=U64).view(np.int64)
+        values = _values(batch.column(1))
+        nibble = (values & 15).astype(U64)
+        sketch = (nibble.reshape(n, 4, 16) << shift[::-1]).sum(axis=2, dtype=U64).view(np.int64)
         flat = [pa.array(sketch[:, k]) for k in range(4)]
         for t in range(TREES):
-            region = mix64(_folded(values, range(DEPTH * t, DEPTH * (t + 1))) + U64(t))
-            deep = (_folded(values, _DEEP[t][:3]) >> U64(32) << U64(32)) | (_folded(values, _DEEP[t][3:]) >> U64(32))
-            more = batch.schema.names[2:]
-            yield pa.RecordBatch.from_arrays([pa.array(region.view(np.int64)), pa.array(deep.view(np.int64)), batch.column(0), *flat, *(batch.column(k) for k in more)], names=["region", "deep", "c", "s0", "s1", "s2", "s3", *more])
+            deep = (nibble[:, _DEEP[t]] << shift).sum(axis=1, dtype=U64)
+            yield pa.RecordBatch.from_arrays([pa.array(_region(values, t).view(np.int64)), pa.array(deep.view(np.int64)), batch.column(0), *flat], names=["region", "deep", "c", "s0", "s1", "s2", "s3"])
+
+
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a tree: region, and all columns but the signature, which is the first."""
+    for batch in batches:
+        if batch.num_rows:
+            values = _values(batch.column(0))
+            for t in range(TREES):
+                yield pa.RecordBatch.from_arrays([pa.array(_region(values, t).view(np.int64)), *batch.columns[1:]], names=["region", *batch.schema.names[1:]])
 
 
 def _estimate(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -138,40 +160,46 @@ def _estimate(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return ((same / SIZE - 1 / 16) / (15 / 16)).astype(np.float32)
 
 
+def _leaves(region: np.ndarray, deep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows in order: the first row of each one's region, of its leaf, and of the crowded prefix above that leaf."""
+    n = len(region)
+    differs = (deep[1:] ^ deep[:-1]).view(U64)
+    # the values in common with the row before, by the leading zeros of the difference
+    common = np.full(n, -1)
+    common[1:] = 16 - sum(((differs >> U64(4 * k)) != 0).astype(np.int64) for k in range(16))
+    common[1:][region[1:] != region[:-1]] = -1
+    at, leaf = np.arange(n), np.full(n, -1)
+    first = above = np.maximum.accumulate(np.where(common < 0, at, 0))
+    for depth in range(17):
+        heads = np.flatnonzero(common < depth)
+        sizes = np.diff(np.append(heads, n))
+        head = np.repeat(heads, sizes)
+        small = np.repeat(sizes <= LEAF, sizes)
+        leaf = np.where((leaf < 0) & (small | (depth == 16)), head, leaf)
+        above = np.where(leaf < 0, head, above)
+        if small.all():
+            break
+    return first, leaf, above
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates from rows sorted by region and depth; what is open at a batch's end is carried on."""
-    held: dict[str, np.ndarray] | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        new = {"region": np.asarray(batch.column(0)), "deep": np.asarray(batch.column(1)), "c": np.asarray(batch.column(2)), "s": np.stack([np.asarray(batch.column(k)).view(U64) for k in range(3, 7)], axis=1)}
-        old = 0 if held is None else len(held["c"])
-        x = new if held is None else {k: np.concatenate([held[k], new[k]]) for k in new}
-        n = len(x["c"])
-        at = np.arange(n)
-        begin = np.ones(n, bool)
-        begin[1:] = x["region"][1:] != x["region"][:-1]
-        within = begin.copy()
-        within[1:] |= (x["deep"][1:] >> 32) != (x["deep"][:-1] >> 32)
-        first = np.maximum.accumulate(np.where(begin, at, 0))
-        deeper = np.maximum.accumulate(np.where(within, at, 0))
-        crowded = np.repeat((sizes := np.diff(np.append(np.flatnonzero(begin), n))) > NEIGHBOURS + 1, sizes)
-        own = at[old:]
-        left, right = [first[own], deeper[own]], [own, own]
-        for lag in range(1, NEIGHBOURS + 1):
-            i = own[(own - lag >= first[own]) & ((lag <= CROWDED) | ~crowded[own])]
+    """Candidates from rows sorted by region and order; a region of over ``HELD`` rows is taken in parts."""
+    for batch in _whole_groups(batches, 1, HELD):
+        region, deep, c = (np.asarray(batch.column(k)) for k in range(3))
+        s = np.stack([np.asarray(batch.column(k)).view(U64) for k in range(3, 7)], axis=1)
+        first, leaf, above = _leaves(region, deep)
+        at = np.arange(len(c))
+        left, right = [first, above], [at, at]
+        for lag in range(1, LEAF):
+            i = at[at - lag >= (first if lag <= ADJACENT else leaf)]
             left.append(i - lag)
             right.append(i)
-        p, q = np.concatenate(left), np.concatenate(right)
-        a, b = x["c"][p], x["c"][q]
-        ok = a != b
-        p, q, a, b = p[ok], q[ok], a[ok], b[ok]
-        likely = _estimate(x["s"][p], x["s"][q])
-        ok = likely >= LEAST_ESTIMATE
-        a, b = a[ok], b[ok]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(likely[ok])], names=["a", "b", "likely"])
-        tail = np.unique(np.concatenate([[first[-1], deeper[-1]], np.arange(max(first[-1], n - NEIGHBOURS), n)]))
-        held = {k: v[tail] for k, v in x.items()}
+        for p, q in zip(left, right, strict=True):
+            p, q = p[p != q], q[p != q]
+            a, b, likely = c[p], c[q], _estimate(s[p], s[q])
+            ok = likely >= LEAST_ESTIMATE
+            a, b = a[ok], b[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(likely[ok])], names=["a", "b", "likely"])
 
 
 def _confirm(percent: int, width: int):
@@ -201,8 +229,8 @@ def _confirm(percent: int, width: int):
     return confirm
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by their first ``keys`` columns, cut only where a group ends."""
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by their first ``keys`` columns, cut only where a group ends (or grows beyond ``most`` rows)."""
 
     def last(batch: pa.RecordBatch) -> int:
         new = np.zeros(batch.num_rows, bool)
@@ -219,6 +247,9 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.R
         cut = last(batch)
         if held and not cut and all(held[-1].column(k)[0] == batch.column(k)[0] for k in range(keys)):
             held.append(batch)
+            if most and sum(x.num_rows for x in held) >= most:
+                yield pa.concat_batches(held)
+                held = []
             continue
         held.append(batch.slice(0, cut))
         whole = pa.concat_batches(held)
@@ -229,128 +260,148 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.R
         yield pa.concat_batches(held)
 
 
-def _across(percent: int):
-    """Likely pairs of different labels within each group (region, p, q): rows of block p with those of q."""
+class _Block:
+    """Rows of one part (region, p, q): those of block p with those of block q, or of one block with one another."""
+
+    def __init__(self, region: int, p: int, q: int, own: np.ndarray, label: np.ndarray, size: np.ndarray, values: np.ndarray, percent: int):
+        self.same, self.own, self.p, self.label, self.size, self.values, self.percent = p == q, own, p, label.copy(), size, values, percent
+        regions = [int(_region(values[:1], t).view(np.int64)[0]) for t in range(TREES)]
+        self.tree = regions.index(region)
+        self.at = np.arange(len(own))
+        # rows of the commonest label are not compared with one another
+        names, counts = np.unique(label, return_counts=True)
+        self.common = label == names[counts.argmax()]
+
+    def asking(self) -> np.ndarray:
+        return self.at[~self.common]
 
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def likely(self, i: int) -> np.ndarray:
+        """The rows that row i may link with, across labels; each pair comes up once in the part and in one region only."""
+        ok = self.label != self.label[i]
+        if self.same:
+            ok &= self.common | (self.at > i)
+        else:
+            ok &= self.own != self.p if self.own[i] == self.p else self.common & (self.own == self.p)
+        ok &= 100 * np.minimum(self.size, self.size[i]) >= self.percent * np.maximum(self.size, self.size[i])
+        j = np.flatnonzero(ok)
+        if not len(j):
+            return j
+        equal = self.values[j] == self.values[i]
+        j, equal = j[near := equal.sum(axis=1) >= LEAST_ESTIMATE * SIZE], equal[near]
+        earlier = equal[:, : DEPTH * self.tree].reshape(len(j), self.tree, DEPTH).all(axis=2).any(axis=1)
+        return j[~earlier]
+
+    def join(self, i: int, j: int) -> None:
+        self.label[self.label == self.label[j]] = self.label[i]
+
+
+def _parts(batch: pa.RecordBatch, percent: int) -> Iterator[tuple[int, int, _Block]]:
+    region, p, q, own, label, size = (np.asarray(batch.column(k)) for k in (0, 1, 2, 3, 5, 6))
+    values = _values(batch.column(7))
+    new = np.ones(batch.num_rows, bool)
+    new[1:] = (region[1:] != region[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])
+    edge = np.append(np.flatnonzero(new), batch.num_rows)
+    for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        part = slice(lo, hi)
+        if (label[part] != label[lo]).any():
+            yield lo, hi, _Block(int(region[lo]), int(p[lo]), int(q[lo]), own[part], label[part], size[part], values[part], percent)
+
+
+def _asked(percent: int):
+    """The rows of each part that have a likely partner in it."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _whole_groups(batches, 3):
-            region, p, q, own, c, label, size = (np.asarray(batch.column(k)) for k in range(7))
-            s = np.stack([np.asarray(batch.column(k)).view(U64) for k in range(7, 11)], axis=1)
-            new = np.ones(batch.num_rows, bool)
-            new[1:] = (region[1:] != region[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])
-            edge = np.append(np.flatnonzero(new), batch.num_rows)
-            sizes = np.diff(edge)
-            end = np.repeat(edge[1:], sizes)
-            small = np.repeat((sizes <= 64) & (p[edge[:-1]] == q[edge[:-1]]), sizes)
-
-            def likely(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-                ok = (label[i] != label[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
-                i, j = i[ok], j[ok]
-                ok = _estimate(s[i], s[j]) >= LEAST_ESTIMATE
-                i, j = i[ok], j[ok]
-                return pa.RecordBatch.from_arrays([pa.array(np.minimum(c[i], c[j])), pa.array(np.maximum(c[i], c[j])), pa.array(region[i])], names=["a", "b", "region"])
-
-            at = np.flatnonzero(small)
-            for lag in range(1, int(sizes[sizes <= 64].max(initial=1))):
-                at = at[at + lag < end[at]]
-                yield likely(at, at + lag)
-            for k in np.flatnonzero(~small[edge[:-1]]):
-                rows = np.arange(edge[k], edge[k + 1])
-                one, same = p[rows[0]], p[rows[0]] == q[rows[0]]
-                left, right = rows[own[rows] == one], rows if same else rows[own[rows] != one]
-                if not len(right):
-                    continue
-                # rows of the commonest label are not compared with one another
-                names, counts = np.unique(label[rows], return_counts=True)
-                common = label == names[counts.argmax()]
-                rare_left, rare_right = left[~common[left]], right[~common[right]]
-                for x, y in ((rare_left, right), (left[:0] if same else left[common[left]], rare_right)):
-                    step = max(1, (1 << 18) // max(1, len(y)))
-                    for z in range(0, len(x), step):
-                        i, j = np.repeat(x[z : z + step], len(y)), np.tile(y, len(x[z : z + step]))
-                        if same:  # each pair once
-                            once = (i < j) | common[j]
-                            i, j = i[once], j[once]
-                        yield likely(i, j)
-
-    return across
-
-
-def _confirm_parts(percent: int, width: int):
-    """Groups (region, p, q) of (id, text, partners) to the linked pairs, each text's set made once a group."""
+            wanted = np.zeros(batch.num_rows, bool)
+            for lo, hi, block in _parts(batch, percent):
+                own = wanted[lo:hi]
+                for i in block.asking().tolist():
+                    if len(j := block.likely(i)):
+                        own[i] = own[j] = True
+            yield batch.filter(pa.array(wanted))
 
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return ask
+
+
+def _linked(percent: int, width: int):
+    """The links of each part that join different labels, on whole sets; each text's set is made once a part."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _whole_groups(batches, 3):
-            keys = np.stack([np.asarray(batch.column(k)) for k in range(3)], axis=1)
-            n, doc, partners = batch.num_rows, np.asarray(batch.column(3)), batch.column(5)
-            hashes, sizes = [], []
-            for _, _, data, offsets in text_chunks(batch.column(4)):
-                h, at = shingles(data, offsets, width)
-                hashes.append(h)
-                sizes.append(np.diff(at))
-            size = np.concatenate(sizes)
-            at = np.append(0, np.cumsum(size))
-            values, flat = np.unique(np.concatenate(hashes), return_inverse=True)
-            has = np.zeros(len(values), bool)
-            edge = np.append(np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1))), n)
-            a, b = [], []
-            for lo, hi in zip(edge[:-1], edge[1:]):
-                order = np.argsort(doc[lo:hi])
-                for i in range(lo, hi):
-                    other = partners[i].values
-                    if other is None or not len(other):
+            c, a, b = np.asarray(batch.column(4)), [], []
+            for lo, hi, block in _parts(batch, percent):
+                made = [shingles(data, offsets, width) for _, _, data, offsets in text_chunks(batch.column(8).slice(lo, hi - lo))]
+                size = np.concatenate([np.diff(x[1]) for x in made])
+                at = np.append(0, np.cumsum(size))
+                names, flat = np.unique(np.concatenate([x[0] for x in made]), return_inverse=True)
+                has = np.zeros(len(names), bool)
+                for i in block.asking().tolist():
+                    j = block.likely(i)
+                    if not len(j):
                         continue
-                    j = lo + order[np.searchsorted(doc[lo:hi], np.asarray(other), sorter=order)]
-                    has[flat[at[i] : at[i + 1]]] = True
-                    total = np.append(0, np.cumsum(has[flat[at[lo] : at[hi]]]))
-                    has[flat[at[i] : at[i + 1]]] = False
-                    shared = total[at[j + 1] - at[lo]] - total[at[j] - at[lo]]
-                    j = j[(100 * shared >= percent * (size[i] + size[j] - shared)) & (shared > 0)]
-                    a.append(np.full(len(j), doc[i]))
-                    b.append(doc[j])
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                    mine = flat[at[i] : at[i + 1]]
+                    has[mine] = True
+                    begin = np.cumsum(size[j]) - size[j]
+                    place = np.repeat(at[j] - begin, size[j]) + np.arange(size[j].sum())
+                    shared = np.add.reduceat(has[flat[place]].astype(np.int64), begin)
+                    has[mine] = False
+                    for k in j[(shared > 0) & (100 * shared >= percent * (size[i] + size[j] - shared))].tolist():
+                        if block.label[k] != block.label[i]:
+                            a.append(c[lo + i])
+                            b.append(c[lo + k])
+                            block.join(i, k)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return confirm
+    return link
 
 
-def _rest_of_regions(classes: DataFrame, labels: DataFrame, tested: DataFrame, plain: DataFrame, percent: int, width: int, work: str) -> DataFrame:
-    """The links (a, b) between components that share a region of a tree and that no tested pair has shown."""
-    known = classes.join(labels.withColumnRenamed("node", "c"), "c", "left").select("c", "sig", F.coalesce("label", "c").alias("label"), F.col("n_shingles").alias("size"))
+PART = "region long, p long, q long, own long, c long, label long, size long, sig binary"
+
+
+def _rest_of_regions(classes: DataFrame, labels: DataFrame, plain: DataFrame, percent: int, width: int, work: str) -> DataFrame:
+    """The links (a, b) that join components which share a region of a tree."""
+    known = classes.join(labels.withColumnRenamed("node", "c"), "c", "left").select("sig", "c", F.coalesce("label", "c").alias("label"), F.col("n_shingles").alias("size"))
     known = materialise(known, f"{work}/known")
-    rows = known.select("c", "sig", "label", "size").mapInArrow(_trees, "region long, deep long, c long, s0 long, s1 long, s2 long, s3 long, label long, size long")
-    mixed = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("region", "n")
-    mixed = materialise(mixed, f"{work}/mixed")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
-    rows = rows.join(mixed.hint("merge"), "region").withColumn("own", F.pmod(F.xxhash64("c"), blocks))
-    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), blocks - 1))).select("region", F.least("own", "k").alias("p"), F.greatest("own", "k").alias("q"), "own", "c", "label", "size", "s0", "s1", "s2", "s3")
-    rows = rows.repartition("region", "p", "q").sortWithinPartitions("region", "p", "q")
-    found = rows.mapInArrow(_across(percent), "a long, b long, region long").groupBy("a", "b").agg(F.min("region").alias("region"))
-    found = materialise(found.join(tested.select("a", "b"), ["a", "b"], "left_anti"), f"{work}/found")
-    parts = F.ceil(F.col("n") / TEXTS).cast("long")
-    asked = found.join(mixed.hint("merge"), "region").select("region", F.pmod(F.xxhash64("a"), parts).alias("p"), F.pmod(F.xxhash64("b"), parts).alias("q"), "a", "b")
-    asked = asked.select("region", "p", "q", F.inline(F.array(F.struct(F.col("a").alias("doc_id"), F.col("b").alias("with")), F.struct(F.col("b").alias("doc_id"), F.lit(None).cast("long").alias("with")))))
-    asked = asked.groupBy("region", "p", "q", "doc_id").agg(F.collect_list("with").alias("partners"))
-    texts = plain.join(found.select(F.col("a").alias("doc_id")).union(found.select("b")).distinct().hint("merge"), "doc_id").dropDuplicates(["doc_id"])
-    groups = asked.join(texts.hint("merge"), "doc_id").select("region", "p", "q", "doc_id", "text", "partners").repartition("region", "p", "q").sortWithinPartitions("region", "p", "q")
-    return materialise(groups.mapInArrow(_confirm_parts(percent, width), "a long, b long"), f"{work}/links")
+    rows = known.mapInArrow(_regions, "region long, c long, label long, size long")
+    mixed = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("long")
+    mixed = materialise(mixed.select("region", blocks.alias("blocks")), f"{work}/mixed")
+    inside = known.select("sig", "c").mapInArrow(_regions, "region long, c long").join(mixed.hint("merge"), "region")
+    inside = inside.withColumn("own", F.pmod(F.xxhash64("c"), "blocks")).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    inside = inside.select("region", F.least("own", "k").alias("p"), F.greatest("own", "k").alias("q"), "own", "c").join(known.hint("merge"), "c")
+    dealt = lambda df: df.repartition("region", "p", "q").sortWithinPartitions("region", "p", "q")
+    names = [c.split()[0] for c in PART.split(", ")]
+    asked = materialise(dealt(inside.select(names)).mapInArrow(_asked(percent), PART), f"{work}/asked")
+    texts = _texts(classes, plain, asked.select("c").distinct())
+    return materialise(dealt(asked.join(texts.hint("merge"), "c").select(*names, "text")).mapInArrow(_linked(percent, width), "a long, b long"), f"{work}/links")
+
+
+def _texts(classes: DataFrame, plain: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(c, text) of the classes ``wanted`` (c): one text of each. They grow with the corpus, so they are never broadcast."""
+    keys = classes.select("c", "doc_id", "th").join(wanted.hint("merge"), "c")
+    return plain.join(keys.hint("merge"), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select("c", "text")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, width: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``; see the module's text."""
+    """(doc_id, n_shingles, component_id, kept, text_hash, stays) for every row of ``docs``; see the module's text.
+
+    ``kept`` is doc_id = component_id. ``stays`` is true on one row of each component, or on its repeated rows:
+    that of the lowest id and, of several texts with that id, the lowest ``text_hash`` (xxhash64 of id and text).
+    """
     spark, work = docs.sparkSession, work_dir(docs.sparkSession)
-    plain = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    signed = materialise(plain.mapInArrow(_signatures(width), "doc_id long, n_shingles long, f1 long, f2 long, sig binary"), f"{work}/signed")
-    classes = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("c"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
-    classes = materialise(classes, f"{work}/classes")
+    _, th = row_key(docs[id_col], docs[text_col])
+    plain = docs.select(docs[id_col].cast("long").alias("doc_id"), th.alias("th"), docs[text_col].alias("text"))
+    signed = materialise(plain.mapInArrow(_signatures(width), "doc_id long, th long, n_shingles long, f1 long, f2 long, sig binary"), f"{work}/signed")
+    plain = plain.filter("doc_id is not null")
+    # one number a class; it holds once the table is written
+    classes = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "th")).alias("one"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
+    classes = materialise(classes.select("f1", "f2", F.monotonically_increasing_id().alias("c"), "one.doc_id", "one.th", "sig", "n_shingles"), f"{work}/classes")
     forest = classes.select("c", "sig").mapInArrow(_trees, "region long, deep long, c long, s0 long, s1 long, s2 long, s3 long")
     ordered = forest.repartitionByRange("region", "deep", "c").sortWithinPartitions("region", "deep", "c")
     found = ordered.mapInArrow(_neighbours, "a long, b long, likely float").groupBy("a", "b").agg(F.max("likely").alias("likely"))
     pairs = materialise(found, f"{work}/pairs")
     nodes = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
-    # the nodes grow with the corpus, so they are never broadcast
-    texts = plain.filter("doc_id is not null").join(nodes.withColumnRenamed("c", "doc_id").hint("merge"), "doc_id").dropDuplicates(["doc_id"])
-    texts = materialise(texts, f"{work}/texts")
+    texts = materialise(_texts(classes, plain, nodes), f"{work}/texts")
     both = pairs.union(pairs.select("b", "a", "likely"))
     best = both.groupBy("a").agg(F.max(F.struct("likely", "b")).alias("x"), F.min(F.when(F.col("likely") >= percent / 100, F.col("b"))).alias("y"))
     best = best.select("a", F.explode(F.array("x.b", "y")).alias("b")).filter("b is not null")
@@ -358,7 +409,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels, links, tested, k = None, None, None, 0
     while True:
         k += 1
-        ta, tb = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+        ta, tb = texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), texts.select(F.col("c").alias("b"), F.col("text").alias("tb"))
         answer = ask.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_confirm(percent, width), "a long, b long, linked boolean")
         answer = materialise(answer, f"{work}/tested{k}")
         tested = answer if tested is None else tested.union(answer)
@@ -377,11 +428,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         else:
             ask = rest.select("a", "b")
     drop_path(spark, f"{work}/texts")
-    more = _rest_of_regions(classes, labels, tested, plain.filter("doc_id is not null"), percent, width, f"{work}/regions")
+    more = _rest_of_regions(classes, labels, plain, percent, width, f"{work}/regions")
     if not more.isEmpty():
         labels = connected_components(links.union(more), f"{work}/components{k + 1}")
-    known = classes.select("f1", "f2", "c").join(labels.withColumnRenamed("node", "c"), "c", "left").select("f1", "f2", F.coalesce("label", "c").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "f1", "f2").join(known, ["f1", "f2"], "left")
+    # the row that stands for each class's component
+    one = classes.select("c", F.struct("doc_id", "th").alias("one"))
+    members = labels.union(labels.select(F.col("label").alias("node"), "label").distinct())
+    first = members.join(one.withColumnRenamed("c", "node"), "node").groupBy("label").agg(F.min("one").alias("one"))
+    first = members.join(first, "label").select(F.col("node").alias("c"), F.col("one").alias("first"))
+    known = classes.select("f1", "f2", "c", F.struct("doc_id", "th").alias("one")).join(first, "c", "left").select("f1", "f2", F.coalesce("first", "one").alias("first"))
     # an empty set's hash is no class's, and a document without an id stands alone
-    own = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
+    out = signed.select("doc_id", "th", "n_shingles", "f1", "f2").join(known, ["f1", "f2"], "left")
+    out = out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), F.col("th").alias("text_hash"), (alone | F.struct("doc_id", "th").eqNullSafe(F.col("first"))).alias("stays"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash", "stays")
