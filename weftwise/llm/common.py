@@ -36,18 +36,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A fresh folder below the one that the cluster shares (``spark.checkpoint.dir``).
+    """A fresh folder below the one that the cluster shares (``spark.checkpoint.dir``); it goes when the session's JVM ends.
 
-    Only where that setting is unset (tests, local mode) a temporary local folder is taken.
+    Only where that setting is unset and all runs in one process (tests, local mode) a temporary local folder is taken.
     """
     let_workers_import(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         base = "file://" + tempfile.mkdtemp(prefix="weftwise-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/weftwise-{uuid.uuid4().hex}"
+    work = f"{base.rstrip('/')}/weftwise-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(work)
+    files = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(p)
+    files.deleteOnExit(p)
+    return work
 
 
 def materialise(df: DataFrame, path: str) -> DataFrame:
@@ -97,6 +104,37 @@ def text_chunks(column: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[tupl
         i = j
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by their first ``keys`` columns, cut only where a group ends (or grows beyond ``most`` rows)."""
+
+    def last(batch: pa.RecordBatch) -> int:
+        new = np.zeros(batch.num_rows, bool)
+        new[0] = True
+        for k in range(keys):
+            x = np.asarray(batch.column(k))
+            new[1:] |= x[1:] != x[:-1]
+        return int(np.flatnonzero(new)[-1])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cut = last(batch)
+        if held and not cut and all(held[-1].column(k)[0] == batch.column(k)[0] for k in range(keys)):
+            held.append(batch)
+            if most and sum(x.num_rows for x in held) >= most:
+                yield pa.concat_batches(held)
+                held = []
+            continue
+        held.append(batch.slice(0, cut))
+        whole = pa.concat_batches(held)
+        if whole.num_rows:
+            yield whole
+        held = [batch.slice(cut)]
+    if held:
+        yield pa.concat_batches(held)
+
+
 # ---------------------------------------------------------------- hashing
 
 _BASE = 0x9E3779B97F4A7C15

@@ -11,7 +11,8 @@ result is each document's component in the graph of links.
    prefixes and are candidates. Depth adapts: where more than ``LEAF`` rows share a prefix it grows by a value
    at a time until fewer do, and the rows of such a leaf are candidates of one another, and each of the first
    row of its region and of the crowded prefix above its leaf. Work and candidates are linear in the rows.
-3. A packed sketch of the values travels with each row and drops candidates far below the threshold.
+3. A packed sketch of the values travels with each row; it drops candidates far below the threshold, and in
+   each tree names a row's likeliest. The others are left to step 5.
 4. Confirmation: the texts of classes with candidates are set aside once; the likeliest candidates of each
    class are confirmed first, then only those that would join different components, until none is left.
 5. The rest: regions whose rows are still in different components are compared in full, in blocks of
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftwise.llm.common import LOWER, U64, RollingHash, drop_path, materialise, mix64, row_key, text_chunks, words_of, work_dir
+from weftwise.llm.common import LOWER, U64, RollingHash, drop_path, materialise, mix64, row_key, text_chunks, whole_groups, words_of, work_dir
 from weftwise.llm.components import connected_components
 
 SIZE = 64
@@ -43,6 +44,8 @@ TREES, DEPTH = 20, 3
 LEAF, ADJACENT = 6, 2
 #: Rows and shingles of a region's block that are compared with one another at a time.
 BLOCK, BLOCK_SHINGLES = 4096, 2_000_000
+#: Parts of so many rows are compared many at a time.
+SMALL = 32
 #: Rows of a region that a task sorts at a time.
 HELD = 1 << 20
 #: A signature of SIZE values has a standard deviation of 0.054 at the threshold; 4.6 of these below it.
@@ -183,23 +186,21 @@ def _leaves(region: np.ndarray, deep: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates from rows sorted by region and order; a region of over ``HELD`` rows is taken in parts."""
-    for batch in _whole_groups(batches, 1, HELD):
+    """Each row's likeliest candidate, from rows sorted by region and order; a region of over ``HELD`` rows is taken in parts."""
+    for batch in whole_groups(batches, 1, HELD):
         region, deep, c = (np.asarray(batch.column(k)) for k in range(3))
         s = np.stack([np.asarray(batch.column(k)).view(U64) for k in range(3, 7)], axis=1)
         first, leaf, above = _leaves(region, deep)
         at = np.arange(len(c))
-        left, right = [first, above], [at, at]
-        for lag in range(1, LEAF):
-            i = at[at - lag >= (first if lag <= ADJACENT else leaf)]
-            left.append(i - lag)
-            right.append(i)
-        for p, q in zip(left, right, strict=True):
-            p, q = p[p != q], q[p != q]
-            a, b, likely = c[p], c[q], _estimate(s[p], s[q])
-            ok = likely >= LEAST_ESTIMATE
-            a, b = a[ok], b[ok]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(likely[ok])], names=["a", "b", "likely"])
+        best, other = np.zeros(len(c), np.float32), at.copy()
+        for before in (first, above, *(np.where(at - lag >= (first if lag <= ADJACENT else leaf), at - lag, at) for lag in range(1, LEAF))):
+            i = np.flatnonzero(before != at)
+            likely = _estimate(s[before[i]], s[i])
+            better = likely > best[i]
+            best[i[better]], other[i[better]] = likely[better], before[i[better]]
+        i = np.flatnonzero(best >= LEAST_ESTIMATE)
+        a, b = c[other[i]], c[i]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(best[i])], names=["a", "b", "likely"])
 
 
 def _confirm(percent: int, width: int):
@@ -229,37 +230,6 @@ def _confirm(percent: int, width: int):
     return confirm
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int, most: int | None = None) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by their first ``keys`` columns, cut only where a group ends (or grows beyond ``most`` rows)."""
-
-    def last(batch: pa.RecordBatch) -> int:
-        new = np.zeros(batch.num_rows, bool)
-        new[0] = True
-        for k in range(keys):
-            x = np.asarray(batch.column(k))
-            new[1:] |= x[1:] != x[:-1]
-        return int(np.flatnonzero(new)[-1])
-
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cut = last(batch)
-        if held and not cut and all(held[-1].column(k)[0] == batch.column(k)[0] for k in range(keys)):
-            held.append(batch)
-            if most and sum(x.num_rows for x in held) >= most:
-                yield pa.concat_batches(held)
-                held = []
-            continue
-        held.append(batch.slice(0, cut))
-        whole = pa.concat_batches(held)
-        if whole.num_rows:
-            yield whole
-        held = [batch.slice(cut)]
-    if held:
-        yield pa.concat_batches(held)
-
-
 class _Block:
     """Rows of one part (region, p, q): those of block p with those of block q, or of one block with one another."""
 
@@ -295,25 +265,60 @@ class _Block:
         self.label[self.label == self.label[j]] = self.label[i]
 
 
-def _parts(batch: pa.RecordBatch, percent: int) -> Iterator[tuple[int, int, _Block]]:
-    region, p, q, own, label, size = (np.asarray(batch.column(k)) for k in (0, 1, 2, 3, 5, 6))
-    values = _values(batch.column(7))
+def _edges(batch: pa.RecordBatch) -> np.ndarray:
+    """Where the parts of sorted rows begin, and the end."""
     new = np.ones(batch.num_rows, bool)
-    new[1:] = (region[1:] != region[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])
-    edge = np.append(np.flatnonzero(new), batch.num_rows)
+    new[1:] = False
+    for k in range(3):
+        x = np.asarray(batch.column(k))
+        new[1:] |= x[1:] != x[:-1]
+    return np.append(np.flatnonzero(new), batch.num_rows)
+
+
+def _parts(batch: pa.RecordBatch, percent: int, beyond: int = 0) -> Iterator[tuple[int, int, _Block]]:
+    """The parts with several labels; of those of one block only such of over ``beyond`` rows."""
+    region, p, q, own, label, size = (np.asarray(batch.column(k)) for k in (0, 1, 2, 3, 5, 6))
+    values, edge = _values(batch.column(7)), _edges(batch)
     for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
         part = slice(lo, hi)
-        if (label[part] != label[lo]).any():
+        if (hi - lo > beyond or p[lo] != q[lo]) and (label[part] != label[lo]).any():
             yield lo, hi, _Block(int(region[lo]), int(p[lo]), int(q[lo]), own[part], label[part], size[part], values[part], percent)
 
 
+def _small_pairs(batch: pa.RecordBatch, percent: int, edge: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``_Block.likely`` for all parts of one block with at most ``SMALL`` rows at once, as pairs of rows."""
+    region, label, size = (np.asarray(batch.column(k)) for k in (0, 5, 6))
+    values, counts = _values(batch.column(7)), np.diff(edge)
+    small = (counts <= SMALL) & (np.asarray(batch.column(1))[edge[:-1]] == np.asarray(batch.column(2))[edge[:-1]])
+    heads = edge[:-1][small]
+    tree = np.zeros(len(values), np.int64)
+    for t in range(TREES):
+        tree[heads[_region(values[heads], t).view(np.int64) == region[heads]]] = t
+    at = np.flatnonzero(np.repeat(small, counts))
+    end, tree = np.repeat(edge[1:], counts), np.repeat(tree[edge[:-1]], counts)
+    own = np.arange(TREES)
+    for lag in range(1, int(counts[small].max(initial=1))):
+        at = at[at + lag < end[at]]
+        for k in range(0, len(at), 1 << 16):
+            i = at[k : k + (1 << 16)]
+            j = i + lag
+            ok = (label[i] != label[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
+            i, j = i[ok], j[ok]
+            equal = values[i] == values[j]
+            shared = equal[:, : DEPTH * TREES].reshape(len(i), TREES, DEPTH).all(axis=2)
+            ok = (equal.sum(axis=1) >= LEAST_ESTIMATE * SIZE) & ~(shared & (own < tree[i][:, None])).any(axis=1)
+            yield i[ok], j[ok]
+
+
 def _asked(percent: int):
     """The rows of each part that have a likely partner in it."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _whole_groups(batches, 3):
+        for batch in whole_groups(batches, 3):
             wanted = np.zeros(batch.num_rows, bool)
-            for lo, hi, block in _parts(batch, percent):
+            for i, j in _small_pairs(batch, percent, _edges(batch)):
+                wanted[i] = wanted[j] = True
+            for lo, hi, block in _parts(batch, percent, SMALL):
                 own = wanted[lo:hi]
                 for i in block.asking().tolist():
                     if len(j := block.likely(i)):
@@ -327,7 +332,7 @@ def _linked(percent: int, width: int):
     """The links of each part that join different labels, on whole sets; each text's set is made once a part."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _whole_groups(batches, 3):
+        for batch in whole_groups(batches, 3):
             c, a, b = np.asarray(batch.column(4)), [], []
             for lo, hi, block in _parts(batch, percent):
                 made = [shingles(data, offsets, width) for _, _, data, offsets in text_chunks(batch.column(8).slice(lo, hi - lo))]
@@ -431,6 +436,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = _rest_of_regions(classes, labels, plain, percent, width, f"{work}/regions")
     if not more.isEmpty():
         labels = connected_components(links.union(more), f"{work}/components{k + 1}")
+    for name in ("pairs", "regions", *(f"{x}{i}" for x in ("tested", "rest") for i in range(1, k + 1))):
+        drop_path(spark, f"{work}/{name}")
     # the row that stands for each class's component
     one = classes.select("c", F.struct("doc_id", "th").alias("one"))
     members = labels.union(labels.select(F.col("label").alias("node"), "label").distinct())
