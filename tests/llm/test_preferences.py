@@ -1,6 +1,7 @@
 """Preference formatting against plain Python."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from weftwise.llm.preferences import conversations_of, format_preferences, masks, pair_neighbours
 
@@ -48,15 +49,23 @@ def test_against_plain_python(spark):
         rows += [(c, n, ["user", "assistant"][n % 2], f"text {rng.integers(3)} <|end|> é", "x") for n in range(len(last), len(last) + int(rng.integers(1, 5)))]
     rows += [(100, 0, "user", None, "x"), (100, 1, None, "q", "x"), (101, 0, "user", "", "x"), (101, 1, "user", "q", "x"), (None, 0, "user", "lost", "x"), (102, None, "system", "s", "x"), (102, 0, "assistant", "a", "x"), (104, 0, "user", "same", "x"), (104, 0, "user", "same", "x")]
     df = spark.createDataFrame(rows, TURNS).repartition(4)
-    got = format_preferences(pair_neighbours(conversations_of(df))).select("pair_id", "prefix_turns", "prompt", "chosen", "rejected", masks_of("chosen_segments"), masks_of("rejected_segments"), "usable").collect()
+    got = format_preferences(pair_neighbours(df)).select("pair_id", "prefix_turns", "prompt", "chosen", "rejected", masks_of("chosen_segments"), masks_of("rejected_segments"), "usable").collect()
     assert sorted(map(tuple, got)) == brute(rows)
 
 
 def masks_of(name):
-    from pyspark.sql import functions as F
-
     return masks(F.col(name))
 
 
 def test_empty(spark):
-    assert format_preferences(pair_neighbours(conversations_of(spark.createDataFrame([], TURNS)))).count() == 0
+    assert format_preferences(pair_neighbours(spark.createDataFrame([], TURNS))).count() == 0
+
+
+def test_any_two_conversations_and_a_long_one(spark):
+    """Conversations by themselves can be paired in any way; one has very many turns and one very long text."""
+    rows = [(c, n, ["user", "assistant"][n % 2], f"{n}" if n < 4000 or c == 1 else "other", "x") for c in (1, 7) for n in range(5000)] + [(1, 5000, "user", "x" * 3_000_000, "x")]
+    convs = conversations_of(spark.createDataFrame(rows, TURNS).repartition(3))
+    one, two = (convs.filter(F.col("conv_id") == c).select(F.lit(0).alias("pair_id"), F.col("turns").alias(name)) for c, name in ((1, "chosen"), (7, "rejected")))
+    got = format_preferences(one.join(two, "pair_id")).select("prefix_turns", F.length("prompt"), F.length("chosen"), "usable").first()
+    texts = [render([(r, t)]) for c, _, r, t, _ in rows if c == 1]
+    assert tuple(got) == (4000, len("".join(texts[:4000])), len("".join(texts[4000:])), True)

@@ -19,11 +19,18 @@ from pyspark.sql import functions as F
 OPEN, CLOSE = "<|", "|>"
 
 
+def _turn(*first: Column) -> Column:
+    return F.struct(*first, F.col("turn").alias("n"), F.coalesce(F.col("role"), F.lit("user")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def _in_order(turns: Column) -> Column:
+    return F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+
+
 def conversations_of(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """(conv_id, turns): one row a conversation, its turns in order as (role, text)."""
-    turn = F.struct(F.col("turn").alias("n"), F.coalesce(F.col("role"), F.lit("user")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    gathered = turns.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("all"))
-    return gathered.select("conv_id", F.transform("all", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    gathered = turns.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(_turn())).alias("all"))
+    return gathered.select("conv_id", _in_order(F.col("all")).alias("turns"))
 
 
 def _segments(turns: Column) -> Column:
@@ -62,12 +69,13 @@ def format_preferences(pairs: DataFrame) -> DataFrame:
     )
 
 
-def pair_neighbours(conversations: DataFrame) -> DataFrame:
-    """Pairs of ids 2k (chosen) and 2k + 1 (rejected), joined by the pair's number."""
-    pair = F.expr("shiftright(conv_id, 1)")
-    even = conversations.filter("conv_id & 1 = 0").select(pair.alias("pair_id"), F.col("turns").alias("chosen"))
-    odd = conversations.filter("conv_id & 1 = 1").select(pair.alias("pair_id"), F.col("turns").alias("rejected"))
-    return even.join(odd, "pair_id", "left").unionByName(odd.join(even, "pair_id", "left_anti").select("pair_id", F.col("rejected").alias("chosen"), F.lit(None).cast(odd.schema["rejected"].dataType).alias("rejected")))
+def pair_neighbours(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
+    """Pairs of conversations 2k (chosen) and 2k + 1 (rejected), gathered in one step by the pair's number."""
+    named = turns.filter(F.col(id_col).isNotNull()).withColumn("__id", F.col(id_col).cast("long"))
+    both = named.groupBy(F.expr("shiftright(__id, 1)").alias("pair_id")).agg(F.sort_array(F.collect_list(_turn(F.expr("__id & 1").cast("int").alias("side")))).alias("all"))
+    side = lambda k: _in_order(F.filter("all", lambda t: t["side"] == k))
+    alone = F.col("all")[0]["side"] == 1
+    return both.select("pair_id", F.when(alone, side(1)).otherwise(side(0)).alias("chosen"), F.when(~alone & F.exists("all", lambda t: t["side"] == 1), side(1)).alias("rejected"))
 
 
 def masks(segments: Column) -> Column:

@@ -13,9 +13,10 @@ from weftwise.llm.fingerprints import edit_probe
 from weftwise.llm.importance import good_ids, resample
 from weftwise.llm.license_scan import scan_licenses
 from weftwise.llm.near_dup import near_duplicates
+from weftwise.llm.oracle import ORACLE  # noqa: F401
 from weftwise.llm.packing import pack_documents
 from weftwise.llm.pii import replace_entities
-from weftwise.llm.preferences import conversations_of, format_preferences, masks, pair_neighbours
+from weftwise.llm.preferences import format_preferences, masks, pair_neighbours
 from weftwise.llm.quality import judge
 from weftwise.llm.repeats import remove_repeats
 
@@ -60,8 +61,7 @@ def op7_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = pair_neighbours(conversations_of(read_table(spark, sf_dir, "conversations")))
-    made = format_preferences(pairs)
+    made = format_preferences(pair_neighbours(read_table(spark, sf_dir, "conversations")))
     return made.select(
         "pair_id", "prefix_turns", "prompt", "chosen", "rejected", masks(F.col("chosen_segments")).alias("chosen_mask"), masks(F.col("rejected_segments")).alias("rejected_mask"), "usable"
     )
@@ -96,4 +96,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii_surrogates": op10_pii_surrogates,
 }
 
-ORACLE: dict[str, str] = {}
