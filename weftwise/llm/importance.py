@@ -59,8 +59,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """The log ratio of each bucket; ``target_ids`` has one column of ids, ``TARGET_ROWS`` rows at most."""
-    wanted = F.broadcast(target_ids.toDF("__id").distinct().withColumn("__target", F.lit(True)))
+    """The log ratio of each bucket; of ``target_ids`` (one column), the ``TARGET_ROWS`` of lowest hash count."""
+    wanted = lowest_hashes(target_ids.toDF("__id").filter("__id is not null").distinct(), "__id", TARGET_ROWS)
+    wanted = F.broadcast(wanted.withColumn("__target", F.lit(True)))
     rows = docs.select(docs[id_col].alias("__id"), docs[text_col].alias("text")).join(wanted, "__id", "left").select("text", F.coalesce("__target", F.lit(False)).alias("target"))
     counted = rows.mapInArrow(_count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     got = counted.toPandas()  # BUCKETS rows at most
@@ -77,7 +78,7 @@ def fit(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col
 
 
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_ngrams, log_ratio, gumbel_key) of every row."""
+    """(doc_id, n_ngrams, log_ratio, gumbel_key, th, sortable) of every row; ``sortable`` is the key as a long of the same order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,36 +88,40 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
                 ratio = np.bincount(owner, weights=weights[bucket], minlength=j - i)
                 seed = mix64(np.asarray(batch.column(2))[i:j].view(U64) ^ U64(0x5851F42D4C957F2D))
                 uniform = ((seed >> U64(11)).astype(np.float64) + 0.5) / 2**53
+                key = ratio - np.log(-np.log(uniform)) + 0.0
+                # a double's bits in the order of doubles, so that no two keys fall together
+                bits = key.view(np.int64)
+                sortable = np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(ratio), pa.array(ratio - np.log(-np.log(uniform))), batch.column(2).slice(i, j - i)],
-                    names=["doc_id", "n_ngrams", "log_ratio", "gumbel_key", "th"],
+                    [batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(ratio), pa.array(key), batch.column(2).slice(i, j - i), pa.array(sortable)],
+                    names=["doc_id", "n_ngrams", "log_ratio", "gumbel_key", "th", "sortable"],
                 )
 
     _, th = row_key(docs[id_col], docs[text_col])
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), th.alias("th")).mapInArrow(run, "doc_id long, n_ngrams long, log_ratio double, gumbel_key double, th long")
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), th.alias("th")).mapInArrow(run, "doc_id long, n_ngrams long, log_ratio double, gumbel_key double, th long, sortable long")
 
 
 def _cut(scored: DataFrame, k: int) -> tuple[int, int]:
     """The sortable key of the k-th highest row, and how many rows of that very key are within the k."""
     prefix, left = 0, k
+    unsigned = scored.select(F.col("sortable").bitwiseXOR(F.lit(-(2**63)).cast("long")).alias("u"))
     for shift in (48, 32, 16, 0):
-        some = scored if shift == 48 else scored.filter(F.expr(f"shiftrightunsigned(sortable, {shift + 16}) = {prefix}"))
-        digits = some.groupBy(F.expr(f"cast(shiftrightunsigned(sortable, {shift}) & 65535 as int)").alias("digit")).count().collect()
+        some = unsigned if shift == 48 else unsigned.filter(F.expr(f"shiftrightunsigned(u, {shift + 16}) = {prefix}"))
+        digits = some.groupBy(F.expr(f"cast(shiftrightunsigned(u, {shift}) & 65535 as int)").alias("digit")).count().collect()
         for digit, n in sorted(((r["digit"], r["count"]) for r in digits), reverse=True):
             if n >= left:
                 prefix = prefix << 16 | digit
                 break
             left -= n
-    return prefix, left
+    return prefix - 2**63, left
 
 
 def resample(docs: DataFrame, target_ids: DataFrame, share: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_ngrams, log_ratio, gumbel_key, kept) of every row; ``share`` of the rows with n-grams is kept."""
     weights = fit(docs, target_ids, id_col, text_col)
     scored = score(docs, weights, id_col, text_col)
-    fixed = F.expr("cast(least(greatest(round((gumbel_key + 1.0e6) * 4.0e12), 0.0), 9.0e18) as long)")
-    scored = materialise(scored.withColumn("sortable", F.when(F.col("n_ngrams") > 0, fixed)), f"{work_dir(docs.sparkSession)}/scored")
-    some = scored.filter("sortable is not null")
+    scored = materialise(scored, f"{work_dir(docs.sparkSession)}/scored")
+    some = scored.filter("n_ngrams > 0")
     k = round(share * some.count())
     if k == 0:
         return scored.select("doc_id", "n_ngrams", "log_ratio", "gumbel_key", F.lit(False).alias("kept"))
@@ -124,11 +129,16 @@ def resample(docs: DataFrame, target_ids: DataFrame, share: float, id_col: str =
     at_cut = some.filter(F.col("sortable") == cut).select("doc_id", "th").orderBy("doc_id", "th").limit(ties)
     last = at_cut.groupBy().agg(F.max(F.struct(F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("d"), "th")).alias("m")).first()["m"]
     key = F.struct(F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("d"), F.col("th").alias("th"))
-    kept = (F.col("sortable") > cut) | ((F.col("sortable") == cut) & (key <= F.struct(F.lit(last["d"]).alias("d"), F.lit(last["th"]).alias("th"))))
+    kept = (F.col("n_ngrams") > 0) & ((F.col("sortable") > cut) | ((F.col("sortable") == cut) & (key <= F.struct(F.lit(last["d"]).alias("d"), F.lit(last["th"]).alias("th")))))
     return scored.select("doc_id", "n_ngrams", "log_ratio", "gumbel_key", F.coalesce(kept, F.lit(False)).alias("kept"))
 
 
 def good_ids(labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
     """Ids of labelled rows of quality 1 and not toxic: those of lowest hash, so ``rows`` at most."""
     good = labels.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return lowest_hashes(good, "doc_id", rows)
+
+
+def lowest_hashes(ids: DataFrame, column: str, rows: int) -> DataFrame:
+    """A bounded sample of distinct ids that doesn't depend on their order."""
+    return ids.orderBy(F.xxhash64(F.col(column).cast("long")), column).limit(rows)
