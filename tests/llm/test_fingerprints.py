@@ -3,8 +3,11 @@
 import hashlib
 
 import numpy as np
+import pytest
 
-from weftwise.llm.fingerprints import BAND, BINS, edit_probe, fingerprint_documents, fingerprint_texts, likeness, near_pairs
+from weftwise.llm import fingerprints
+from weftwise.llm.common import mix64
+from weftwise.llm.fingerprints import BINS, edit_probe, fingerprint_documents, fingerprint_texts, likeness, near_groups
 
 
 def prose(rng, n):
@@ -59,23 +62,64 @@ def test_single_and_empty(spark):
     assert edit_probe(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_banding_finds_near_copies(spark):
+@pytest.mark.parametrize("block", [4096, 7])
+def test_banding_finds_near_copies(spark, monkeypatch, block):
+    monkeypatch.setattr(fingerprints, "BLOCK", block)
     rng = np.random.default_rng(8)
     base = prose(rng, 2000)
-    rows = [(i, base[:k] + "Z" + base[k:]) for i, k in enumerate(rng.integers(0, 2000, 40))] + [(100 + i, prose(rng, 1500)) for i in range(20)] + [(200, None), (None, base)]
-    got = near_pairs(fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
-    assert {r["b"] for r in got} == set(range(1, 40)) and all(r["a"] < 40 and r["likeness"] >= 0.8 for r in got) and len(got) < 40 * 32
-
-
-def test_pairs_whose_bands_are_led_by_others(spark):
-    rng = np.random.default_rng(9)
-    x = rng.integers(1, 256, BINS).astype(np.uint8)
-    y = x.copy()
-    y[:BAND] = 0
-    rows = [(1000, x), (1001, y), (1002, x)]
-    for k in range(BINS // BAND):
-        leader = rng.integers(1, 256, BINS).astype(np.uint8)
-        leader[k * BAND : (k + 1) * BAND] = x[k * BAND : (k + 1) * BAND]
-        rows.append((k, leader))
-    got = near_pairs(spark.createDataFrame([(d, p.tobytes().hex()) for d, p in rows], "doc_id long, fingerprint string")).collect()
-    assert {(r["a"], r["b"]) for r in got} == {(1000, 1001), (1000, 1002)}
+    rows = [(i, base[:k] + "Z" + base[k:]) for i, k in enumerate(rng.integers(0, 2000, 40))] + [(100 + i, prose(rng, 1500)) for i in range(20)] + [(200, None), (201, ""), (202, base + "!"), (None, base)]
+    got = dict(map(tuple, near_groups(fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string"))).collect()))
+    assert got == {d: 0 if d < 40 or d == 202 else 200 if d in (200, 201) else d for d, _ in rows if d is not None}
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_groups_against_all_pairs(spark, monkeypatch, block):
+    """Chains of edits in one large group and short texts: recall and precision against every pair."""
+    monkeypatch.setattr(fingerprints, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    some = texts(2, 40)
+    for k in range(160):
+        t = list(some[int(rng.integers(len(some)))])
+        for _ in range(1 + len(t) // 100):
+            if t:
+                t[int(rng.integers(len(t)))] = "x"
+        some.append("".join(t))
+    prints = fingerprint_texts(some)
+    label = list(range(len(some)))
+    links = 0
+    for i in range(len(some)):
+        for j in np.flatnonzero(likeness(prints[i : i + 1], prints[i + 1 :]) >= 0.8) + i + 1:
+            links += 1
+            a, b = sorted((label[i], label[j]))
+            label = [a if x == b else x for x in label]
+    assert links > 200
+    got = dict(map(tuple, near_groups(spark.createDataFrame([(d, p.tobytes().hex()) for d, p in enumerate(prints)], "doc_id long, fingerprint string")).collect()))
+    assert got == dict(enumerate(label))
+
+
+def plain_walk(text):
+    """The walk a character at a time, from its definition."""
+    walk, out, at, j = fingerprints._Walk(), [0] * BINS, 0, 0
+    walk.reach(1 << 14)
+    while at < len(text):
+        walk.reach(j + 1)
+        code = int(mix64(np.array([ord(text[at]) + 1], np.uint64))[0] >> np.uint64(32)) | 1
+        if j in walk.sample:
+            b, odd = walk.sample[j]
+            out[b] = ((code * int(odd)) % 2**32 >> 24) | 1
+        at += (code * int(walk.move[j])) % 2**32 >> 31
+        j += 1
+    return bytes(out)
+
+
+def test_walk_against_its_definition():
+    for t in ["", "a", "aaaa", "héllo wörld 😀 " * 40, *texts(4, 6)[:5]]:
+        assert fingerprint_texts([t])[0].tobytes() == plain_walk(t)
+
+
+def test_very_long_text(spark):
+    rng = np.random.default_rng(1)
+    long_ = prose(rng, 400_000)
+    got = {r["doc_id"]: r for r in edit_probe(spark.createDataFrame([(1, long_), (2, long_[:-5] + "other"), (3, "x")], "doc_id long, text string")).collect()}
+    assert got[1]["n_chars"] == 400_000 and got[1]["near_next"] > 0.95 and 0.3 < got[1]["near_edited"] < 0.8
+    assert got[2]["near_next"] < 0.2 and got[3]["edited_sha256"] == hashlib.sha256(b"x").hexdigest()
