@@ -1,8 +1,8 @@
 """Quality rules as a short-circuit cascade, all in DataFrame expressions.
 
-Every rule is cheap or dear and rejects few or many. On a bounded sample of rows (``SAMPLE_ROWS``) each
-rule's cost is timed and its rejections counted; rules are then ordered greedily by the rejections that
-they add per second. The verdict is one CASE over that order, so a text that an early rule rejects never
+Every rule is cheap or dear and rejects few or many. On a bounded sample of rows (``SAMPLE_ROWS`` of at most
+``SAMPLE_BYTES``) each rule's cost is timed and its rejections counted; rules are then ordered greedily by the
+rejections that they add per second. The verdict is one CASE over that order, so a text that an early rule rejects never
 pays for later ones. The order changes the speed only: a text is kept if no rule rejects it, in any order.
 
 Words are runs of anything but ASCII blanks. Nulls and empty texts have no words and are rejected. Repeated
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from weftwise.llm.common import free_name
 
-#: Rows of the sample that the order is estimated on; it has no part in any verdict.
-SAMPLE_ROWS = 200
+#: Rows of the sample that the order is estimated on, and the longest text in it; it has no part in any verdict.
+SAMPLE_ROWS, SAMPLE_BYTES = 200, 1 << 16
 BLANKS = " \t\n\x0b\x0c\r"
 _BLANK = r"[\x20\x09-\x0D]"
 _WINDOW = 5
@@ -111,7 +111,7 @@ BASE = ("few_words", "repetition")
 def plan_order(docs: DataFrame, text_col: str = "text", rules: list[Rule] = RULES) -> list[Rule]:
     """Rules by the rejections that each adds per second, from a bounded sample of ``docs``."""
     spark = docs.sparkSession
-    picked = docs.select(F.col(text_col).alias("t"))
+    picked = docs.select(F.col(text_col).alias("t")).filter(F.coalesce(F.octet_length("t"), F.lit(0)) <= SAMPLE_BYTES)
     rows = picked.sample(0.02, seed=5).limit(SAMPLE_ROWS).collect() or picked.limit(SAMPLE_ROWS).collect()
     if not rows:
         return list(rules)
