@@ -47,10 +47,49 @@ def test_replacement(spark, lookup_rows):
     assert ips[1].startswith("10.") and ips[2].startswith("192.168.") and all(int(x) < 256 for ip in ips for x in ip.split(".")) and "97.51.17.173" not in ips
     assert re.search(r'"[0-9a-f]{40}"', by[4]["text"]) and "04dbebab" not in by[4]["text"] and re.fullmatch("AKIA[0-9A-Z]{16}", by[5]["text"])
     assert shape(by[6]["text"]) == shape(PRIVATE[6][0]) and by[7]["text"].startswith("pay DE") and shape(by[7]["text"]) == shape(PRIVATE[7][0])
+    assert one.endswith(".com") and shape(one) == shape("Jane.Doe7@mail.example.com").lower()
     m = re.fullmatch(r"Mrs\. (\w+) (\w+) met Herr (\w+) and Mr\. (\w+); Frau (\w+)", by[8]["text"])
     assert m and m[1] in ("Alma", "Clara", "Edith", "Flora", "Ida", "Laura", "Nora", "Vera") and m[2] == m[3] != m[4] and m[5].endswith("ова") and "Weber" not in by[8]["text"]
 
 
+def account_is_right(text):
+    whole = re.sub(" ", "", text)
+    return int("".join(str(int(c, 36)) for c in whole[4:] + whole[:4])) % 97 == 1
+
+
+def test_formats_stay(spark):
+    """Country codes, ranges that are not public, the checks of accounts and the domains of one house."""
+    texts = ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "GB83 WEST 1234 5698 7654 32", "+49 30 123456", "+49 89 123456", "+420 601 234 567", "+7 495 123-45-67", "127.0.0.1", "169.254.3.4", "172.20.1.1", "8.8.8.8", "amy@post.house.org", "bob@post.house.org", "amy@mail.house.org"]
+    rows = [(i, f"see {t} now") for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["text"][4:-4] for r in replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] != t and ("." in t or shape(got[i]) == shape(t)), (t, got[i])
+    assert [account_is_right(got[i]) for i in range(3)] == [account_is_right(t) for t in texts[:3]] == [True, True, False]
+    assert got[3].startswith("+49 ") and got[4].startswith("+49 ") and got[5].startswith("+420 ") and got[6].startswith("+7 ")
+    assert got[7].startswith("127.") and got[8].startswith("169.254.") and re.match(r"172\.(1[6-9]|2\d|3[01])\.", got[9]) and not re.match(r"(10|127|169\.254|192\.168|172)\.", got[10])
+    amy, bob, other = (got[i].split("@") for i in (11, 12, 13))
+    assert amy[1] == bob[1] != other[1] and amy[0] != bob[0] and amy[1].endswith(".org") and shape(got[11]) == shape(texts[11])
+
+
+def test_entities_stay_apart_and_the_same(spark):
+    """Every entity stands in two texts and spellings: pairs are equal after exactly if they were before."""
+    names = [f"Herr {g} {s}" for g in ("Karl", "Otto", "Jan") for s in ("Weber", "Stein", "Vogel")]
+    plain = [(f"u{i}@h{i % 7}.example.com", f"U{i}@H{i % 7}.EXAMPLE.COM") for i in range(60)] + [(f"+49 30 55{i:04d}", f"+493055{i:04d}") for i in range(60)] + [(n, n.replace("Herr", "Herr.")) for n in names]
+    plain += [(f"10.9.{i}.1", f"10.9.{i}.1") for i in range(60)] + [(f"{i:03d}-12-3456", f"{i:03d}-12-3456") for i in range(100, 160)]
+    rows = [(2 * i + k, f"is {t[k]} there") for i, t in enumerate(plain) for k in (0, 1)]
+    got = {r["doc_id"]: re.sub(r"[ .]", "", r["text"][3:-6]).lower() if "@" not in r["text"] else r["text"][3:-6].lower() for r in replace_entities(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), KEY).collect()}
+    assert all(got[2 * i] == got[2 * i + 1] for i in range(len(plain)))
+    assert len({got[2 * i] for i in range(len(plain))}) == len(plain)
+    before = {re.sub(r"[ .]", "", t[0]).lower() if "@" not in t[0] else t[0] for t in plain}
+    assert not before & set(got.values())
+
+
+def test_very_many_entities_in_one_text(spark):
+    text = " ".join(f"a{i}@b.example.org" for i in range(20_000)) + " end"
+    row = replace_entities(spark.createDataFrame([(1, text), (None, None), (1, text)], "doc_id long, text string"), KEY).filter("doc_id = 1").distinct().collect()
+    assert len(row) == 1 and row[0]["n_entities"] == 20_000 and len(set(row[0]["text"].split())) == 20_001 and row[0]["text"].endswith(".org end")
+
+
 def test_collisions_are_resolved(spark):
     rows = [("name", f"n{i}") for i in range(3000)] + [("ip", f"10.0.{i // 250}.{i % 250}") for i in range(3000)]
     entities = spark.createDataFrame(rows, "kind string, canon string")

@@ -2,10 +2,11 @@
 
 Entities found: e-mail addresses, phone, card, bank account and social security numbers, IP addresses, access
 tokens, and names behind a form of address. Each is replaced by a keyed surrogate of its own kind: same length
-and separators, digits for digits and letters for letters of the same case, cards that pass the Luhn check if
-the original does (numbers grow by a digit a round where all of a length are taken), private IP ranges that stay
-private (or go to a wider private or the reserved range where one is full), given names of the same gender and surnames in the same
-script. One entity has one surrogate in the whole table however it is written (coreference), two entities never
+and separators, digits for digits and letters for letters of the same case, country codes and top-level domains
+kept, cards that pass the Luhn check and bank accounts that pass theirs if the original does (numbers grow by a
+digit a round where all of a length are taken), private, loopback and link-local IP ranges that stay so (or go to
+a wider private or the reserved range where one is full), given names of the same gender and surnames in the same
+script. An e-mail's domain is the same for all addresses of a domain. One entity has one surrogate in the whole table however it is written (coreference), two entities never
 share one, and none is another's original (collision checks). Surnames and given names are entities of their own, so
 a surname alone stays the same as in a full name, and two given names (by gender and script) never become one:
 
@@ -50,6 +51,9 @@ SYLLABLES = {
     "greek": "βαρ γελ δαν ζορ καλ λεν μαρ νικ παλ ραν σελ ταρ".split(),
 }
 
+# Country calling codes; all others have three digits.
+_COUNTRY = r"^\+(?:1|7|20|27|3[0-4]|36|39|40|41|4[3-9]|5[1-8]|6[0-6]|81|82|84|86|9[0-5]|98|\d{3})"
+
 _TITLE = "|".join(sorted((x for xs in TITLES.values() for x in xs), key=len, reverse=True))
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 _TOKEN = r"(?<!\w)(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|[0-9a-fA-F]{32,128})(?!\w)"
@@ -136,16 +140,29 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda s, k: s + part(k))
 
 
+def _remainder(account: Column) -> Column:
+    """A string of digits and capitals (A is 10) modulo 97."""
+    step = lambda r, c: F.when(c.rlike("[0-9]"), (r * 10 + c.cast("int")) % 97).otherwise((r * 100 + F.ascii(c) - 55) % 97)
+    return F.aggregate(F.regexp_extract_all(account, F.lit("."), 0), F.lit(0), step)
+
+
+def _account(canon: Column, body: Column) -> Column:
+    """An account of ``canon``'s country over ``body``: its check digits are right if those of ``canon`` are."""
+    country = F.substr(canon, F.lit(1), F.lit(2))
+    right = _remainder(F.concat(F.substr(canon, F.lit(5)), F.substr(canon, F.lit(1), F.lit(4)))) == 1
+    check = 98 - _remainder(F.concat(body, country, F.lit("00"))) - F.when(right, 0).otherwise(1)
+    return F.concat(country, F.lpad(check.cast("string"), 2, "0"), body)
+
+
 def surrogate(key: str, kind: Column, canon: Column, round_: Column) -> Column:
     """The surrogate of a canonical entity, itself in canonical form."""
 
     def build(x: Column) -> Column:
         c, h = x["c"], x["h"]
         local, domain = F.substring_index(c, "@", 1), F.substring_index(c, "@", -1)
-        labels = F.split(domain, r"\.")
         # one domain has one surrogate; its last label stays
-        domain_hex = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("domain"), domain), 256)
-        host = let(domain_hex, lambda d: F.concat(F.lit("d"), F.substr(d, F.lit(1), F.lit(10)), F.lit("."), F.element_at(labels, -1)))
+        last = F.substring_index(domain, ".", -1)
+        host = F.concat(_same_classes(F.substr(domain, F.lit(1), F.char_length(domain) - F.char_length(last)), _stream(key, F.concat(F.lit("domain "), domain), F.char_length(domain))), last)
         later = F.when(round_ > 0, round_.cast("string")).otherwise("")
         email = F.concat(_same_classes(local, h), later, F.lit("@"), host)
         prefix = F.regexp_extract(c, r"^(AKIA|gh[pousr]_|sk-|)", 1)
@@ -155,21 +172,22 @@ def surrogate(key: str, kind: Column, canon: Column, round_: Column) -> Column:
         octet = [_number(h, i, 256).cast("string") for i in range(4)]
         ip = (
             F.when(c.startswith("10."), F.concat_ws(".", F.lit("10"), *octet[1:])).when(c.startswith("192.168."), F.concat_ws(".", F.lit("192.168"), *octet[2:]))
+            .when(c.startswith("127."), F.concat_ws(".", F.lit("127"), *octet[1:])).when(c.startswith("169.254."), F.concat_ws(".", F.lit("169.254"), *octet[2:]))
             .when(c.rlike(r"^172\.(1[6-9]|2\d|3[01])\."), F.concat_ws(".", F.lit("172"), (16 + _number(h, 1, 16)).cast("string"), *octet[2:]))
             .otherwise(F.concat_ws(".", (11 + _number(h, 0, 100)).cast("string"), *octet[1:]))
         )
-        inner = c.rlike(r"^(?:192\.168|172\.(?:1[6-9]|2\d|3[01]))\.")
+        inner = c.rlike(r"^(?:192\.168|169\.254|172\.(?:1[6-9]|2\d|3[01]))\.")
         ip = (
             F.when((round_ >= 2 * WIDER) | ((round_ >= WIDER) & ~inner), F.concat_ws(".", (240 + _number(h, 0, 15)).cast("string"), *octet[1:]))
             .when(round_ >= WIDER, F.concat_ws(".", F.lit("10"), *octet[1:])).otherwise(ip)
         )
-        country = F.when(c.startswith("+"), F.substr(c, F.lit(1), F.lit(2))).otherwise("")
+        country = F.regexp_extract(c, _COUNTRY, 0)
         # digits beyond the original's length, from their own end of the stream
         longer = F.when(round_ >= WIDER, F.translate(F.substr(F.reverse(h), F.lit(1), (round_ - WIDER + 1).cast("int")), "abcdef", "012345")).otherwise("")
         phone = F.concat(country, _same_classes(F.substr(c, F.char_length(country) + 1), h), longer)
         body = F.concat(F.substr(c, F.lit(1), F.lit(1)), _same_classes(F.substr(c, F.lit(2), F.char_length(c) - 2), h), longer)
         check = let(body, lambda b: F.concat(b, ((10 - _luhn(F.concat(b, F.lit("0"))) % 10 + F.when(_luhn(c) % 10 == 0, 0).otherwise(1)) % 10).cast("string")))
-        iban = F.concat(F.substr(c, F.lit(1), F.lit(2)), _same_classes(F.substr(c, F.lit(3)), h), longer)
+        iban = let(F.concat(_same_classes(F.substr(c, F.lit(5)), h), longer), lambda b: _account(c, b))
         name = None
         for script, parts in SYLLABLES.items():
             made = _syllables(parts, h, round_)
