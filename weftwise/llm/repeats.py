@@ -248,13 +248,19 @@ def repeat_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = docs.select(d.alias("d"), th.alias("th"), docs[text_col].alias("text"))
     runs = materialise(keyed.filter(F.octet_length("text") >= length).mapInArrow(_emit_runs(length), RUN_SCHEMA), f"{work}/runs")
     by_anchor = runs.groupBy("ah").agg(F.sum("cnt").alias("n"), (F.min("rh") != F.max("rh")).alias("mixed")).filter("n >= 2")
-    shared = materialise(runs.join(by_anchor.select("ah", "mixed"), "ah"), f"{work}/shared")
+    # counts are written before they are joined, so that the join's tasks for an anchor of very many runs can be split
+    by_anchor = materialise(by_anchor.select("ah", "mixed"), f"{work}/anchors")
+    shared = materialise(runs.join(by_anchor.hint("merge"), "ah"), f"{work}/shared")
     drop_path(spark, f"{work}/runs")
     whole = shared.filter("not mixed").select("d", "th", "s", "e")
     mixed = shared.filter("mixed")
     classes = mixed.groupBy("ah", "rh").agg(F.sum("cnt").alias("copies"), F.min("d").alias("one"))
-    spread = classes.groupBy("ah").agg((F.count(F.lit(1)) > hot_spans).alias("hot"))
-    known = materialise(mixed.join(classes, ["ah", "rh"]).join(spread, "ah"), f"{work}/known")
+    classes = materialise(classes, f"{work}/classes")
+    # each class's copies and whether its anchor is hot: a row a class, so runs are moved once, by class
+    classes = materialise(classes.join(classes.groupBy("ah").agg((F.count(F.lit(1)) > hot_spans).alias("hot")).filter("hot"), "ah", "left").withColumn("hot", F.coalesce("hot", F.lit(False))), f"{work}/spread")
+    known = materialise(mixed.join(classes.hint("merge"), ["ah", "rh"]), f"{work}/known")
+    for name in ("anchors", "classes", "spread"):
+        drop_path(spark, f"{work}/{name}")
     whole = whole.union(known.filter("copies >= 2").select("d", "th", "s", "e"))
     asked = known.filter("copies = 1 or (d = one)").groupBy("d", "th").agg(F.collect_list(F.struct("s", "e", "ah", "hot")).alias("asked"))
     spans = materialise(keyed.join(asked, ["d", "th"]).select("d", "th", "text", "asked").mapInArrow(_take_spans, SPAN_SCHEMA), f"{work}/spans")
