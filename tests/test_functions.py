@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from weftwise.functions import aliases, phonetic, similarity, text
+from weftwise.functions import aliases, phonetic, registry, similarity, text
 
 
 def values(spark, rows, *columns):
@@ -19,6 +19,7 @@ def test_normalize(spark):
 
 
 def test_koelner(spark):
+    # Codes by the published rules.
     codes = {"meyer": "67", "maier": "67", "selner": "8567", "sellner": "8567", "": "", "mueller": "657", "mueller123": "657", "karl": "475", "carl": "475", "philipp": "351", "filip": "351", "xaver": "4837", "maxx": "64848", "schmidt": "862", "christian": "47826", "anna": "06", "mam": "66", "weiss kruger": "384747", "h": "", "hh": ""}
     assert [x for (x,) in values(spark, [(k,) for k in codes], phonetic.koelner(F.col("c0")))] == list(codes.values())
 
@@ -60,3 +61,15 @@ def test_parsing(spark):
     split = values(spark, [("Anna von der Heide",), ("Anna",), (" Anna  Maria ",)], text.split_first(F.col("c0")), text.split_last(F.col("c0")))
     assert split == [("Anna", "von der Heide"), ("Anna", ""), ("Anna", "Maria")]
     assert [x for (x,) in values(spark, [("a@B.c",), ("a@b@C",), ("none",), ("x@",), (None,)], text.email_domain(F.col("c0")))] == ["b.c", "c", "", "", ""]
+
+
+def test_functions_by_name(spark):
+    assert set(registry.register(spark)) == set(registry.FUNCTIONS)
+    df = spark.createDataFrame([("Weiß-Müller\t", "Mueller Weis", "a@B.C"), ("", "", ""), (None, "x", None), ("Maik", "Mike", "x@"), ("Schmidt", "Schmitt", "none")], "a string, b string, e string")
+    a, b = F.col("a"), F.col("b")
+    pairs = {
+        "trim_all(a)": text.utrim(a), "normalize_a(a)": text.normalize_a(a), "normalize_b(a)": text.normalize_b(a), "sound_code(normalize_b(a))": phonetic.koelner(text.normalize_b(a)), "email_domain(e)": text.email_domain(F.col("e")),
+        "fuzzy_ratio(a, b)": similarity.fuzzy_ratio(a, b), "match_quality(a, b)": similarity.match_quality(a, b), "stage_points(0.25, match_quality(a, b))": similarity.stage_points(F.lit(0.25), similarity.match_quality(a, b)),
+    }
+    for sql, column in pairs.items():
+        assert df.select((F.expr(sql).eqNullSafe(column)).alias("same")).filter("not same").isEmpty(), sql

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftwise.functions.phonetic import koelner
 from weftwise.functions.text import normalize_a, normalize_b
 
+# Bonus for equal sound, points for a hint, most points of a stage.
 PHONETIC_BONUS, HINT_BOOST, MOST_STAGE = 0.35, 10, 50
 
 
@@ -17,12 +18,21 @@ def fuzzy_ratio(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), 1.0 - F.levenshtein(a, b) / longest))
 
 
+def name_forms(c: Column) -> Column:
+    """Both spellings of a name and its sound, to be made once a name."""
+    return F.struct(normalize_a(c).alias("a"), normalize_b(c).alias("b"), koelner(normalize_b(c)).alias("code"))
+
+
+def match_quality_of(heard: Column, stored: Column) -> Column:
+    """``match_quality`` of names as ``name_forms``."""
+    best = F.greatest(*[fuzzy_ratio(heard[x], stored[y]) for x in "ab" for y in "ab"])
+    bonus = F.when((heard["b"] != "") & (stored["b"] != "") & (heard["code"] == stored["code"]), PHONETIC_BONUS).otherwise(0.0)
+    return F.least(F.lit(1.0), best + bonus)
+
+
 def match_quality(heard: Column, stored: Column) -> Column:
     """The best likeness of any two normalised spellings, plus a bonus for equal sound, at most 1."""
-    ha, hb, sa, sb = normalize_a(heard), normalize_b(heard), normalize_a(stored), normalize_b(stored)
-    best = F.greatest(fuzzy_ratio(ha, sa), fuzzy_ratio(ha, sb), fuzzy_ratio(hb, sa), fuzzy_ratio(hb, sb))
-    bonus = F.when((hb != "") & (sb != "") & (koelner(hb) == koelner(sb)), PHONETIC_BONUS).otherwise(0.0)
-    return F.least(F.lit(1.0), best + bonus)
+    return match_quality_of(name_forms(heard), name_forms(stored))
 
 
 def stage_points(first_quality: Column, last_quality: Column) -> Column:
