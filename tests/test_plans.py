@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from weftwise.operators import attributes, cluster, graph
 from weftwise.operators.components import connected_components
-from weftwise.plans.match import candidates, match_status
-from weftwise.plans.resolve import resolve
+from weftwise.plans.match import candidates, match_status, requests_of, responses
+from weftwise.plans.resolve import candidates as resolve_candidates
+from weftwise.plans.resolve import resolve, with_account
 from weftwise.sources.model import MATCH_REQUEST, PERSON, RESOLVE_REQUEST, in_scope, ingest, with_keys
+from weftwise.sources.settings import Settings
 from weftwise.streaming import serve
 
 FIELDS = [c.split()[0] for c in PERSON.split(", ")]
@@ -176,6 +178,70 @@ def test_attributes(spark, tmp_path):
     assert made.first()["attrs"] == {"/a": "sys", "/b": "user", "/subject": " sub ", "ogit/subject": "sub", "ogit/Automation/originNode": "n1", "ogit/scope": "sc"}
     written = attributes.create_nodes(made, "ogit/Automation/AutomationIssue", str(tmp_path / "nodes"))
     assert json.loads(written.first()["payload"])["ogit/_type"] == "ogit/Automation/AutomationIssue" and written.count() == 1
+    # a rerun replaces its own rows
+    attributes.create_nodes(made, "ogit/Automation/AutomationIssue", str(tmp_path / "nodes"))
+    attributes.create_nodes(made.withColumn("attrs", F.create_map(F.lit("/x"), F.lit("1"))), "ogit/Automation/AutomationIssue", str(tmp_path / "nodes"))
+    assert spark.read.parquet(str(tmp_path / "nodes")).select("id").distinct().count() == spark.read.parquet(str(tmp_path / "nodes")).count() == 2
+
+
+def test_nodes_by_id(spark):
+    stored = spark.createDataFrame([("1", '{"ogit/status":"OPEN","/n":5,"/list":[1,2]}', False), ("2", "{}", True), ("3", "no json", None)], "id string, payload string, is_deleted boolean")
+    asked = spark.createDataFrame([(i, str(i)) for i in (1, 2, 3, 4)], "request_id int, id string")
+    got = {r["request_id"]: (r["status"], r["variables"]) for r in attributes.issue_variables(asked, stored).collect()}
+    assert got == {1: ("ok", {"ogit/status": "OPEN", "/n": "5", "/list": "[1,2]"}), 2: ("not_found", None), 3: ("ok", None), 4: ("not_found", None)}
+    intents = spark.createDataFrame([("a", {attributes.TYPE: "A"}), ("b", {attributes.TYPE: "B"}), ("b", {attributes.TYPE: "B"}), ("c", {})], "id string, attrs map<string,string>")
+    lists = spark.createDataFrame([(1, " A ,, b"), (2, ""), (3, None), (4, "A,A,B")], "request_id int, types string")
+    found = sorted((r["request_id"], r["id"]) for r in attributes.intents_for(lists, intents).collect())
+    assert found == [(1, "a"), (2, "a"), (2, "b"), (2, "c"), (3, "a"), (3, "b"), (3, "c"), (4, "a"), (4, "b")]
+
+
+def test_links_across_sources_are_those_of_the_cascade(spark):
+    """Every combination of what records have, against the cascade over all pairs."""
+    mails, phones, names = ("", "a@x", "A@X", "b@x"), ("", "0", "+1", "+2"), (("Maik", "Lander"), ("MAIK", "lander"), ("", ""), ("Ida", "Lander"))
+    rows, k = [], 0
+    for mail in mails:
+        for phone in phones:
+            for first, last in names:
+                k += 1
+                rows.append(d(f"d{k}", first, last, email=mail, office_phone=phone, other_phone="+2" if k % 7 == 0 else ""))
+                rows.append(h(f"h{k}", first, last, email=mail, phone_no=phone, office_phone="+1"))
+    people = table(spark, rows).withColumn("r", F.lit(1)).cache()
+    one, two = (people.filter(F.col("source") == s).alias(a) for s, a in (("directory", "d"), ("helpdesk", "h")))
+    pairs = one.join(two, cluster.same_person("d", "h")).select("d.record_key", F.col("h.record_key").alias("other")).collect()
+    want = {}
+    for a, b in pairs:
+        for x, y in ((a, b), (b, a)):
+            want.setdefault(x, []).append(y)
+    got = {r["record_key"]: (r["other_key"], r["others"]) for r in cluster.cross_links(people, ["r"]).collect()}
+    assert got == {x: (min(ys), len(ys)) for x, ys in want.items()} and len(pairs) > 500
+
+
+def test_account_and_limit(spark):
+    people = table(spark, [d("1", office_phone="+1"), d("2", office_phone="+1"), h("3", phone_no="+1"), d("4", office_phone="+4")])
+    asked = spark.createDataFrame([(1, "+1", "", []), (2, "+4", "", []), (3, "+9", "", [])], RESOLVE_REQUEST)
+    assert sorted((r["request_id"], r["record_key"]) for r in resolve_candidates(asked, people, 1).select("request_id", "record_key").collect()) == [(1, "directory:1"), (1, "helpdesk:3"), (2, "directory:4")]
+    edges = spark.createDataFrame([("a1", "connects", "4")], "out_id string, verb string, in_id string")
+    accounts = spark.createDataFrame([("a1", "AX", "directory", "ENABLED")], "id string, xid string, source string, status string")
+    got = {r["request_id"]: (r["status"], r["account_xid"], r["account_status"]) for r in with_account(resolve(asked, people), edges, accounts).collect()}
+    assert got == {1: ("ambiguous", None, None), 2: ("ok", "AX", "ENABLED"), 3: ("not_found", None, None)}
+
+
+def test_json_requests_and_responses(spark):
+    body = {"request_id": 1, "first": {"raw": "Maik", "type": "x"}, "last": {"raw": "Lander", "confidence": 0.3}, "domains": [], "last_name_hint": "", "language": "de"}
+    requests = requests_of(spark.createDataFrame([(json.dumps(body),), (json.dumps({"request_id": 2}),), (json.dumps(body | {"request_id": 3, "first": {"raw": "Zoe"}}),)], "body string"))
+    assert requests.columns == ["request_id", "first", "last", "domains", "last_name_hint"]
+    found = {r["request_id"]: (r["status"], r["body"]) for r in responses(requests, candidates(requests, table(spark, [d("1")]))).collect()}
+    assert found[2] == ("bad_request", None) and found[3] == ("ok", "[]") and [x["confidence"] for x in json.loads(found[1][1])] == [100]
+
+
+def test_settings(spark):
+    assert Settings.of(spark, {}) == Settings(Settings.of(spark, {}).checkpoint_dir) and Settings.of(spark, {}).limit is None
+    assert Settings.of(spark, {"WEFTWISE_LOOKUP_LIMIT": "20", "WEFTWISE_ORG_CODE": "XX"}).limit == 20
+    spark.conf.set("spark.weftwise.org_code", "YY")
+    try:
+        assert Settings.of(spark, {"WEFTWISE_ORG_CODE": "XX"}).org_code == "YY"
+    finally:
+        spark.conf.unset("spark.weftwise.org_code")
 
 
 def test_stream(spark, tmp_path):

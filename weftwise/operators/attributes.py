@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftwise.functions.text import blank, utrim
+from weftwise.functions.text import blank, parse_list, utrim
+from weftwise.operators.work import settle
+from weftwise.sources.model import visible
 
 NAMES, VALUES, TYPE = "ogit/Automation/systemVariableNames", "ogit/Automation/systemVariableValues", "/IntentType"
 SUBJECT, ORIGIN, SCOPE, DEFAULT_SUBJECT = "ogit/subject", "ogit/Automation/originNode", "ogit/scope", "New issue"
@@ -31,11 +33,37 @@ def system_variables(attrs: Column) -> Column:
     """
     listed = lambda key: F.transform(F.split(blank(F.element_at(attrs, key)), ","), utrim)
     names, values = F.filter(listed(NAMES), lambda n: n != ""), listed(VALUES)
-    pairs = F.transform(names, lambda n, i: F.struct(n.alias("n"), F.coalesce(F.get(values, i), F.lit("")).alias("v"), i.alias("i")))
-    last = F.filter(pairs, lambda p: ~F.exists(pairs, lambda q: (q["n"] == p["n"]) & (q["i"] > p["i"])))
+    pairs = F.array_sort(F.transform(names, lambda n, i: F.struct(n.alias("n"), i.alias("i"), F.coalesce(F.get(values, i), F.lit("")).alias("v"))))
+    last = F.filter(pairs, lambda p, k: ~(F.get(pairs, k + 1)["n"].eqNullSafe(p["n"])))
     return F.map_from_entries(F.transform(last, lambda p: F.struct(p["n"], p["v"])))
 
 
+def by_id(requests: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Each request's (id) visible node, with ``status`` ok or not_found; the node's columns are null if it isn't found."""
+    found = visible(nodes).withColumn("__found", F.lit(True))
+    return requests.join(found, "id", "left").withColumn("status", F.when(F.col("__found"), "ok").otherwise("not_found")).drop("__found", "is_deleted")
+
+
+def raw_map(json: Column) -> Column:
+    """A node's JSON as a map, every field of it unfiltered; null if it isn't an object."""
+    return F.from_json(json, "map<string,string>")
+
+
+def issue_variables(requests: DataFrame, stored: DataFrame) -> DataFrame:
+    """``by_id`` over stored issues (id, payload), with all variables of each as ``variables``."""
+    return by_id(requests, stored).withColumn("variables", raw_map(F.col("payload"))).drop("payload")
+
+
+def intents_for(requests: DataFrame, intents: DataFrame) -> DataFrame:
+    """(request_id, id, attrs): the intents of each request's ``types``, a comma-separated text; all if it names none."""
+    asked = requests.select("request_id", parse_list(F.col("types"), lower=False).alias("wanted"))
+    once = intents.dropDuplicates(["id"]).withColumn("type", F.element_at("attrs", TYPE))
+    some = asked.filter(F.size("wanted") > 0).select("request_id", F.explode(F.array_distinct("wanted")).alias("type")).join(once, "type")
+    # every request without a list gets the whole catalogue: that many rows are the answer
+    every = asked.filter(F.size("wanted") == 0).select("request_id").join(once)
+    return some.select("request_id", "id", "attrs").union(every.select("request_id", "id", "attrs"))
+
+
 def intents_by_type(intents: DataFrame, types: list[str] | None = None) -> DataFrame:
     """Intents of the given types, case-sensitive, each once; all if none is given."""
     wanted = [t for t in types or [] if t]
@@ -62,8 +90,13 @@ def payload(node_type: str, meta: Column, attrs: Column) -> Column:
 
 
 def create_nodes(nodes: DataFrame, node_type: str, path: str, fmt: str = "parquet") -> DataFrame:
-    """Append nodes (attrs) with an id made from their content; returns the rows written, read back."""
+    """Write nodes (attrs) with an id made from their content, each once; returns (id, payload) as written.
+
+    The folder of a write is named by its nodes, so a write that is run again replaces itself and appends nothing.
+    """
     empty = F.create_map().cast("map<string,string>")
-    made = nodes.withColumn("payload", payload(node_type, empty, F.col("attrs"))).withColumn("id", F.sha2("payload", 256))
-    made.select("id", "payload").write.mode("append").format(fmt).save(path)
-    return nodes.sparkSession.read.format(fmt).load(path).join(made.select("id"), "id", "left_semi")
+    made = settle(nodes.select(payload(node_type, empty, F.col("attrs")).alias("payload")).withColumn("id", F.sha2("payload", 256)).select("id", "payload").distinct())
+    name = made.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("h")).first()
+    written = f"{path}/write={name['n']}-{(name['h'] or 0) & (2**64 - 1):016x}"
+    made.write.mode("overwrite").format(fmt).save(written)
+    return nodes.sparkSession.read.format(fmt).schema(made.schema).load(written)

@@ -25,6 +25,13 @@ def link_keys(exclude_phone: bool = False) -> Column:
     return email if exclude_phone else F.concat(email, phones)
 
 
+def key_leaders(records: DataFrame, scope: list[str], exclude_phone: bool = False) -> DataFrame:
+    """(scope, source, k, record_key, leader, members): each record's link keys with the smallest record of each and how many have it."""
+    keyed = records.withColumn("k", F.explode(link_keys(exclude_phone))).select(*scope, "source", "k", "record_key").distinct()
+    leader = keyed.groupBy(*scope, "source", "k").agg(F.min("record_key").alias("leader"), F.count(F.lit(1)).alias("members"))
+    return keyed.join(leader, [*scope, "source", "k"])
+
+
 def same_person(d: str, h: str) -> Column:
     """The first field that both sides have decides: e-mail, then phone, then name. A phone of 0 counts here."""
     x, y = (lambda c: F.col(f"{d}.{c}")), (lambda c: F.col(f"{h}.{c}"))
@@ -37,20 +44,31 @@ def same_person(d: str, h: str) -> Column:
     )
 
 
-def cross_pairs(records: DataFrame, scope: list[str]) -> DataFrame:
-    """(scope, directory_key, helpdesk_key) of records that are one person across sources.
+def cross_links(records: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, record_key, source, other_key, others): each record that is one person with records of the other source.
 
-    A pair that passes the cascade shares its e-mail, a phone or its name, so three equality joins find all of them.
+    ``others`` counts those records and ``other_key`` is the smallest of them; no pairs are made. Each step of the
+    cascade in ``same_person`` decides its own pairs: e-mail those in which both sides have one, phone those of the
+    rest in which both have one, name what is left. So the records that share a key of a step, split by what they
+    have, are groups of which either all or no members are linked, and only such groups are joined.
     """
-    side = lambda s, keys: records.filter(F.col("source") == s).withColumn("k", F.explode(F.array_distinct(keys)))
-    name = F.concat(F.lit("n "), F.lower("first_name"), F.lit("\x1f"), F.lower("last_name"))
-    email = F.concat(F.lit("e "), F.lower("email"))
-    phones = F.transform(F.filter(F.array(*DIRECTORY_PHONES), lambda p: p != ""), lambda p: F.concat(F.lit("p "), p))
-    d = side(DIRECTORY, F.concat(F.array(name, email), phones)).alias("d")
-    h = side(HELPDESK, F.array(name, email, F.concat(F.lit("p "), F.col("phone_no")))).alias("h")
-    on = [F.col(f"d.{c}") == F.col(f"h.{c}") for c in [*scope, "k"]]
-    found = d.join(h, on).filter(same_person("d", "h"))
-    return found.select(*[F.col(f"d.{c}").alias(c) for c in scope], F.col("d.record_key").alias("directory_key"), F.col("h.record_key").alias("helpdesk_key")).distinct()
+    has_email, own = F.col("email") != "", F.col("source") == DIRECTORY
+    phones = F.array_distinct(F.filter(F.when(own, F.array(*DIRECTORY_PHONES)).otherwise(F.array("phone_no")), lambda p: p != ""))
+    key = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    none = F.array().cast("array<struct<kind:string,value:string>>")
+    keys = F.concat(
+        F.when(has_email, F.array(key("e", F.lower("email")))).otherwise(none), F.transform(phones, lambda p: key("p", p)),
+        F.array(key("n", F.concat(F.lower("first_name"), F.lit("\x1f"), F.lower("last_name")))),
+    )
+    group = [*scope, "kind", "value", "has_email", "has_phone"]
+    listed = records.select(*scope, "source", "record_key", has_email.alias("has_email"), (F.size(phones) > 0).alias("has_phone"), F.inline(keys))
+    groups = listed.groupBy("source", *group).agg(F.min("record_key").alias("other_key"), F.count(F.lit(1)).alias("others"))
+    near, far = listed.select("source", *group).distinct().alias("a"), groups.alias("b")
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    decides = F.when(a("kind") == "e", True).when(a("kind") == "p", ~(a("has_email") & b("has_email"))).otherwise(~(a("has_email") & b("has_email")) & ~(a("has_phone") & b("has_phone")))
+    met = near.join(far, [a(c).eqNullSafe(b(c)) for c in [*scope, "kind", "value"]]).filter((a("source") != b("source")) & decides)
+    met = met.groupBy(*[a(c).alias(c) for c in ("source", *group)]).agg(F.min(b("other_key")).alias("other_key"), F.sum(b("others")).alias("others"))
+    return listed.join(met, ["source", *group]).groupBy(*scope, "source", "record_key").agg(F.min("other_key").alias("other_key"), F.sum("others").alias("others"))
 
 
 def _node(scope: list[str], key: str) -> Column:
@@ -64,12 +82,9 @@ def clusters(records: DataFrame, scope: list[str], exclude_phone: bool = False,
     also links the two sources.
     """
     records = settle(records)
-    keyed = records.withColumn("k", F.explode(link_keys(exclude_phone))).select(*scope, "source", "k", "record_key").distinct()
-    leader = keyed.groupBy(*scope, "source", "k").agg(F.min("record_key").alias("leader"))
-    links = keyed.join(leader, [*scope, "source", "k"]).select(_node(scope, "record_key").alias("p"), _node(scope, "leader").alias("q"))
+    links = key_leaders(records, scope, exclude_phone).select(_node(scope, "record_key").alias("p"), _node(scope, "leader").alias("q"))
     if across:
-        pairs = cross_pairs(records, scope)
-        links = links.union(pairs.select(_node(scope, "directory_key"), _node(scope, "helpdesk_key")))
+        links = links.union(cross_links(records, scope).select(_node(scope, "record_key"), _node(scope, "other_key")))
     nodes = records.select(_node(scope, "record_key").alias("node"))
     labels = connected_components(nodes, links)
     cluster = F.substring_index("label", "\x1f", -1)

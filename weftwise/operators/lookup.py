@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftwise.functions.phonetic import first_letter_variants
@@ -31,6 +31,14 @@ def by_name(requests: DataFrame, person: DataFrame) -> DataFrame:
     return asked.join(person, ["first_key", "last_key"])
 
 
+def first_hits(found: DataFrame, by: list[str], limit: int | None) -> DataFrame:
+    """At most ``limit`` persons of each group, those of the smallest record keys; all without a limit."""
+    if limit is None:
+        return found
+    order = Window.partitionBy(*by).orderBy("record_key")
+    return found.withColumn("__nth", F.row_number().over(order)).filter(F.col("__nth") <= limit).drop("__nth")
+
+
 def domain_filter(found: DataFrame, requests: DataFrame) -> DataFrame:
     """Only persons of the request's e-mail domains; all if it names none. No domain matches no list."""
     asked = requests.select("request_id", F.col("domains").alias("wanted"))

@@ -9,17 +9,22 @@ from pyspark.sql import DataFrame
 
 
 def shared_folder(df: DataFrame) -> str:
-    """``spark.checkpoint.dir``; only where it is unset (local runs) a temporary folder."""
+    """``spark.checkpoint.dir``; only where it is unset and all runs in one process a temporary folder."""
     context = df.sparkSession.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="weftwise-"))
         folder = context.getCheckpointDir()
     return folder
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """``df`` as a table that was written once."""
+    """``df`` as a table that was written once; it goes when the session's JVM ends."""
     path = f"{shared_folder(df)}/weftwise-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return df.sparkSession.read.schema(df.schema).parquet(path)

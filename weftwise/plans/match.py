@@ -11,9 +11,9 @@ from weftwise.functions.phonetic import koelner
 from weftwise.functions.text import blank, normalize_a, normalize_b, short_prefix, strip_tags, structured_words, utrim
 from weftwise.operators.cluster import clusters, external_id, representatives
 from weftwise.operators.components import connected_components
-from weftwise.operators.lookup import domain_filter, prefix_hits, suffix_hits
+from weftwise.operators.lookup import domain_filter, first_hits, prefix_hits, suffix_hits
 from weftwise.operators.work import settle
-from weftwise.sources.model import DIRECTORY, HELPDESK
+from weftwise.sources.model import DIRECTORY, HELPDESK, MATCH_REQUEST
 
 KEPT_PER_REP, KEPT = 15, 5
 REPS = ("raw", "nlp", "tagged", "slotted", "structured")
@@ -50,11 +50,14 @@ def probes(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     return prefix, suffix
 
 
-def retrieved(requests: DataFrame, reps: DataFrame, person: DataFrame) -> DataFrame:
-    """Persons found by any probe, once for each request and rendering, of the request's domains."""
+def retrieved(requests: DataFrame, reps: DataFrame, person: DataFrame, lookup_limit: int | None = None) -> DataFrame:
+    """Persons found by any probe, once for each request and rendering, of the request's domains.
+
+    With ``lookup_limit`` only so many a request, rendering and source are looked at, before the domain filter.
+    """
     prefix, suffix = probes(reps)
     hits = prefix_hits(prefix, person).select("request_id", "rep", "record_key").union(suffix_hits(suffix, person).select("request_id", "rep", "record_key")).distinct()
-    return domain_filter(hits.join(person, "record_key"), requests)
+    return domain_filter(first_hits(hits.join(person, "record_key"), ["request_id", "rep", "source"], lookup_limit), requests)
 
 
 def scored_groups(requests: DataFrame, reps: DataFrame, person: DataFrame) -> DataFrame:
@@ -65,7 +68,9 @@ def scored_groups(requests: DataFrame, reps: DataFrame, person: DataFrame) -> Da
     # a group is scored by its directory record's name, else by the helpdesk's
     name = best.groupBy(*scope, "cluster").agg(F.min(F.struct((F.col("source") != DIRECTORY).alias("o"), "first_name", "last_name")).alias("n"))
     heard = name.join(reps, scope).join(requests.select("request_id", blank(F.col("last_name_hint")).alias("hint")), "request_id")
-    points = S.stage_points(S.match_quality(F.col("first"), F.col("n.first_name")), S.match_quality(F.col("last"), F.col("n.last_name")))
+    forms = {"hf": F.col("first"), "hl": F.col("last"), "sf": F.col("n.first_name"), "sl": F.col("n.last_name")}
+    heard = heard.withColumns({k: S.name_forms(c) for k, c in forms.items()})
+    points = S.stage_points(S.match_quality_of(F.col("hf"), F.col("sf")), S.match_quality_of(F.col("hl"), F.col("sl")))
     points = S.with_hint(points, S.hint_matches(F.col("hint"), F.col("n.last_name")))
     return grouped.join(heard.select(*scope, "cluster", points.alias("stage_points")), [*scope, "cluster"])
 
@@ -118,3 +123,16 @@ def match_status(requests: DataFrame) -> DataFrame:
     """(request_id, status): bad_request without a usable rendering, else ok."""
     good = representations(requests).select("request_id").distinct().withColumn("ok", F.lit(True))
     return requests.select("request_id").join(good, "request_id", "left").select("request_id", F.when(F.col("ok"), "ok").otherwise("bad_request").alias("status"))
+
+
+def requests_of(bodies: DataFrame, column: str = "body") -> DataFrame:
+    """Match requests from JSON bodies; fields that the plan has no use for (language, confidence, type) are dropped."""
+    return bodies.select(F.from_json(column, MATCH_REQUEST).alias("x")).select("x.*")
+
+
+def responses(requests: DataFrame, found: DataFrame) -> DataFrame:
+    """(request_id, status, body): each request's candidates, in order, as a JSON array."""
+    shown = ["nth", "name", "first_name", "last_name", "directory_xid", "helpdesk_xid", "confidence"]
+    listed = found.groupBy("request_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct(*shown)))).alias("body"))
+    out = match_status(requests).join(listed, "request_id", "left")
+    return out.select("request_id", "status", F.when(F.col("status") == "ok", F.coalesce("body", F.lit("[]"))).alias("body"))

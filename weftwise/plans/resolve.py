@@ -6,30 +6,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftwise.functions.text import blank, utrim
-from weftwise.operators.cluster import clusters, cross_pairs, external_id, representatives
-from weftwise.operators.lookup import by_name, by_phone, domain_filter
+from weftwise.operators.cluster import clusters, cross_links, external_id, representatives
+from weftwise.operators.graph import person_account
+from weftwise.operators.lookup import by_name, by_phone, domain_filter, first_hits
 from weftwise.operators.work import settle
 from weftwise.sources.model import DIRECTORY, HELPDESK
 
 IDENTITY = ["status", "directory_id", "directory_xid", "helpdesk_id", "helpdesk_xid", "display_name", "email"]
 
 
-def candidates(requests: DataFrame, person: DataFrame) -> DataFrame:
-    """Persons found for each valid request, with ``by_phone`` telling how."""
+def candidates(requests: DataFrame, person: DataFrame, lookup_limit: int | None = None) -> DataFrame:
+    """Persons found for each valid request, with ``by_phone`` telling how.
+
+    With ``lookup_limit`` only so many a request and source are looked at, before the domain filter.
+    """
     asked = requests.withColumns({"phone": blank(F.col("phone")), "name": utrim(F.col("name"))})
     asked = asked.filter((F.col("phone") == "") != (F.col("name") == ""))
     phone = by_phone(asked, person).withColumn("by_phone", F.lit(True))
     name = by_name(asked.filter("phone = ''"), person).withColumn("by_phone", F.lit(False))
-    return domain_filter(phone.unionByName(name), requests)
+    return domain_filter(first_hits(phone.unionByName(name), ["request_id", "source"], lookup_limit), requests)
 
 
-def resolve(requests: DataFrame, person: DataFrame) -> DataFrame:
+def resolve(requests: DataFrame, person: DataFrame, lookup_limit: int | None = None) -> DataFrame:
     """A row for each request: status ok, ambiguous, not_found or bad_request, and the identity if ok.
 
     Exactly one of phone and name must be given. More than one person in a source is ambiguous, and so are one
     in each source that no pair of records confirms as the same.
     """
-    found = settle(candidates(requests, person))
+    found = settle(candidates(requests, person, lookup_limit))
     scope = ["request_id"]
     # a phone search already shares the phone, so there it links nothing
     phone = clusters(found.filter("by_phone"), scope, exclude_phone=True)
@@ -38,7 +42,7 @@ def resolve(requests: DataFrame, person: DataFrame) -> DataFrame:
     counts = grouped.groupBy("request_id").agg(
         F.count_distinct(F.when(F.col("source") == DIRECTORY, F.col("cluster"))).alias("d"), F.count_distinct(F.when(F.col("source") == HELPDESK, F.col("cluster"))).alias("h")
     )
-    confirmed = cross_pairs(found, scope).select("request_id").distinct().withColumn("same", F.lit(True))
+    confirmed = cross_links(found, scope).select("request_id").distinct().withColumn("same", F.lit(True))
     best = representatives(grouped, scope)
     name_of = F.trim(F.concat_ws(" ", "first_name", "last_name"))
     side = lambda s: best.filter(F.col("source") == s).select("request_id", F.col("id").alias(f"{s}_id"), external_id(F.col("xid"), F.col("id")).alias(f"{s}_xid"), name_of.alias(f"{s}_name"), F.col("email").alias(f"{s}_email"))
@@ -52,3 +56,10 @@ def resolve(requests: DataFrame, person: DataFrame) -> DataFrame:
     either = lambda c: F.coalesce(F.nullif(f"directory_{c}", F.lit("")), F.col(f"helpdesk_{c}"), F.col(f"directory_{c}"))
     out = joined.withColumns({"status": status, "display_name": either("name"), "email": either("email")})
     return out.select("request_id", "status", *[F.when(F.col("status") == "ok", F.col(c)).alias(c) for c in IDENTITY[1:]])
+
+
+def with_account(identities: DataFrame, edges: DataFrame, accounts: DataFrame) -> DataFrame:
+    """What a caller is told: the identity with the directory person's account; without one its fields are null."""
+    people = identities.filter("directory_id is not null").select(F.col("directory_id").alias("person_id")).distinct()
+    own = person_account(people, edges, accounts).select(F.col("person_id").alias("directory_id"), "account_xid", "account_status")
+    return identities.join(own, "directory_id", "left").select(*identities.columns, "account_xid", "account_status")

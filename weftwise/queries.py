@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftwise.functions import aliases, phonetic, similarity, text
+from weftwise.functions import aliases, phonetic, registry, similarity, text
 from weftwise.operators import attributes, cluster, components, graph, lookup
 from weftwise.plans import match as matching
 from weftwise.plans import resolve as resolving
@@ -225,8 +225,14 @@ _PREFIX_SQL = f"probes as (select unnest([{', '.join(repr(f) for f, _ in _PREFIX
 _STARTS = "(starts_with(lower({0}_name), {1}) or starts_with({2}a, {1}) or starts_with({2}b, {1}))"
 
 
+# First letters with those that sound alike, spelt out letter by letter for the SQL alone.
+_ALIKE = {
+    "b": "bp", "p": "bp", "d": "dt", "t": "dt", "f": "fvw", "v": "fvw", "w": "fvw", "m": "mn", "n": "mn", "s": "csz", "z": "csz", "g": "cgkq", "k": "cgkq", "q": "cgkq", "c": "cgkqsz",
+}
+
+
 def _variants_sql(c: str) -> str:
-    arms = " ".join(f"when '{k.lower()}' then [{', '.join(repr(x.lower()) for x in v)}]" for k, v in phonetic.letter_variants().items())
+    arms = " ".join(f"when '{k}' then [{', '.join(repr(x) for x in v)}]" for k, v in _ALIKE.items())
     return f"(case substr({c}, 1, 1) {arms} else [substr({c}, 1, 1)] end)"
 
 
@@ -260,8 +266,13 @@ def lookup_suffix(spark, sf_dir):
 
 
 def _alias_sql(groups, names: list[str]) -> str:
-    table = "[" + ", ".join(f"{{'n': '{k}', 'p': {v!r}}}" for k, v in aliases.prefix_table(groups).items()) + "]"
-    return f"select name, prefix from (select x.n as name, unnest(x.p) as prefix from (select unnest({table}) as x)) where name in ({', '.join(repr(n.lower()) for n in names)})"
+    """Aliases worked out by SQL from the groups themselves."""
+    return f"select name, prefix from ({_alias_pairs(groups)}) where name in ({', '.join(repr(n.lower()) for n in names)})"
+
+
+def _alias_pairs(groups) -> str:
+    listed = ", ".join(f"({g}, '{x.lower()}')" for g, group in enumerate(groups) for x in group)
+    return f"select distinct a.n as name, left(b.n, 3) as prefix from (values {listed}) a(g, n) join (values {listed}) b(g, n) on a.g = b.g and a.n <> b.n and left(a.n, 3) <> left(b.n, 3)"
 
 
 @query(_alias_sql(aliases.FIRST_NAMES, derived.FIRST))
@@ -289,11 +300,12 @@ def _keys_sql(source: str) -> str:
 
 
 def _link_pairs(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
-    keyed = derived.persons(spark, sf_dir).filter(F.col("source") == source).select("record_key", F.explode(cluster.link_keys()).alias("k"))
-    return keyed.join(keyed.withColumnRenamed("record_key", "other_key"), "k").filter("record_key < other_key").select("record_key", "other_key").distinct()
+    """Members and leaders of each key; the pairs of a key are never made."""
+    rows = _in_one_request(spark, sf_dir).filter(F.col("source") == source)
+    return cluster.key_leaders(rows, ["request_id"]).select("record_key", "k", "leader", "members")
 
 
-_PAIRS = "select distinct a.record_key, b.record_key as other_key from keyed a join keyed b on a.k = b.k and a.record_key < b.record_key"
+_PAIRS = "select distinct record_key, k, min(record_key) over (partition by k) as leader, count(*) over (partition by k) as members from (select distinct record_key, k from keyed)"
 
 
 @query(_person(_keys_sql(DIRECTORY)) + _PAIRS)
@@ -312,9 +324,13 @@ _CROSS = """cross_pairs as (
     (d.email <> '' and h.email <> '' and lower(d.email) = lower(h.email)) or (h.phone_no <> '' and h.phone_no in (d.office_phone, d.mobile_phone, d.other_phone)) or (d.first_key = h.first_key and d.last_key = h.last_key)) and {0})"""
 
 
-@query(_person(_CROSS.format(_SAME, "")) + "select directory_key, helpdesk_key from cross_pairs")
+@query(
+    _person(_CROSS.format(_SAME, "")) + "select directory_key as record_key, min(helpdesk_key) as other_key, count(*) as others from cross_pairs group by directory_key "
+    "union all select helpdesk_key, min(directory_key), count(*) from cross_pairs group by helpdesk_key"
+)
 def link_pairs_cross(spark, sf_dir):
-    return cluster.cross_pairs(_in_one_request(spark, sf_dir), ["request_id"]).drop("request_id")
+    """Each record's links across sources: how many, and the first."""
+    return cluster.cross_links(_in_one_request(spark, sf_dir), ["request_id"]).select("record_key", "other_key", "others")
 
 
 def _closure(links: str, nodes: str = "select record_key as node from person") -> str:
@@ -439,12 +455,8 @@ def usable_representations(spark, sf_dir):
     return matching.representations(_match_requests(spark, sf_dir))
 
 
-def _alias_rows(groups) -> str:
-    return "[" + ", ".join(f"{{'n': '{k}', 'p': '{x}'}}" for k, v in aliases.prefix_table(groups).items() for x in v) + "]"
-
-
 _RETRIEVED = f"""{_REPS},
-first_alias as (select x.n as n, x.p as p from (select unnest({_alias_rows(aliases.FIRST_NAMES)}) as x)), last_alias as (select x.n as n, x.p as p from (select unnest({_alias_rows(aliases.LAST_NAMES)}) as x)),
+first_alias as (select name as n, prefix as p from ({_alias_pairs(aliases.FIRST_NAMES)})), last_alias as (select name as n, prefix as p from ({_alias_pairs(aliases.LAST_NAMES)})),
 probes as (select request_id, rep, left(hfa, 3) as f, left(hla, 3) as l from reps union select request_id, rep, left(hfb, 3), left(hlb, 3) from reps
   union select request_id, rep, p, left(hla, 3) from reps join first_alias on n = hfa union select request_id, rep, left(hfa, 3), p from reps join last_alias on n = hla),
 variants as (select request_id, rep, f, l, unnest({_variants_sql('l')}) || substr(l, 2) as v from probes),
@@ -533,16 +545,9 @@ def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return derived.table(spark, sf_dir, "edge"), derived.table(spark, sf_dir, "ticket")
 
 
-@query(_GRAPH + "select person_id, ticket_node, v.xid, subject, description, status, priority, created_at from links join view v on v.id = ticket_node where substr(person_id, -1) in ('0', '5')")
-def person_tickets(spark, sf_dir):
-    edges, tickets = _graph(spark, sf_dir)
-    asked = edges.select(F.explode(F.array("in_id", "out_id")).alias("person_id")).filter("person_id like 'c-%' and substr(person_id, -1) in ('0', '5')")
-    return graph.person_tickets(asked, edges, tickets).select("person_id", "ticket_node", "xid", "subject", "description", "status", "priority", "created_at")
-
-
 @query(_GRAPH + "select person_id, ticket_node, v.xid, subject, description, status, priority, created_at from links join view v on v.id = ticket_node")
-def person_tickets_all(spark, sf_dir):
-    """``person_tickets`` for every person of an edge."""
+def person_tickets(spark, sf_dir):
+    """The tickets of every person of an edge."""
     edges, tickets = _graph(spark, sf_dir)
     asked = edges.select(F.explode(F.array("in_id", "out_id")).alias("person_id")).filter("person_id like 'c-%'")
     return graph.person_tickets(asked, edges, tickets).select("person_id", "ticket_node", "xid", "subject", "description", "status", "priority", "created_at")
@@ -623,15 +628,16 @@ def system_variables(spark, sf_dir):
     return _intents(spark, sf_dir).select("id", F.explode(attributes.system_variables(F.col("attrs"))).alias("name", "value"))
 
 
-def _issues(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Issues from events: each uses an intent's variables and brings its own; ``whole`` takes all events over all intents."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    if whole:
-        parts = spark.read.parquet(f"{sf_dir}/part.parquet").agg(F.count(F.lit(1)).alias("parts"))
-        events = events.crossJoin(F.broadcast(parts))
-    else:
-        events = events.filter("event_id < 5000").withColumn("parts", F.lit(200))
-    events = events.withColumn("id", F.concat(F.lit("i-"), (F.col("event_id") % F.col("parts")).cast("string")))
+def _intent_requests(spark: SparkSession, sf_dir: str, times: int = 1) -> DataFrame:
+    """All events, each with an intent's id; with ``times`` 2, half of them ask for intents that don't exist."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").agg(F.count(F.lit(1)).alias("parts"))  # one row
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").crossJoin(F.broadcast(parts))
+    return events.withColumn("id", F.concat(F.lit("i-"), (F.col("event_id") % (F.col("parts") * times)).cast("string")))
+
+
+def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues from all events over all intents: each uses an intent's variables and brings its own."""
+    events = _intent_requests(spark, sf_dir)
     rows = events.join(_intents(spark, sf_dir), "id")
     user = F.map_from_arrays(F.array(F.lit("/v3"), F.lit("/subject"), F.lit("user")), F.array("event_type", F.when(F.col("event_id") % 4 == 0, F.concat(F.lit(" s"), F.col("event_id").cast("string"))).otherwise(" "), F.col("user_id").cast("string")))
     return attributes.issue_attributes(rows.select(
@@ -641,7 +647,7 @@ def _issues(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
 
 
 _ISSUES = f"""{_INTENT}, {_VARIABLES},
-ev as (select event_id, event_type, user_id, 'i-' || (event_id % 200)::varchar as id from events where event_id < 5000 and 'i-' || (event_id % 200)::varchar in (select id from intent)),
+ev as (select event_id, event_type, user_id, 'i-' || (event_id % (select count(*) from part))::varchar as id from events where 'i-' || (event_id % (select count(*) from part))::varchar in (select id from intent)),
 parts as (select event_id, 1 as prio, name as key, value from ev join variables using (id)
   union all select event_id, 2, '/v3', event_type from ev union all select event_id, 2, '/subject', case when event_id % 4 = 0 then ' s' || event_id else ' ' end from ev union all select event_id, 2, 'user', user_id::varchar from ev
   union all select event_id, 3, 'ogit/subject', case when event_id % 3 = 0 then 'arg' || event_id when event_id % 4 = 0 then 's' || event_id else 'New issue' end from ev
@@ -667,16 +673,83 @@ def issue_payload_json(spark, sf_dir):
     return _issues(spark, sf_dir).select("event_id", _payload())
 
 
-# every event, over all intents (parts are numbered from 0)
-_ALL_ISSUES = _ISSUES.replace("where event_id < 5000 and", "where").replace("event_id % 200", "event_id % (select count(*) from part)")
+@query(
+    f"{_INTENT} select event_id, e.id, case when i.id is null then 'not_found' else 'ok' end as status, description "
+    "from (select event_id, 'i-' || (event_id % (2 * (select count(*) from part)))::varchar as id from events) e left join intent i on i.id = e.id"
+)
+def intent_by_id(spark, sf_dir):
+    found = attributes.by_id(_intent_requests(spark, sf_dir, 2).select("event_id", "id"), _intents(spark, sf_dir))
+    return found.select("event_id", "id", "status", F.element_at("attrs", "ogit/description").alias("description"))
+
+
+@query(
+    f"{_ISSUES}, whole as (select event_id, key, value from attrs union all select event_id, 'ogit/_type', 'ogit/Automation/AutomationIssue' from ev) "
+    "select e.event_id, case when w.event_id is null then 'not_found' else 'ok' end as status, w.key, w.value from events e left join (select * from whole where event_id % 10 <> 9) w on w.event_id = e.event_id"
+)
+def issue_variables(spark, sf_dir):
+    """All variables of each event's issue, from the JSON that was stored; some issues are deleted."""
+    number = F.col("event_id").cast("string")
+    stored = _issues(spark, sf_dir).select(number.alias("id"), _payload(), (F.col("event_id") % 10 == 9).alias("is_deleted"))
+    asked = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", number.alias("id"))
+    return attributes.issue_variables(asked, stored).select("event_id", "status", F.explode_outer("variables").alias("key", "value"))
+
 
+@query(
+    f"{_INTENT}, asked as (select r_regionkey::bigint as request_id, p_type as t from region join part on p_partkey in (r_regionkey, r_regionkey + 7) where r_regionkey < 4) "
+    "select distinct a.request_id, i.id from asked a join intent i on i.intent_type = a.t union all select 4, id from intent"
+)
+def intents_by_type_lists(spark, sf_dir):
+    """Requests with their types as one text; the last names none."""
+    part, region = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("part", "region"))
+    key = F.col("r_regionkey").cast("long").alias("request_id")
+    named = region.filter("r_regionkey < 4").select(key, F.explode(F.array("r_regionkey", F.col("r_regionkey") + 7)).alias("p_partkey")).join(part, "p_partkey")
+    lists = named.groupBy("request_id").agg(F.concat(F.lit(" , "), F.array_join(F.collect_list("p_type"), " ,,")).alias("types"))
+    lists = lists.union(region.filter("r_regionkey >= 4").select(key, F.lit(" , ,").alias("types")))
+    rows = _intents(spark, sf_dir)
+    return attributes.intents_for(lists, rows.union(rows)).select("request_id", "id")
 
-@query(f"{_ALL_ISSUES} select event_id, key, value from attrs")
-def issue_attributes_all(spark, sf_dir):
-    return _issues(spark, sf_dir, whole=True).select("event_id", F.explode("attrs").alias("key", "value"))
 
+# ---------------------------------------------------------------- whole answers
 
-@query(f"{_ALL_ISSUES}, {_PAYLOAD}")
-def issue_payload_json_all(spark, sf_dir):
-    return _issues(spark, sf_dir, whole=True).select("event_id", _payload())
 
+@query(
+    f"select x.*, f.account_xid, f.account_status from ({_resolve_sql(_PHONES)}) x left join (select person_id, account_xid, account_status from ("
+    f"with account as ({derived.sql('account', 'duckdb')}), edge as ({derived.sql('connects', 'duckdb')}) select in_id as person_id, case when a.xid <> '' then a.xid else a.id end as account_xid, a.status as account_status, row_number() over (partition by in_id order by a.id) as nth "
+    "from edge join account a on a.id = out_id where a.source = 'directory') where nth = 1) f on f.person_id = x.directory_id"
+)
+def auth_response(spark, sf_dir):
+    found = resolving.resolve(_resolve_requests(spark, "phone"), derived.persons(spark, sf_dir))
+    return resolving.with_account(found, derived.table(spark, sf_dir, "connects"), derived.table(spark, sf_dir, "account"))
+
+
+@query(
+    _person(_FINAL)
+    + """, listed as (select request_id, to_json(list(struct_pack(nth := nth::int, name := trim(first_name || ' ' || last_name), first_name := first_name, last_name := last_name, directory_xid := directory_xid, helpdesk_xid := helpdesk_xid, confidence := confidence::int) order by nth))::varchar as body from ordered where nth <= 5 group by request_id)
+select n_nationkey::bigint as request_id, case when n_nationkey = 24 then 'bad_request' else 'ok' end as status, case when n_nationkey <> 24 then coalesce(body, '[]') end as body from nation left join listed on request_id = n_nationkey"""
+)
+def match_responses(spark, sf_dir):
+    """Requests as JSON bodies with fields that are dropped, and answers as JSON."""
+    extra = lambda part: F.struct(f"{part}.*", F.lit("de").alias("language"), F.lit(0.7).alias("confidence"))
+    sent = _match_requests(spark, sf_dir).withColumns({"first": extra("first"), "last": extra("last"), "channel": F.lit("phone")})
+    requests = matching.requests_of(sent.select(F.to_json(F.struct("*")).alias("body")))
+    return matching.responses(requests, matching.candidates(requests, derived.persons(spark, sf_dir)))
+
+
+@query(
+    _person(_NAMES, _FOUND.format("true"), "limited as (select *, row_number() over (partition by request_id, source order by record_key) as nth from found)")
+    + "select request_id, record_key from limited where nth <= 2 and domain = 'a.example.com'"
+)
+def lookup_limit(spark, sf_dir):
+    """The first two of each source, before the domain filter."""
+    asked = _resolve_requests(spark, "name", "a.example.com").filter("phone = '' and name != ''")
+    return resolving.candidates(asked, derived.persons(spark, sf_dir), lookup_limit=2).select("request_id", "record_key")
+
+
+@query(
+    f"select word, norm_a, norm_b, {_koelner('norm_b')} as code, domain from (select word, {_a('word')} as norm_a, {_b('word')} as norm_b, case when instr(word, '@') > 0 then lower(regexp_replace(word, '^.*@', '')) else '' end as domain from ({_WORDS}))"
+)
+def sql_functions_words(spark, sf_dir):
+    """The registered functions, called from SQL text."""
+    registry.register(spark)
+    _words(spark, sf_dir).createOrReplaceTempView("weftwise_words")
+    return spark.sql("select word, normalize_a(word) as norm_a, normalize_b(word) as norm_b, sound_code(normalize_b(word)) as code, email_domain(word) as domain from weftwise_words")
