@@ -82,7 +82,7 @@ with recursive all_person as ({derived.sql("person", "duckdb")}),
 person as (select *, source || ':' || id as record_key, lower(first_name) as first_key, lower(last_name) as last_key,
   {_a("first_name")} as fa, {_b("first_name")} as fb, {_a("last_name")} as la, {_b("last_name")} as lb,
   case when instr(email, '@') > 0 then lower(regexp_replace(email, '^.*@', '')) else '' end as domain
-  from all_person where source = 'directory' or (org_code = 'DG' and status = 'ACTIVE')){"".join(", " + x for x in extra)}
+  from all_person where not is_deleted and (source = 'directory' or (org_code = 'DG' and status = 'ACTIVE'))){"".join(", " + x for x in extra)}
 """
 
 
@@ -115,10 +115,13 @@ def strip_tags_pages(spark, sf_dir):
     return pages.select("page_id", F.md5(text.strip_tags(F.col("html"))).alias("digest"))
 
 
-@query("select p_partkey, nullif(array_to_string(list_filter(string_split(p_name, ' '), lambda x : x <> ''), ' '), '') as words from part")
+@query("select p_partkey, case when p_partkey % 10 < 6 then nullif(array_to_string(list_filter(string_split(p_name, ' '), lambda x : x <> ''), ' '), '') end as words from part")
 def structured_words(spark, sf_dir):
+    """Arrays of words; four in ten are broken, no array, of the wrong type or empty."""
     words = F.transform(F.split("p_name", " "), lambda w: F.struct(w.alias("word"), F.lit(0.9).alias("confidence")))
-    raw = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.to_json(words).alias("raw"))
+    tenth, broken = F.col("p_partkey") % 10, ['[{"word":"x"', '{"word":"x"}', '[{"word":5}]', "[]"]
+    odd = F.get(F.lit(broken), (tenth - 6).cast("int"))
+    raw = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.when(tenth < 6, F.to_json(words)).otherwise(odd).alias("raw"))
     return raw.select("p_partkey", text.structured_words(F.col("raw")).alias("words"))
 
 
@@ -154,27 +157,32 @@ def email_domain_persons(spark, sf_dir):
     return derived.persons(spark, sf_dir).groupBy("domain").agg(F.count(F.lit(1)).alias("persons"))
 
 
-@query(_person() + r"select record_key, string_split_regex(first_name || ' ' || last_name, ' ')[1] as first, regexp_replace(first_name || ' ' || last_name, '^\S+ ', '') as last from person")
+@query(_person() + r"select record_key, string_split(n, ' ')[1] as first, case when instr(n, ' ') > 0 then trim(substr(n, instr(n, ' ') + 1)) else '' end as last from (select record_key, trim(first_name || '  ' || last_name || case when record_key like '%7' then ' van Dyk ' else '' end) as n from person)")
 def split_name(spark, sf_dir):
-    name = F.concat_ws(" ", "first_name", "last_name")
+    """Names of one, two and more words, with spaces around."""
+    name = F.concat(F.col("first_name"), F.lit("  "), F.col("last_name"), F.when(F.col("record_key").endswith("7"), " van Dyk ").otherwise(""))
     return derived.persons(spark, sf_dir).select("record_key", text.split_first(name).alias("first"), text.split_last(name).alias("last"))
 
 
 # ---------------------------------------------------------------- requests
 
-#: Phones of both kinds for the first groups, each asked for without and with a domain; names likewise.
+#: Phones of all kinds for the first groups, each asked for without and with a domain; names likewise.
 def _resolve_requests(spark: SparkSession, kind: str, domain: str = "") -> DataFrame:
     if kind == "phone":
-        rows = spark.range(140).select(
-            F.col("id").alias("request_id"), F.concat(F.when(F.col("id") < 80, "+4900").otherwise("+4911"), F.lpad(F.when(F.col("id") < 80, F.col("id")).otherwise(F.col("id") - 80).cast("string"), 6, "0")).alias("phone"), F.lit("").alias("name")
-        )
+        i = F.col("id")
+        kind_of = lambda *values: F.when(i < 80, values[0]).when(i < 140, values[1]).when(i < 180, values[2]).when(i < 220, values[3]).otherwise(values[4])
+        number = (i - kind_of(*map(F.lit, (0, 80, 140, 180, 220)))).cast("string")
+        rows = spark.range(260).select(i.alias("request_id"), F.concat(kind_of("+4900", "+4911", "+4922", "+4933", "+4944"), F.lpad(number, 6, "0")).alias("phone"), F.lit("").alias("name"))
     else:
         names = [f"{f} {x}" for f in derived.FIRST for x in derived.LAST]
         rows = spark.createDataFrame([(i, "", n) for i, n in enumerate(names)] + [(900, "", ""), (901, "+4900000001", "Maik Sellner")], "request_id long, phone string, name string")
     return rows.withColumn("domains", text.parse_list(F.lit(domain), lower=True))
 
 
-_PHONES = "requests as (select i as request_id, case when i < 80 then '+4900' || lpad(i::varchar, 6, '0') else '+4911' || lpad((i - 80)::varchar, 6, '0') end as phone, '' as name from range(140) r(i))"
+_PHONES = (
+    "requests as (select i as request_id, case when i < 80 then '+4900' when i < 140 then '+4911' when i < 180 then '+4922' when i < 220 then '+4933' else '+4944' end "
+    "|| lpad((i - case when i < 80 then 0 when i < 140 then 80 when i < 180 then 140 when i < 220 then 180 else 220 end)::varchar, 6, '0') as phone, '' as name from range(260) r(i))"
+)
 _NAMES = (
     "requests as (select (f.i * 12 + l.i)::bigint as request_id, '' as phone, f.n || ' ' || l.n as name from "
     + f"(select unnest(range(12)) as i, unnest([{', '.join(repr(x) for x in derived.FIRST)}]) as n) f cross join (select unnest(range(12)) as i, unnest([{', '.join(repr(x) for x in derived.LAST)}]) as n) l "
@@ -437,7 +445,7 @@ def _match_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         words = F.to_json(F.array(F.struct(said.alias("word"), F.lit(0.8).alias("confidence"))))
         return F.struct(
             said.alias("raw"), F.when(n % 2 == 0, F.concat(F.lit("\t"), F.lower(said), F.lit(" "))).otherwise("").alias("nlp"), F.when(n % 3 == 0, F.concat(F.lit(f"<{tag}>"), said, F.lit(f"</{tag}>"))).otherwise("<x></x>").alias("tagged"),
-            F.lit(None).cast("string").alias("slotted"), F.when((n % 4 == 1) & (n != 24), words).otherwise("not json").alias("structured"),
+            F.when(n % 5 == 2, F.concat(F.lit(f"<a>\n<{tag} id='1'>"), said, F.lit(f"</{tag}></a>"))).alias("slotted"), F.when((n % 4 == 1) & (n != 24), words).when(n % 4 == 2, '[{"word":5}]').when(n % 4 == 3, '{"word":"x"}').otherwise("not json").alias("structured"),
         )
 
     domains = F.when(n % 6 == 5, F.array(F.lit("a.example.com"))).otherwise(F.array().cast("array<string>"))
@@ -446,7 +454,7 @@ def _match_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _REPS = f"""stt as ({_stt("duckdb")}),
 heard as (select request_id, 'raw' as rep, f as first, l as last from stt union all select request_id, 'nlp', lower(f), lower(l) from stt where request_id % 2 = 0
-  union all select request_id, 'tagged', f, l from stt where request_id % 3 = 0 union all select request_id, 'structured', f, l from stt where request_id % 4 = 1),
+  union all select request_id, 'tagged', f, l from stt where request_id % 3 = 0 union all select request_id, 'structured', f, l from stt where request_id % 4 = 1 union all select request_id, 'slotted', f, l from stt where request_id % 5 = 2),
 reps as (select request_id::bigint as request_id, rep, first, last, (count(*) over (partition by request_id))::int as total, {_a("first")} as hfa, {_b("first")} as hfb, {_a("last")} as hla, {_b("last")} as hlb from heard where request_id <> 24)"""
 
 

@@ -20,18 +20,20 @@ LISTS = {"FIRST": FIRST, "LAST": LAST, "DOMAIN": DOMAIN}
 TABLES = {
     "person": """
         select concat('c-', k) as id, case when k % 4 = 0 then concat('CX', k) else '' end as xid, 'directory' as source,
-               {pick:FIRST:g % 12} as first_name, {pick:LAST:(g {div} 12) % 12} as last_name,
+               case when k % 31 = 4 then '' else {pick:FIRST:g % 12} end as first_name, {pick:LAST:(g {div} 12) % 12} as last_name,
                case when k % 3 in (0, 1) or g % 2 = 0 then concat('p', g, '@', {pick:DOMAIN:(g {div} 144) % 3}) else '' end as email,
                case when k % 3 in (1, 2) then concat('+4900', lpad(cast(g as varchar(20)), 6, '0')) else '' end as office_phone,
-               '' as mobile_phone, '' as other_phone, '' as phone_no, '' as org_code, '' as status
+               case when g % 5 = 1 then concat('+4922', lpad(cast(g as varchar(20)), 6, '0')) else '' end as mobile_phone,
+               case when g % 7 = 2 then concat('+4933', lpad(cast(g {div} 2 as varchar(20)), 6, '0')) when g % 7 = 3 then '0' else '' end as other_phone,
+               '' as phone_no, '' as org_code, '' as status, k % 17 = 11 as is_deleted
         from (select c_custkey as k, c_custkey {div} 3 as g from customer) c
         union all
         select concat('s-', k), case when k % 3 = 0 then concat('SX', k) else '' end, 'helpdesk',
-               {pick:FIRST:g % 12}, {pick:LAST:(g {div} 12) % 12},
+               case when k % 23 = 9 then '' else {pick:FIRST:g % 12} end, {pick:LAST:(g {div} 12) % 12},
                case when k % 2 = 1 then '' when g % 8 = 4 then concat('p', g, '@x.example.org') else concat('p', g, '@', {pick:DOMAIN:(g {div} 144) % 3}) end,
-               '', '', '',
+               case when g % 6 = 5 then concat('+4944', lpad(cast(g as varchar(20)), 6, '0')) else '' end, '', '',
                case when k % 4 = 1 then '0' when g % 8 = 2 then concat('+4911', lpad(cast(g as varchar(20)), 6, '0')) else concat('+4900', lpad(cast(g as varchar(20)), 6, '0')) end,
-               case when k % 7 = 0 then 'XX' else 'DG' end, case when k % 10 = 0 then 'INACTIVE' else 'ACTIVE' end
+               case when k % 7 = 0 then 'XX' else 'DG' end, case when k % 10 = 0 then 'INACTIVE' else 'ACTIVE' end, k % 13 = 6
         from (select s_suppkey as k, s_suppkey {div} 2 as g from supplier) s""",
     "ticket": """
         select concat('t-', o_orderkey) as id, concat('TX', o_orderkey) as xid, concat('E', o_orderkey) as ext_id, concat('T', o_orderkey {div} 2) as ticket_id,
