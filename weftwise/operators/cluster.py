@@ -18,14 +18,15 @@ def usable_phones() -> Column:
     return F.array_distinct(F.filter(own, lambda p: ~p.isin("", "0")))
 
 
-def link_keys(exclude_phone: bool = False) -> Column:
-    """What records of one source must share to be linked, as strings."""
+def link_keys(exclude_phone: bool | Column = False) -> Column:
+    """What records of one source must share to be linked, as strings; ``exclude_phone`` may differ by row."""
     email = F.when(F.col("email") != "", F.array(F.concat(F.lit("email "), F.lower("email")))).otherwise(F.array().cast("array<string>"))
     phones = F.transform(usable_phones(), lambda p: F.concat(F.lit("phone "), p))
-    return email if exclude_phone else F.concat(email, phones)
+    without = exclude_phone if isinstance(exclude_phone, Column) else F.lit(exclude_phone)
+    return F.when(without, email).otherwise(F.concat(email, phones))
 
 
-def key_leaders(records: DataFrame, scope: list[str], exclude_phone: bool = False) -> DataFrame:
+def key_leaders(records: DataFrame, scope: list[str], exclude_phone: bool | Column = False) -> DataFrame:
     """(scope, source, k, record_key, leader, members): each record's link keys with the smallest record of each and how many have it."""
     keyed = records.withColumn("k", F.explode(link_keys(exclude_phone))).select(*scope, "source", "k", "record_key").distinct()
     leader = keyed.groupBy(*scope, "source", "k").agg(F.min("record_key").alias("leader"), F.count(F.lit(1)).alias("members"))
@@ -75,13 +76,12 @@ def _node(scope: list[str], key: str) -> Column:
     return F.concat_ws("\x1f", *[F.col(c).cast("string") for c in scope], F.col(key))
 
 
-def clusters(records: DataFrame, scope: list[str], exclude_phone: bool = False, across: bool = False) -> DataFrame:
+def clusters(records: DataFrame, scope: list[str], exclude_phone: bool | Column = False, across: bool = False) -> DataFrame:
     """``records`` with ``cluster``, the smallest record key of those that are one person within the scope.
 
     Records of one source that share a key hang on the key's smallest record, so no pairs are made. ``across``
-    also links the two sources.
+    also links the two sources. ``records`` is read several times, so it should be a table (``settle``).
     """
-    records = settle(records)
     links = key_leaders(records, scope, exclude_phone).select(_node(scope, "record_key").alias("p"), _node(scope, "leader").alias("q"))
     if across:
         links = links.union(cross_links(records, scope).select(_node(scope, "record_key"), _node(scope, "other_key")))

@@ -18,8 +18,11 @@ def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     a, b = links.columns
     pairs = links.select(F.col(a).alias("p"), F.col(b).alias("q")).filter("p != q")
     pairs = settle(pairs.union(pairs.select("q", "p")).distinct())
-    labels = nodes.select("node").distinct().withColumn("label", F.col("node"))
-    if pairs.isEmpty():
+    # before the first round every label is the node itself, so the smallest neighbour is at hand
+    start = pairs.groupBy("p").agg(F.min("q").alias("low"))
+    nodes = nodes.select("node").distinct()
+    labels = settle(nodes.join(start, nodes["node"] == start["p"], "left").select("node", F.least("node", F.coalesce("low", "node")).alias("label")))
+    if labels.filter("label != node").isEmpty():
         return labels
     while True:
         near = pairs.join(labels, pairs["q"] == labels["node"]).groupBy(F.col("p").alias("node")).agg(F.min("label").alias("near"))

@@ -63,7 +63,7 @@ def retrieved(requests: DataFrame, reps: DataFrame, person: DataFrame, lookup_li
 def scored_groups(requests: DataFrame, reps: DataFrame, person: DataFrame) -> DataFrame:
     """(request_id, rep, cluster, record_key, ..., stage_points): records with their group's points."""
     scope = ["request_id", "rep"]
-    grouped = clusters(retrieved(requests, reps, person), scope, across=True)
+    grouped = settle(clusters(settle(retrieved(requests, reps, person)), scope, across=True))
     best = representatives(grouped, [*scope, "cluster"])
     # a group is scored by its directory record's name, else by the helpdesk's
     name = best.groupBy(*scope, "cluster").agg(F.min(F.struct((F.col("source") != DIRECTORY).alias("o"), "first_name", "last_name")).alias("n"))

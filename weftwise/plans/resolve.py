@@ -36,9 +36,7 @@ def resolve(requests: DataFrame, person: DataFrame, lookup_limit: int | None = N
     found = settle(candidates(requests, person, lookup_limit))
     scope = ["request_id"]
     # a phone search already shares the phone, so there it links nothing
-    phone = clusters(found.filter("by_phone"), scope, exclude_phone=True)
-    name = clusters(found.filter("not by_phone"), scope)
-    grouped = settle(phone.unionByName(name))
+    grouped = settle(clusters(found, scope, exclude_phone=F.col("by_phone")))
     counts = grouped.groupBy("request_id").agg(
         F.count_distinct(F.when(F.col("source") == DIRECTORY, F.col("cluster"))).alias("d"), F.count_distinct(F.when(F.col("source") == HELPDESK, F.col("cluster"))).alias("h")
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weftwise.functions import aliases, phonetic, registry, similarity, text
 from weftwise.operators import attributes, cluster, components, graph, lookup
+from weftwise.operators.work import settle
 from weftwise.plans import match as matching
 from weftwise.plans import resolve as resolving
 from weftwise.sources import derived
@@ -299,7 +300,7 @@ def alias_probe_last(spark, sf_dir):
 
 
 def _in_one_request(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived.persons(spark, sf_dir).withColumn("request_id", F.lit(0))
+    return settle(derived.persons(spark, sf_dir).withColumn("request_id", F.lit(0)))
 
 
 def _keys_sql(source: str) -> str:
