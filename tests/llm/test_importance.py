@@ -44,6 +44,26 @@ def test_weights_are_the_ratio_of_the_two_models(spark):
         assert abs(weights[alone[g]] - want) < 1e-4
 
 
+def test_ratio_key_and_cut(spark):
+    """Log ratios, Gumbel keys and the cut against plain Python; keys far apart and beyond a million stay in order."""
+    rows, labels = corpus(2, 120)
+    rows.append((500, " ".join(["g1"] * 400_000), "x"))
+    rows.append((501, " ".join(["b1"] * 400_000), "x"))
+    df = spark.createDataFrame(rows, COLUMNS).repartition(4)
+    good = good_ids(spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    weights = fit(df, good)
+    got = {r["doc_id"]: r for r in resample(df, good, 0.5).collect()}
+    for d, text, _ in rows:
+        data = np.frombuffer(text.encode(), np.uint8)
+        bucket, _ = importance.hashed_ngrams(data, np.array([0, len(data)]))
+        assert got[d]["n_ngrams"] == len(bucket) and math.isclose(got[d]["log_ratio"], float(weights[bucket].astype(float).sum()), rel_tol=1e-6, abs_tol=1e-6)
+    noise = [r["gumbel_key"] - r["log_ratio"] for d, r in got.items() if d < 500]
+    assert -4 < min(noise) < max(noise) < 12 and 0 < sum(noise) / len(noise) < 1.2
+    order = sorted(got, key=lambda d: -got[d]["gumbel_key"])
+    assert {d for d, r in got.items() if r["kept"]} == set(order[: round(0.5 * len(rows))])
+    assert min(abs(got[d]["log_ratio"]) for d in (500, 501)) > 1e6
+
+
 def test_sample(spark):
     rows, labels = corpus(1)
     rows += [(1000, None, "x"), (1001, " ", "x"), (5, rows[5][1], "x"), (None, rows[6][1], "x")]

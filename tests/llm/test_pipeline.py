@@ -54,3 +54,21 @@ def test_stages(spark):
             for r in docs.collect():
                 got[r["doc_id"]] += r["length"]
             assert got == {d: len(library.encode(t, add_special_tokens=False).ids) + 1 for d, t in before.items()}
+
+
+def test_run_over_odd_rows(spark, tmp_path):
+    """Rows that share an id, repeated rows, null ids and texts, and a column that no stage knows."""
+    rows = corpus()
+    one, two, three = rows[0][1], rows[1][1], rows[2][1]
+    some = [(1, one, "a"), (1, one, "b"), (1, two, "c"), (2, two + " tail", "d"), (None, three, "e"), (None, three, "f"), (7, None, "g"), (8, "", "h")]
+    docs = spark.createDataFrame([(d, t, "en", "s", None, x) for d, t, x in some], f"{SCHEMA}, text_hash string")
+    kept = pipeline.near_dedup(spark, docs, None)
+    assert kept.columns == docs.columns
+    got = sorted((r["doc_id"] or -1, r["text"] or "") for r in kept.collect())
+    # both texts of id 1 stay, each once; 2 is near one of them
+    assert got == sorted([(1, one), (1, two), (-1, three), (-1, three), (7, ""), (8, "")])
+    docs.write.parquet(f"{tmp_path}/full/documents.parquet")
+    found = pipeline.run(spark, f"{tmp_path}/full").collect()
+    assert {r["doc_id"] for r in found} == {1, None}
+    docs.filter("false").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert pipeline.run(spark, f"{tmp_path}/none").count() == 0

@@ -59,6 +59,13 @@ def test_cascade_orders_by_rejections_per_cost(spark):
     assert order[0] == "symbols"
 
 
+def test_repeated_rows_and_null_ids(spark):
+    df = spark.createDataFrame([(None, PROSE, True), (None, PROSE, True), (1, PROSE, False), (1, None, None)], "doc_id long, text string, kept boolean")
+    got = judge(df).collect()
+    assert [r["_kept"] for r in got if r["text"]] == [True] * 3 and [r["kept"] for r in got if r["text"]] == [True, True, False]
+    assert sorted(map(str, keep_good(df).collect())) == sorted(str(r) for r in df.collect() if r["text"])
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert judge(df).count() == 0 and keep_good(df).count() == 0

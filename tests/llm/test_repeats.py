@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from weftwise.llm.repeats import remove_repeats
+from weftwise.llm.repeats import STEP, remove_repeats
 from weftwise.llm.run_index import RunLengthIndex
 
 L = 60
@@ -66,6 +66,17 @@ def test_empty_table_and_clashing_columns(spark):
     assert row["n_bytes"] == "mine" and row["_n_bytes"] == 100 and row["n_removed"] == 100 and row["d"] == 4 and row["text"] == ""
 
 
+def test_text_of_several_steps(spark):
+    """Over 16 MB: matches within one text, across the seam of two steps, and with another text."""
+    rng = np.random.default_rng(6)
+    text = rng.integers(97, 123, STEP + 400_000).astype(np.uint8)
+    text[STEP + 200_000 : STEP + 200_300] = text[1000:1300]
+    seam = bytes(text[STEP - 150 : STEP + 150]).decode()
+    rows = [(1, bytes(text).decode()), (2, f"<{seam}>"), (3, "short")]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=200).collect()}
+    assert got == {1: (len(text), 900, 3), 2: (302, 300, 1), 3: (5, 0, 0)}
+
+
 def test_index_gives_longest_match_elsewhere():
     rng = np.random.default_rng(0)
     for _ in range(60):

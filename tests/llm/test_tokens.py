@@ -82,6 +82,40 @@ def test_packing(spark, size):
     assert least <= len(by_sequence) <= least + 2
 
 
+def test_odd_rows(spark):
+    """Null ids, repeated rows and columns of the results' names: each row is packed and encoded by itself."""
+    rows = [(None, TEXTS[3], 1, "x"), (None, None, 2, "x"), (5, TEXTS[4], 3, "x"), (5, TEXTS[4], 4, "x"), (5, TEXTS[5], 5, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, length int, ids_sha256 string").repartition(2)
+    pieces = pack_documents(df, PATH).collect()
+    assert sorted((r["doc_id"] or -1, r["length"]) for r in pieces) == sorted((d or -1, len(want(t)) + 1) for d, t, _, _ in rows)
+    assert len({(r["sequence_id"], r["offset"]) for r in pieces}) == len(rows)
+    digests = encoding_digests(df, PATH).select("doc_id", "n_tokens").collect()
+    assert sorted((d or -1, n) for d, n in digests) == sorted((d or -1, len(want(t))) for d, t, _, _ in rows)
+
+
+def test_equal_lengths_fill_by_pairs_and_triples():
+    """Lengths that only combinations of two, three and four fill exactly."""
+    for counts in ({30: 50, 34: 50}, {20: 40, 24: 40}, {10: 30, 14: 30, 40: 30}, {64: 5, 32: 7}):
+        histogram = np.zeros(65, np.int64)
+        for x, n in counts.items():
+            histogram[x] = n
+        slots = plan_slots(histogram, 64)
+        assert slots["sequence"].size and int((histogram * np.arange(65)).sum()) <= 64 * _sequences(slots, histogram)
+    exact = np.zeros(65, np.int64)
+    exact[[30, 34]] = 50
+    assert _sequences(plan_slots(exact, 64), exact) == 50
+    exact = np.zeros(65, np.int64)
+    exact[[20, 24]] = [80, 40]
+    assert _sequences(plan_slots(exact, 64), exact) == 40
+
+
+def _sequences(slots, histogram):
+    """How many sequences a plan has: its ranges' numbers run on from each start."""
+    low, length, sequence = slots["low"], slots["length"], slots["sequence"]
+    ends = np.append(np.where(length[1:] == length[:-1], low[1:], histogram[length[:-1]]), histogram[length[-1]])
+    return int((sequence + ends - low).max())
+
+
 def test_plan_is_tight_on_random_histograms():
     rng = np.random.default_rng(0)
     for size in (16, 100, 2048):
