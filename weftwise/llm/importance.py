@@ -4,9 +4,8 @@
    documents for the raw model, and over the labelled good ones for the target model. The target documents
    are a bounded sample: the ``TARGET_ROWS`` labelled rows of lowest hash; all else counts every document.
    Each task adds up its own counters, so a row a task and used bucket is shuffled, whatever the texts hold.
-2. A document's log ratio is the sum over its n-grams of log target - log raw (both smoothed). An n-gram
-   counts once for each time it occurs; its weight is clipped to ``CLIP`` so that no single one decides, and
-   is 0 where the two counts differ by less than ``SIGMAS`` standard errors.
+2. A document's log ratio is the sum over its n-grams of log target - log raw, both smoothed by ``SMOOTHING``
+   counts, so that a rare n-gram's sampling error weighs little. An n-gram counts once for each time it occurs.
 3. Gumbel noise, a hash of the document's id and text, is added and the highest ``share`` of documents are
    kept: drawing without replacement in proportion to the ratio. The cut is found by counting in four passes
    over 16 bits each of the sortable key (65,536 rows to the driver at most), so nothing is sorted or gathered.
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 
 from weftwise.llm.common import LOWER, U64, RollingHash, materialise, mix64, row_key, text_chunks, words_of, work_dir
 
-BUCKETS, TARGET_ROWS, CLIP, SMOOTHING, SIGMAS = 1 << 18, 20_000, 4.0, 5.0, 3.0
+BUCKETS, TARGET_ROWS, SMOOTHING = 1 << 18, 20_000, 8.0
 
 
 def hashed_ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,9 +71,7 @@ def fit(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col
     # the target is smoothed towards the raw model, so an n-gram it never saw costs more the commoner it is in raw text
     share = (raw + 1e-3) / (raw + 1e-3).sum()
     expected = share * target.sum()
-    weight = np.clip(np.log((target + SMOOTHING) / (expected + SMOOTHING)), -CLIP, CLIP)
-    # what the target's own sampling error explains says nothing about a text
-    return np.where(np.abs(target - expected) > SIGMAS * np.sqrt(expected + 1), weight, 0).astype(np.float32)
+    return np.log((target + SMOOTHING) / (expected + SMOOTHING)).astype(np.float32)
 
 
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
