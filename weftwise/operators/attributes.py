@@ -56,12 +56,13 @@ def issue_variables(requests: DataFrame, stored: DataFrame) -> DataFrame:
 
 def intents_for(requests: DataFrame, intents: DataFrame) -> DataFrame:
     """(request_id, id, attrs): the intents of each request's ``types``, a comma-separated text; all if it names none."""
-    asked = requests.select("request_id", parse_list(F.col("types"), lower=False).alias("wanted"))
-    once = intents.dropDuplicates(["id"]).withColumn("type", F.element_at("attrs", TYPE))
-    some = asked.filter(F.size("wanted") > 0).select("request_id", F.explode(F.array_distinct("wanted")).alias("type")).join(once, "type")
-    # every request without a list gets the whole catalogue: that many rows are the answer
-    every = asked.filter(F.size("wanted") == 0).select("request_id").join(once)
-    return some.select("request_id", "id", "attrs").union(every.select("request_id", "id", "attrs"))
+    key = lambda all_, value: F.struct(F.lit(all_).alias("all"), value.alias("type"))
+    wanted = F.array_distinct(parse_list(F.col("types"), lower=False))
+    asked = F.when(F.size(wanted) > 0, F.transform(wanted, lambda t: key(False, t))).otherwise(F.array(key(True, F.lit(""))))
+    # an intent answers to its type and to those that name none
+    answers = F.array(key(False, F.coalesce(F.element_at("attrs", TYPE), F.lit(""))), key(True, F.lit("")))
+    listed = intents.dropDuplicates(["id"]).select("id", "attrs", F.inline(answers))
+    return requests.select("request_id", F.inline(asked)).join(listed, ["all", "type"]).select("request_id", "id", "attrs")
 
 
 def intents_by_type(intents: DataFrame, types: list[str] | None = None) -> DataFrame:

@@ -126,13 +126,17 @@ def structured_words(spark, sf_dir):
     return raw.select("p_partkey", text.structured_words(F.col("raw")).alias("words"))
 
 
-_PARTS = "(select distinct p_type as t from part) a cross join (select distinct p_type as u from part) b"
+_PARTS = "select a.p_partkey, case when a.p_partkey % 50 = 0 then '' else a.p_name || a.p_type end as t, case when b.p_partkey % 25 = 1 then '' else b.p_name || b.p_type end as u from part a join part b on b.p_partkey = a.p_partkey + 1"
 
 
-@query(f"select t, u, {_ratio('t', 'u')} as ratio from {_PARTS}")
+@query(f"select p_partkey, t, u, {_ratio('t', 'u')} as ratio from ({_PARTS})")
 def fuzzy_ratio_parts(spark, sf_dir):
-    t = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_type").alias("t")).distinct()
-    return t.join(t.withColumnRenamed("t", "u")).select("t", "u", similarity.fuzzy_ratio(F.col("t"), F.col("u")).alias("ratio"))
+    """Each part's name against the next one's; some are empty, on one side or both."""
+    key, named = F.col("p_partkey"), F.concat("p_name", "p_type")
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    t = part.select(key, F.when(key % 50 == 0, "").otherwise(named).alias("t"))
+    u = part.select((key - 1).alias("p_partkey"), F.when(key % 25 == 1, "").otherwise(named).alias("u"))
+    return t.join(u, "p_partkey").select("p_partkey", "t", "u", similarity.fuzzy_ratio(F.col("t"), F.col("u")).alias("ratio"))
 
 
 def _names_sql(alias: str, names: list[str]) -> str:
@@ -148,7 +152,7 @@ select heard, stored, quality, cast(floor(50.0::double * (0.35::double * 1.0::do
 @query(_QUALITY)
 def match_quality_pairs(spark, sf_dir):
     names = spark.createDataFrame([(x,) for x in derived.LAST], "heard string")
-    both = names.join(names.withColumnRenamed("heard", "stored"))
+    both = names.withColumn("stored", F.explode(F.lit(derived.LAST)))
     q = both.withColumn("quality", similarity.match_quality(F.col("heard"), F.col("stored")))
     return q.withColumn("stage", similarity.stage_points(F.lit(1.0), F.col("quality")))
 
@@ -639,8 +643,8 @@ def system_variables(spark, sf_dir):
 
 def _intent_requests(spark: SparkSession, sf_dir: str, times: int = 1) -> DataFrame:
     """All events, each with an intent's id; with ``times`` 2, half of them ask for intents that don't exist."""
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").agg(F.count(F.lit(1)).alias("parts"))  # one row
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").crossJoin(F.broadcast(parts))
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").agg(F.count(F.lit(1))).scalar()
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("parts", parts)
     return events.withColumn("id", F.concat(F.lit("i-"), (F.col("event_id") % (F.col("parts") * times)).cast("string")))
 
 
