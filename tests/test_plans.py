@@ -1,6 +1,7 @@
 """Resolving, matching, graph steps, attributes and the stream wrapper on small cases."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -216,6 +217,34 @@ def test_links_across_sources_are_those_of_the_cascade(spark):
     assert got == {x: (min(ys), len(ys)) for x, ys in want.items()} and len(pairs) > 500
 
 
+def closure(nodes, links):
+    label = {x: x for x in nodes}
+    for a, b in links:
+        a, b = sorted((label[a], label[b]))
+        label = {x: a if y == b else y for x, y in label.items()}
+    return label
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_clusters_across_sources_are_those_of_all_pairs(spark, seed):
+    """Records that are linked by several keys at once to different records: nothing falls apart."""
+    rng = random.Random(seed)
+    one = lambda kind, i: kind(str(i), rng.choice(["Maik", "Ida", "Jan", "Kai"]), rng.choice(["Lander", "Weber", "Voss"]), email=rng.choice(["", "", "a@x", "b@x", "c@x"]))
+    rows = []
+    for i in range(70):
+        p = dict(zip(FIELDS, one(d if i % 3 else h, i), strict=True))
+        for c in ("office_phone", "mobile_phone") if i % 3 else ("phone_no",):
+            p[c] = rng.choice(["", "", "0", f"+{rng.randrange(12)}"])
+        rows.append(tuple(p[c] for c in FIELDS))
+    people = table(spark, rows).withColumn("r", F.lit(1)).cache()
+    x, y = (people.filter(F.col("source") == s).alias(a) for s, a in (("directory", "d"), ("helpdesk", "h")))
+    links = [tuple(r) for r in x.join(y, cluster.same_person("d", "h")).select("d.record_key", F.col("h.record_key").alias("other")).collect()]
+    keyed = people.select("record_key", "source", F.explode(cluster.link_keys()).alias("k")).collect()
+    links += [(a["record_key"], b["record_key"]) for a in keyed for b in keyed if a["source"] == b["source"] and a["k"] == b["k"]]
+    got = {r["record_key"]: r["cluster"] for r in cluster.clusters(people, ["r"], across=True).collect()}
+    assert got == closure(list(got), links)
+
+
 def test_account_and_limit(spark):
     people = table(spark, [d("1", office_phone="+1"), d("2", office_phone="+1"), h("3", phone_no="+1"), d("4", office_phone="+4")])
     asked = spark.createDataFrame([(1, "+1", "", []), (2, "+4", "", []), (3, "+9", "", [])], RESOLVE_REQUEST)

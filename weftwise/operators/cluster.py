@@ -45,13 +45,12 @@ def same_person(d: str, h: str) -> Column:
     )
 
 
-def cross_links(records: DataFrame, scope: list[str]) -> DataFrame:
-    """(scope, record_key, source, other_key, others): each record that is one person with records of the other source.
+def _cross_groups(records: DataFrame, scope: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Records listed under their groups, and the pairs of groups (source, group, leader, other_key, others) that are linked.
 
-    ``others`` counts those records and ``other_key`` is the smallest of them; no pairs are made. Each step of the
-    cascade in ``same_person`` decides its own pairs: e-mail those in which both sides have one, phone those of the
-    rest in which both have one, name what is left. So the records that share a key of a step, split by what they
-    have, are groups of which either all or no members are linked, and only such groups are joined.
+    Each step of the cascade in ``same_person`` decides its own pairs: e-mail those in which both sides have one,
+    phone those of the rest in which both have one, name what is left. So the records that share a key of a step,
+    split by what they have, are groups of which either all or no members are linked, and only groups are joined.
     """
     has_email, own = F.col("email") != "", F.col("source") == DIRECTORY
     phones = F.array_distinct(F.filter(F.when(own, F.array(*DIRECTORY_PHONES)).otherwise(F.array("phone_no")), lambda p: p != ""))
@@ -63,15 +62,34 @@ def cross_links(records: DataFrame, scope: list[str]) -> DataFrame:
     )
     group = [*scope, "kind", "value", "has_email", "has_phone"]
     listed = records.select(*scope, "source", "record_key", has_email.alias("has_email"), (F.size(phones) > 0).alias("has_phone"), F.inline(keys))
-    groups = listed.groupBy("source", *group).agg(F.min("record_key").alias("other_key"), F.count(F.lit(1)).alias("others"))
-    near, far = listed.select("source", *group).distinct().alias("a"), groups.alias("b")
+    groups = listed.groupBy("source", *group).agg(F.min("record_key").alias("leader"), F.count(F.lit(1)).alias("n"))
+    near, far = groups.alias("a"), groups.alias("b")
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     decides = F.when(a("kind") == "e", True).when(a("kind") == "p", ~(a("has_email") & b("has_email"))).otherwise(~(a("has_email") & b("has_email")) & ~(a("has_phone") & b("has_phone")))
     met = near.join(far, [a(c).eqNullSafe(b(c)) for c in [*scope, "kind", "value"]]).filter((a("source") != b("source")) & decides)
-    met = met.groupBy(*[a(c).alias(c) for c in ("source", *group)]).agg(F.min(b("other_key")).alias("other_key"), F.sum(b("others")).alias("others"))
+    return listed, met.select(*[a(c).alias(c) for c in ("source", *group, "leader")], b("leader").alias("other_key"), b("n").alias("others")), group
+
+
+def cross_links(records: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, record_key, source, other_key, others): each record that is one person with records of the other source.
+
+    ``others`` counts those records and ``other_key`` is the smallest of them; no pairs are made.
+    """
+    listed, met, group = _cross_groups(records, scope)
+    met = met.groupBy("source", *group).agg(F.min("other_key").alias("other_key"), F.sum("others").alias("others"))
     return listed.join(met, ["source", *group]).groupBy(*scope, "source", "record_key").agg(F.min("other_key").alias("other_key"), F.sum("others").alias("others"))
 
 
+def cross_edges(records: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, p, q): links that connect what ``same_person`` connects: linked groups by their leaders, and each
+    member of such a group with its leader (they are one person by way of the other source)."""
+    listed, met, group = _cross_groups(records, scope)
+    between = met.select(*scope, F.col("leader").alias("p"), F.col("other_key").alias("q"))
+    leaders = met.select("source", *group, "leader").distinct()
+    within = listed.join(leaders, ["source", *group]).select(*scope, F.col("record_key").alias("p"), F.col("leader").alias("q"))
+    return between.union(within).filter("p != q").distinct()
+
+
 def _node(scope: list[str], key: str) -> Column:
     return F.concat_ws("\x1f", *[F.col(c).cast("string") for c in scope], F.col(key))
 
@@ -84,7 +102,7 @@ def clusters(records: DataFrame, scope: list[str], exclude_phone: bool | Column
     """
     links = key_leaders(records, scope, exclude_phone).select(_node(scope, "record_key").alias("p"), _node(scope, "leader").alias("q"))
     if across:
-        links = links.union(cross_links(records, scope).select(_node(scope, "record_key"), _node(scope, "other_key")))
+        links = links.union(cross_edges(records, scope).select(_node(scope, "p"), _node(scope, "q")))
     nodes = records.select(_node(scope, "record_key").alias("node"))
     labels = connected_components(nodes, links)
     cluster = F.substring_index("label", "\x1f", -1)
