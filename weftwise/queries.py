@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,11 +11,12 @@ from pyspark.sql import functions as F
 
 from weftwise.functions import aliases, phonetic, registry, similarity, text
 from weftwise.operators import attributes, cluster, components, graph, lookup
-from weftwise.operators.work import settle
+from weftwise.operators.work import settle, shared_folder
 from weftwise.plans import match as matching
 from weftwise.plans import resolve as resolving
 from weftwise.sources import derived
 from weftwise.sources.model import DIRECTORY, HELPDESK
+from weftwise.streaming import serve
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -413,6 +415,17 @@ def resolve_by_phone(spark, sf_dir):
     return resolving.resolve(_resolve_requests(spark, "phone"), derived.persons(spark, sf_dir))
 
 
+@query(_resolve_sql(_PHONES))
+def resolve_stream(spark, sf_dir):
+    """The same requests as a stream, answered batch by batch."""
+    asked = _resolve_requests(spark, "phone")
+    folder, people = f"{shared_folder(asked)}/weftwise-stream-{uuid.uuid4().hex}", settle(derived.persons(spark, sf_dir))
+    asked.repartition(2).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    serve(stream, lambda rows: resolving.resolve(rows, people), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("request_id", *resolving.IDENTITY)
+
+
 @query(_resolve_sql(_NAMES))
 def resolve_by_name(spark, sf_dir):
     return resolving.resolve(_resolve_requests(spark, "name"), derived.persons(spark, sf_dir))
