@@ -68,4 +68,30 @@ select doc_id, len(w) as n_words, coalesce(b.n, 0) as n_base, b.low as first_wor
 from docs d left join based b on b.r = d.r left join named n on n.r = d.r left join strongest s on s.r = d.r"""
 
 
-ORACLE: dict[str, str] = {"op3_license_scan": licenses(), "op8_preference_pairs": PREFERENCES, "op9_quality_rules": QUALITY}
+#: All pairs of documents that share a shingle, and the closure of their links.
+NEAR = r"""
+with recursive docs as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+shingles as (select distinct doc_id, k from (select doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i : array_to_string(w[i : i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as k from docs)),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as s from shingles a join shingles b on a.k = b.k and a.doc_id < b.doc_id group by all),
+links as (select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * s >= 75 * (x.n + y.n - s)),
+both_ways as (select a, b from links union all select b, a from links),
+reach(node, seen) as (select doc_id, doc_id from docs union select reach.node, both_ways.b from reach join both_ways on reach.seen = both_ways.a),
+labels as (select node, min(seen) as label from reach group by node)
+select d.doc_id, coalesce(n, 0) as n_shingles, label as component_id, label = d.doc_id as kept from docs d join labels on node = d.doc_id left join sizes s on s.doc_id = d.doc_id"""
+
+#: Every 200-byte window of the texts in hexadecimal, by two hashes; what is left is put together from between the runs.
+REPEATS = """
+with docs as (select doc_id, lower(hex(encode(coalesce(text, '')))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
+windows as (select doc_id, i, hash(substr(h, 2 * i + 1, 400)) as a, hash(substr(h, 2 * i + 1, 400) || 'x') as b from (select doc_id, h, unnest(range(0, n - 199)) as i from docs where n >= 200)),
+starts as (select doc_id, i from (select doc_id, i, count(*) over (partition by a, b) as c from windows) where c > 1),
+islands as (select doc_id, i, sum(fresh) over (partition by doc_id order by i) as g from (select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= 200 then 0 else 1 end as fresh from starts)),
+runs as (select doc_id, g, min(i) as s, max(i) + 200 as e from islands group by doc_id, g),
+cut as (select doc_id, s, e, lead(s) over (partition by doc_id order by s) as next, row_number() over (partition by doc_id order by s) as nth from runs),
+rest as (select c.doc_id, count(*) as n_spans, sum(e - s)::bigint as n_removed, min(s) as first, string_agg(substr(h, 2 * e + 1, 2 * (coalesce(next, n) - e)), '' order by s) as tail from cut c join docs d on d.doc_id = c.doc_id group by c.doc_id)
+select d.doc_id, d.n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(case when r.doc_id is null then h else substr(h, 1, 2 * first) || tail end)) as kept_sha256 from docs d left join rest r on r.doc_id = d.doc_id"""
+
+
+ORACLE: dict[str, str] = {
+    "op3_license_scan": licenses(), "op4_minhash_near_dup": NEAR, "op5_suffix_dedup": REPEATS, "op8_preference_pairs": PREFERENCES, "op9_quality_rules": QUALITY,
+}
