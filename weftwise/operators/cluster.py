@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from weftwise.functions.text import fold_equal
 from weftwise.operators.components import connected_components
 from weftwise.operators.lookup import DIRECTORY_PHONES
-from weftwise.operators.work import settle
-from weftwise.sources.model import DIRECTORY, HELPDESK
+from weftwise.sources.model import DIRECTORY
 
 
 def usable_phones() -> Column:
