@@ -8,7 +8,9 @@ A merge never makes a pair of a lower rank than its own, so ascending ranks give
 
 Encodings equal those of the ``tokenizers`` library for a byte-level vocabulary (its file's path is a
 parameter): special tokens in a text are cut out first and keep their id. Whole texts are encoded; null is
-empty. The memory of seen pre-tokens is bounded and holds no result of its own.
+empty. The memory of seen pre-tokens is bounded and holds no result of its own. Each row is encoded by itself:
+repeated rows and rows without an id come out alike, other columns pass ``encode_documents`` (an added name that
+is taken gets underscores in front) and are not read for digests. An empty table gives no rows.
 """
 
 from __future__ import annotations

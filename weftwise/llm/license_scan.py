@@ -10,7 +10,8 @@ rules' order). Over 250 rules are written by hand; six more for each identifier
 Three base phrases are counted apart: all their places, first and last start, and their own labels.
 
 All of it is one narrow projection of DataFrame expressions: no shuffle, no Python, one row in, one out.
-Null and empty texts have no words and no labels; repeated rows are scanned alike; other columns pass.
+Null and empty texts have no words and no labels; repeated rows and rows without an id are scanned alike; other
+columns pass, and an added name that is taken gets underscores in front. Texts of any length are scanned whole.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ holds; the pieces themselves are never gathered.
 3. A piece's number within its length over the whole corpus (its task's offset plus its own number) names
    its slot in the plan. Offsets are sums over one row a task and length; hot lengths need no shuffle of pieces.
 
-Null texts are empty (the separator alone); repeated rows are packed as they come, each on its own.
+Null texts are empty (the separator alone); repeated rows are packed as they come, each on its own, and so are
+rows without an id. Which of several pieces of one length takes which slot depends on the tasks' order and has no
+meaning. Other columns are not read. An empty table gives no rows; a text of any length is cut into pieces.
 """
 
 from __future__ import annotations
