@@ -256,10 +256,14 @@ def repeat_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     mixed = shared.filter("mixed")
     classes = mixed.groupBy("ah", "rh").agg(F.sum("cnt").alias("copies"), F.min("d").alias("one"))
     classes = materialise(classes, f"{work}/classes")
-    # each class's copies and whether its anchor is hot: a row a class, so runs are moved once, by class
-    classes = materialise(classes.join(classes.groupBy("ah").agg((F.count(F.lit(1)) > hot_spans).alias("hot")).filter("hot"), "ah", "left").withColumn("hot", F.coalesce("hot", F.lit(False))), f"{work}/spread")
+    # counts by anchor leave only the hot ones; where there are some, they are joined as a table of their own
+    hot = materialise(classes.groupBy("ah").count().filter(F.col("count") > hot_spans).select("ah", F.lit(True).alias("hot")), f"{work}/hot")
+    if hot.isEmpty():
+        classes = classes.withColumn("hot", F.lit(False))
+    else:
+        classes = classes.join(hot.hint("merge"), "ah", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     known = materialise(mixed.join(classes.hint("merge"), ["ah", "rh"]), f"{work}/known")
-    for name in ("anchors", "classes", "spread"):
+    for name in ("anchors", "classes", "hot"):
         drop_path(spark, f"{work}/{name}")
     whole = whole.union(known.filter("copies >= 2").select("d", "th", "s", "e"))
     asked = known.filter("copies = 1 or (d = one)").groupBy("d", "th").agg(F.collect_list(F.struct("s", "e", "ah", "hot")).alias("asked"))
