@@ -92,6 +92,52 @@ rest as (select c.doc_id, count(*) as n_spans, sum(e - s)::bigint as n_removed,
 select d.doc_id, d.n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(case when r.doc_id is null then h else substr(h, 1, 2 * first) || tail end)) as kept_sha256 from docs d left join rest r on r.doc_id = d.doc_id"""
 
 
+PAGES = """
+with held as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+leaders as (select payload_digest, min(page_id) as leader from held where payload_bytes >= 100 group by payload_digest)
+select page_id, payload_bytes, payload_digest, case when leader <> page_id then 'revisit' else 'response' end as record_type, case when leader <> page_id then leader end as refers_to, 'ok' as status
+from held left join leaders using (payload_digest)"""
+
+_DISTANCES = """
+d{r} as materialized (select x.vec_id, x.part, b.entry, sum((x.x - b.c) * (x.x - b.c))::bigint as d from cells x join book{r} b on b.part = x.part and b.pos = x.pos group by all),
+code{r} as materialized (select vec_id, part, min((d, entry)) as best from d{r} group by all),"""
+_MEANS = """
+mean{r} as (select c.part, (c.best[2]) as entry, x.pos, sum(x.x)::bigint as s, count(*) as n from code{r} c join cells x on x.vec_id = c.vec_id and x.part = c.part group by all),
+book{next} as materialized (select b.part, b.entry, b.pos, coalesce((m.s - ((m.s % m.n) + m.n) % m.n) // m.n, b.c) as c from book{r} b left join mean{r} m using (part, entry, pos)),"""
+
+
+def vectors(rounds: int = 4) -> str:
+    """The rounds of means spelt out over one row a component."""
+    steps = "".join(_DISTANCES.format(r=r) + (_MEANS.format(r=r, next=r + 1) if r < rounds else "") for r in range(rounds + 1))
+    return f"""
+with kept as (select vec_id, label, embedding as e from embeddings where embedding is not null and len(list_filter(embedding, lambda x : x is null or not isfinite(x))) = 0),
+cells as materialized (select vec_id, ((i - 1) // (len(e) // 4))::int as part, ((i - 1) % (len(e) // 4))::int as pos, floor(1024 * e[i]::double)::bigint as x from (select vec_id, e, unnest(range(1, len(e) + 1)) as i from kept)),
+book0 as materialized (select part, entry, pos, x as c from cells join (select vec_id, (row_number() over (order by vec_id) - 1)::int as entry from kept qualify row_number() over (order by vec_id) <= 256) using (vec_id)),{steps}
+coded as (select vec_id, string_agg(printf('%02x', (best[2])::int), '' order by part) as code, sum(best[1])::bigint as error from code{rounds} group by vec_id),
+sha as (select sha256(string_agg(c::varchar, ',' order by part, entry, pos)) as codebooks_sha256 from book{rounds})
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from coded join kept using (vec_id) cross join sha"""
+
+
+PHRASES = r"""
+with texts as (select row_number() over () as r, coalesce(lang, 'und') as lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]') as p from documents),
+pieces as materialized (select lang, w from (select lang, regexp_extract_all(unnest(p), '[^ 	]+') as w from texts) where len(w) > 0),
+said as (select lang, 1 as k, unnest(w) as phrase from pieces
+  union all select lang, 2, unnest(list_transform(range(1, len(w)), lambda i : w[i] || ' ' || w[i + 1])) from pieces
+  union all select lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i : w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) from pieces),
+f as materialized (select lang, k, phrase, count(*) as a from said group by all),
+total as (select lang, sum(a)::bigint as n from f where k = 1 group by lang),
+cand as materialized (select *, string_split(phrase, ' ') as w from f where k > 1 and a >= 10),
+cut as (select lang, phrase, k, a, w, unnest(range(1, k)) as c from cand),
+parts as (select x.lang, x.phrase, x.k, x.a, x.c, g.a as l, h.a as r, ((1000000::hugeint * x.a * x.a) // (g.a::hugeint * h.a))::bigint as score from cut x
+  join f g on g.lang = x.lang and g.phrase = array_to_string(x.w[1 : x.c], ' ') join f h on h.lang = x.lang and h.phrase = array_to_string(x.w[x.c + 1 :], ' ')),
+weakest as (select lang, phrase, k, a, l, r, score from parts qualify row_number() over (partition by lang, phrase order by score, c) = 1),
+inner_ as (select lang, phrase, max(a) as longer from (select lang, a, unnest([array_to_string(w[1 : 2], ' '), array_to_string(w[2 : 3], ' ')]) as phrase from cand where k = 3) group by all),
+ranked as (select x.lang, row_number() over (partition by x.lang order by score desc, x.a desc, x.phrase) as rank, x.phrase, x.a, l, r, score from weakest x left join inner_ i on i.lang = x.lang and i.phrase = x.phrase where longer is null or 100 * longer < 50 * x.a)
+select lang, rank, phrase, a, l, r, n, score from ranked join total using (lang) where rank <= 2000"""
+
+
 ORACLE: dict[str, str] = {
     "op3_license_scan": licenses(), "op4_minhash_near_dup": NEAR, "op5_suffix_dedup": REPEATS, "op8_preference_pairs": PREFERENCES, "op9_quality_rules": QUALITY,
+    "op11_warc_round_trip": PAGES, "op12_vector_codes": vectors(), "op13_phrase_collocations": PHRASES,
 }

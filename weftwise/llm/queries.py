@@ -15,10 +15,13 @@ from weftwise.llm.license_scan import scan_licenses
 from weftwise.llm.near_dup import near_duplicates
 from weftwise.llm.oracle import ORACLE  # noqa: F401
 from weftwise.llm.packing import pack_documents
+from weftwise.llm.phrases import collocations
 from weftwise.llm.pii import replace_entities
 from weftwise.llm.preferences import format_preferences, masks, pair_neighbours
 from weftwise.llm.quality import judge
 from weftwise.llm.repeats import remove_repeats
+from weftwise.llm.vector_codes import compress_vectors
+from weftwise.llm.warc import archive_round_trip
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +86,19 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_entities(_documents(spark, sf_dir), SURROGATE_KEY).select("doc_id", "n_entities", "entity_kinds", "text")
 
 
+def op11_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(read_table(spark, sf_dir, "pages"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, _ = compress_vectors(read_table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read_table(spark, sf_dir, "documents").select("text", "lang"), most=3, least=10, first=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_importance_resampling": op2_importance_resampling,
@@ -94,5 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_preference_pairs": op8_preference_pairs,
     "op9_quality_rules": op9_quality_rules,
     "op10_pii_surrogates": op10_pii_surrogates,
+    "op11_warc_round_trip": op11_warc_round_trip,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
-
