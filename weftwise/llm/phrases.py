@@ -14,6 +14,7 @@ phrases than bits the bitmap cuts less and more is shuffled; results stay the sa
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -22,108 +23,113 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftwise.llm.common import LOWER, U64, let_workers_import, materialise, mix64, work_dir
+from weftwise.llm.common import LOWER, U64, RollingHash, let_workers_import, materialise, mix64, work_dir
 
 #: Bytes of text in a block; a longer text is cut between pieces, and only a longer piece makes a larger block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Bits (as a power of two) of the broadcast set of frequent hashes: 8 MB.
 BITS = 26
 
-_PIECE_END = np.zeros(256, bool)
-_PIECE_END[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
-_GAP = _PIECE_END.copy()
-_GAP[[0x20, 0x09]] = True
+_ENDS, _BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
+_LOWER = bytes(LOWER)
+_CLASS = bytes(2 if c in _ENDS else 1 if c in _BLANKS else 0 for c in range(256))
 _STEP = U64(0x9E3779B97F4A7C15)
 
 
 class Block:
-    """The vertical lists of a block: words by number, and the positions of all occurrences sorted by word.
+    """The words of a block: ``kind`` of each occurrence (a word of a language) at its ``position``, both in text order.
 
     Positions go up by one from word to word and by two between pieces, so adjacent words of one piece are exactly
     those whose positions differ by one.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, langs: np.ndarray, names: list[str]):
-        data = LOWER[data]
-        edge = np.zeros(len(data) + 1, bool)
-        edge[offsets[:-1]] = True  # a text begins
-        gap = _GAP[data]
-        inner = ~gap
-        begin = inner.copy()
-        begin[1:] &= gap[:-1] | edge[1:-1]
+    def __init__(self, raw: bytes, offsets: np.ndarray, langs: np.ndarray, names: list[str]):
+        sort = np.frombuffer(raw.translate(_CLASS), np.uint8)
+        inner = sort == 0
+        begin, stop = inner.copy(), inner.copy()
+        begin[1:] &= sort[:-1] != 0
+        stop[:-1] &= sort[1:] != 0
+        heads = offsets[:-1][offsets[:-1] < offsets[1:]]  # a text begins and another ends
+        begin[heads] = inner[heads]
+        stop[heads[1:] - 1] = inner[heads[1:] - 1]
         start = np.flatnonzero(begin)
-        length = np.add.reduceat(inner, start, dtype=np.int64) if len(start) else np.zeros(0, np.int64)
         # words without what stands between them are one run of bytes, which Arrow tells apart exactly
-        at = np.concatenate([[0], np.cumsum(length)])
-        words = pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(at), pa.py_buffer(data[inner])]).dictionary_encode()
+        at = np.concatenate([[0], np.cumsum(np.flatnonzero(stop) + 1 - start)]).astype(np.int32)
+        words = pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(at), pa.py_buffer(raw.translate(_LOWER, _ENDS + _BLANKS))]).dictionary_encode()
         self.words, word = words.dictionary, words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        row = np.searchsorted(offsets, start, "right") - 1
-        # pieces end at their marks and at the end of a text
-        ends = np.cumsum(_PIECE_END[data])
+        n = len(self.words)
+        row, piece = np.searchsorted(offsets, start, "right") - 1, np.searchsorted(np.flatnonzero(sort == 2), start)
         fresh = np.zeros(len(start), bool)
-        if len(start):
-            fresh[1:] = (ends[start[1:]] != ends[start[:-1]]) | (row[1:] != row[:-1])
+        fresh[1:] = (piece[1:] != piece[:-1]) | (row[1:] != row[:-1])
         self.position = np.arange(len(start), dtype=np.int64) + np.cumsum(fresh)
         self.names, self.lang = names, langs[row]
-        # a word is told by its language too
-        self.kinds, self.kind = np.unique(self.lang * len(self.words) + word, return_inverse=True)
-        strings = self.words.to_pylist()
-        seed = [xxhash.xxh3_64_intdigest(n, 1) for n in names]
-        self.spelt = [(int(k) // len(strings), strings[int(k) % len(strings)]) for k in self.kinds]
-        self.hash = np.array([xxhash.xxh3_64_intdigest(w, seed[n]) for n, w in self.spelt], U64)
+        self.kinds, self.kind = np.unique(self.lang * n + word, return_inverse=True) if len(np.unique(langs)) > 1 else (np.arange(n) + langs[0] * n, word)
+        _, at, letters = self.words.buffers()
+        at, whole = np.frombuffer(at, np.int32)[: n + 1], RollingHash(np.frombuffer(letters, np.uint8) if letters is not None else np.zeros(0, np.uint8))
+        seed = np.array([xxhash.xxh3_64_intdigest(x, 1) for x in names], U64)
+        self.hash = mix64(whole.of(at[:-1], at[1:])[self.kinds % n] ^ seed[self.kinds // n]) if n else np.zeros(0, U64)
+
+    @cached_property
+    def spelt(self) -> list[tuple[int, str]]:
+        """Language and word of each kind."""
+        words = self.words.to_pylist()
+        return [(k // len(words), words[k % len(words)]) for k in self.kinds.tolist()]
 
     def postings(self) -> Level:
         """The words as lists."""
-        order = np.argsort(self.kind, kind="stable")
-        return Level(self.kind[order], self.position[order], np.arange(len(self.kinds))[:, None], self.hash)
+        return Level(self.kind, self.position, np.arange(len(self.kinds))[:, None], self.hash)
 
 
 class Level:
-    """Phrases of one length: ``phrase`` of each occurrence, sorted, with its ascending ``position`` within the phrase;
-    ``words`` (a row a phrase) and ``hash`` tell what a phrase is."""
+    """The vertical lists of all phrases of one length.
+
+    ``position`` holds list after list, each ascending, and ``phrase`` the number of its phrase; ``words`` (a row a
+    phrase) and ``hash`` tell what a phrase is.
+    """
 
     def __init__(self, phrase: np.ndarray, position: np.ndarray, words: np.ndarray, hash_: np.ndarray):
-        self.phrase, self.position, self.words, self.hash = phrase, position, words, hash_
+        """Of occurrences in any order: one sort of number and position packed together makes the lists."""
+        self.width = int(position.max(initial=0)).bit_length()
+        packed = np.sort((phrase.astype(U64) << U64(self.width)) | position.astype(U64))
+        self.phrase, self.position = (packed >> U64(self.width)).astype(np.int64), (packed & U64((1 << self.width) - 1)).astype(np.int64)
+        self.words, self.hash = words, hash_
 
     def counts(self) -> np.ndarray:
+        """The lengths of the lists."""
         return np.bincount(self.phrase, minlength=len(self.words))
 
-    def only(self, keep: np.ndarray) -> Level:
-        """The lists of the phrases that are kept, under their old numbers."""
-        at = keep[self.phrase]
-        return Level(self.phrase[at], self.position[at], self.words, self.hash)
-
-    def extended(self, postings: Level, before: Level) -> Level:
-        """Merge-join: each occurrence with the word that stands next to its end, if that is in ``postings``, and if
-        what is left without the first word is in ``before`` (phrases as long as this one)."""
-        n = self.words.shape[1]
-        by = np.argsort(self.position)
-        place, phrase = self.position[by], self.phrase[by]
-        next_place, next_word = _by_place(postings)
-        at = _met(next_place, place + n)
-        if n > 1:  # the rest has to be frequent as well
-            rest, _ = _by_place(before)
-            at = np.where(_met(rest, place + 1) >= 0, at, -1)
-        hit = at >= 0
-        place, phrase, word = place[hit], phrase[hit], next_word[at[hit]]
-        key, number = np.unique(phrase * len(postings.words) + word, return_inverse=True)
-        first, last = key // max(1, len(postings.words)), key % max(1, len(postings.words))
-        order = np.argsort(number, kind="stable")
-        hashes = mix64((self.hash[first] + _STEP) * U64(3) ^ mix64(postings.hash[last]))
-        return Level(number[order], place[order], np.concatenate([self.words[first], last[:, None]], axis=1), hashes)
-
-
-def _by_place(level: Level) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(level.position)
-    return level.position[order], level.phrase[order]
-
-
-def _met(places: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Where each wanted place stands in the ascending ``places``; -1 if it doesn't."""
-    if not len(places):
-        return np.full(len(wanted), -1)
-    at = np.minimum(np.searchsorted(places, wanted), len(places) - 1)
-    return np.where(places[at] == wanted, at, -1)
+    def without(self, keep: np.ndarray) -> Level:
+        """Only the lists of the phrases that are kept, under their old numbers."""
+        out, at = object.__new__(Level), keep[self.phrase]
+        out.width, out.phrase, out.position, out.words, out.hash = self.width, self.phrase[at], self.position[at], self.words, self.hash
+        return out
+
+    def by_place(self) -> np.ndarray:
+        """What stands at each position: the phrase that begins there, -1 where none does (and two places beyond)."""
+        out = np.full(int(self.position.max(initial=0)) + self.words.shape[1] + 2, -1, np.int64)
+        out[self.position] = self.phrase
+        return out
+
+    def extended(self, postings: Level) -> Level:
+        """Merge-join: each list, in ascending order, with the postings of the words that stand next to its phrase.
+
+        The postings are laid out by position for it. What is left of the longer phrase without its first word has to
+        have a list at this level as well.
+        """
+        n, word_at = self.words.shape[1], postings.by_place()
+        word = word_at[np.minimum(self.position + n, len(word_at) - 1)]
+        hit = word >= 0
+        if n > 1:
+            hit &= self.by_place()[self.position + 1] >= 0
+        position, key = self.position[hit], self.phrase[hit] * len(postings.words) + word[hit]
+        longer = Level(key, position, postings.words, postings.hash)
+        new = np.ones(len(key), bool)
+        new[1:] = longer.phrase[1:] != longer.phrase[:-1]
+        key, longer.phrase = longer.phrase[new], np.cumsum(new) - 1
+        first, last = np.divmod(key, max(1, len(postings.words)))
+        longer.words = np.concatenate([self.words[first], last[:, None]], axis=1)
+        longer.hash = mix64((self.hash[first] + _STEP) * U64(3) ^ mix64(postings.hash[last]))
+        return longer
 
 
 def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -137,10 +143,10 @@ def levels(block: Block, masks: list[np.ndarray], most: int) -> Iterator[Level]:
     level = postings = block.postings()
     yield level
     for mask in masks[: most - 1]:
-        level = level.only(passes(mask, level.hash))
+        level = level.without(passes(mask, level.hash))
         if level.words.shape[1] == 1:
             postings = level
-        level = level.extended(postings, level)
+        level = level.extended(postings)
         yield level
 
 
@@ -152,28 +158,27 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
         _, offs, data = text.buffers()
         if not batch.num_rows or data is None:
             continue
-        offs = np.frombuffer(offs, np.int64)[text.offset : text.offset + len(text) + 1]
-        raw = np.frombuffer(data, np.uint8)
+        offs, raw = np.frombuffer(offs, np.int64)[text.offset : text.offset + len(text) + 1], memoryview(data)
         i = 0
         while i < len(text):
             j = max(i + 1, int(np.searchsorted(offs, offs[i] + BLOCK_BYTES, "right")) - 1)
             at = offs[i : j + 1]
             if j == i + 1 and at[1] - at[0] > BLOCK_BYTES:
-                for a, b in _cuts(raw[at[0] : at[1]]):
-                    yield Block(raw[at[0] + a : at[0] + b], np.array([0, b - a]), langs[i:j], names)
+                for part in _cuts(bytes(raw[at[0] : at[1]])):
+                    yield Block(part, np.array([0, len(part)]), langs[i:j], names)
             elif at[-1] > at[0]:
-                yield Block(raw[at[0] : at[-1]], at - at[0], langs[i:j], names)
+                yield Block(bytes(raw[at[0] : at[-1]]), at - at[0], langs[i:j], names)
             i = j
 
 
-def _cuts(raw: np.ndarray) -> Iterator[tuple[int, int]]:
+def _cuts(raw: bytes) -> Iterator[bytes]:
     """Stretches of about a block, each ending with a piece."""
-    ends = np.append(np.flatnonzero(_PIECE_END[raw]) + 1, len(raw))
+    ends = np.append(np.flatnonzero(np.frombuffer(raw.translate(_CLASS), np.uint8) == 2) + 1, len(raw))
     a = 0
     while a < len(raw):
         k = int(np.searchsorted(ends, a + BLOCK_BYTES, "right")) - 1
         b = int(ends[k]) if k >= 0 and ends[k] > a else int(ends[min(np.searchsorted(ends, a, "right"), len(ends) - 1)])
-        yield a, b
+        yield raw[a:b]
         a = b
 
 

@@ -153,7 +153,7 @@ class Members:
 
     def __init__(self, raw):
         self.raw, self.held, self.base = raw, b"", 0
-        self.ended, self.inflate, self.plain = False, None, b""
+        self.ended, self.failed, self.inflate, self.plain = False, False, None, b""
 
     def _fill(self) -> bool:
         if not self.held and not self.ended:
@@ -165,18 +165,20 @@ class Members:
         """Begin the member that stands here; its place in the file, or none at the end."""
         if not self._fill():
             return None
-        self.inflate, self.plain = zlib.decompressobj(GZIP), b""
+        self.inflate, self.plain, self.failed = zlib.decompressobj(GZIP), b"", False
         return self.base
 
     def more(self) -> bool:
         """Inflate another piece; false when the member is at its end."""
         while not self.inflate.eof:
             if not self.inflate.unconsumed_tail and not self._fill():
+                self.failed = True
                 raise Broken("the file ends within a record")
             self.held = before = self.inflate.unconsumed_tail or self.held
             try:
                 got = self.inflate.decompress(before, CHUNK)
             except zlib.error as e:
+                self.failed = True
                 raise Broken(f"not a sound gzip member: {e}") from None
             left = self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail
             self.base += len(before) - len(left)
@@ -210,9 +212,11 @@ class Members:
         """After a broken record: to the end of its member or, if that can't be inflated, to where the next one seems to begin."""
         try:
             self.plain = b""
-            while self.more():
+            while not self.failed and self.more():
                 self.plain = b""
         except Broken:
+            pass
+        if self.failed:
             self._skip_to_magic()
 
     def _skip_to_magic(self) -> None:
