@@ -23,9 +23,15 @@ def name_forms(c: Column) -> Column:
     return F.struct(normalize_a(c).alias("a"), normalize_b(c).alias("b"), koelner(normalize_b(c)).alias("code"))
 
 
-def match_quality_of(heard: Column, stored: Column) -> Column:
-    """``match_quality`` of names as ``name_forms``."""
-    best = F.greatest(*[fuzzy_ratio(heard[x], stored[y]) for x in "ab" for y in "ab"])
+def ratio_bound(a: Column, b: Column) -> Column:
+    """What ``fuzzy_ratio`` can't exceed: the edit distance is at least the difference of the lengths."""
+    longest = F.greatest(F.length(a), F.length(b))
+    return F.when(longest == 0, F.lit(0.0)).otherwise(1.0 - F.abs(F.length(a) - F.length(b)) / longest)
+
+
+def match_quality_of(heard: Column, stored: Column, ratio=fuzzy_ratio) -> Column:
+    """``match_quality`` of names as ``name_forms``; with ``ratio_bound`` what it can't exceed, without edit distances."""
+    best = F.greatest(*[ratio(heard[x], stored[y]) for x in "ab" for y in "ab"])
     bonus = F.when((heard["b"] != "") & (stored["b"] != "") & (heard["code"] == stored["code"]), PHONETIC_BONUS).otherwise(0.0)
     return F.least(F.lit(1.0), best + bonus)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftwise.functions.text import fold_equal
-from weftwise.operators.components import connected_components
+from weftwise.operators.components import FOLDED, connected_components, folded_labels, split_by_size
 from weftwise.operators.lookup import DIRECTORY_PHONES
 from weftwise.sources.model import DIRECTORY
 
@@ -32,9 +32,13 @@ def key_leaders(records: DataFrame, scope: list[str], exclude_phone: bool | Colu
     return keyed.join(leader, [*scope, "source", "k"])
 
 
-def same_person(d: str, h: str) -> Column:
-    """The first field that both sides have decides: e-mail, then phone, then name. A phone of 0 counts here."""
-    x, y = (lambda c: F.col(f"{d}.{c}")), (lambda c: F.col(f"{h}.{c}"))
+def same_person(d: Column | str, h: Column | str) -> Column:
+    """The first field that both sides have decides: e-mail, then phone, then name. A phone of 0 counts here.
+
+    ``d`` (directory) and ``h`` (helpdesk) are structs, or names of joined tables.
+    """
+    side = lambda of: (lambda c: F.col(f"{of}.{c}")) if isinstance(of, str) else (lambda c: of[c])
+    x, y = side(d), side(h)
     phones = [x(c) for c in DIRECTORY_PHONES]
     any_phone = (phones[0] != "") | (phones[1] != "") | (phones[2] != "")
     return (
@@ -44,6 +48,11 @@ def same_person(d: str, h: str) -> Column:
     )
 
 
+def same_across(a: Column, b: Column) -> Column:
+    """``same_person`` of two structs of different sources, in either order."""
+    return F.when(a["source"] == b["source"], False).when(a["source"] == DIRECTORY, same_person(a, b)).otherwise(same_person(b, a))
+
+
 def _cross_groups(records: DataFrame, scope: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
     """Records listed under their groups, and the pairs of groups (source, group, leader, other_key, others) that are linked.
 
@@ -93,12 +102,34 @@ def _node(scope: list[str], key: str) -> Column:
     return F.concat_ws("\x1f", *[F.col(c).cast("string") for c in scope], F.col(key))
 
 
-def clusters(records: DataFrame, scope: list[str], exclude_phone: bool | Column = False, across: bool = False) -> DataFrame:
+def clusters(records: DataFrame, scope: list[str], exclude_phone: bool | Column = False, across: bool = False, folded: int = FOLDED) -> DataFrame:
     """``records`` with ``cluster``, the smallest record key of those that are one person within the scope.
 
-    Records of one source that share a key hang on the key's smallest record, so no pairs are made. ``across``
+    Scopes of up to ``folded`` records are put together in one row each, after one grouping; larger ones by joins,
+    where records of one source that share a key hang on the key's smallest record, so no pairs are made. ``across``
     also links the two sources. ``records`` is read several times, so it should be a table (``settle``).
     """
+    few, many = split_by_size(records, scope, folded)
+    made = ([] if few is None else [_folded_clusters(few, scope, exclude_phone, across)]) + ([] if many is None else [_joined_clusters(many, scope, exclude_phone, across)])
+    return made[0] if len(made) == 1 else made[0].unionByName(made[1])
+
+
+def keyed_records(records: DataFrame, exclude_phone: bool | Column = False) -> DataFrame:
+    """``records`` with their link keys in ``__keys``."""
+    return records.withColumn("__keys", link_keys(exclude_phone))
+
+
+def linked_within(a: Column, b: Column) -> Column:
+    """Whether two structs of ``keyed_records`` are of one source and share a key."""
+    return (a["source"] == b["source"]) & F.arrays_overlap(a["__keys"], b["__keys"])
+
+
+def _folded_clusters(records: DataFrame, scope: list[str], exclude_phone: bool | Column, across: bool) -> DataFrame:
+    linked = (lambda a, b: linked_within(a, b) | same_across(a, b)) if across else linked_within
+    return folded_labels(keyed_records(records, exclude_phone), scope, linked, "record_key", "cluster").drop("__keys")
+
+
+def _joined_clusters(records: DataFrame, scope: list[str], exclude_phone: bool | Column, across: bool) -> DataFrame:
     links = key_leaders(records, scope, exclude_phone).select(_node(scope, "record_key").alias("p"), _node(scope, "leader").alias("q"))
     if across:
         links = links.union(cross_edges(records, scope).select(_node(scope, "p"), _node(scope, "q")))
@@ -114,6 +145,13 @@ def field_score() -> Column:
     return F.when(F.col("source") == DIRECTORY, fields("email", *DIRECTORY_PHONES, "first_name", "last_name")).otherwise(fields("email", "phone_no", "first_name", "last_name"))
 
 
+def best_of(rows: Column, source: str) -> Column:
+    """The record of an array of structs that ``representatives`` takes for one source; null if it has none."""
+    own = F.filter(rows, lambda r: r["source"] == source)
+    ranked = F.transform(own, lambda r: F.struct((r["xid"] == "").alias("o"), (-r["__score"]).alias("s"), r["id"].alias("id"), r.alias("r")))
+    return F.array_min(ranked)["r"]
+
+
 def representatives(clustered: DataFrame, by: list[str]) -> DataFrame:
     """The best record of each group and source: with an external id, then most filled, then the lowest id."""
     best = Window.partitionBy(*by, "source").orderBy((F.col("xid") != "").desc(), field_score().desc(), F.col("id").asc())

@@ -1,13 +1,15 @@
-"""Connected components over links between string keys.
+"""Connected components: of the rows of small groups by a fold within one row, of anything by rounds of joins.
 
-Each round sends every node the smallest label among its neighbours and then the label of that label; both are
+The fold is for groups of a checked size (``split_by_size``). Of the joins, each round sends every node the smallest label among its neighbours and then the label of that label; both are
 an equality join and an aggregate. Rounds are written to the shared folder, so plans stay short and a lost executor costs one
 round. Labels are the smallest key, so the result doesn't depend on order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftwise.operators.work import settle
@@ -32,3 +34,51 @@ def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         labels = step.select("node", "label")
         if step.filter("label != was").isEmpty():
             return labels
+
+
+#: Groups of up to so many rows are put together in one row each.
+FOLDED = 256
+
+
+def folded_components(items: Column, linked: Callable[[Column, Column], Column]) -> Column:
+    """An array of structs as an array of its components; ``linked`` tells whether two structs hang together.
+
+    Each struct joins all the components so far that hold one it is linked to, which merges them. Every two structs
+    are compared at most, so the array has to be short.
+    """
+
+    def join(made: Column, item: Column) -> Column:
+        marked = F.transform(made, lambda g: F.struct(F.exists(g, lambda other: linked(other, item)).alias("hit"), g.alias("g")))
+        split = lambda m, hit: F.transform(F.filter(m, lambda x: x["hit"] == hit), lambda x: x["g"])
+        # the array of one element stands for a name: what is marked is worked out once
+        return F.transform(F.array(marked), lambda m: F.concat(split(m, False), F.array(F.concat(F.flatten(split(m, True)), F.array(item)))))[0]
+
+    return F.aggregate(items, F.slice(F.array(items), 1, 0), join)
+
+
+def split_by_size(rows: DataFrame, scope: list[str], most: int = FOLDED) -> tuple[DataFrame | None, DataFrame | None]:
+    """``rows`` of groups of at most ``most`` rows, and of larger ones; none where there are no such groups.
+
+    One small job reads a row's worth of counts; ``rows`` should be a table. Groups are told apart by null keys too.
+    """
+    sizes = rows.groupBy(*scope).count()
+    seen = sizes.agg(F.min("count").alias("least"), F.max("count").alias("most")).first()
+    if seen["most"] is None or seen["most"] <= most:
+        return rows, None
+    if seen["least"] > most:
+        return None, rows
+    large = settle(sizes.filter(F.col("count") > most).select(*[F.col(c).alias(f"__{c}") for c in scope]))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in scope]
+    return rows.join(large, same, "left_anti"), rows.join(large, same, "left_semi")
+
+
+def gathered(rows: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, rows): the rows of each group as an array of structs; for groups of a checked size."""
+    return rows.groupBy(*scope).agg(F.collect_list(F.struct(*[c for c in rows.columns if c not in scope])).alias("rows"))
+
+
+def folded_labels(rows: DataFrame, scope: list[str], linked: Callable[[Column, Column], Column], key: str, label: str) -> DataFrame:
+    """``rows`` of small groups with ``label``, the smallest ``key`` of those that hang together."""
+    parts = gathered(rows, scope).select(*scope, F.explode(folded_components(F.col("rows"), linked)).alias("part"))
+    parts = parts.select(*scope, F.array_min(F.transform("part", lambda r: r[key])).alias(label), F.inline("part"))
+    return parts.select(*rows.columns, label)

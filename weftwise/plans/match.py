@@ -10,7 +10,7 @@ from weftwise.functions.aliases import FIRST_NAMES, LAST_NAMES, alias_prefixes
 from weftwise.functions.phonetic import koelner
 from weftwise.functions.text import blank, normalize_a, normalize_b, short_prefix, strip_tags, structured_words, utrim
 from weftwise.operators.cluster import clusters, external_id, representatives
-from weftwise.operators.components import connected_components
+from weftwise.operators.components import FOLDED, connected_components, folded_labels, split_by_size
 from weftwise.operators.lookup import domain_filter, first_hits, prefix_hits, suffix_hits
 from weftwise.operators.work import settle
 from weftwise.sources.model import DIRECTORY, HELPDESK, MATCH_REQUEST
@@ -60,8 +60,9 @@ def retrieved(requests: DataFrame, reps: DataFrame, person: DataFrame, lookup_li
     return domain_filter(first_hits(hits.join(person, "record_key"), ["request_id", "rep", "source"], lookup_limit), requests)
 
 
-def scored_groups(requests: DataFrame, reps: DataFrame, person: DataFrame) -> DataFrame:
-    """(request_id, rep, cluster, record_key, ..., stage_points): records with their group's points."""
+def heard_groups(requests: DataFrame, reps: DataFrame, person: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records with their group (``cluster``), and a row a group: its name beside the heard one (forms in hf, hl, sf,
+    sl), whether the hint fits, and ``most_points``, what its points can't exceed by lengths, sound and hint."""
     scope = ["request_id", "rep"]
     grouped = settle(clusters(settle(retrieved(requests, reps, person)), scope, across=True))
     best = representatives(grouped, [*scope, "cluster"])
@@ -69,10 +70,50 @@ def scored_groups(requests: DataFrame, reps: DataFrame, person: DataFrame) -> Da
     name = best.groupBy(*scope, "cluster").agg(F.min(F.struct((F.col("source") != DIRECTORY).alias("o"), "first_name", "last_name")).alias("n"))
     heard = name.join(reps, scope).join(requests.select("request_id", blank(F.col("last_name_hint")).alias("hint")), "request_id")
     forms = {"hf": F.col("first"), "hl": F.col("last"), "sf": F.col("n.first_name"), "sl": F.col("n.last_name")}
-    heard = heard.withColumns({k: S.name_forms(c) for k, c in forms.items()})
-    points = S.stage_points(S.match_quality_of(F.col("hf"), F.col("sf")), S.match_quality_of(F.col("hl"), F.col("sl")))
-    points = S.with_hint(points, S.hint_matches(F.col("hint"), F.col("n.last_name")))
-    return grouped.join(heard.select(*scope, "cluster", points.alias("stage_points")), [*scope, "cluster"])
+    heard = heard.select(*scope, "cluster", S.hint_matches(F.col("hint"), F.col("n.last_name")).alias("hinted"), *[S.name_forms(c).alias(k) for k, c in forms.items()])
+    return grouped, settle(heard.withColumn("most_points", _points(S.ratio_bound)))
+
+
+def _points(ratio=S.fuzzy_ratio):
+    first, last = (S.match_quality_of(F.col(f"h{part}"), F.col(f"s{part}"), ratio) for part in "fl")
+    return S.with_hint(S.stage_points(first, last), F.col("hinted"))
+
+
+def scored_groups(requests: DataFrame, reps: DataFrame, person: DataFrame) -> DataFrame:
+    """(request_id, rep, cluster, record_key, ..., stage_points): all records with their group's points."""
+    grouped, heard = heard_groups(requests, reps, person)
+    return grouped.join(heard.select("request_id", "rep", "cluster", _points().alias("stage_points")), ["request_id", "rep", "cluster"])
+
+
+def bounded_scores(heard: DataFrame, n: int = KEPT_PER_REP) -> DataFrame:
+    """(request_id, rep, cluster, stage_points) of the groups that may be among the best ``n`` of their rendering.
+
+    The ``n`` groups that could have most points are scored first. The least of their points is a threshold that the
+    best ``n`` reach, so of the others only those are scored whose bound isn't below it; the rest have no edit
+    distances worked out at all. With fewer than ``n`` groups all are scored.
+    """
+    scope = ["request_id", "rep"]
+    likely = Window.partitionBy(*scope).orderBy(F.col("most_points").desc(), "cluster")
+    first = heard.withColumn("nth", F.row_number().over(likely)).filter(F.col("nth") <= n).drop("nth")
+    first = settle(first.select(*scope, "cluster", _points().alias("stage_points")))
+    reached = first.groupBy(*scope).agg(F.min("stage_points").alias("least"), F.count(F.lit(1)).alias("of")).filter(F.col("of") == n).drop("of")
+    rest = heard.join(reached, scope).filter(F.col("most_points") >= F.col("least")).join(first.select(*scope, "cluster"), [*scope, "cluster"], "left_anti")
+    return first.unionByName(rest.select(*scope, "cluster", _points().alias("stage_points")))
+
+
+def best_groups(requests: DataFrame, reps: DataFrame, person: DataFrame, n: int = KEPT_PER_REP) -> DataFrame:
+    """``kept_groups`` of ``scored_groups`` without scoring them all."""
+    grouped, heard = heard_groups(requests, reps, person)
+    best = Window.partitionBy("request_id", "rep").orderBy(F.col("stage_points").desc(), "cluster")
+    heads = bounded_scores(heard, n).withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= n).drop("nth")
+    return grouped.join(heads, ["request_id", "rep", "cluster"])
+
+
+def scoring_report(heard: DataFrame, n: int = KEPT_PER_REP) -> DataFrame:
+    """(request_id, rep, groups, scored): how many groups each rendering has and how many of them are scored."""
+    scope = ["request_id", "rep"]
+    scored = bounded_scores(heard, n).groupBy(*scope).agg(F.count(F.lit(1)).alias("scored"))
+    return heard.groupBy(*scope).agg(F.count(F.lit(1)).alias("groups")).join(scored, scope)
 
 
 def kept_groups(groups: DataFrame, n: int = KEPT_PER_REP) -> DataFrame:
@@ -83,16 +124,27 @@ def kept_groups(groups: DataFrame, n: int = KEPT_PER_REP) -> DataFrame:
     return groups.join(heads, ["request_id", "rep", "cluster"])
 
 
+def merged_renderings(groups: DataFrame, folded: int = FOLDED) -> DataFrame:
+    """``groups`` with ``label``: groups of different renderings of a request are one person if they share a record.
+
+    Requests of up to ``folded`` rows are put together in one row each, the others by joins.
+    """
+    few, many = split_by_size(groups, ["request_id"], folded)
+    together = lambda a, b: (a["record_key"] == b["record_key"]) | ((a["rep"] == b["rep"]) & (a["cluster"] == b["cluster"]))
+    made = [] if few is None else [folded_labels(few, ["request_id"], together, "record_key", "label")]
+    if many is not None:
+        node = lambda *c: F.concat_ws("\x1f", *[F.col(x).cast("string") for x in c])
+        both = many.withColumns({"group": node("request_id", "rep", "cluster"), "record": node("request_id", "record_key")})
+        links = both.select("group", "record").distinct()
+        labels = connected_components(links.select(F.col("group").alias("node")).union(links.select("record")), links)
+        made.append(both.join(labels, both["group"] == labels["node"]).drop("node", "group", "record"))
+    return made[0] if len(made) == 1 else made[0].unionByName(made[1])
+
+
 def candidates(requests: DataFrame, person: DataFrame) -> DataFrame:
     """Up to five scored candidates a request. Requests without a usable rendering have none; see ``match_status``."""
     reps = representations(requests)
-    groups = settle(kept_groups(scored_groups(requests, reps, person)))
-    # groups of different renderings are one person if they share a record
-    node = lambda *c: F.concat_ws("\x1f", *[F.col(x).cast("string") for x in c])
-    merged = groups.withColumns({"group": node("request_id", "rep", "cluster"), "record": node("request_id", "record_key")})
-    links = merged.select("group", "record").distinct()
-    labels = connected_components(links.select(F.col("group").alias("node")).union(links.select("record")), links)
-    merged = settle(merged.join(labels, merged["group"] == labels["node"]).drop("node", "group", "record"))
+    merged = settle(merged_renderings(settle(best_groups(requests, reps, person))))
     final = merged.groupBy("request_id", "label").agg(F.max("stage_points").alias("stage_points"), F.count_distinct("rep").cast("int").alias("hits"), F.min("record_key").alias("first_record"))
     whole = Window.partitionBy("request_id")
     final = final.withColumn("top", F.max("stage_points").over(whole))

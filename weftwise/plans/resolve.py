@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftwise.functions.text import blank, utrim
-from weftwise.operators.cluster import clusters, cross_links, external_id, representatives
+from weftwise.operators.cluster import best_of, clusters, cross_links, external_id, field_score, keyed_records, linked_within, representatives, same_across
+from weftwise.operators.components import FOLDED, folded_components, gathered, split_by_size
 from weftwise.operators.graph import person_account
 from weftwise.operators.lookup import by_name, by_phone, domain_filter, first_hits
 from weftwise.operators.work import settle
@@ -27,28 +28,54 @@ def candidates(requests: DataFrame, person: DataFrame, lookup_limit: int | None
     return domain_filter(first_hits(phone.unionByName(name), ["request_id", "source"], lookup_limit), requests)
 
 
-def resolve(requests: DataFrame, person: DataFrame, lookup_limit: int | None = None) -> DataFrame:
-    """A row for each request: status ok, ambiguous, not_found or bad_request, and the identity if ok.
+_SHOWN = ["id", "xid", "name", "email"]
 
-    Exactly one of phone and name must be given. More than one person in a source is ambiguous, and so are one
-    in each source that no pair of records confirms as the same.
-    """
-    found = settle(candidates(requests, person, lookup_limit))
-    scope = ["request_id"]
+
+def _shown(r) -> list:
+    return [r["id"], external_id(r["xid"], r["id"]), F.trim(F.concat_ws(" ", r["first_name"], r["last_name"])), r["email"]]
+
+
+def facts_in_rows(found: DataFrame) -> DataFrame:
+    """(request_id, d, h, same, directory_*, helpdesk_*): how many persons each source has, whether records of both are
+    confirmed as the same, and each source's best record. All of a request is worked out in the row it is gathered to."""
     # a phone search already shares the phone, so there it links nothing
+    rows = gathered(keyed_records(found, F.col("by_phone")).withColumn("__score", field_score()), ["request_id"])
+    parts = folded_components(F.col("rows"), linked_within)
+    count = lambda s: F.size(F.filter("parts", lambda g: g[0]["source"] == s))
+    same = F.exists("rows", lambda a: F.exists("rows", lambda b: (a["source"] == DIRECTORY) & same_across(a, b)))
+    out = rows.select("request_id", "rows", parts.alias("parts")).select("request_id", count(DIRECTORY).alias("d"), count(HELPDESK).alias("h"), same.alias("same"), best_of(F.col("rows"), DIRECTORY).alias("x"), best_of(F.col("rows"), HELPDESK).alias("y"))
+    sides = [F.when(F.col(r).isNotNull(), c).alias(f"{s}_{name}") for s, r in ((DIRECTORY, "x"), (HELPDESK, "y")) for name, c in zip(_SHOWN, _shown(F.col(r)), strict=True)]
+    return out.select("request_id", "d", "h", "same", *sides)
+
+
+def facts_by_joins(found: DataFrame) -> DataFrame:
+    """As ``facts_in_rows``, for requests with any number of records."""
+    scope = ["request_id"]
     grouped = settle(clusters(found, scope, exclude_phone=F.col("by_phone")))
-    counts = grouped.groupBy("request_id").agg(
-        F.count_distinct(F.when(F.col("source") == DIRECTORY, F.col("cluster"))).alias("d"), F.count_distinct(F.when(F.col("source") == HELPDESK, F.col("cluster"))).alias("h")
-    )
+    of = lambda s: F.count_distinct(F.when(F.col("source") == s, F.col("cluster")))
+    counts = grouped.groupBy(*scope).agg(of(DIRECTORY).alias("d"), of(HELPDESK).alias("h"))
     confirmed = cross_links(found, scope).select("request_id").distinct().withColumn("same", F.lit(True))
     best = representatives(grouped, scope)
-    name_of = F.trim(F.concat_ws(" ", "first_name", "last_name"))
-    side = lambda s: best.filter(F.col("source") == s).select("request_id", F.col("id").alias(f"{s}_id"), external_id(F.col("xid"), F.col("id")).alias(f"{s}_xid"), name_of.alias(f"{s}_name"), F.col("email").alias(f"{s}_email"))
+    side = lambda s: best.filter(F.col("source") == s).select("request_id", *[c.alias(f"{s}_{name}") for name, c in zip(_SHOWN, _shown({k: F.col(k) for k in ("id", "xid", "first_name", "last_name", "email")}), strict=True)])
+    joined = counts.join(confirmed, "request_id", "left").join(side(DIRECTORY), "request_id", "left").join(side(HELPDESK), "request_id", "left")
+    return joined.withColumn("same", F.coalesce("same", F.lit(False)))
+
+
+def resolve(requests: DataFrame, person: DataFrame, lookup_limit: int | None = None, folded: int = FOLDED) -> DataFrame:
+    """A row for each request: status ok, ambiguous, not_found or bad_request, and the identity if ok.
+
+    Exactly one of phone and name must be given. More than one person in a source is ambiguous, and so are one
+    in each source that no pair of records confirms as the same. Requests that find up to ``folded`` records are
+    decided in one row each, the others by joins.
+    """
+    few, many = split_by_size(settle(candidates(requests, person, lookup_limit)), ["request_id"], folded)
+    made = ([] if few is None else [facts_in_rows(few)]) + ([] if many is None else [facts_by_joins(many)])
+    facts = made[0] if len(made) == 1 else made[0].unionByName(made[1])
     all_ = requests.select("request_id", ((blank(F.col("phone")) == "") == (utrim(F.col("name")) == "")).alias("bad"))
-    joined = all_.join(counts, "request_id", "left").join(confirmed, "request_id", "left").join(side(DIRECTORY), "request_id", "left").join(side(HELPDESK), "request_id", "left")
+    joined = all_.join(facts, "request_id", "left")
     d, h = F.coalesce("d", F.lit(0)), F.coalesce("h", F.lit(0))
     status = (
-        F.when(F.col("bad"), "bad_request").when((d > 1) | (h > 1), "ambiguous").when((d == 1) & (h == 1) & F.col("same").isNull(), "ambiguous")
+        F.when(F.col("bad"), "bad_request").when((d > 1) | (h > 1), "ambiguous").when((d == 1) & (h == 1) & ~F.col("same"), "ambiguous")
         .when((d == 0) & (h == 0), "not_found").otherwise("ok")
     )
     either = lambda c: F.coalesce(F.nullif(f"directory_{c}", F.lit("")), F.col(f"helpdesk_{c}"), F.col(f"directory_{c}"))

@@ -528,8 +528,32 @@ kept as (select s.* from scored s join heads h on h.request_id = s.request_id an
 @query(_person(_TOP) + "select request_id, rep, record_key, cluster, stage_points from kept")
 def match_top15(spark, sf_dir):
     requests = _match_requests(spark, sf_dir)
-    groups = matching.scored_groups(requests, matching.representations(requests), derived.persons(spark, sf_dir))
-    return matching.kept_groups(groups).select("request_id", "rep", "record_key", "cluster", "stage_points")
+    groups = matching.best_groups(requests, matching.representations(requests), derived.persons(spark, sf_dir))
+    return groups.select("request_id", "rep", "record_key", "cluster", "stage_points")
+
+
+def _bound(a: str, b: str) -> str:
+    return f"(case when greatest(length({a}), length({b})) = 0 then 0.0::double else 1.0::double - abs(length({a}) - length({b}))::double / greatest(length({a}), length({b})) end)"
+
+
+def _quality_bound(h: str, s: str) -> str:
+    ratios = ", ".join(_bound(f"{h}{x}", f"{s}{y}") for x in "ab" for y in "ab")
+    return f"least(1.0::double, greatest({ratios}) + case when {h}b <> '' and {s}b <> '' and {_koelner(h + 'b')} = {_koelner(s + 'b')} then 0.35::double else 0.0::double end)"
+
+
+@query(
+    _person(_GROUPS)
+    + f""", bounds as (select request_id, rep, label, cast(floor(50.0::double * (0.35::double * {_quality_bound('hf', 'f')} + 0.65::double * {_quality_bound('hl', 'l')}) + 0.5::double) as int) as b, hint_a <> '' and (starts_with(la, hint_a) or starts_with(lb, hint_b)) as hinted from keyed_names),
+capped as (select distinct b.request_id, b.rep, s.cluster, s.stage_points, case when hinted then least(50, b + 10) else b end as most_points from bounds b join scored s on s.label = b.label),
+likely as (select *, row_number() over (partition by request_id, rep order by most_points desc, cluster) as nth, count(*) over (partition by request_id, rep) as groups from capped),
+reached as (select *, case when groups >= 15 then min(stage_points) filter (nth <= 15) over (partition by request_id, rep) end as least from likely)
+select request_id, rep, any_value(groups) as groups, count(*) filter (nth <= 15 or (least is not null and most_points >= least)) as scored from reached group by request_id, rep"""
+)
+def match_scored_counts(spark, sf_dir):
+    """How many groups a rendering has, and how many have their edit distances worked out."""
+    requests = _match_requests(spark, sf_dir)
+    _, heard = matching.heard_groups(requests, matching.representations(requests), derived.persons(spark, sf_dir))
+    return matching.scoring_report(heard)
 
 
 _FINAL = f"""{_TOP},
