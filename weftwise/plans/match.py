@@ -13,6 +13,7 @@ from weftwise.operators.cluster import clusters, external_id, representatives
 from weftwise.operators.components import FOLDED, connected_components, folded_labels, split_by_size
 from weftwise.operators.lookup import domain_filter, first_hits, prefix_hits, suffix_hits
 from weftwise.operators.work import settle
+from weftwise.sources.index import PersonIndex
 from weftwise.sources.model import DIRECTORY, HELPDESK, MATCH_REQUEST
 
 KEPT_PER_REP, KEPT = 15, 5
@@ -50,21 +51,26 @@ def probes(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     return prefix, suffix
 
 
-def retrieved(requests: DataFrame, reps: DataFrame, person: DataFrame, lookup_limit: int | None = None) -> DataFrame:
+def retrieved(requests: DataFrame, reps: DataFrame, person: DataFrame, lookup_limit: int | None = None, index: PersonIndex | None = None) -> DataFrame:
     """Persons found by any probe, once for each request and rendering, of the request's domains.
 
-    With ``lookup_limit`` only so many a request, rendering and source are looked at, before the domain filter.
+    With ``lookup_limit`` only so many a request, rendering and source are looked at, before the domain filter. With
+    an ``index`` of the persons they are neither scanned nor shuffled, and domains are looked at before they are fetched.
     """
     prefix, suffix = probes(reps)
+    if index is not None:
+        own = ["request_id", "rep", "record_key", "source", "domain"]
+        hits = index.prefix_hits(prefix, person).select(*own).union(index.suffix_hits(suffix, person).select(*own)).distinct()
+        return index.fetched(domain_filter(first_hits(hits, ["request_id", "rep", "source"], lookup_limit), requests))
     hits = prefix_hits(prefix, person).select("request_id", "rep", "record_key").union(suffix_hits(suffix, person).select("request_id", "rep", "record_key")).distinct()
     return domain_filter(first_hits(hits.join(person, "record_key"), ["request_id", "rep", "source"], lookup_limit), requests)
 
 
-def heard_groups(requests: DataFrame, reps: DataFrame, person: DataFrame) -> tuple[DataFrame, DataFrame]:
+def heard_groups(requests: DataFrame, reps: DataFrame, person: DataFrame, index: PersonIndex | None = None) -> tuple[DataFrame, DataFrame]:
     """Records with their group (``cluster``), and a row a group: its name beside the heard one (forms in hf, hl, sf,
     sl), whether the hint fits, and ``most_points``, what its points can't exceed by lengths, sound and hint."""
     scope = ["request_id", "rep"]
-    grouped = settle(clusters(settle(retrieved(requests, reps, person)), scope, across=True))
+    grouped = settle(clusters(settle(retrieved(requests, reps, person, index=index)), scope, across=True))
     best = representatives(grouped, [*scope, "cluster"])
     # a group is scored by its directory record's name, else by the helpdesk's
     name = best.groupBy(*scope, "cluster").agg(F.min(F.struct((F.col("source") != DIRECTORY).alias("o"), "first_name", "last_name")).alias("n"))
@@ -101,9 +107,9 @@ def bounded_scores(heard: DataFrame, n: int = KEPT_PER_REP) -> DataFrame:
     return first.unionByName(rest.select(*scope, "cluster", _points().alias("stage_points")))
 
 
-def best_groups(requests: DataFrame, reps: DataFrame, person: DataFrame, n: int = KEPT_PER_REP) -> DataFrame:
+def best_groups(requests: DataFrame, reps: DataFrame, person: DataFrame, n: int = KEPT_PER_REP, index: PersonIndex | None = None) -> DataFrame:
     """``kept_groups`` of ``scored_groups`` without scoring them all."""
-    grouped, heard = heard_groups(requests, reps, person)
+    grouped, heard = heard_groups(requests, reps, person, index)
     best = Window.partitionBy("request_id", "rep").orderBy(F.col("stage_points").desc(), "cluster")
     heads = bounded_scores(heard, n).withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= n).drop("nth")
     return grouped.join(heads, ["request_id", "rep", "cluster"])
@@ -141,10 +147,13 @@ def merged_renderings(groups: DataFrame, folded: int = FOLDED) -> DataFrame:
     return made[0] if len(made) == 1 else made[0].unionByName(made[1])
 
 
-def candidates(requests: DataFrame, person: DataFrame) -> DataFrame:
-    """Up to five scored candidates a request. Requests without a usable rendering have none; see ``match_status``."""
+def candidates(requests: DataFrame, person: DataFrame, index: PersonIndex | None = None) -> DataFrame:
+    """Up to five scored candidates a request. Requests without a usable rendering have none; see ``match_status``.
+
+    ``index`` is an index of ``person``, if there is one.
+    """
     reps = representations(requests)
-    merged = settle(merged_renderings(settle(best_groups(requests, reps, person))))
+    merged = settle(merged_renderings(settle(best_groups(requests, reps, person, index=index))))
     final = merged.groupBy("request_id", "label").agg(F.max("stage_points").alias("stage_points"), F.count_distinct("rep").cast("int").alias("hits"), F.min("record_key").alias("first_record"))
     whole = Window.partitionBy("request_id")
     final = final.withColumn("top", F.max("stage_points").over(whole))

@@ -15,6 +15,7 @@ from weftwise.operators.work import settle, shared_folder
 from weftwise.plans import match as matching
 from weftwise.plans import resolve as resolving
 from weftwise.sources import derived
+from weftwise.sources.index import PersonIndex
 from weftwise.sources.model import DIRECTORY, HELPDESK
 from weftwise.streaming import serve
 
@@ -280,6 +281,33 @@ def lookup_suffix(spark, sf_dir):
     return lookup.suffix_hits(_probe_rows(spark, "last_suffix", _SUFFIXES), derived.persons(spark, sf_dir)).select("first_prefix", "last_suffix", "record_key")
 
 
+_PROBES = f"asked as ({derived.sql('probe', 'duckdb')}), probes as (select request_id, first_prefix, last_prefix, last_suffix, first_prefix as f, last_prefix as l, last_suffix as s from asked)"
+_SHOWN = "record_key, source, domain, email"
+
+
+def _index(spark: SparkSession, sf_dir: str, people: DataFrame) -> PersonIndex:
+    return PersonIndex.write(people, f"{shared_folder(people)}/weftwise-index-{uuid.uuid4().hex}", buckets=8, spread=2)
+
+
+@query(
+    _person(_PROBES, f"variants as (select request_id, f, l, unnest({_variants_sql('l')}) || substr(l, 2) as v from probes)")
+    + f"select request_id, f as first_prefix, l as last_prefix, {_SHOWN} from probes join person on {_STARTS.format('first', 'f', 'f')} and {_STARTS.format('last', 'l', 'l')} where source = 'directory' "
+    + f"union select request_id, f, l, {_SHOWN} from variants join person on {_STARTS.format('first', 'f', 'f')} and {_STARTS.format('last', 'v', 'l')} where source = 'helpdesk'"
+)
+def lookup_index_prefix(spark, sf_dir):
+    """Each supplier's probe against the index on disk, with the records fetched from it."""
+    people = settle(derived.persons(spark, sf_dir))
+    index, asked = _index(spark, sf_dir, people), derived.table(spark, sf_dir, "probe").drop("last_suffix")
+    return index.fetched(index.prefix_hits(asked)).select("request_id", "first_prefix", "last_prefix", "record_key", "source", "domain", "email")
+
+
+@query(_person(_PROBES) + f"select request_id, f as first_prefix, s as last_suffix, {_SHOWN} from probes join person on {_STARTS.format('first', 'f', 'f')} and {_RESTS}")
+def lookup_index_suffix(spark, sf_dir):
+    people = settle(derived.persons(spark, sf_dir))
+    index, asked = _index(spark, sf_dir, people), derived.table(spark, sf_dir, "probe").drop("last_prefix")
+    return index.fetched(index.suffix_hits(asked)).select("request_id", "first_prefix", "last_suffix", "record_key", "source", "domain", "email")
+
+
 def _alias_sql(groups, names: list[str]) -> str:
     """Aliases worked out by SQL from the groups themselves."""
     return f"select name, prefix from ({_alias_pairs(groups)}) where name in ({', '.join(repr(n.lower()) for n in names)})"
@@ -579,6 +607,13 @@ def match_candidates(spark, sf_dir):
     return matching.candidates(_match_requests(spark, sf_dir), derived.persons(spark, sf_dir))
 
 
+@query(ORACLE["match_candidates"])
+def match_candidates_index(spark, sf_dir):
+    """The same from the index on disk."""
+    people = settle(derived.persons(spark, sf_dir))
+    return matching.candidates(_match_requests(spark, sf_dir), people, _index(spark, sf_dir, people))
+
+
 @query("select n_nationkey::bigint as request_id, case when n_nationkey = 24 then 'bad_request' else 'ok' end as status from nation")
 def match_status(spark, sf_dir):
     return matching.match_status(_match_requests(spark, sf_dir))

@@ -54,6 +54,10 @@ TABLES = {
     "connects": """
         select concat('a-', c_custkey) as out_id, 'connects' as verb, concat('c-', c_custkey) as in_id from customer where c_custkey % 3 <> 2
         union all select concat('a-', c_custkey + 1), 'connects', concat('c-', c_custkey) from customer where c_custkey % 4 = 0""",
+    "probe": """
+        select s_suppkey as request_id, lower(substr({pick:FIRST:s_suppkey % 12}, 1, 1 + s_suppkey % 3)) as first_prefix, lower(substr({pick:LAST:(s_suppkey {div} 5) % 12}, 1, 1 + (s_suppkey {div} 3) % 3)) as last_prefix,
+               lower(substr({pick:LAST:(s_suppkey {div} 2) % 12}, 2, 3 + s_suppkey % 2)) as last_suffix
+        from supplier""",
     "intent": """
         select concat('i-', p_partkey) as id, p_type as intent_type, p_name as description,
                concat('/v1,', case when p_partkey % 3 = 0 then '' else '/v2' end, ', /v3 ,/v', p_partkey % 4) as variable_names,
