@@ -216,21 +216,20 @@ def exact_counts(docs: DataFrame, masks: list[np.ndarray], most: int) -> DataFra
     """(lang, k, phrase, a) of all phrases that the masks let through, and k = 0 with the number of a language's words."""
     sent = [docs.sparkSession.sparkContext.broadcast(m) for m in masks]
 
+    def batch(lang: pa.Array, k: np.ndarray, phrase: pa.Array, a: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([lang, pa.array(k, pa.int32()), phrase, pa.array(a, pa.int64())], names=["lang", "k", "phrase", "a"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks = [b.value for b in sent]
         for block in blocks(batches):
-            whole = np.bincount(block.lang, minlength=len(block.names))
-            lang, count = [n for n, c in zip(block.names, whole, strict=True) if c], [int(c) for c in whole if c]
-            size, phrase = [0] * len(lang), [""] * len(lang)
+            whole, names = np.bincount(block.lang, minlength=len(block.names)), pa.array(block.names, pa.string())
+            yield batch(names, np.zeros(len(whole), np.int64), pa.array([""] * len(whole)), whole)
             for level, mask in zip(levels(block, masks, most), masks, strict=False):
                 n = level.counts()
-                for i in np.flatnonzero((n > 0) & passes(mask, level.hash)).tolist():
-                    spelt = [block.spelt[w] for w in level.words[i].tolist()]
-                    lang.append(block.names[spelt[0][0]])
-                    size.append(len(spelt))
-                    phrase.append(" ".join(w for _, w in spelt))
-                    count.append(int(n[i]))
-            yield pa.RecordBatch.from_pydict({"lang": pa.array(lang, pa.string()), "k": pa.array(size, pa.int32()), "phrase": pa.array(phrase, pa.string()), "a": pa.array(count, pa.int64())})
+                kept = np.flatnonzero((n > 0) & passes(mask, level.hash))
+                kinds = block.kinds[level.words[kept]]
+                words = [block.words.take(pa.array(kinds[:, i] % len(block.words))) for i in range(kinds.shape[1])] if len(kept) else [pa.array([], pa.string())]
+                yield batch(names.take(pa.array(kinds[:, 0] // max(1, len(block.words)))), np.full(len(kept), kinds.shape[1]), pc.binary_join_element_wise(*words, " "), n[kept])
 
     return docs.mapInArrow(run, "lang string, k int, phrase string, a long").groupBy("lang", "k", "phrase").agg(F.sum("a").alias("a"))
 
@@ -242,7 +241,7 @@ def frequent_phrases(docs: DataFrame, most: int = 3, least: int = 10, bits: int
     masks: list[np.ndarray] = []
     for _ in range(most):
         masks.append(frequent_bits(hashed_counts(docs, masks, most), least, bits))
-    found = exact_counts(docs, masks, most).filter((F.col("k") == 0) | (F.col("a") >= least))
+    found = exact_counts(docs, masks, most).filter((F.col("k") == 0) & (F.col("a") > 0) | (F.col("a") >= least))
     return materialise(found, f"{work_dir(docs.sparkSession)}/phrases")
 
 
