@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftwise.llm.common import LOWER, U64, RollingHash, let_workers_import, materialise, mix64, work_dir
+from weftwise.llm.common import LOWER, U64, RollingHash, let_workers_import, materialise, mix64, shuffles_freed, work_dir
 
 #: Bytes of text in a block; a longer text is cut between pieces, and only a longer piece makes a larger block.
 BLOCK_BYTES = 4 << 20
@@ -239,10 +239,11 @@ def frequent_phrases(docs: DataFrame, most: int = 3, least: int = 10, bits: int
     language k = 0 with the number of its words. Written once to the shared folder."""
     let_workers_import(docs.sparkSession)
     masks: list[np.ndarray] = []
-    for _ in range(most):
-        masks.append(frequent_bits(hashed_counts(docs, masks, most), least, bits))
-    found = exact_counts(docs, masks, most).filter((F.col("k") == 0) & (F.col("a") > 0) | (F.col("a") >= least))
-    return materialise(found, f"{work_dir(docs.sparkSession)}/phrases")
+    with shuffles_freed(docs.sparkSession):
+        for _ in range(most):
+            masks.append(frequent_bits(hashed_counts(docs, masks, most), least, bits))
+        found = exact_counts(docs, masks, most).filter((F.col("k") == 0) & (F.col("a") > 0) | (F.col("a") >= least))
+        return materialise(found, f"{work_dir(docs.sparkSession)}/phrases")
 
 
 def scored(grams: DataFrame, most: int = 3) -> DataFrame:
