@@ -150,9 +150,14 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, most: int | None
 
 # ---------------------------------------------------------------- hashing
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE_CODE = np.random.Generator(np.random.PCG64(20240611)).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
+#: A prime; remainders and their products fit 64 bits. Two bases give hashes of 62 bits.
+_PRIME = (1 << 31) - 1
+_BASES = (1_203_554_417, 1_790_268_731)
+#: Bytes count from 1, so that zeros count. Sums of so many products with a remainder stay below 2**63.
+_BYTE_CODE = np.arange(1, 257, dtype=np.uint64)
+_SUMMED = 1 << 23
+#: Numbers that are worked on at a time; small enough for the processor's caches.
+_STRIDE = 1 << 14
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -165,6 +170,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _folded(x: np.ndarray) -> np.ndarray:
+    """``x`` in place as a smaller number of the same remainder: below 2**32 for numbers below 2**62."""
+    high = x >> U64(31)
+    x &= U64(_PRIME)
+    x += high
+    return x
+
+
+def _remainder(x: np.ndarray) -> np.ndarray:
+    """``x``, below 2**63, in place modulo the prime."""
+    x = _folded(_folded(x))
+    x -= U64(_PRIME) * (x >= U64(_PRIME))
+    return x
+
+
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -172,34 +192,55 @@ def _powers(base: int, n: int) -> np.ndarray:
     known = _POWERS.get(base)
     if known is None or len(known) < n:
         size = max(n, CHUNK_BYTES + 64)
-        known = np.empty(size, U64)
+        known = np.empty(size, np.uint32)
         known[0], m = 1, 1
         while m < size:
             c = min(m, size - m)
-            known[m : m + c] = known[:c] * U64(pow(base, m, 1 << 64))
+            known[m : m + c] = _remainder(known[:c] * U64(pow(base, m, _PRIME)))
             m *= 2
         _POWERS[base] = known
     return known[:n]
 
 
 class RollingHash:
-    """Hash of any byte range of a buffer in constant time, equal for equal bytes wherever they stand."""
+    """Hash of any byte range of a buffer in constant time, equal for equal bytes wherever they stand.
+
+    A polynomial over a prime field, with two bases: unlike one modulo a power of two it has no texts (such as
+    Thue and Morse's) that meet under every base.
+    """
 
     def __init__(self, data: np.ndarray):
         n = len(data)
-        self.total = np.empty(n + 1, U64)
-        self.total[0] = 0
-        np.cumsum(_BYTE_CODE[data] * _powers(_BASE, n), out=self.total[1:])
-        self.shift = _powers(_INVERSE, n + 1)
+        self.parts = [(np.empty(n + 1, U64), _powers(base, n), _powers(pow(base, -1, _PRIME), n + 1)) for base in _BASES]
+        for total, _, _ in self.parts:
+            total[0] = 0
+        for i in range(0, n, _STRIDE):
+            code = _BYTE_CODE[data[i : i + _STRIDE]]
+            for total, power, _ in self.parts:
+                term = code * power[i : i + _STRIDE]
+                part = np.cumsum(term if n < _SUMMED else _remainder(term), out=total[i + 1 : i + 1 + len(code)])
+                part += total[i]
+
+    @staticmethod
+    def _of(low: np.ndarray, high: np.ndarray, shift: np.ndarray) -> np.ndarray:
+        d = _folded(_folded(high - low))
+        d *= shift
+        return _remainder(d)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.total[end] - self.total[start]) * self.shift[start]
+        one, two = (self._of(total[start], total[end], shift[start]) for total, _, shift in self.parts)
+        return one << U64(31) | two
 
     def every(self, k: int) -> np.ndarray:
         """The hash of the ``k`` bytes at each start."""
-        d = self.total[k:] - self.total[:-k]
-        d *= self.shift[: len(d)]
-        return d
+        n = len(self.parts[0][0]) - k
+        out = np.empty(max(0, n), U64)
+        for i in range(0, n, _STRIDE):
+            j = min(n, i + _STRIDE)
+            one, two = (self._of(total[i:j], total[i + k : j + k], shift[i:j]) for total, _, shift in self.parts)
+            one <<= U64(31)
+            np.bitwise_or(one, two, out=out[i:j])
+        return out
 
 
 _BLANK = np.zeros(256, bool)
