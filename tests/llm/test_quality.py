@@ -3,8 +3,9 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from weftwise.llm.quality import RULES, judge, keep_good, plan_order
+from weftwise.llm.quality import RULES, Rule, best_order, judge, keep_good, measured, plan_order
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PROSE = "the quick brown fox jumps over a lazy dog while seven other animals watch it from afar."
@@ -59,6 +60,41 @@ def test_cascade_orders_by_rejections_per_cost(spark):
     assert order[0] == "symbols"
 
 
+def test_order_is_the_same_in_every_run(spark):
+    rows = [(t,) for t in TEXTS for _ in range(40)] + [(PROSE * 300,)] * 5
+    df = spark.createDataFrame(rows, "text string").repartition(3).cache()
+    df.count()
+    assert len({tuple(r.name for r in plan_order(df)) for _ in range(3)}) == 1
+    many = spark.range(30_000, numPartitions=4).select(F.concat(F.lit(PROSE), F.col("id").cast("string")).alias("text"))
+    first = measured(many)
+    assert len(first) == 200 and measured(many) == first
+
+
+def test_order_follows_the_costs(spark):
+    """Rules that reject the same rows come by their steps; a rule made dear goes behind all that reject as much."""
+    steps = lambda n: lambda t, words, lines: F.lit(n).cast("long")
+    odd = lambda t, f: F.coalesce(t.contains("odd"), F.lit(False))
+    rules = [Rule("dear", odd, steps(9_000)), Rule("cheap", odd, steps(3)), Rule("other", lambda t, f: t.contains("other"), steps(500)), Rule("none", lambda t, f: F.lit(False), steps(1))]
+    df = spark.createDataFrame([("odd",)] * 10 + [("other",)] * 5 + [("fine",)] * 5 + [(None,)], "text string")
+    assert [r.name for r in plan_order(df, rules=rules)] == ["cheap", "other", "none", "dear"]
+    rules[1] = Rule("cheap", odd, steps(900_000))
+    assert [r.name for r in plan_order(df, rules=rules)] == ["other", "dear", "none", "cheap"]
+
+
+def test_greedy_by_what_is_left():
+    """A rule whose rejections others have taken already counts for nothing, and costs count for the rows still there."""
+    rules = [Rule(n, None, None) for n in "abc"]
+    rows = [(0b011, 2, 1, 10)] * 4 + [(0b100, 2, 100, 10)] * 3 + [(0, 2, 100, 10)]
+    assert [r.name for r in best_order(rows, rules)] == ["a", "c", "b"]
+    assert best_order([], rules) == rules or len(best_order([], rules)) == 3
+
+
+def test_long_texts_count_in_the_sample(spark):
+    rows = measured(spark.createDataFrame([("word " * 100_000,), (None,), ("",)], "text string"))
+    steps = max(r[1 + [x.name for x in RULES].index("symbols")] for r in rows)
+    assert len(rows) == 3 and steps > 500_000 and sum(r[0] & 1 for r in rows) == 2
+
+
 def test_repeated_rows_and_null_ids(spark):
     df = spark.createDataFrame([(None, PROSE, True), (None, PROSE, True), (1, PROSE, False), (1, None, None)], "doc_id long, text string, kept boolean")
     got = judge(df).collect()
