@@ -1,5 +1,6 @@
 """Surrogates: nothing of the original stays, kinds and formats do, and entities stay apart and the same."""
 
+import random
 import re
 
 import pytest
@@ -47,7 +48,7 @@ def test_replacement(spark, lookup_rows):
     assert ips[1].startswith("10.") and ips[2].startswith("192.168.") and all(int(x) < 256 for ip in ips for x in ip.split(".")) and "97.51.17.173" not in ips
     assert re.search(r'"[0-9a-f]{40}"', by[4]["text"]) and "04dbebab" not in by[4]["text"] and re.fullmatch("AKIA[0-9A-Z]{16}", by[5]["text"])
     assert shape(by[6]["text"]) == shape(PRIVATE[6][0]) and by[7]["text"].startswith("pay DE") and shape(by[7]["text"]) == shape(PRIVATE[7][0])
-    assert one.endswith(".com") and shape(one) == shape("Jane.Doe7@mail.example.com").lower()
+    assert one.endswith(".com") and shape(one) == shape("Jane.Doe7@mail.example.com")
     m = re.fullmatch(r"Mrs\. (\w+) (\w+) met Herr (\w+) and Mr\. (\w+); Frau (\w+)", by[8]["text"])
     assert m and m[1] in ("Alma", "Clara", "Edith", "Flora", "Ida", "Laura", "Nora", "Vera") and m[2] == m[3] != m[4] and m[5].endswith("ова") and "Weber" not in by[8]["text"]
 
@@ -130,3 +131,87 @@ def test_full_spaces_have_a_way_out(spark):
     assert all_.select("kind", "core").distinct().count() == len(rows)
     assert all_.join(entities.select("kind", F.col("canon").alias("core")), ["kind", "core"], "left_semi").count() == 0
     assert all_.filter("kind = 'ip' and core not like '10.%'").count() == 0
+
+
+def texts_of(spark, texts, lookup_rows=2000):
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["text"] for r in replace_entities(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), KEY, lookup_rows=lookup_rows).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("lookup_rows", [2000, -1])
+def test_the_next_sentence_is_no_name(spark, lookup_rows):
+    texts = ["Mr Smith Yesterday he went; Mr Smith Today", "Mr Smith The end", "Frau Weber Gestern war", "Mme Dupont Hier elle", "Señor Ruiz Ayer fue", "Dr Smith's house", "Mr Smith.", "Miss You all"]
+    got = texts_of(spark, texts, lookup_rows)
+    smith = re.fullmatch(r"Mr (\w+) Yesterday he went; Mr (\w+) Today", got[0])
+    assert smith and smith[1] == smith[2] != "Smith"
+    assert got[1] == f"Mr {smith[1]} The end" and got[5] == f"Dr {smith[1]}'s house" and got[6] == f"Mr {smith[1]}." and got[7] == texts[7]
+    assert re.fullmatch(r"Frau \w+ Gestern war", got[2]) and re.fullmatch(r"Mme \w+ Hier elle", got[3]) and re.fullmatch(r"Señor \w+ Ayer fue", got[4])
+
+
+@pytest.mark.parametrize("lookup_rows", [2000, -1])
+def test_titles_do_not_part_a_person(spark, lookup_rows):
+    """One person under several titles has one name, of the gender that the titles tell; titles that differ give a neutral one."""
+    texts = ["Mr Adam Weber met Dr Adam Weber and Prof. Dr. Adam Weber, Herr Dr Adam Weber", "Dr Nora Weber and Mrs Nora Weber", "Mr Kim Weber, Mrs Kim Weber and Dr Kim Weber", "Mr Otto Weber", "Dr Uli Weber"]
+    got = texts_of(spark, texts, lookup_rows)
+    adam = re.fullmatch(r"Mr (\w+) (\w+) met Dr (\w+) (\w+) and Prof\. Dr\. (\w+) (\w+), Herr Dr (\w+) (\w+)", got[0]).groups()
+    assert len({adam[i] for i in (0, 2, 4, 6)}) == len({adam[i] for i in (1, 3, 5, 7)}) == 1
+    men, women, neutral = (["Adam", "Bruno", "Conrad", "Edgar", "Felix", "Hugo", "Leon", "Oscar"], ["Alma", "Clara", "Edith", "Flora", "Ida", "Laura", "Nora", "Vera"], ["Alex", "Kim", "Robin", "Sascha"])
+    nora = re.fullmatch(r"Dr (\w+) \w+ and Mrs (\w+) \w+", got[1])
+    kim = re.fullmatch(r"Mr (\S+) \w+, Mrs (\S+) \w+ and Dr (\S+) \w+", got[2])
+    assert adam[0].split("-")[0] in men and nora[1] == nora[2] and nora[1].split("-")[0] in women
+    assert kim[1] == kim[2] == kim[3] and kim[1].split("-")[0] in neutral
+    assert not {adam[0], nora[1], kim[1]} & {"Adam", "Nora", "Kim", "Otto", "Uli"}
+
+
+@pytest.mark.parametrize("lookup_rows", [2000, -1])
+def test_domains_stay_apart(spark, lookup_rows):
+    """All one-letter domains of a country: as many after as before, and none of them an original."""
+    texts = [f"to {who}@{chr(97 + i)}.de" for i in range(26) for who in ("ann", "bob")]
+    got = texts_of(spark, texts, lookup_rows)
+    domains = [t.split("@")[1] for t in got]
+    assert all(domains[2 * i] == domains[2 * i + 1] for i in range(26)) and len(set(domains)) == 26
+    assert not set(domains) & {f"{chr(97 + i)}.de" for i in range(26)} and len(set(got)) == 52 and all(d.endswith(".de") for d in domains)
+
+
+def test_shapes_of_names_and_addresses(spark):
+    texts = ["Herr Weber-Schmidt", "Mr O'Neil", "Mrs Anna-Lena Weber-Schmidt", "Herr von Weber", "Herr Weber", "Mr Ludwig van Beethoven", "Mr J. R. Smith", "John.Smith@Example.COM", "john.smith@example.com", "JOHN.SMITH@EXAMPLE.COM", "Dr Li"]
+    got = texts_of(spark, texts)
+    assert re.fullmatch(r"Herr [A-Z][a-z]+-[A-Z][a-z]+", got[0]) and re.fullmatch(r"Mr [A-Z][a-z]+'[A-Z][a-z]+", got[1])
+    assert got[2].split()[-1] == got[0].split()[-1] and re.fullmatch(r"Mrs [A-Z][a-z-]+ \S+", got[2].replace("-L", "-l"))
+    assert got[3] == f"Herr von {got[4].split()[1]}" and re.fullmatch(r"Mr [A-Z]\w+ van [A-Z]\w+", got[5]) and "Ludwig" not in got[5] and re.fullmatch(r"Mr J\. R\. [A-Z]\w+", got[6])
+    assert got[7].lower() == got[8] == got[9].lower() and shape(got[7]) == shape(texts[7]) and got[9] == got[9].upper() and got[10] != texts[10]
+    assert not any(x in " ".join(got) for x in ("Weber", "Schmidt", "Neil", "Beethoven", "Smith", "Example"))
+
+
+def test_more_forms_of_numbers_and_addresses(spark):
+    texts = ["0049 30 123456", "+49 30 123456", "2001:db8::1", "2001:DB8::1", "fe80:0:0:0:1:2:3:4", "2001:db8:85a3::8a2e:370:7334", "std::vector a::b 12:30:45", "fe80::5"]
+    got = texts_of(spark, [f"at {t} now" for t in texts])
+    got = [t[3:-4] for t in got]
+    assert re.fullmatch(r"0049 \d\d \d{6}", got[0]) and re.sub(r"\D", "", got[0])[2:] == re.sub(r"\D", "", got[1]) and got[0] != texts[0]
+    assert got[2] == got[3].lower() != texts[2] and got[2].startswith("2001:") and got[4].startswith("fe80:") and got[4] != texts[4] and got[4].count(":") == 7
+    assert got[5].startswith("2001:") and got[5] != texts[5] and got[6] == texts[6] and got[7].startswith("fe80:") and got[7] != texts[7]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_pairs_of_entities(spark, seed):
+    """Any two mentions are equal after exactly if they were one entity before: brute force over all pairs."""
+    rng = random.Random(seed)
+    first, last = ["Adam", "Eva", "Kim", "Otto", "Bo", "Ana-Lu"], ["Weber", "Stein", "Voss", "O'Neil", "Weber-Stein"]
+    mentions = [(f"{rng.choice(['Mr', 'Mrs', 'Dr', 'Prof. Dr.'])} ", g, s) for g in [*first, ""] for s in last for _ in range(3)]
+    texts = [f"{t}{g + ' ' if g else ''}{s}" for t, g, s in mentions]
+    mails = [f"{u}@{d}" for u in ("a", "b", "Ann") for d in ("a.de", "b.de", "x.org", "y.org", "c.de")]
+    got = texts_of(spark, [f"is {t} there" for t in texts + mails])
+    after = [t[3:-6] for t in got]
+    names = [re.fullmatch(r"(?:(?:Mr|Mrs|Dr|Prof\.) ?(?:Dr\. )?)(?:(\S+) )?(\S+)", t).groups() for t in after[: len(texts)]]
+    for i, (_, g, s) in enumerate(mentions):
+        for k, (_, g2, s2) in enumerate(mentions):
+            assert (names[i][1] == names[k][1]) == (s == s2)
+            if g and g2:
+                assert (names[i][0] == names[k][0]) == (g == g2)
+    boxes = after[len(texts) :]
+    for i, m in enumerate(mails):
+        for k, n in enumerate(mails):
+            assert (boxes[i].lower() == boxes[k].lower()) == (m.lower() == n.lower())
+            assert (boxes[i].split("@")[1] == boxes[k].split("@")[1]) == (m.split("@")[1] == n.split("@")[1])
+    assert not {x[1] for x in names} & set(last) and not {x[0] for x in names} & set(first) and not {b.split("@")[1] for b in boxes} & {m.split("@")[1] for m in mails}

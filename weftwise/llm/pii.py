@@ -1,24 +1,33 @@
 """Surrogates for personal data, all in DataFrame expressions.
 
-Entities found: e-mail addresses, phone, card, bank account and social security numbers, IP addresses, access
+Entities found: e-mail addresses, phone, card, bank account and social security numbers, IP addresses (both versions), access
 tokens, and names behind a form of address. Each is replaced by a keyed surrogate of its own kind: same length
 and separators, digits for digits and letters for letters of the same case, country codes and top-level domains
 kept, cards that pass the Luhn check and bank accounts that pass theirs if the original does (numbers grow by a
 digit a round where all of a length are taken), private, loopback and link-local IP ranges that stay so (or go to
 a wider private or the reserved range where one is full), given names of the same gender and surnames in the same
-script. An e-mail's domain is the same for all addresses of a domain. One entity has one surrogate in the whole table however it is written (coreference), two entities never
-share one, and none is another's original (collision checks). Surnames and given names are entities of their own, so
-a surname alone stays the same as in a full name, and two given names (by gender and script) never become one:
+script, with their hyphens and apostrophes. One entity has one surrogate in the whole table however it is written
+(coreference), two entities never share one, and none is another's original (collision checks). What entities share is
+an entity of its own: an e-mail's domain, so addresses of one house stay in one; a surname, so it stays the same alone
+and in a full name; and a given name, so titles don't part a person. A given name's gender is what all its titles in the
+table say (``Dr`` says nothing; where titles differ, it gets a neutral name).
 
 1. The distinct entities of all texts are collected as narrow rows (aggregated before the shuffle).
 2. Each gets a surrogate for round 0. Those whose surrogate another entity has, or which is an entity itself,
-   go to the next round, until none is left. Only entities past round 0 need to be looked up later.
-3. Texts are cut at their entities and joined again with surrogates computed in place. If few entities are
-   past round 0 (``LOOKUP_ROWS`` at most, a checked size) they ride along as a literal; otherwise the texts
+   go to the next round, until none is left; domains first, as addresses hold them. Who keeps a surrogate is the
+   least of those that have it, an aggregate: nothing is sorted within a surrogate, however many share it.
+   Only entities past round 0, and given names whose titles differ, need to be looked up later.
+3. Texts are cut at their entities and joined again with surrogates computed in place. If few entities have to be
+   looked up (``LOOKUP_ROWS`` at most, a checked size) they ride along as a literal; otherwise the texts
    that hold any are joined with them.
 
-Nulls stay null; texts without entities come out byte for byte; repeated rows come out alike; other columns pass.
-Without the key surrogates can't be recomputed; the key is a parameter and isn't stored.
+A name is a form of address, or several, and one or two capitalised words, with initials, particles (von, de) and a
+second surname behind a hyphen. Words that open sentences (``NOT_NAMES``) are no names, so "Mr Smith Yesterday" is
+Mr Smith; behind a single name any other capitalised word counts as the surname. Names without a form of address stay.
+
+Nulls stay null; empty texts and texts without entities come out byte for byte; very long texts are replaced whole;
+repeated rows come out alike; an empty table stays one; other columns pass. Without the key surrogates can't be
+recomputed; the key is a parameter and isn't stored.
 """
 
 from __future__ import annotations
@@ -26,7 +35,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftwise.llm.common import drop_path, free_name, materialise, row_key, work_dir
@@ -54,6 +63,19 @@ SYLLABLES = {
 # Country calling codes; all others have three digits.
 _COUNTRY = r"^\+(?:1|7|20|27|3[0-4]|36|39|40|41|4[3-9]|5[1-8]|6[0-6]|81|82|84|86|9[0-5]|98|\d{3})"
 
+#: Words that stand in a name without being replaced.
+PARTICLES = "von van vom zu zur der den de del della di da dos du la le ten ter al el bin ibn".split()
+# Capitalised words that open a sentence or name a day, month or language, in the languages of the titles.
+NOT_NAMES = """
+A About According After Again All Also Although Always An And Another Any Are As At Because Before Both But By Can Could Did Do Does During Each Even Every Finally First For From Had Has Have He Her Here His How However I If In
+Is It Its Just Last Later Let Many May Maybe Might More Most Much My Never Next No Nobody Not Nothing Now Of Often On Once One Only Or Our Perhaps Please Several She Should Since So Some Sometimes Soon Still Such Than Thank That The Their Then There
+These They This Those Though Thus To Today Tomorrow Tonight Two Under Until Was We Well Were What When Where Which While Who Why Will With Without Would Yes Yesterday Yet You Your
+Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April June July August September October November December English German French Spanish
+Aber Alle Als Also Am An Auch Auf Aus Bei Bis Da Dann Das Dass Der Die Dies Diese Dort Ein Eine Er Es Gestern Hat Heute Hier Ich Ihr Im In Ist Ja Jetzt Kein Man Mit Morgen Nach Nein Nicht Noch Nun Nur Oder Ohne Seit Sie Sind So Und Unser Vom Von Vor Wann War Warum Was Wenn Wer
+Wie Wir Wo Zu Zum Zur Alors Après Au Aujourd Avec Ce Cependant Ces Cette Dans De Demain Depuis Des Donc Du Elle Elles En Est Et Hier Il Ils Je La Le Les Leur Mais Ne Nous On Ou Par Pour Puis Quand Que Qui Sa Sans Ses Si Sur Tous Un Une Vous
+Ahora Ante Así Aunque Ayer Como Con Cuando Desde Después Donde El Ella Ellos Era Esta Este Esto Fue Hoy Las Los Luego Mañana Más Mi Muy No Nos Para Pero Por Porque Pues Se Según Sin Su También Todo Una Y Ya Yo Он Она Они Но И В На Это Вчера Сегодня Завтра Мы Я Вы Ο Η Το Οι Και Χθες Σήμερα Αύριο
+""".split()
+
 _TITLE = "|".join(sorted((x for xs in TITLES.values() for x in xs), key=len, reverse=True))
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 _TOKEN = r"(?<!\w)(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|[0-9a-fA-F]{32,128})(?!\w)"
@@ -62,9 +84,16 @@ _IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?
 _PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w-])\d{3}([-.])\d{3}\1\d{4}(?![\w-])"
 _SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 _CARD = r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])"
-_NAME = rf"(?<![\p{{L}}\d])(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+)?"
+_IP6 = r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f:]*\d)(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5}|(?=[A-Fa-f:]*\d)[23fF][0-9A-Fa-f]{3}:(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])"
+_NO = rf"(?!(?:{'|'.join(dict.fromkeys(NOT_NAMES))})(?![\p{{L}}'’-]))"
+#: A capitalised word with the parts behind hyphens and apostrophes, but not a possessive s.
+_WORD = rf"{_NO}\p{{Lu}}(?=\p{{L}}|['’-]\p{{L}})\p{{L}}*(?:['’-](?!s(?!\p{{L}}))\p{{L}}+)*"
+_BEFORE = rf"(?:(?:{'|'.join(PARTICLES)}|\p{{Lu}}\.) )*"
+_TITLES = rf"(?:(?:{_TITLE})\.? )+"
+_NAME = rf"(?<![\p{{L}}\d]){_TITLES}{_BEFORE}{_WORD}(?: {_BEFORE}{_WORD})?"
+_PHONE = r"(?<![\w+])00[1-9]\d{0,2}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|" + _PHONE
 _PHONE = _PHONE.replace(r"([-.])", r"(?:-|\.)").replace(r"\1", r"(?:-|\.)")
-ENTITY = "|".join([_EMAIL, _TOKEN, _IBAN, _IP, _PHONE, _SSN, _CARD, _NAME])
+ENTITY = "|".join([_EMAIL, _TOKEN, _IBAN, _IP6, _IP, _PHONE, _SSN, _CARD, _NAME])
 #: Without one of these a text has no entity.
 _GATE = rf"[0-9@]|AKIA|gh[pousr]_|sk-|[a-fA-F]{{32}}|(?:{_TITLE})"
 
@@ -72,11 +101,24 @@ _GATE = rf"[0-9@]|AKIA|gh[pousr]_|sk-|[a-fA-F]{{32}}|(?:{_TITLE})"
 def kind_of(match: Column) -> Column:
     whole = lambda p: match.rlike(f"^(?:{p})$")
     return (
-        F.when(match.contains("@"), "email").when(match.rlike(rf"^(?:{_TITLE})\b"), "name").when(whole(_TOKEN), "token").when(whole(_IBAN), "iban")
+        F.when(match.contains("@"), "email").when(match.rlike(rf"^(?:{_TITLE})\b"), "name").when(whole(_TOKEN), "token").when(whole(_IBAN), "iban").when(match.contains(":"), "ipv6")
         .when(whole(_IP), "ip").when(whole(_PHONE), "phone").when(whole(_SSN), "ssn").otherwise("card")
     )
 
 
+def _titles(match: Column) -> Column:
+    return F.regexp_extract(match, rf"^{_TITLES}", 0)
+
+
+def _name_words(match: Column) -> Column:
+    """What stands behind the titles."""
+    return F.split(F.substr(match, F.char_length(_titles(match)) + 1), " ")
+
+
+def _is_name(word: Column) -> Column:
+    return word.rlike(r"^\p{Lu}(?!\.)")
+
+
 def _surname(match: Column) -> Column:
     return F.substring_index(match, " ", -1)
 
@@ -88,22 +130,33 @@ def _script(word: Column) -> Column:
 def canonical(kind: Column, match: Column) -> Column:
     """What all spellings of one entity have in common."""
     return (
-        F.when(kind == "email", F.lower(match)).when(kind.isin("token", "ip"), match).when(kind == "iban", F.replace(match, F.lit(" "), F.lit("")))
-        .when(kind == "name", F.regexp_replace(F.lower(_surname(match)), r"(?<=(?:ов|ев|ин))а$", "")).when(kind == "phone", F.regexp_replace(match, r"[^0-9+]", ""))
+        F.when(kind.isin("email", "ipv6"), F.lower(match)).when(kind.isin("token", "ip"), match).when(kind == "iban", F.replace(match, F.lit(" "), F.lit("")))
+        .when(kind == "name", F.regexp_replace(F.lower(_surname(match)), r"(?<=(?:ов|ев|ин))а$", "")).when(kind == "phone", F.regexp_replace(F.regexp_replace(match, "^00", "+"), r"[^0-9+]", ""))
         .otherwise(F.regexp_replace(match, r"[^0-9]", ""))
     )
 
 
 def _gender(match: Column) -> Column:
-    title = F.regexp_extract(match, rf"^(?:{_TITLE})\.?", 0)
-    return F.when(title.rlike(rf"^(?:{'|'.join(TITLES['m'])})\.?$"), "m").when(title.rlike(rf"^(?:{'|'.join(TITLES['f'])})\.?$"), "f").otherwise("n")
+    """Of the first title that tells."""
+    titles = _titles(match)
+    said = lambda g: F.regexp_instr(titles, F.lit(rf"(?<!\p{{L}})(?:{'|'.join(TITLES[g])})(?!\p{{L}})"))
+    m, f = said("m"), said("f")
+    return F.when((m > 0) & ((f == 0) | (m < f)), "m").when(f > 0, "f").otherwise("n")
 
 
 def given_of(kind: Column, match: Column) -> Column:
-    """Gender, script and given name of a full name, else null."""
-    words = F.split(match, " ")
-    word = F.lower(F.get(words, F.lit(1)))
-    return F.when((kind == "name") & (F.size(words) > 2), F.concat_ws("|", _gender(match), _script(word), word))
+    """Script and given name of a full name, else null."""
+
+    def first(words: Column) -> Column:
+        names = F.filter(words, _is_name)
+        word = F.lower(F.get(names, F.lit(0)))
+        return F.when(F.size(names) > 1, F.concat_ws("|", _script(word), word))
+
+    return F.when(kind == "name", let(_name_words(match), first))
+
+
+def domain_of(kind: Column, match: Column) -> Column:
+    return F.when(kind == "email", F.lower(F.substring_index(match, "@", -1)))
 
 
 def _number(hex_: Column, i: Column | int, base: int) -> Column:
@@ -154,17 +207,19 @@ def _account(canon: Column, body: Column) -> Column:
     return F.concat(country, F.lpad(check.cast("string"), 2, "0"), body)
 
 
-def surrogate(key: str, kind: Column, canon: Column, round_: Column) -> Column:
-    """The surrogate of a canonical entity, itself in canonical form."""
+def surrogate(key: str, kind: Column, canon: Column, round_: Column, domain_round: Column | None = None, gender: Column | None = None) -> Column:
+    """The surrogate of a canonical entity, itself in canonical form.
+
+    ``domain_round`` is the round of an e-mail's domain, ``gender`` that of a given name.
+    """
+    domain_round = F.lit(0) if domain_round is None else F.coalesce(domain_round, F.lit(0))
+    gender = F.lit("n") if gender is None else F.coalesce(gender, F.lit("n"))
 
     def build(x: Column) -> Column:
         c, h = x["c"], x["h"]
         local, domain = F.substring_index(c, "@", 1), F.substring_index(c, "@", -1)
-        # one domain has one surrogate; its last label stays
-        last = F.substring_index(domain, ".", -1)
-        host = F.concat(_same_classes(F.substr(domain, F.lit(1), F.char_length(domain) - F.char_length(last)), _stream(key, F.concat(F.lit("domain "), domain), F.char_length(domain))), last)
         later = F.when(round_ > 0, round_.cast("string")).otherwise("")
-        email = F.concat(_same_classes(local, h), later, F.lit("@"), host)
+        email = F.concat(_same_classes(local, h), later, F.lit("@"), domain_surrogate(key, domain, domain_round))
         prefix = F.regexp_extract(c, r"^(AKIA|gh[pousr]_|sk-|)", 1)
         hexlike = c.rlike("^[0-9a-fA-F]+$")
         lowhex = F.translate(_same_classes(F.lower(c), h), "ghijklmnopqrstuvwxyz", "abcdefabcdefabcdefab")
@@ -190,20 +245,38 @@ def surrogate(key: str, kind: Column, canon: Column, round_: Column) -> Column:
         iban = let(F.concat(_same_classes(F.substr(c, F.lit(5)), h), longer), lambda b: _account(c, b))
         name = None
         for script, parts in SYLLABLES.items():
-            made = _syllables(parts, h, round_)
+            made = _surname_parts(parts, c, h, round_)
             name = F.when(_script(c) == script, made) if name is None else name.when(_script(c) == script, made)
+        hexes = lambda at, n: F.array_join(F.transform(F.sequence(F.lit(at), F.lit(at + n - 1)), lambda i: F.lower(F.hex(_number(h, i, 16)))), "")
+        groups = F.array_join(F.transform(F.regexp_extract_all(F.substr(c, F.lit(5)), F.lit("."), 0), lambda x, i: F.when(x == ":", x).otherwise(F.lower(F.hex(_number(h, i, 16))))), "")
+        start = F.substr(c, F.lit(1), F.lit(4))
+        # later rounds take four whole groups, of which there are enough
+        ipv6 = F.when(round_ > 2, F.concat(F.when(start.rlike("^f[cde]"), F.regexp_replace(start, ":.*", "")).otherwise("2001"), F.lit("::"), F.concat_ws(":", *[hexes(4 * k, 4) for k in range(4)]))).otherwise(F.concat(start, groups))
         return (
             F.when(kind == "email", email).when(kind == "token", token).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", check)
-            .when(kind == "iban", iban).when(kind == "name", F.lower(name)).otherwise(F.concat(_same_classes(c, h), longer))
+            .when(kind == "iban", iban).when(kind == "name", F.lower(name)).when(kind == "ipv6", ipv6).otherwise(F.concat(_same_classes(c, h), longer))
         )
 
     seed = F.concat_ws("\x1f", kind, canon, round_.cast("string"))
     whole = let(F.struct(canon.alias("c"), _stream(key, seed, F.char_length(canon) + 24).alias("h")), build)
-    return F.when(kind == "given", given_surrogate(key, canon, round_)).otherwise(whole)
+    return F.when(kind == "given", given_surrogate(key, canon, round_, gender)).when(kind == "domain", domain_surrogate(key, canon, round_)).otherwise(whole)
 
 
-def given_surrogate(key: str, canon: Column, round_: Column) -> Column:
-    """Another given name for one of ``given_of``, in the same form: from the list, with syllables in later rounds."""
+def domain_surrogate(key: str, domain: Column, round_: Column) -> Column:
+    """Another domain of the same shape under the same last label; later rounds have more letters in front."""
+
+    def build(x: Column) -> Column:
+        last = F.substring_index(x["c"], ".", -1)
+        host = F.substr(x["c"], F.lit(1), F.char_length(x["c"]) - F.char_length(last))
+        more = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(x["r"], F.lit(1))), lambda i: F.char(F.lit(97) + _number(F.reverse(x["h"]), i, 26))), "")
+        return F.concat(F.when(x["r"] > 0, more).otherwise(""), _same_classes(host, x["h"]), last)
+
+    seed = F.concat_ws("\x1f", F.lit("domain"), domain, round_.cast("string"))
+    return let(F.struct(domain.alias("c"), round_.alias("r"), _stream(key, seed, F.char_length(domain) + round_ + 2).alias("h")), build)
+
+
+def given_surrogate(key: str, canon: Column, round_: Column, gender: Column) -> Column:
+    """Another given name of a gender for one of ``given_of``, in the same form: from the list, with syllables in later rounds."""
 
     def build(x: Column) -> Column:
         out = None
@@ -212,27 +285,35 @@ def given_surrogate(key: str, canon: Column, round_: Column) -> Column:
             for g, known in names.items():
                 one = F.get(F.lit([n.lower() for n in known]), _number(x["h"], 0, len(known)))
                 more = F.transform(F.sequence(F.lit(1), F.greatest(x["r"] - PLAIN_GIVEN + 1, F.lit(1))), lambda i: F.get(F.lit(parts), _number(x["h"], i, len(parts))))  # noqa: B023
-                made = F.concat(F.lit(f"{g}|{script}|"), one, F.when(x["r"] >= PLAIN_GIVEN, F.concat(F.lit("-"), F.array_join(more, ""))).otherwise(""))
-                fits = x["c"].startswith(f"{g}|{script}|")
+                made = F.concat(F.lit(f"{script}|"), one, F.when(x["r"] >= PLAIN_GIVEN, F.concat(F.lit("-"), F.array_join(more, ""))).otherwise(""))
+                fits = x["c"].startswith(f"{script}|") & (x["g"] == g)
                 out = F.when(fits, made) if out is None else out.when(fits, made)
         return out
 
     seed = F.concat_ws("\x1f", F.lit("given"), canon, round_.cast("string"))
-    return let(F.struct(canon.alias("c"), round_.alias("r"), _stream(key, seed, round_ + 4).alias("h")), build)
+    return let(F.struct(canon.alias("c"), round_.alias("r"), gender.alias("g"), _stream(key, seed, round_ + 4).alias("h")), build)
+
 
+def _surname_parts(parts: list[str], canon: Column, hex_: Column, round_: Column) -> Column:
+    """Syllables for each part of a surname; what stands between the parts stays."""
+    tokens = F.regexp_extract_all(canon, F.lit("[^'’-]+|['’-]"), 0)
+    count_ = F.when(F.size(tokens) > 1, 2).otherwise(4) + round_
 
-def _syllables(parts: list[str], hex_: Column, round_: Column) -> Column:
-    known = F.lit(parts)
+    def piece(token: Column, at: Column) -> Column:
+        made = F.transform(F.sequence(F.lit(0), count_ - 1), lambda i: F.get(F.lit(parts), _number(hex_, at + i, len(parts))))
+        return F.when(token.rlike("['’-]"), token).otherwise(F.array_join(made, ""))
 
-    def pick(i: Column) -> Column:
-        return F.get(known, _number(hex_, i, len(parts)))
+    return F.array_join(F.transform(tokens, piece), "")
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3) + round_), pick), "")
+
+def _capitals(word: Column) -> Column:
+    """A lower-case word with each part's first letter capital."""
+    return F.array_join(F.transform(F.regexp_extract_all(word, F.lit("[^'’-]+|['’-]"), 0), F.initcap), "")
 
 
 def _spelt(kind: Column, match: Column, core: Column, given: Column) -> Column:
     """A surrogate in the spelling of the match that it replaces."""
-    digits = F.regexp_replace(core, r"[^0-9A-Z]", "")
+    digits = F.concat(F.when((kind == "phone") & match.startswith("00"), "00").otherwise(""), F.regexp_replace(core, r"[^0-9A-Z]", ""))
 
     def sign(c: Column, i: Column) -> Column:
         before = F.char_length(F.regexp_replace(F.substr(match, F.lit(1), i.cast("int")), r"[^0-9A-Z]", ""))
@@ -240,13 +321,22 @@ def _spelt(kind: Column, match: Column, core: Column, given: Column) -> Column:
 
     spaced = F.array_join(F.transform(F.regexp_extract_all(match, F.lit("(?s)."), 0), sign), "")
     spaced = F.concat(spaced, F.substr(digits, F.char_length(F.regexp_replace(match, r"[^0-9A-Z]", "")) + 1))
-    title = F.regexp_extract(match, rf"^(?:{_TITLE})\.?", 0)
-    gender = _gender(match)
-    last = F.initcap(core)
-    last = F.when((gender == "f") & _surname(match).rlike("(?:ова|ева|ина)$"), F.concat(last, F.lit("ова"))).otherwise(last)
-    first = F.array_join(F.transform(F.split(F.substring_index(given, "|", -1), "-"), F.initcap), "-")
-    name = F.concat_ws(" ", title, first, last)
-    return F.when(kind == "name", name).when(kind.isin("phone", "card", "iban", "ssn"), spaced).when((kind == "email") & (match == F.upper(match)), F.upper(core)).otherwise(core)
+    last = _capitals(core)
+    last = F.when((_gender(match) == "f") & _surname(match).rlike("(?:ова|ева|ина)$"), F.concat(last, F.lit("ова"))).otherwise(last)
+    first = _capitals(F.substring_index(given, "|", -1))
+
+    def word(words: Column) -> Column:
+        at = F.array_position(F.transform(words, _is_name), True) - 1
+        return F.array_join(F.transform(words, lambda w, i: F.when(i == F.size(words) - 1, last).when((i == at) & given.isNotNull(), first).otherwise(w)), " ")
+
+    name = F.concat(_titles(match), let(_name_words(match), word))
+    # an address has the capitals of the original where letters stand for letters
+    cased = F.array_join(F.transform(F.split(core, ""), lambda c, i: F.when(F.substr(match, (i + 1).cast("int"), F.lit(1)).rlike("[A-Z]"), F.upper(c)).otherwise(c)), "")
+    upper = match == F.upper(match)
+    return (
+        F.when(kind == "name", name).when(kind.isin("phone", "card", "iban", "ssn"), spaced).when(kind.isin("email", "ipv6") & upper, F.upper(core))
+        .when((kind == "email") & (match != F.lower(match)) & (F.char_length(core) == F.char_length(match)), cased).otherwise(core)
+    )
 
 
 def mentions(text: Column) -> Column:
@@ -255,32 +345,53 @@ def mentions(text: Column) -> Column:
 
 
 def _entities(found: DataFrame) -> DataFrame:
-    """The other columns with (kind, canon) of a column ``m`` of matches; a full name has two rows."""
-    kind, m = F.col("kind"), F.col("m")
-    own = F.array(F.struct(kind.alias("kind"), canonical(kind, m).alias("canon")), F.struct(F.lit("given").alias("kind"), given_of(kind, m).alias("canon")))
+    """The other columns with (kind, canon, gender) of a column ``m`` of matches; a full name has two rows, and so has an address."""
+    kind, m, none = F.col("kind"), F.col("m"), F.lit(None).cast("string")
+    row = lambda k, canon, gender=none: F.struct(k.alias("kind"), canon.alias("canon"), gender.alias("gender"))
+    own = F.array(row(kind, canonical(kind, m)), row(F.lit("given"), given_of(kind, m), F.when(kind == "name", _gender(m))), row(F.lit("domain"), domain_of(kind, m)))
     others = [c for c in found.columns if c != "m"]
     return found.withColumn("kind", kind_of(m)).select(*others, F.inline(own)).filter("canon is not null")
 
 
+def one_gender(entities: DataFrame) -> DataFrame:
+    """(kind, canon, gender, differs) of distinct (kind, canon, gender): a given name's gender by all its titles."""
+    seen = entities.groupBy("kind", "canon").agg(F.collect_set("gender").alias("all"))  # three at most
+    told = F.filter("all", lambda g: g != "n")
+    return seen.select("kind", "canon", F.when(F.size("all") > 0, F.when(F.size(told) == 1, told[0]).otherwise("n")).alias("gender"), (F.size("all") > 1).alias("differs"))
+
+
 def later_rounds(entities: DataFrame, key: str, work: str) -> DataFrame:
-    """(kind, canon, round) of the entities whose surrogate of round 0 collides; ``entities`` are distinct."""
-    core = lambda r: surrogate(key, F.col("kind"), F.col("canon"), r)
-    first = Window.partitionBy("kind", "core").orderBy(F.xxhash64("canon"), "canon")
+    """(kind, canon, round, gender) of the entities whose surrogate of round 0 collides; ``entities`` (kind, canon and
+    gender, if there are given names) are distinct."""
+    whole = entities if "gender" in entities.columns else entities.withColumn("gender", F.lit(None).cast("string"))
+    whole = whole.select("kind", "canon", "gender")
+    domains = _settled(whole.filter("kind = 'domain'").withColumn("domain_round", F.lit(0)), key, f"{work}/domains")
+    rounds = domains.select(F.lit("email").alias("kind"), F.col("canon").alias("domain"), F.col("round").alias("domain_round"))
+    rest = whole.filter("kind != 'domain'").withColumn("domain", F.when(F.col("kind") == "email", F.substring_index("canon", "@", -1)))
+    rest = rest.join(rounds, ["kind", "domain"], "left").select("kind", "canon", "gender", F.coalesce("domain_round", F.lit(0)).alias("domain_round"))
+    return domains.unionByName(_settled(rest, key, f"{work}/others"))
+
+
+def _settled(entities: DataFrame, key: str, work: str) -> DataFrame:
+    """The rounds past 0 of ``entities`` (kind, canon, gender, domain_round)."""
+    entities = materialise(entities, f"{work}/entities")
     real = entities.select("kind", F.col("canon").alias("core")).withColumn("real", F.lit(True))
     pending, settled = entities.withColumn("round", F.lit(0)), None
     for r in count():  # every space grows in later rounds, so this ends
-        tried = pending.withColumn("core", core(F.col("round"))).withColumn("nth", F.row_number().over(first)).join(real, ["kind", "core"], "left")
+        core = surrogate(key, F.col("kind"), F.col("canon"), F.col("round"), F.col("domain_round"), F.col("gender"))
+        tried = materialise(pending.withColumn("core", core), f"{work}/tried{r}")
+        # the least of those that have it keeps a surrogate
+        first = tried.groupBy("kind", "core").agg(F.min(F.struct(F.xxhash64("canon"), "canon")).alias("first")).select("kind", "core", F.col("first.canon").alias("keeps"))
+        first = first.join(real, ["kind", "core"], "left_anti")
         if settled is not None:
-            tried = tried.join(settled.select("kind", "core").withColumn("taken", F.lit(True)), ["kind", "core"], "left")
-        else:
-            tried = tried.withColumn("taken", F.lit(None).cast("boolean"))
-        tried = tried.withColumn("ok", (F.col("nth") == 1) & F.col("real").isNull() & F.col("taken").isNull())
-        tried = materialise(tried.select("kind", "canon", "round", "core", "ok"), f"{work}/round{r}")
-        good = tried.filter("ok").select("kind", "canon", "round", "core")
+            first = first.join(settled.select("kind", "core"), ["kind", "core"], "left_anti")
+        tried = tried.join(first, ["kind", "core"], "left").withColumn("ok", F.col("canon").eqNullSafe(F.col("keeps"))).drop("keeps")
+        tried = materialise(tried.select("kind", "canon", "gender", "domain_round", "round", "core", "ok"), f"{work}/round{r}")
+        good = tried.filter("ok").select("kind", "canon", "gender", "round", "core")
         settled = good if settled is None else settled.union(good)
-        pending = tried.filter("not ok").select("kind", "canon", (F.col("round") + 1).alias("round"))
+        pending = tried.filter("not ok").select("kind", "canon", "gender", "domain_round", (F.col("round") + 1).alias("round"))
         if pending.isEmpty():
-            return settled.filter("round > 0").select("kind", "canon", "round")
+            return settled.filter("round > 0").select("kind", "canon", "round", "gender")
 
 
 def replace_entities(docs: DataFrame, key: str, text_col: str = "text", lookup_rows: int = LOOKUP_ROWS) -> DataFrame:
@@ -288,33 +399,43 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text", lookup_r
     spark, work = docs.sparkSession, work_dir(docs.sparkSession)
     text = F.col(text_col)
     found = docs.filter(text.rlike(_GATE)).select(F.explode(F.array_distinct(mentions(text))).alias("m"))
-    entities = materialise(_entities(found).distinct(), f"{work}/entities")
-    later = materialise(later_rounds(entities, key, work), f"{work}/later")
-    drop_path(spark, f"{work}/entities")
+    entities = materialise(one_gender(_entities(found).distinct()), f"{work}/entities")
+    later = later_rounds(entities.drop("differs"), key, f"{work}/rounds")
+    # of given names whose titles differ the gender has to be looked up as well
+    differs = entities.filter("differs").select("kind", "canon", "gender")
+    later = later.join(differs.select("kind", "canon"), ["kind", "canon"], "left_anti").unionByName(differs.join(later.select("kind", "canon", "round"), ["kind", "canon"], "left").withColumn("round", F.coalesce("round", F.lit(0))))
+    later = materialise(later, f"{work}/later")
+    for done in ("entities", "rounds"):
+        drop_path(spark, f"{work}/{done}")
     name = {k: free_name(docs, k) for k in ("n_entities", "entity_kinds", "found", "rounds")}
     out = docs.withColumn(name["found"], mentions(text))
     rows = later.limit(lookup_rows + 1).collect()
-    round_of: Callable[[Column, Column], Column]
+    known_of: Callable[[Column, Column], Column]
+    nothing = F.lit(None).cast("struct<round:int,gender:string>")
     if len(rows) <= lookup_rows:
-        table = F.create_map(*[F.lit(x) for r in rows for x in (f"{r['kind']} {r['canon']}", r["round"])]) if rows else None
-        round_of = lambda kind, canon: F.coalesce(F.element_at(table, F.concat_ws(" ", kind, canon)), F.lit(0)) if rows else F.lit(0)
+        pair = lambda r: F.struct(F.lit(r["round"]).alias("round"), F.lit(r["gender"]).cast("string").alias("gender"))
+        table = F.create_map(*[x for r in rows for x in (F.lit(f"{r['kind']} {r['canon']}"), pair(r))]) if rows else None
+        known_of = lambda kind, canon: F.element_at(table, F.concat_ws(" ", kind, canon)) if rows else nothing
     else:
         _, th = row_key(F.lit(0), text)
         by_text = docs.select(th.alias("th"), F.explode(F.array_distinct(mentions(text))).alias("m"))
-        by_text = _entities(by_text).distinct().join(later, ["kind", "canon"])
-        by_text = by_text.groupBy("th").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(" ", "kind", "canon"), "round"))).alias(name["rounds"]))
+        by_text = _entities(by_text).select("th", "kind", "canon").distinct().join(later, ["kind", "canon"])
+        by_text = by_text.groupBy("th").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(" ", "kind", "canon").alias("k"), F.struct("round", "gender").alias("v")))).alias(name["rounds"]))
         key_col = free_name(docs, "text_key")
         out = out.withColumn(key_col, th).join(by_text.withColumnRenamed("th", key_col), key_col, "left").drop(key_col)
-        round_of = lambda kind, canon: F.coalesce(F.element_at(F.col(name["rounds"]), F.concat_ws(" ", kind, canon)), F.lit(0))
+        known_of = lambda kind, canon: F.element_at(F.col(name["rounds"]), F.concat_ws(" ", kind, canon))
+
+    round_of = lambda kind, canon: F.coalesce(known_of(kind, canon)["round"], F.lit(0))
 
     def replaced(m: Column) -> Column:
         def known(x: Column) -> Column:
-            canon = canonical(x["kind"], x["m"])
-            return let(F.struct(x["kind"].alias("kind"), x["m"].alias("m"), canon.alias("canon"), given_of(x["kind"], x["m"]).alias("given")), core)
+            kind, match = x["kind"], x["m"]
+            return let(F.struct(kind.alias("kind"), match.alias("m"), canonical(kind, match).alias("canon"), given_of(kind, match).alias("given"), domain_of(kind, match).alias("domain")), core)
 
         def core(x: Column) -> Column:
-            made = surrogate(key, x["kind"], x["canon"], round_of(x["kind"], x["canon"]))
-            given = F.when(x["given"].isNotNull(), given_surrogate(key, x["given"], round_of(F.lit("given"), x["given"])))
+            made = surrogate(key, x["kind"], x["canon"], round_of(x["kind"], x["canon"]), round_of(F.lit("domain"), x["domain"]))
+            entry = known_of(F.lit("given"), x["given"])
+            given = F.when(x["given"].isNotNull(), given_surrogate(key, x["given"], F.coalesce(entry["round"], F.lit(0)), F.coalesce(entry["gender"], _gender(x["m"]))))
             return let(F.struct(x["kind"].alias("kind"), x["m"].alias("m"), made.alias("core"), given.alias("given")), lambda y: _spelt(y["kind"], y["m"], y["core"], y["given"]))
 
         return let(F.struct(kind_of(m).alias("kind"), m.alias("m")), known)
