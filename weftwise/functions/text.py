@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once a row, also where the body uses it within a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def blank(c: Column) -> Column:
     """Absent values are empty strings throughout."""
     return F.coalesce(c, F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftwise.functions.text import blank, parse_list, utrim
+from weftwise.functions.text import blank, once, parse_list, utrim
 from weftwise.operators.work import settle
 from weftwise.sources.model import visible
 
@@ -17,14 +17,10 @@ def merge(*maps: Column) -> Column:
     """One map, later ones first; it doesn't depend on the session's rule for equal keys."""
     out = maps[0]
     for m in maps[1:]:
-        out = F.map_concat(_without(out, m), m)
+        out = once(F.struct(out.alias("base"), m.alias("later"), F.map_keys(m).alias("keys")), lambda x: F.map_concat(F.map_filter(x["base"], lambda k, v: ~F.array_contains(x["keys"], k)), x["later"]))
     return out
 
 
-def _without(base: Column, later: Column) -> Column:
-    return F.map_filter(base, lambda k, v: ~F.map_contains_key(later, k))
-
-
 def system_variables(attrs: Column) -> Column:
     """Names and values of two comma-separated lists, paired by position.
 
@@ -32,10 +28,11 @@ def system_variables(attrs: Column) -> Column:
     last counts.
     """
     listed = lambda key: F.transform(F.split(blank(F.element_at(attrs, key)), ","), utrim)
-    names, values = F.filter(listed(NAMES), lambda n: n != ""), listed(VALUES)
-    pairs = F.array_sort(F.transform(names, lambda n, i: F.struct(n.alias("n"), i.alias("i"), F.coalesce(F.get(values, i), F.lit("")).alias("v"))))
-    last = F.filter(pairs, lambda p, k: ~(F.get(pairs, k + 1)["n"].eqNullSafe(p["n"])))
-    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["n"], p["v"])))
+    names = F.filter(listed(NAMES), lambda n: n != "")
+    paired = lambda x: F.array_sort(F.transform(x["names"], lambda n, i: F.struct(n.alias("n"), i.alias("i"), F.coalesce(F.get(x["values"], i), F.lit("")).alias("v"))))
+    last = lambda pairs: F.filter(pairs, lambda p, k: ~(F.get(pairs, k + 1)["n"].eqNullSafe(p["n"])))
+    pairs = once(once(F.struct(names.alias("names"), listed(VALUES).alias("values")), paired), last)
+    return F.map_from_entries(F.transform(pairs, lambda p: F.struct(p["n"], p["v"])))
 
 
 def by_id(requests: DataFrame, nodes: DataFrame) -> DataFrame:

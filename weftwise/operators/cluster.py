@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftwise.functions.text import fold_equal
 from weftwise.operators.components import FOLDED, connected_components, folded_labels, split_by_size
 from weftwise.operators.lookup import DIRECTORY_PHONES
+from weftwise.operators.work import settle
 from weftwise.sources.model import DIRECTORY
 
 
@@ -70,12 +71,14 @@ def _cross_groups(records: DataFrame, scope: list[str]) -> tuple[DataFrame, Data
     )
     group = [*scope, "kind", "value", "has_email", "has_phone"]
     listed = records.select(*scope, "source", "record_key", has_email.alias("has_email"), (F.size(phones) > 0).alias("has_phone"), F.inline(keys))
-    groups = listed.groupBy("source", *group).agg(F.min("record_key").alias("leader"), F.count(F.lit(1)).alias("n"))
-    near, far = groups.alias("a"), groups.alias("b")
+    groups = settle(listed.groupBy("source", *group).agg(F.min("record_key").alias("leader"), F.count(F.lit(1)).alias("n")))
+    # groups are joined source with source, a row for each of both sides
+    near, far = groups.filter(own).alias("a"), groups.filter(~own).alias("b")
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     decides = F.when(a("kind") == "e", True).when(a("kind") == "p", ~(a("has_email") & b("has_email"))).otherwise(~(a("has_email") & b("has_email")) & ~(a("has_phone") & b("has_phone")))
-    met = near.join(far, [a(c).eqNullSafe(b(c)) for c in [*scope, "kind", "value"]]).filter((a("source") != b("source")) & decides)
-    return listed, met.select(*[a(c).alias(c) for c in ("source", *group, "leader")], b("leader").alias("other_key"), b("n").alias("others")), group
+    met = near.join(far, [a(c).eqNullSafe(b(c)) for c in [*scope, "kind", "value"]]).filter(decides)
+    side = lambda x, y: F.struct(x("source").alias("source"), *[x(c).alias(c) for c in group], x("leader").alias("leader"), y("leader").alias("other_key"), y("n").alias("others"))
+    return listed, met.select(F.inline(F.array(side(a, b), side(b, a)))), group
 
 
 def cross_links(records: DataFrame, scope: list[str]) -> DataFrame:

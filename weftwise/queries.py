@@ -722,11 +722,12 @@ def _intent_requests(spark: SparkSession, sf_dir: str, times: int = 1) -> DataFr
 
 def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues from all events over all intents: each uses an intent's variables and brings its own."""
-    events = _intent_requests(spark, sf_dir)
-    rows = events.join(_intents(spark, sf_dir), "id")
+    events = _intent_requests(spark, sf_dir).select("event_id", "event_type", "user_id", "id")
+    # an intent's variables are worked out once, not for every issue of it
+    intents = _intents(spark, sf_dir).select("id", attributes.system_variables(F.col("attrs")).alias("system"))
     user = F.map_from_arrays(F.array(F.lit("/v3"), F.lit("/subject"), F.lit("user")), F.array("event_type", F.when(F.col("event_id") % 4 == 0, F.concat(F.lit(" s"), F.col("event_id").cast("string"))).otherwise(" "), F.col("user_id").cast("string")))
-    return attributes.issue_attributes(rows.select(
-        "event_id", attributes.system_variables(F.col("attrs")).alias("system"), user.alias("user"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("arg"), F.col("event_id").cast("string"))).alias("subject"),
+    return attributes.issue_attributes(events.join(intents, "id").select(
+        "event_id", "system", user.alias("user"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("arg"), F.col("event_id").cast("string"))).alias("subject"),
         F.lit("node-1").alias("origin"), F.when(F.col("event_id") % 2 == 0, "scope-a").alias("scope"),
     ))
 
