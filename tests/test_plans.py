@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from weftwise.operators import attributes, cluster, graph
 from weftwise.operators.components import connected_components
+from weftwise.operators.nodes import NodeStore
 from weftwise.plans.match import candidates, match_status, requests_of, responses
 from weftwise.plans.resolve import candidates as resolve_candidates
 from weftwise.plans.resolve import resolve, with_account
@@ -177,12 +178,13 @@ def test_attributes(spark, tmp_path):
     issue = spark.createDataFrame([({"/a": "sys", "/b": "sys", "ogit/scope": "s"}, {"/b": "user", "/subject": " sub "}, None, "n1", "sc")], "system map<string,string>, user map<string,string>, subject string, origin string, scope string")
     made = attributes.issue_attributes(issue)
     assert made.first()["attrs"] == {"/a": "sys", "/b": "user", "/subject": " sub ", "ogit/subject": "sub", "ogit/Automation/originNode": "n1", "ogit/scope": "sc"}
-    written = attributes.create_nodes(made, "ogit/Automation/AutomationIssue", str(tmp_path / "nodes"))
+    store = NodeStore(spark, f"file://{tmp_path}/nodes")
+    written = store.write(made, "ogit/Automation/AutomationIssue")
     assert json.loads(written.first()["payload"])["ogit/_type"] == "ogit/Automation/AutomationIssue" and written.count() == 1
-    # a rerun replaces its own rows
-    attributes.create_nodes(made, "ogit/Automation/AutomationIssue", str(tmp_path / "nodes"))
-    attributes.create_nodes(made.withColumn("attrs", F.create_map(F.lit("/x"), F.lit("1"))), "ogit/Automation/AutomationIssue", str(tmp_path / "nodes"))
-    assert spark.read.parquet(str(tmp_path / "nodes")).select("id").distinct().count() == spark.read.parquet(str(tmp_path / "nodes")).count() == 2
+    # a rerun adds nothing
+    store.write(made, "ogit/Automation/AutomationIssue")
+    store.write(made.withColumn("attrs", F.create_map(F.lit("/x"), F.lit("1"))), "ogit/Automation/AutomationIssue")
+    assert store.read().select("id").distinct().count() == store.read().count() == 2
 
 
 def test_nodes_by_id(spark):

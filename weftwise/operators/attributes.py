@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftwise.functions.text import blank, once, parse_list, utrim
-from weftwise.operators.work import settle
 from weftwise.sources.model import visible
 
 NAMES, VALUES, TYPE = "ogit/Automation/systemVariableNames", "ogit/Automation/systemVariableValues", "/IntentType"
@@ -86,15 +85,3 @@ def payload(node_type: str, meta: Column, attrs: Column) -> Column:
     whole = merge(F.create_map(F.lit("ogit/_type"), F.lit(node_type)), meta, attrs)
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(whole))))
 
-
-def create_nodes(nodes: DataFrame, node_type: str, path: str, fmt: str = "parquet") -> DataFrame:
-    """Write nodes (attrs) with an id made from their content, each once; returns (id, payload) as written.
-
-    The folder of a write is named by its nodes, so a write that is run again replaces itself and appends nothing.
-    """
-    empty = F.create_map().cast("map<string,string>")
-    made = settle(nodes.select(payload(node_type, empty, F.col("attrs")).alias("payload")).withColumn("id", F.sha2("payload", 256)).select("id", "payload").distinct())
-    name = made.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("h")).first()
-    written = f"{path}/write={name['n']}-{(name['h'] or 0) & (2**64 - 1):016x}"
-    made.write.mode("overwrite").format(fmt).save(written)
-    return nodes.sparkSession.read.format(fmt).schema(made.schema).load(written)

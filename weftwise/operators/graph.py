@@ -6,8 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftwise.operators.cluster import external_id
+from weftwise.operators.traverse import IN, OUT, Step, traverse
 
 INCOMING, OUTGOING = ("affects", "assignedTo"), ("opens",)
+#: From a person to its tickets, from a ticket to its persons, from a person to its accounts.
+TO_TICKETS = Step((*((IN, v) for v in INCOMING), *((OUT, v) for v in OUTGOING)))
+TO_PERSONS = Step((*((OUT, v) for v in INCOMING), *((IN, v) for v in OUTGOING)))
+TO_ACCOUNTS = Step(((IN, "connects"),))
 
 
 def ticket_links(edges: DataFrame) -> DataFrame:
@@ -25,7 +30,8 @@ def ticket_view(tickets: DataFrame) -> DataFrame:
 
 def person_tickets(persons: DataFrame, edges: DataFrame, tickets: DataFrame) -> DataFrame:
     """Tickets of each person (person_id); links to no ticket are left to ``dangling_edges``."""
-    links = ticket_links(edges).join(persons.select("person_id").distinct(), "person_id", "left_semi")
+    starts = persons.select(F.col("person_id").alias("request_id"), F.col("person_id").alias("node"))
+    links = traverse(starts, edges, [TO_TICKETS]).select(F.col("request_id").alias("person_id"), F.col("node").alias("ticket_node"))
     return links.join(ticket_view(tickets).withColumnRenamed("id", "ticket_node"), "ticket_node")
 
 
@@ -50,9 +56,8 @@ def owned_tickets(requests: DataFrame, edges: DataFrame, tickets: DataFrame) ->
 
 def person_account(persons: DataFrame, edges: DataFrame, accounts: DataFrame, source: str = "directory") -> DataFrame:
     """Each person (person_id) with its connected account of the source, the lowest id if several, else nulls."""
-    own = accounts.filter(F.col("source") == source)
-    links = edges.filter("verb = 'connects'").join(own, edges["out_id"] == own["id"])
-    shown: list[Column] = [F.col("in_id").alias("person_id"), F.col("id").alias("account_id"), external_id(F.col("xid"), F.col("id")).alias("account_xid"), F.col("status").alias("account_status")]
-    first = Window.partitionBy("person_id").orderBy("account_id")
-    found = links.select(*shown).withColumn("nth", F.row_number().over(first)).filter("nth = 1").drop("nth")
-    return persons.join(found, "person_id", "left")
+    starts = persons.select(F.col("person_id").alias("request_id"), F.col("person_id").alias("node"))
+    reached = traverse(starts, edges, [TO_ACCOUNTS]).withColumnRenamed("node", "id")
+    own = accounts.filter(F.col("source") == source).select("id", external_id(F.col("xid"), F.col("id")).alias("account_xid"), F.col("status").alias("account_status"))
+    first = reached.join(own, "id").groupBy(F.col("request_id").alias("person_id")).agg(F.min(F.struct("id", "account_xid", "account_status")).alias("x"))
+    return persons.join(first.select("person_id", F.col("x.id").alias("account_id"), "x.account_xid", "x.account_status"), "person_id", "left")

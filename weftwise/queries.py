@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftwise.functions import aliases, phonetic, registry, similarity, text
-from weftwise.operators import attributes, cluster, components, graph, lookup
+from weftwise.operators import attributes, cluster, components, graph, incremental, lookup, nodes, traverse
 from weftwise.operators.work import settle, shared_folder
 from weftwise.plans import match as matching
 from weftwise.plans import resolve as resolving
@@ -418,6 +419,20 @@ def component_sizes(spark, sf_dir):
     return labels.groupBy("label").count().groupBy(F.col("count").alias("size")).agg(F.count(F.lit(1)).alias("components"))
 
 
+_STAYS = "(substr(id, 3)::int % 7 <> 3 or substr(id, 3)::int % 4 = 0 or substr(id, 3)::int % 14 = 3)"
+_STAYING_KEYS = _keys_sql(DIRECTORY).replace("from person where", f"from person where {_STAYS} and")
+
+
+@query(_person(_STAYING_KEYS, _closure(_KEY_LINKS, f"select record_key as node from person where source = 'directory' and {_STAYS}")) + "select node as record_key, label as cluster from labels")
+def clusters_after_batches(spark, sf_dir):
+    """Clusters kept over three batches: persons come, some go, some of those come back."""
+    people = settle(derived.persons(spark, sf_dir).filter(F.col("source") == DIRECTORY).withColumn("k", F.substring("id", 3, 20).cast("int")))
+    state = incremental.build(people.filter("k % 4 != 0"))
+    state = incremental.update(state, people.filter("k % 4 = 0"), people.filter("k % 7 = 3").select("record_key"))
+    state = incremental.update(state, people.filter("k % 14 = 3"), people.limit(0).select("record_key"))
+    return incremental.records(state)
+
+
 # ---------------------------------------------------------------- resolve
 
 
@@ -679,6 +694,39 @@ def person_account(spark, sf_dir):
     return graph.person_account(people, derived.table(spark, sf_dir, "connects"), derived.table(spark, sf_dir, "account"))
 
 
+_PATHS = f"""{_GRAPH.replace("with edge as (", "with edge as (" + derived.sql("connects", "duckdb") + " union all ")},
+account as ({derived.sql("account", "duckdb")}),
+to_person as (select out_id as ticket_node, in_id as person_id from edge where verb in ('affects', 'assignedTo') union select in_id, out_id from edge where verb = 'opens'),
+starts as (select 'c-' || c_custkey as request_id from customer where c_custkey % 10 = 3)"""
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, type) of all that edges connect."""
+    kinds = {"ticket": F.lit("ticket"), "person": F.lit("person"), "account": F.concat(F.lit("account "), F.col("source"))}
+    tables = [derived.table(spark, sf_dir, name).select("id", kind.alias("type")) for name, kind in kinds.items()]
+    return tables[0].union(tables[1]).union(tables[2])
+
+
+@query(
+    _PATHS + "select distinct s.request_id, a.id as node from starts s join links l on l.person_id = s.request_id join ticket t on t.id = l.ticket_node join to_person p on p.ticket_node = t.id "
+    "join (select 'c-' || c_custkey as id from customer) c on c.id = p.person_id join edge e on e.verb = 'connects' and e.in_id = c.id join account a on a.id = e.out_id and a.source = 'directory'"
+)
+def traverse_three_steps(spark, sf_dir):
+    """From persons over their tickets and the persons of these to directory accounts."""
+    edges = derived.table(spark, sf_dir, "edge").union(derived.table(spark, sf_dir, "connects"))
+    starts = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey % 10 = 3").select(F.concat(F.lit("c-"), F.col("c_custkey").cast("string")).alias("request_id"))
+    steps = [replace(graph.TO_TICKETS, node_type="ticket"), replace(graph.TO_PERSONS, node_type="person"), replace(graph.TO_ACCOUNTS, node_type="account directory")]
+    return traverse.traverse(starts.withColumn("node", F.col("request_id")), edges, steps, _nodes(spark, sf_dir))
+
+
+@query(_PATHS + "select distinct s.request_id, l.ticket_node as node from starts s join links l on l.person_id = s.request_id")
+def traverse_one_step(spark, sf_dir):
+    """From persons to whatever their ticket edges lead to, tickets that are missing included."""
+    edges = derived.table(spark, sf_dir, "edge").union(derived.table(spark, sf_dir, "connects"))
+    starts = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey % 10 = 3").select(F.concat(F.lit("c-"), F.col("c_custkey").cast("string")).alias("request_id"))
+    return traverse.traverse(starts.withColumn("node", F.col("request_id")), edges, [graph.TO_TICKETS])
+
+
 # ---------------------------------------------------------------- intents and issues
 
 
@@ -795,6 +843,19 @@ def intents_by_type_lists(spark, sf_dir):
     return attributes.intents_for(lists, rows.union(rows)).select("request_id", "id")
 
 
+_STORED = _PAYLOAD.replace("\nselect event_id, '{'", ", made as (select '{'") + ")"
+
+
+@query(f"{_ISSUES}, {_STORED} select distinct sha256(payload) as id, payload from made")
+def issues_written_and_read(spark, sf_dir):
+    """Issues of two overlapping writes and a rerun, read back: each once."""
+    issues = settle(_issues(spark, sf_dir))
+    store = nodes.NodeStore(spark, f"{shared_folder(issues)}/weftwise-nodes-{uuid.uuid4().hex}")
+    for part in (issues.filter("event_id % 3 != 1"), issues.filter("event_id % 3 != 0"), issues.filter("event_id % 3 != 1")):
+        store.write(part, "ogit/Automation/AutomationIssue")
+    return store.read()
+
+
 # ---------------------------------------------------------------- whole answers
 
 
