@@ -18,7 +18,7 @@ from weftwise.plans import resolve as resolving
 from weftwise.sources import derived
 from weftwise.sources.index import PersonIndex
 from weftwise.sources.model import DIRECTORY, HELPDESK
-from weftwise.streaming import serve
+from weftwise.streaming import polling, serve
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -856,6 +856,32 @@ def issues_written_and_read(spark, sf_dir):
     return store.read()
 
 
+_STATUSES = {"view": "UNPROCESSED", "click": "PROCESSING", "signup": "WAITING", "purchase": "RESOLVED", "error": "STOPPED"}
+
+
+@query(
+    f"""with said as (select user_id::varchar || '/' || ((date_part('day', ts)::int - 1) // 5)::varchar as issue_id, case event_type {" ".join(f"when '{k}' then '{v}'" for k, v in _STATUSES.items())} end as status, epoch_us(ts) // 1000 as ms from events),
+placed as (select *, row_number() over w as n, ms - lag(ms) over w > 43200000 as late from said window w as (partition by issue_id order by ms, status)),
+ends as (select issue_id, min(n) filter (status in ('RESOLVED', 'STOPPED')) as t, min(n) filter (late) as g, max(n) as m, max(ms) as last from placed group by issue_id),
+cut as (select issue_id, case when t is not null and (g is null or t < g) then t when g is not null then g - 1 else m end as n, t is not null and (g is null or t < g) as ended from ends
+  where t is not null or g is not null or last + 43200000 <= (select max(ms) from said) - 600000)
+select p.issue_id, p.status, case when ended then 'ended' else 'timed out' end as outcome, p.n as seen, epoch_ms((select min(ms) from placed q where q.issue_id = p.issue_id)) as first_at, epoch_ms(p.ms) as last_at from placed p join cut c on c.issue_id = p.issue_id and c.n = p.n"""
+)
+def issues_followed(spark, sf_dir):
+    """The statuses of issues (a user's in five days) as a stream, until each is over or nothing is heard for half a day."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    period = F.floor((F.dayofmonth("ts") - 1) / 5)
+    names = F.create_map(*[F.lit(x) for pair in _STATUSES.items() for x in pair])
+    said = events.select(F.concat_ws("/", F.col("user_id").cast("string"), period.cast("string")).alias("issue_id"), F.element_at(names, F.col("event_type")).alias("status"), F.col("ts").cast("timestamp").alias("at"))
+    folder = f"{shared_folder(events)}/weftwise-issues-{uuid.uuid4().hex}"
+    for first in (1, 11, 21):  # files in the order of time
+        said.filter(F.dayofmonth("at").between(first, first + (9 if first < 21 else 10))).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(said.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    with polling.state_store(spark):
+        polling.follow_issues(stream, "12 hours", "10 minutes").writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    return spark.read.schema(polling.ENDED).parquet(f"{folder}/out")
+
+
 # ---------------------------------------------------------------- whole answers
 
 
