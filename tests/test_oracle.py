@@ -10,7 +10,7 @@ from weftwise.queries import ORACLE, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 #: The rest run in the driver's comparison; these cover each family in little time.
-CHECKED = ["normalize_words", "koelner_words", "match_quality_pairs", "lookup_phone_directory", "lookup_prefix_helpdesk", "lookup_suffix", "link_pairs_cross", "clusters_mixed", "resolve_by_phone", "match_candidates", "person_tickets", "person_account", "issue_payload_json", "issue_variables", "intents_by_type_lists", "auth_response", "match_responses", "lookup_limit", "sql_functions_words", "alias_probe_first"]
+CHECKED = ["normalize_words", "koelner_words", "match_quality_pairs", "lookup_phone_directory", "lookup_prefix_helpdesk", "lookup_suffix", "link_pairs_cross", "clusters_mixed", "resolve_by_phone", "match_candidates", "person_tickets", "person_account", "issue_payload_json", "issue_variables", "intents_by_type_lists", "auth_response", "match_responses", "lookup_limit", "sql_functions_words", "alias_probe_first", "match_scored_counts", "lookup_index_prefix", "traverse_three_steps", "clusters_after_batches", "issues_written_and_read", "issues_followed", "lookup_other_settings"]
 
 
 def test_every_query_has_sql():

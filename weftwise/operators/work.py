@@ -7,14 +7,15 @@ import uuid
 
 from pyspark.sql import DataFrame
 
+from weftwise.sources.settings import Settings
+
 
 def shared_folder(df: DataFrame) -> str:
-    """``spark.checkpoint.dir``; only where it is unset and all runs in one process a temporary folder."""
-    context = df.sparkSession.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    """The folder of the settings; only where none is set and all runs in one process a temporary folder."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    folder = Settings.of(spark).checkpoint_dir or context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="weftwise-"))
         folder = context.getCheckpointDir()
     return folder

@@ -12,6 +12,7 @@ from weftwise.operators.graph import person_account
 from weftwise.operators.lookup import by_name, by_phone, domain_filter, first_hits
 from weftwise.operators.work import settle
 from weftwise.sources.model import DIRECTORY, HELPDESK
+from weftwise.sources.settings import Settings
 
 IDENTITY = ["status", "directory_id", "directory_xid", "helpdesk_id", "helpdesk_xid", "display_name", "email"]
 
@@ -19,8 +20,9 @@ IDENTITY = ["status", "directory_id", "directory_xid", "helpdesk_id", "helpdesk_
 def candidates(requests: DataFrame, person: DataFrame, lookup_limit: int | None = None) -> DataFrame:
     """Persons found for each valid request, with ``by_phone`` telling how.
 
-    With ``lookup_limit`` only so many a request and source are looked at, before the domain filter.
+    With ``lookup_limit``, or that of the settings, only so many a request and source are looked at, before the domain filter.
     """
+    lookup_limit = lookup_limit or Settings.of(person.sparkSession).limit
     asked = requests.withColumns({"phone": blank(F.col("phone")), "name": utrim(F.col("name"))})
     asked = asked.filter((F.col("phone") == "") != (F.col("name") == ""))
     phone = by_phone(asked, person).withColumn("by_phone", F.lit(True))

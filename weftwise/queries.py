@@ -143,21 +143,19 @@ def fuzzy_ratio_parts(spark, sf_dir):
     return t.join(u, "p_partkey").select("p_partkey", "t", "u", similarity.fuzzy_ratio(F.col("t"), F.col("u")).alias("ratio"))
 
 
-def _names_sql(alias: str, names: list[str]) -> str:
-    return f"(select unnest([{', '.join(repr(x) for x in names)}]) as {alias})"
-
-
 _QUALITY = f"""
-with pairs as (select heard, stored, {_a('heard')} as ha, {_b('heard')} as hb, {_a('stored')} as sa, {_b('stored')} as sb from {_names_sql('heard', derived.LAST)} cross join {_names_sql('stored', derived.LAST)}),
-q as (select heard, stored, least(1.0::double, greatest({_ratio('ha', 'sa')}, {_ratio('ha', 'sb')}, {_ratio('hb', 'sa')}, {_ratio('hb', 'sb')}) + case when hb <> '' and sb <> '' and {_koelner('hb')} = {_koelner('sb')} then 0.35::double else 0.0::double end) as quality from pairs)
-select heard, stored, quality, cast(floor(50.0::double * (0.35::double * 1.0::double + 0.65::double * quality) + 0.5::double) as int) as stage from q"""
+with all_person as ({derived.sql("person", "duckdb")}),
+pairs as (select h.id, h.last_name as heard, d.last_name as stored, {_a('h.last_name')} as ha, {_b('h.last_name')} as hb, {_a('d.last_name')} as sa, {_b('d.last_name')} as sb from all_person h join all_person d on h.source = 'helpdesk' and d.id = 'c-' || substr(h.id, 3)),
+q as (select id, heard, stored, least(1.0::double, greatest({_ratio('ha', 'sa')}, {_ratio('ha', 'sb')}, {_ratio('hb', 'sa')}, {_ratio('hb', 'sb')}) + case when hb <> '' and sb <> '' and {_koelner('hb')} = {_koelner('sb')} then 0.35::double else 0.0::double end) as quality from pairs)
+select id, heard, stored, quality, cast(floor(50.0::double * (0.35::double * 1.0::double + 0.65::double * quality) + 0.5::double) as int) as stage from q"""
 
 
 @query(_QUALITY)
 def match_quality_pairs(spark, sf_dir):
-    names = spark.createDataFrame([(x,) for x in derived.LAST], "heard string")
-    both = names.withColumn("stored", F.explode(F.lit(derived.LAST)))
-    q = both.withColumn("quality", similarity.match_quality(F.col("heard"), F.col("stored")))
+    """Each helpdesk record's last name against that of the directory record of the same number."""
+    people = derived.table(spark, sf_dir, "person").select("id", "source", "last_name", F.substring("id", 3, 20).alias("k"))
+    heard, stored = people.filter(F.col("source") == HELPDESK).select("k", "id", F.col("last_name").alias("heard")), people.filter(F.col("source") == DIRECTORY).select("k", F.col("last_name").alias("stored"))
+    q = heard.join(stored, "k").select("id", "heard", "stored", similarity.match_quality(F.col("heard"), F.col("stored")).alias("quality"))
     return q.withColumn("stage", similarity.stage_points(F.lit(1.0), F.col("quality")))
 
 
@@ -235,6 +233,20 @@ def domain_filter(spark, sf_dir):
     return lookup.domain_filter(lookup.by_name(asked, derived.persons(spark, sf_dir)), asked).select("request_id", "record_key")
 
 
+@query(_person(_NAMES, _FOUND.format("true"), "limited as (select *, row_number() over (partition by request_id, source order by record_key) as nth from found)").replace("org_code = 'DG' and status = 'ACTIVE'", "org_code = 'XX' and status = 'INACTIVE'") + "select request_id, record_key from limited where nth <= 3")
+def lookup_other_settings(spark, sf_dir):
+    """Another organisation's inactive records, three of each source at most: all from the session's settings."""
+    other = {"org_code": "XX", "status": "INACTIVE", "lookup_limit": "3"}
+    for name, value in other.items():
+        spark.conf.set(f"spark.weftwise.{name}", value)
+    try:
+        asked = _resolve_requests(spark, "name").filter("phone = '' and name != ''")
+        return resolving.candidates(asked, derived.persons(spark, sf_dir)).select("request_id", "record_key")
+    finally:
+        for name in other:
+            spark.conf.unset(f"spark.weftwise.{name}")
+
+
 # ---------------------------------------------------------------- probes
 
 _PREFIXES = [("mai", "sel"), ("k", "c"), ("", "wei"), ("jo", "mue"), ("ste", "l"), ("tom", "kar"), ("a", ""), ("joe", "mu"), ("pau", "zel"), ("xyz", "abc")]
@@ -309,9 +321,9 @@ def lookup_index_suffix(spark, sf_dir):
     return index.fetched(index.suffix_hits(asked)).select("request_id", "first_prefix", "last_suffix", "record_key", "source", "domain", "email")
 
 
-def _alias_sql(groups, names: list[str]) -> str:
-    """Aliases worked out by SQL from the groups themselves."""
-    return f"select name, prefix from ({_alias_pairs(groups)}) where name in ({', '.join(repr(n.lower()) for n in names)})"
+def _alias_sql(groups, part: str) -> str:
+    """Aliases worked out by SQL from the groups themselves, of the names that persons have."""
+    return f"with all_person as ({derived.sql('person', 'duckdb')}) select name, prefix from ({_alias_pairs(groups)}) where name in (select lower({part}) from all_person)"
 
 
 def _alias_pairs(groups) -> str:
@@ -319,16 +331,19 @@ def _alias_pairs(groups) -> str:
     return f"select distinct a.n as name, left(b.n, 3) as prefix from (values {listed}) a(g, n) join (values {listed}) b(g, n) on a.g = b.g and a.n <> b.n and left(a.n, 3) <> left(b.n, 3)"
 
 
-@query(_alias_sql(aliases.FIRST_NAMES, derived.FIRST))
+def _alias_probes(spark: SparkSession, sf_dir: str, part: str, groups) -> DataFrame:
+    names = derived.table(spark, sf_dir, "person").select(F.lower(part).alias("name")).distinct()
+    return names.select("name", F.explode(aliases.alias_prefixes(F.col("name"), groups)).alias("prefix"))
+
+
+@query(_alias_sql(aliases.FIRST_NAMES, "first_name"))
 def alias_probe_first(spark, sf_dir):
-    names = spark.createDataFrame([(x.lower(),) for x in derived.FIRST], "name string")
-    return names.select("name", F.explode(aliases.alias_prefixes(F.col("name"), aliases.FIRST_NAMES)).alias("prefix"))
+    return _alias_probes(spark, sf_dir, "first_name", aliases.FIRST_NAMES)
 
 
-@query(_alias_sql(aliases.LAST_NAMES, derived.LAST))
+@query(_alias_sql(aliases.LAST_NAMES, "last_name"))
 def alias_probe_last(spark, sf_dir):
-    names = spark.createDataFrame([(x.lower(),) for x in derived.LAST], "name string")
-    return names.select("name", F.explode(aliases.alias_prefixes(F.col("name"), aliases.LAST_NAMES)).alias("prefix"))
+    return _alias_probes(spark, sf_dir, "last_name", aliases.LAST_NAMES)
 
 
 # ---------------------------------------------------------------- links and clusters

@@ -11,6 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from weftwise.sources.model import in_scope, ingest, with_keys
+from weftwise.sources.settings import Settings
 
 FIRST = ["Maik", "Mike", "Marek", "Stefan", "Stephan", "Thomas", "Tomas", "Jörg", "Kathrin", "Katrin", "Paul", "Anna"]
 LAST = ["Sellner", "Selner", "Meyer", "Maier", "Müller", "Mueller", "Weiß-Krüger", "Lander", "Lehmann", "Kellner", "Carl", "Karl"]
@@ -85,6 +86,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text)
 
 
-def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both sources, ingested, in scope, with their search keys."""
-    return with_keys(in_scope(ingest(table(spark, sf_dir, "person"))))
+def persons(spark: SparkSession, sf_dir: str, settings: Settings | None = None) -> DataFrame:
+    """Both sources, ingested, in the scope of the settings, with their search keys."""
+    settings = settings or Settings.of(spark)
+    return with_keys(in_scope(ingest(table(spark, sf_dir, "person")), settings.org_code, settings.status))

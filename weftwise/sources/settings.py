@@ -29,7 +29,7 @@ class Settings:
             if raw:
                 found[f.name] = int(raw) if f.type == "int" else raw
         made = cls(**found)
-        if not made.checkpoint_dir and not spark.sparkContext.master.startswith("local["):
+        if not made.checkpoint_dir and not spark.sparkContext.getCheckpointDir() and not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         return made
 
