@@ -15,7 +15,7 @@ from weftwise.operators import attributes, cluster, components, graph, increment
 from weftwise.operators.work import settle, shared_folder
 from weftwise.plans import match as matching
 from weftwise.plans import resolve as resolving
-from weftwise.sources import derived
+from weftwise.sources import derived, feed
 from weftwise.sources.index import PersonIndex
 from weftwise.sources.model import DIRECTORY, HELPDESK
 from weftwise.streaming import polling, serve
@@ -171,6 +171,18 @@ def split_name(spark, sf_dir):
     return derived.persons(spark, sf_dir).select("record_key", text.split_first(name).alias("first"), text.split_last(name).alias("last"))
 
 
+_MERGED = " union all ".join(["select *, 1::bigint as seq from (" + derived.sql("person", "duckdb") + ")", derived.sql("changes_1", "duckdb"), derived.sql("changes_2", "duckdb")])
+
+
+@query(f"select source || ':' || id as record_key, email, office_phone, lower(last_name) as last_key, case when instr(email, '@') > 0 then lower(regexp_replace(email, '^.*@', '')) else '' end as domain, seq from (select * from ({_MERGED}) qualify row_number() over (partition by source, id order by seq desc) = 1) where not is_deleted")
+def persons_after_changes(spark, sf_dir):
+    """Persons after two batches of changes: updates, deletions, late changes, records that come back and new ones."""
+    kept = feed.start(derived.table(spark, sf_dir, "person"), 1)
+    for batch in ("changes_1", "changes_2"):
+        kept = settle(feed.merge(kept, derived.table(spark, sf_dir, batch)))
+    return feed.current(kept).select("record_key", "email", "office_phone", "last_key", "domain", "seq")
+
+
 # ---------------------------------------------------------------- requests
 
 #: Phones of all kinds for the first groups, each asked for without and with a domain; names likewise.

@@ -67,6 +67,19 @@ TABLES = {
 }
 
 
+def _change(seq: int, where: str, deleted: str = "false", **other: str) -> str:
+    columns = ["id", "xid", "source", "first_name", "last_name", "email", "office_phone", "mobile_phone", "other_phone", "phone_no", "org_code", "status"]
+    shown = ", ".join(f"{other[c]} as {c}" if c in other else c for c in columns)
+    return f"select {shown}, {deleted} as is_deleted, cast({seq} as bigint) as seq from ({TABLES['person']}) p where {where.replace('#', 'cast(substr(id, 3) as int)')}"
+
+
+#: Two batches of changes: new addresses and deletions; then what comes late, what comes back and what is new.
+TABLES["changes_1"] = " union all ".join([_change(5, "# % 5 = 0", email="concat('n', email)"), _change(7, "# % 7 = 0", "true"), _change(4, "# % 10 = 0", email="'old@x.example'")])
+TABLES["changes_2"] = " union all ".join([
+    _change(3, "# % 5 = 0", email="'late@x.example'"), _change(6, "# % 14 = 0", office_phone="'+49666'"), _change(9, "# % 21 = 0", last_name="'Zurück'"), _change(2, "# % 11 = 0", id="concat(id, '-new')"),
+])
+
+
 def sql(name: str, dialect: str = "spark") -> str:
     """The derivation of one table for ``spark`` or ``duckdb``."""
 
