@@ -18,7 +18,9 @@ result is each document's component in the graph of links.
 5. The rest: regions whose rows are still in different components are compared in full, in blocks of
    ``BLOCK`` rows: signatures rule pairs out, whole sets decide on the others, in the same task, which gives
    only the links that join components. Each pair is looked at in the first region that it shares. This is
-   square in the rows of such a region, and only there; what is shuffled and given out is linear in its rows.
+   square in the rows of such a region, and only there. A region of n rows is dealt in pairs of blocks, so each
+   of its rows (with its signature; its text only where it has a likely partner) goes to n / ``BLOCK`` of them:
+   to one up to that size, and beyond it the shuffle is square as well. What is given out is linear in its rows.
 
 A pair at the threshold shares a region in at least one tree with probability 1 - (1 - 0.75**3)**20, over
 0.9999. Nulls: a null or blank text has an empty set and is linked with nothing; a document without an id
