@@ -16,8 +16,9 @@ from weftwise.operators.work import settle, shared_folder
 from weftwise.plans import match as matching
 from weftwise.plans import resolve as resolving
 from weftwise.sources import derived, feed
+from weftwise.sources import nodes as node_table
 from weftwise.sources.index import PersonIndex
-from weftwise.sources.model import DIRECTORY, HELPDESK
+from weftwise.sources.model import ACCOUNT, DIRECTORY, EDGE, HELPDESK, read
 from weftwise.streaming import polling, serve
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -721,6 +722,49 @@ def person_account(spark, sf_dir):
     return graph.person_account(people, derived.table(spark, sf_dir, "connects"), derived.table(spark, sf_dir, "account"))
 
 
+_BROKEN = {13: '{"xid": "x", "source": ["list"], "status": {"a": 1}}', 17: "no json", 19: '{"xid": "y", "source": "directory", "status": null}'}
+
+
+def _stored_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounts, tickets and intents in one table; some accounts are no objects or have fields of other types."""
+    accounts = derived.table(spark, sf_dir, "account")
+    k, json = F.substring("id", 3, 20).cast("int"), F.to_json(F.struct("xid", "source", "status"))
+    for n, text_ in _BROKEN.items():
+        json = F.when(k % n == 0, text_).otherwise(json)
+    return settle(node_table.union([node_table.as_nodes(accounts, "account", json=json), *[node_table.as_nodes(derived.table(spark, sf_dir, t), t) for t in ("ticket", "intent")]]))
+
+
+def _sound(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return node_table.typed(_stored_nodes(spark, sf_dir), "account", ACCOUNT, ("source", "status"))
+
+
+@query(
+    f"with account as (select * from ({derived.sql('account', 'duckdb')}) where {' and '.join(f'substr(id, 3)::int % {n} <> 0' for n in _BROKEN)}), edge as ({derived.sql('connects', 'duckdb')}), found as (select in_id, a.id, a.xid, a.status, row_number() over (partition by in_id order by a.id) as nth from edge join account a on a.id = out_id where a.source = 'directory') "
+    "select 'c-' || c_custkey as person_id, f.id as account_id, case when f.xid <> '' then f.xid else f.id end as account_xid, f.status as account_status from customer left join found f on f.in_id = 'c-' || c_custkey and nth = 1"
+)
+def person_account_nodes(spark, sf_dir):
+    """Accounts from the table of all nodes, edges from a table that is read with its schema."""
+    people = derived.table(spark, sf_dir, "person").filter(F.col("source") == DIRECTORY).select(F.col("id").alias("person_id"))
+    good, _ = _sound(spark, sf_dir)
+    folder = f"{shared_folder(people)}/weftwise-edges-{uuid.uuid4().hex}"
+    derived.table(spark, sf_dir, "connects").write.format("orc").save(folder)
+    return graph.person_account(people, read(spark, folder, "orc", EDGE), good)
+
+
+@query(
+    f"select id, 'account' as type, case when k % 19 = 0 then 'status is missing' when k % 17 = 0 then 'no object' else 'source is no string; status is no string' end as reason from (select id, substr(id, 3)::int as k from ({derived.sql('account', 'duckdb')})) where k % 13 = 0 or k % 17 = 0 or k % 19 = 0"
+)
+def node_rejects(spark, sf_dir):
+    """The accounts that don't fit, with why."""
+    return _sound(spark, sf_dir)[1]
+
+
+@query(f"select id, subject, description, created_at::date as created_at from ({derived.sql('ticket', 'duckdb')})")
+def node_tickets(spark, sf_dir):
+    """Tickets from the table of all nodes, with a field as a date."""
+    return node_table.typed(_stored_nodes(spark, sf_dir), "ticket", "subject string, description string, created_at date", ("subject",))[0]
+
+
 _PATHS = f"""{_GRAPH.replace("with edge as (", "with edge as (" + derived.sql("connects", "duckdb") + " union all ")},
 account as ({derived.sql("account", "duckdb")}),
 to_person as (select out_id as ticket_node, in_id as person_id from edge where verb in ('affects', 'assignedTo') union select in_id, out_id from edge where verb = 'opens'),
