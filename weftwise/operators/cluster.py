@@ -49,11 +49,6 @@ def same_person(d: Column | str, h: Column | str) -> Column:
     )
 
 
-def same_across(a: Column, b: Column) -> Column:
-    """``same_person`` of two structs of different sources, in either order."""
-    return F.when(a["source"] == b["source"], False).when(a["source"] == DIRECTORY, same_person(a, b)).otherwise(same_person(b, a))
-
-
 def _cross_groups(records: DataFrame, scope: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
     """Records listed under their groups, and the pairs of groups (source, group, leader, other_key, others) that are linked.
 
@@ -118,8 +113,9 @@ def clusters(records: DataFrame, scope: list[str], exclude_phone: bool | Column
 
 
 def keyed_records(records: DataFrame, exclude_phone: bool | Column = False) -> DataFrame:
-    """``records`` with their link keys in ``__keys``."""
-    return records.withColumn("__keys", link_keys(exclude_phone))
+    """``records`` with what a comparison looks at made once a record: link keys, folded e-mail and name, phones."""
+    phones = F.array_distinct(F.filter(F.when(F.col("source") == DIRECTORY, F.array(*DIRECTORY_PHONES)).otherwise(F.array("phone_no")), lambda p: p != ""))
+    return records.withColumns({"__keys": link_keys(exclude_phone), "__mail": F.lower("email"), "__name": F.concat_ws("\x1f", F.lower("first_name"), F.lower("last_name")), "__phones": phones})
 
 
 def linked_within(a: Column, b: Column) -> Column:
@@ -127,9 +123,21 @@ def linked_within(a: Column, b: Column) -> Column:
     return (a["source"] == b["source"]) & F.arrays_overlap(a["__keys"], b["__keys"])
 
 
+def linked_across(a: Column, b: Column) -> Column:
+    """``same_person`` of two structs of ``keyed_records``; false within a source."""
+    return (
+        F.when(a["source"] == b["source"], False).when((a["__mail"] != "") & (b["__mail"] != ""), a["__mail"] == b["__mail"])
+        .when((F.size(a["__phones"]) > 0) & (F.size(b["__phones"]) > 0), F.arrays_overlap(a["__phones"], b["__phones"])).otherwise(a["__name"] == b["__name"])
+    )
+
+
+def linked(a: Column, b: Column) -> Column:
+    """Either of the two."""
+    return F.when(a["source"] == b["source"], F.arrays_overlap(a["__keys"], b["__keys"])).otherwise(linked_across(a, b))
+
+
 def _folded_clusters(records: DataFrame, scope: list[str], exclude_phone: bool | Column, across: bool) -> DataFrame:
-    linked = (lambda a, b: linked_within(a, b) | same_across(a, b)) if across else linked_within
-    return folded_labels(keyed_records(records, exclude_phone), scope, linked, "record_key", "cluster").drop("__keys")
+    return folded_labels(keyed_records(records, exclude_phone), scope, linked if across else linked_within, "record_key", "cluster").select(*records.columns, "cluster")
 
 
 def _joined_clusters(records: DataFrame, scope: list[str], exclude_phone: bool | Column, across: bool) -> DataFrame:

@@ -37,7 +37,7 @@ def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 #: Groups of up to so many rows are put together in one row each.
-FOLDED = 256
+FOLDED = 1024
 
 
 def folded_components(items: Column, linked: Callable[[Column, Column], Column]) -> Column:

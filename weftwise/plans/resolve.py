@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftwise.functions.text import blank, utrim
-from weftwise.operators.cluster import best_of, clusters, cross_links, external_id, field_score, keyed_records, linked_within, representatives, same_across
+from weftwise.operators.cluster import best_of, clusters, cross_links, external_id, field_score, keyed_records, linked_across, linked_within, representatives
 from weftwise.operators.components import FOLDED, folded_components, gathered, split_by_size
 from weftwise.operators.graph import person_account
 from weftwise.operators.lookup import by_name, by_phone, domain_filter, first_hits
@@ -44,7 +44,7 @@ def facts_in_rows(found: DataFrame) -> DataFrame:
     rows = gathered(keyed_records(found, F.col("by_phone")).withColumn("__score", field_score()), ["request_id"])
     parts = folded_components(F.col("rows"), linked_within)
     count = lambda s: F.size(F.filter("parts", lambda g: g[0]["source"] == s))
-    same = F.exists("rows", lambda a: F.exists("rows", lambda b: (a["source"] == DIRECTORY) & same_across(a, b)))
+    same = F.exists("rows", lambda a: F.exists("rows", lambda b: (a["source"] == DIRECTORY) & linked_across(a, b)))
     out = rows.select("request_id", "rows", parts.alias("parts")).select("request_id", count(DIRECTORY).alias("d"), count(HELPDESK).alias("h"), same.alias("same"), best_of(F.col("rows"), DIRECTORY).alias("x"), best_of(F.col("rows"), HELPDESK).alias("y"))
     sides = [F.when(F.col(r).isNotNull(), c).alias(f"{s}_{name}") for s, r in ((DIRECTORY, "x"), (HELPDESK, "y")) for name, c in zip(_SHOWN, _shown(F.col(r)), strict=True)]
     return out.select("request_id", "d", "h", "same", *sides)
