@@ -60,16 +60,17 @@ def split_by_size(rows: DataFrame, scope: list[str], most: int = FOLDED) -> tupl
     """``rows`` of groups of at most ``most`` rows, and of larger ones; none where there are no such groups.
 
     One small job reads a row's worth of counts; ``rows`` should be a table. Groups are told apart by null keys too.
+    The larger ones are joined by sort-merge, as their files' sizes say little of what they are in memory (``settle``).
     """
     sizes = rows.groupBy(*scope).count()
     seen = sizes.agg(F.min("count").alias("least"), F.max("count").alias("most")).first()
     if seen["most"] is None or seen["most"] <= most:
         return rows, None
     if seen["least"] > most:
-        return None, rows
+        return None, rows.hint("merge")
     large = settle(sizes.filter(F.col("count") > most).select(*[F.col(c).alias(f"__{c}") for c in scope]))
     same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in scope]
-    return rows.join(large, same, "left_anti"), rows.join(large, same, "left_semi")
+    return rows.join(large, same, "left_anti"), rows.join(large, same, "left_semi").hint("merge")
 
 
 def gathered(rows: DataFrame, scope: list[str]) -> DataFrame:

@@ -66,17 +66,37 @@ def retrieved(requests: DataFrame, reps: DataFrame, person: DataFrame, lookup_li
     return domain_filter(first_hits(hits.join(person, "record_key"), ["request_id", "rep", "source"], lookup_limit), requests)
 
 
+def different(reps: DataFrame) -> DataFrame:
+    """``reps`` without renderings that are spelt like another of their request, with ``same``, all that are spelt so.
+
+    Probes and points look at the normalised spellings alone, so such renderings find the same records, groups and points.
+    """
+    spelt = [n(F.col(c)).alias(f"__{c}{n.__name__[-1]}") for c in ("first", "last") for n in (normalize_a, normalize_b)]
+    least = F.min(F.struct("rep", "first", "last", "total"))
+    alike = reps.select("*", *spelt).groupBy("request_id", "__firsta", "__firstb", "__lasta", "__lastb").agg(least.alias("x"), F.collect_list("rep").alias("same"))
+    return alike.select("request_id", "x.*", "same")
+
+
+def each_rendering(rows: DataFrame) -> DataFrame:
+    """Rows of ``different`` renderings once for each of ``same``."""
+    return rows.drop("rep").withColumn("rep", F.explode("same")).drop("same")
+
+
 def heard_groups(requests: DataFrame, reps: DataFrame, person: DataFrame, index: PersonIndex | None = None) -> tuple[DataFrame, DataFrame]:
     """Records with their group (``cluster``), and a row a group: its name beside the heard one (forms in hf, hl, sf,
-    sl), whether the hint fits, and ``most_points``, what its points can't exceed by lengths, sound and hint."""
+    sl), whether the hint fits, and ``most_points``, what its points can't exceed by lengths, sound and hint.
+
+    Both are for ``different`` renderings only; ``same`` of the second tells for which they stand.
+    """
     scope = ["request_id", "rep"]
+    reps = settle(different(reps))
     grouped = settle(clusters(settle(retrieved(requests, reps, person, index=index)), scope, across=True))
     best = representatives(grouped, [*scope, "cluster"])
     # a group is scored by its directory record's name, else by the helpdesk's
     name = best.groupBy(*scope, "cluster").agg(F.min(F.struct((F.col("source") != DIRECTORY).alias("o"), "first_name", "last_name")).alias("n"))
     heard = name.join(reps, scope).join(requests.select("request_id", blank(F.col("last_name_hint")).alias("hint")), "request_id")
     forms = {"hf": F.col("first"), "hl": F.col("last"), "sf": F.col("n.first_name"), "sl": F.col("n.last_name")}
-    heard = heard.select(*scope, "cluster", S.hint_matches(F.col("hint"), F.col("n.last_name")).alias("hinted"), *[S.name_forms(c).alias(k) for k, c in forms.items()])
+    heard = heard.select(*scope, "same", "cluster", S.hint_matches(F.col("hint"), F.col("n.last_name")).alias("hinted"), *[S.name_forms(c).alias(k) for k, c in forms.items()])
     return grouped, settle(heard.withColumn("most_points", _points(S.ratio_bound)))
 
 
@@ -88,11 +108,11 @@ def _points(ratio=S.fuzzy_ratio):
 def scored_groups(requests: DataFrame, reps: DataFrame, person: DataFrame) -> DataFrame:
     """(request_id, rep, cluster, record_key, ..., stage_points): all records with their group's points."""
     grouped, heard = heard_groups(requests, reps, person)
-    return grouped.join(heard.select("request_id", "rep", "cluster", _points().alias("stage_points")), ["request_id", "rep", "cluster"])
+    return each_rendering(grouped.join(heard.select("request_id", "rep", "same", "cluster", _points().alias("stage_points")), ["request_id", "rep", "cluster"]))
 
 
 def bounded_scores(heard: DataFrame, n: int = KEPT_PER_REP) -> DataFrame:
-    """(request_id, rep, cluster, stage_points) of the groups that may be among the best ``n`` of their rendering.
+    """(request_id, rep, same, cluster, stage_points) of the groups that may be among the best ``n`` of their rendering.
 
     The ``n`` groups that could have most points are scored first. The least of their points is a threshold that the
     best ``n`` reach, so of the others only those are scored whose bound isn't below it; the rest have no edit
@@ -101,10 +121,10 @@ def bounded_scores(heard: DataFrame, n: int = KEPT_PER_REP) -> DataFrame:
     scope = ["request_id", "rep"]
     likely = Window.partitionBy(*scope).orderBy(F.col("most_points").desc(), "cluster")
     first = heard.withColumn("nth", F.row_number().over(likely)).filter(F.col("nth") <= n).drop("nth")
-    first = settle(first.select(*scope, "cluster", _points().alias("stage_points")))
+    first = settle(first.select(*scope, "same", "cluster", _points().alias("stage_points")))
     reached = first.groupBy(*scope).agg(F.min("stage_points").alias("least"), F.count(F.lit(1)).alias("of")).filter(F.col("of") == n).drop("of")
     rest = heard.join(reached, scope).filter(F.col("most_points") >= F.col("least")).join(first.select(*scope, "cluster"), [*scope, "cluster"], "left_anti")
-    return first.unionByName(rest.select(*scope, "cluster", _points().alias("stage_points")))
+    return first.unionByName(rest.select(*scope, "same", "cluster", _points().alias("stage_points")))
 
 
 def best_groups(requests: DataFrame, reps: DataFrame, person: DataFrame, n: int = KEPT_PER_REP, index: PersonIndex | None = None) -> DataFrame:
@@ -112,14 +132,14 @@ def best_groups(requests: DataFrame, reps: DataFrame, person: DataFrame, n: int
     grouped, heard = heard_groups(requests, reps, person, index)
     best = Window.partitionBy("request_id", "rep").orderBy(F.col("stage_points").desc(), "cluster")
     heads = bounded_scores(heard, n).withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= n).drop("nth")
-    return grouped.join(heads, ["request_id", "rep", "cluster"])
+    return each_rendering(grouped.join(heads, ["request_id", "rep", "cluster"]))
 
 
 def scoring_report(heard: DataFrame, n: int = KEPT_PER_REP) -> DataFrame:
     """(request_id, rep, groups, scored): how many groups each rendering has and how many of them are scored."""
     scope = ["request_id", "rep"]
     scored = bounded_scores(heard, n).groupBy(*scope).agg(F.count(F.lit(1)).alias("scored"))
-    return heard.groupBy(*scope).agg(F.count(F.lit(1)).alias("groups")).join(scored, scope)
+    return each_rendering(heard.groupBy(*scope, "same").agg(F.count(F.lit(1)).alias("groups")).join(scored, scope)).select(*scope, "groups", "scored")
 
 
 def kept_groups(groups: DataFrame, n: int = KEPT_PER_REP) -> DataFrame:
