@@ -6,6 +6,7 @@ from test_plans import d, h, table
 from weftwise.operators.components import split_by_size
 from weftwise.operators.work import settle
 from weftwise.plans import match
+from weftwise.sources.index import PersonIndex
 from weftwise.sources.model import MATCH_REQUEST
 
 
@@ -35,3 +36,17 @@ def test_renderings_that_are_spelt_alike_are_worked_out_once(spark):
     by_rep = {rep: {(r["cluster"], r["record_key"], r["stage_points"]) for r in kept if r["rep"] == rep} for rep in ("raw", "nlp", "tagged")}
     assert by_rep["raw"] == by_rep["nlp"] and len(by_rep["raw"]) == len(by_rep["tagged"]) == 3
     assert {r["rep"] for r in match.scoring_report(heard).collect()} == {"raw", "nlp", "tagged"}
+
+
+def test_index_records_are_fetched_once_for_equal_probes(spark, tmp_path):
+    """Ten times the probes, all of them alike: ten times the rows, and no more records read from the index."""
+    person = table(spark, [(d if i % 2 else h)(str(i), "Maik", "Lander", email=f"p{i}@x.example") for i in range(50)])
+    index = PersonIndex.write(person, f"file://{tmp_path}/x", buckets=2, spread=2)
+    fields = {"prefix": ("last_prefix", "lan", index.prefix_hits, index.records_by_prefix, index._different_prefix_hits), "suffix": ("last_suffix", "ander", index.suffix_hits, index.records_by_suffix, index._different_suffix_hits)}
+    for column, value, hits, records, different in fields.values():
+        asked = spark.range(10).select(F.col("id").alias("request_id"), F.lit("mai").alias("first_prefix"), F.lit(value).alias(column))
+        asked = asked.union(asked.limit(1))
+        got, want = records(asked, ["record_key", "email"]), index.fetched(hits(asked)).select(*asked.columns, "record_key", "email")
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 500
+        assert different(asked)[1].count() == 50
+    index.close(spark)
