@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 from test_plans import d, h, table
 
+from weftwise.operators import components
 from weftwise.operators.components import split_by_size
 from weftwise.operators.work import settle
 from weftwise.plans import match
@@ -50,3 +51,16 @@ def test_index_records_are_fetched_once_for_equal_probes(spark, tmp_path):
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 500
         assert different(asked)[1].count() == 50
     index.close(spark)
+
+
+def test_rounds_have_only_what_is_not_settled(spark, monkeypatch):
+    """Small components are done after a round, so what later rounds write is of the chain alone."""
+    written = []
+    monkeypatch.setattr(components, "settle", lambda df: written.append(settle(df)) or written[-1])
+    chain, small = [(f"a{i:02d}", f"a{i + 1:02d}") for i in range(20)], [(f"c{i:03d}", f"b{i:03d}") for i in range(200)]
+    links = spark.createDataFrame(chain + small, "p string, q string")
+    nodes = links.select(F.col("p").alias("node")).union(links.select("q"))
+    got = dict(map(tuple, components.connected_components(nodes, links).collect()))
+    assert got == {x: "a00" if x[0] == "a" else f"b{x[1:]}" for x in {y for link in chain + small for y in link}}
+    sizes = [w.count() for w in written]
+    assert max(sizes[3:-1]) <= 42

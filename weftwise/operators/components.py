@@ -1,7 +1,8 @@
 """Connected components: of the rows of small groups by a fold within one row, of anything by rounds of joins.
 
-The fold is for groups of a checked size (``split_by_size``). Of the joins, each round sends every node the smallest label among its neighbours and then the label of that label; both are
-an equality join and an aggregate. Rounds are written to the shared folder, so plans stay short and a lost executor costs one
+The fold is for groups of a checked size (``split_by_size``). Of the joins, each round hangs every node on its smallest neighbour's smallest
+and then links what nodes hang on instead of the nodes; both are
+equality joins and an aggregate. Rounds are written to the shared folder, so plans stay short and a lost executor costs one
 round. Labels are the smallest key, so the result doesn't depend on order.
 """
 
@@ -16,24 +17,34 @@ from weftwise.operators.work import settle
 
 
 def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, label) of every row of ``nodes`` (node); ``links`` has two columns of nodes, in either direction."""
+    """(node, label) of every row of ``nodes`` (node); ``links`` has two columns of nodes, in either direction.
+
+    Each round hangs every node on its smallest neighbour, or on that one's, and then goes on with what it hangs on
+    instead: links within one such group are gone, those between groups become one. So a round has only what the one
+    before hasn't settled, and all nodes are looked at once, at the end, when the rounds are put together.
+    """
     a, b = links.columns
-    pairs = links.select(F.col(a).alias("p"), F.col(b).alias("q")).filter("p != q")
-    pairs = settle(pairs.union(pairs.select("q", "p")).distinct())
-    # before the first round every label is the node itself, so the smallest neighbour is at hand
-    start = pairs.groupBy("p").agg(F.min("q").alias("low"))
+    pairs = settle(links.select(F.col(a).alias("p"), F.col(b).alias("q")).filter("p != q"))
+    rounds = []
+    while not pairs.isEmpty():
+        low = pairs.select(F.inline(F.array(F.struct("p", "q"), F.struct(F.col("q").alias("p"), F.col("p").alias("q"))))).groupBy(F.col("p").alias("node")).agg(F.min("q").alias("low"))
+        low = settle(low.select("node", F.least("node", "low").alias("low")))
+        step = low.alias("x").join(low.alias("y"), F.col("x.low") == F.col("y.node")).select("x.node", F.col("y.low").alias("label"))
+        step = settle(step)
+        rounds.append(step)
+        of = lambda end: step.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))  # noqa: E731, B023
+        between = pairs.join(of("p"), "p").join(of("q"), "q").select(F.col("p_label").alias("p"), F.col("q_label").alias("q"))
+        # what a node hangs on may itself hang on another
+        above = step.select(F.col("label").alias("node")).distinct().join(step, "node").select(F.col("node").alias("p"), F.col("label").alias("q"))
+        pairs = settle(between.union(above).filter("p != q").select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct())
     nodes = nodes.select("node").distinct()
-    labels = settle(nodes.join(start, nodes["node"] == start["p"], "left").select("node", F.least("node", F.coalesce("low", "node")).alias("label")))
-    if labels.filter("label != node").isEmpty():
-        return labels
-    while True:
-        near = pairs.join(labels, pairs["q"] == labels["node"]).groupBy(F.col("p").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node", "left").select("node", F.least("label", F.coalesce("near", "label")).alias("next"), F.col("label").alias("was"))
-        jump = step.select(F.col("node").alias("next"), F.col("next").alias("beyond"))
-        step = settle(step.join(jump, "next", "left").select("node", F.least("next", F.coalesce("beyond", "next")).alias("label"), "was"))
-        labels = step.select("node", "label")
-        if step.filter("label != was").isEmpty():
-            return labels
+    if not rounds:
+        return nodes.select("node", F.col("node").alias("label"))
+    labels = rounds.pop()
+    while rounds:
+        last = labels.select(F.col("node").alias("label"), F.col("label").alias("last"))
+        labels = rounds.pop().join(last, "label", "left").select("node", F.coalesce("last", "label").alias("label"))
+    return settle(nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
 
 
 #: Groups of up to so many rows are put together in one row each.
