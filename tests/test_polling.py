@@ -1,8 +1,9 @@
 """Issues followed to their end, over a restart."""
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from weftwise.streaming.polling import follow_issues, state_store
+from weftwise.streaming.polling import _Issue, follow_issues, state_store
 
 BATCHES = [
     [("a", "UNPROCESSED", "00:00"), ("b", "PROCESSING", "00:00"), ("c", "WAITING", "00:10"), (None, "RESOLVED", "00:11"), ("a", None, "00:12"), ("e", "STOPPED", "00:20"), ("g", "WAITING", "00:24")],
@@ -34,3 +35,44 @@ def test_issues_over_a_restart(spark, tmp_path):
         "f": ("STOPPED", "ended", 2, "03:30"), "g": ("WAITING", "timed out", 1, "00:24"),
     }
     assert spark.read.parquet(f"{tmp_path}/out").count() == len(got)
+
+
+def test_state_is_asked_only_as_needed():
+    """An issue that is over at once takes one read and one write of its state, an open one a timer more; none lists timers."""
+
+    class Handle:
+        def __init__(self):
+            self.value, self.timers, self.calls = None, set(), []
+
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+        def registerTimer(self, at):
+            self.calls.append("timer")
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            self.calls.append("no timer")
+            self.timers.remove(at)
+
+    def issue(*batches):
+        handle, made, out = Handle(), _Issue(100), []
+        made.init(handle)
+        for rows in batches:
+            out += made.handleInputRows(("x",), iter([Row(ms=ms, status=s) for ms, s in rows]), None)
+        return handle, [tuple(r)[1:] for r in out]
+
+    handle, out = issue([(5, "RESOLVED"), (3, "WAITING")])
+    assert handle.calls == ["get", "update"] and out == [("RESOLVED", "ended", 2, 3, 5)] and not handle.timers
+    handle, out = issue([(5, "WAITING")], [(4, "PROCESSING")], [(50, "WAITING")])
+    assert handle.calls == ["get", "update", "timer", "get", "update", "get", "no timer", "update", "timer"] and handle.timers == {150} and not out
+    handle, out = issue([(5, "WAITING")], [(106, "RESOLVED")], [(107, "WAITING")])
+    assert handle.calls == ["get", "update", "timer", "get", "no timer", "update", "get"] and out == [("WAITING", "timed out", 1, 5, 5)] and not handle.timers

@@ -12,12 +12,14 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 # The statuses behind which none follows.
 TERMINAL = ("RESOLVED", "STOPPED")
 ENDED = "issue_id string, status string, outcome string, seen long, first_at timestamp, last_at timestamp"
+_ROW = "issue_id string, status string, outcome string, seen long, first_ms long, last_ms long"
 _STATE = "over boolean, status string, seen long, first_at long, last_at long"
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -35,42 +37,46 @@ def state_store(spark: SparkSession) -> Iterator[None]:
 
 
 class _Issue(StatefulProcessor):
+    """Rows come and go as rows, not as tables of a key, and each call of the state is one that is needed: an open issue
+    has its one timer at a time that its state tells."""
+
     def __init__(self, patience_ms: int):
         self.patience = patience_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.state = handle, handle.getValueState("issue", _STATE)
 
-    def _no_timers(self) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
-
-    def _ended(self, key: tuple, state: tuple, outcome: str) -> pd.DataFrame:
+    def _ended(self, key: tuple, state: tuple, outcome: str) -> Row:
         _, status, seen, first, last = state
         self.state.update((True, status, seen, first, last))
-        at = lambda ms: [pd.Timestamp(ms, unit="ms")]
-        return pd.DataFrame({"issue_id": [key[0]], "status": [status], "outcome": [outcome], "seen": [seen], "first_at": at(first), "last_at": at(last)})
+        return Row(issue_id=key[0], status=status, outcome=outcome, seen=seen, first_ms=first, last_ms=last)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        said = pd.concat(list(rows))
-        said = said.assign(ms=said["at"].astype("datetime64[ms]").astype("int64")).sort_values(["ms", "status"], kind="stable")
-        state = self.state.get() if self.state.exists() else None
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        said = sorted((r.ms, r.status) for r in rows)
+        before = state = self.state.get()
         if state and state[0]:
             return
-        self._no_timers()
-        for ms, status in zip(said["ms"].tolist(), said["status"].tolist(), strict=True):
+        for ms, status in said:
             if state and ms > state[4] + self.patience:
-                yield self._ended(key, state, "timed out")
-                return
+                outcome = "timed out"
+                break
             state = (False, status, state[2] + 1, state[3], max(state[4], ms)) if state else (False, status, 1, ms, ms)
             if status in TERMINAL:
-                yield self._ended(key, state, "ended")
-                return
+                outcome = "ended"
+                break
+        else:
+            outcome = None
+        if before and (outcome or state[4] != before[4]):
+            self.handle.deleteTimer(before[4] + self.patience)
+        if outcome:
+            yield self._ended(key, state, outcome)
+            return
         self.state.update(state)
-        self.handle.registerTimer(state[4] + self.patience)
+        if not before or state[4] != before[4]:
+            self.handle.registerTimer(state[4] + self.patience)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state = self.state.get() if self.state.exists() else None
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        state = self.state.get()
         if state and not state[0]:
             yield self._ended(key, state, "timed out")
 
@@ -85,6 +91,7 @@ def follow_issues(statuses: DataFrame, patience: str = "1 hour", lateness: str =
     ``outcome`` is ended (by a terminal status) or timed out (``patience`` without a status). Statuses that are older than
     the watermark (``lateness`` behind the latest) aren't looked at. Nulls in any column are left out.
     """
-    heard = statuses.select("issue_id", "status", "at").dropna().withWatermark("at", lateness)
+    heard = statuses.select("issue_id", "status", "at", F.unix_millis("at").alias("ms")).dropna().withWatermark("at", lateness)
     processor = _Issue(int(pd.Timedelta(patience).total_seconds() * 1000))
-    return heard.groupBy("issue_id").transformWithStateInPandas(processor, outputStructType=ENDED, outputMode="Append", timeMode="EventTime")
+    ended = heard.groupBy("issue_id").transformWithState(processor, outputStructType=_ROW, outputMode="Append", timeMode="EventTime")
+    return ended.select("issue_id", "status", "outcome", "seen", F.timestamp_millis("first_ms").alias("first_at"), F.timestamp_millis("last_ms").alias("last_at"))
