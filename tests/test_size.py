@@ -1,9 +1,9 @@
 """What must not grow faster than the tables: what is sent through the driver, shuffled, or worked out more than once."""
 
 from pyspark.sql import functions as F
-from test_plans import d, h, table
+from test_plans import FIELDS, d, h, table
 
-from weftwise.operators import components
+from weftwise.operators import cluster, components, work
 from weftwise.operators.components import split_by_size
 from weftwise.operators.work import settle
 from weftwise.plans import match
@@ -64,3 +64,29 @@ def test_rounds_have_only_what_is_not_settled(spark, monkeypatch):
     assert got == {x: "a00" if x[0] == "a" else f"b{x[1:]}" for x in {y for link in chain + small for y in link}}
     sizes = [w.count() for w in written]
     assert max(sizes[3:-1]) <= 42
+
+
+def same_named(spark, n):
+    """Persons of both sources, all of one name, some of whom share an e-mail address or phone."""
+    people = []
+    for i in range(n):
+        p = dict(zip(FIELDS, (d if i % 3 else h)(str(i), "Maik", "Lander", email=f"p{i // 6}@x.example" if i % 2 else ""), strict=True))
+        p["phone_no" if i % 3 == 0 else "office_phone"] = f"+{i // 4}" if i % 5 else ""
+        people.append(tuple(p[c] for c in FIELDS))
+    return table(spark, people)
+
+
+def merged_by_bytes(df):
+    """Shuffles of rows whose number of parts is Spark's, which merges them by their bytes."""
+    return [x for x in plan_of(df).splitlines() if "hashpartitioning" in x and "REPARTITION_BY_NUM" not in x]
+
+
+def test_links_are_dealt_by_rows(spark, monkeypatch):
+    """However well the rows compress, a task has only so many of them, and the links are the same."""
+    people = settle(same_named(spark, 400).withColumn("r", F.lit(0)))
+    want = sorted(map(str, cluster.cross_links(people, ["r"]).collect()))
+    monkeypatch.setattr(work, "ROWS_A_TASK", 50)
+    for links in (cluster.cross_links(people, ["r"]), cluster.cross_edges(people, ["r"]), cluster.key_leaders(people, ["r"])):
+        assert merged_by_bytes(links) == [] and links.rdd.getNumPartitions() > 4
+    links = cluster.cross_links(people, ["r"])
+    assert sorted(map(str, links.collect())) == want and max(map(len, links.rdd.glom().collect())) <= 100
