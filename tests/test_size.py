@@ -6,9 +6,9 @@ from test_plans import FIELDS, d, h, table
 from weftwise.operators import cluster, components, work
 from weftwise.operators.components import split_by_size
 from weftwise.operators.work import settle
-from weftwise.plans import match
+from weftwise.plans import match, resolve
 from weftwise.sources.index import PersonIndex
-from weftwise.sources.model import MATCH_REQUEST
+from weftwise.sources.model import MATCH_REQUEST, RESOLVE_REQUEST
 
 
 def plan_of(df):
@@ -90,3 +90,20 @@ def test_links_are_dealt_by_rows(spark, monkeypatch):
         assert merged_by_bytes(links) == [] and links.rdd.getNumPartitions() > 4
     links = cluster.cross_links(people, ["r"])
     assert sorted(map(str, links.collect())) == want and max(map(len, links.rdd.glom().collect())) <= 100
+
+
+def test_persons_of_a_request_do_not_meet_in_a_task(spark, monkeypatch):
+    """One name, asked for once: its persons are dealt by cluster, and only the best of each go on."""
+    asked = spark.createDataFrame([(1, "", "Maik Lander", []), (2, "", "No One", [])], RESOLVE_REQUEST)
+    people = settle(same_named(spark, 400))
+    found = settle(resolve.candidates(asked, people))
+    want = [r.asDict() for r in resolve.facts_in_rows(found).collect()]
+    monkeypatch.setattr(work, "ROWS_A_TASK", 50)
+    written = []
+    monkeypatch.setattr(resolve, "settle", lambda df: written.append(df) or settle(df))
+    facts = resolve.facts_by_joins(found)
+    assert "Window" not in plan_of(facts) and all(merged_by_bytes(df) == [] for df in written) and written
+    # what is left to Spark's own shuffles has a row a request and part
+    assert all("request_id" in x.split("hashpartitioning(")[1].split(",")[0] and "source" not in x.split("hashpartitioning(")[1].split(")")[0] for x in merged_by_bytes(facts))
+    assert [r.asDict() for r in facts.collect()] == want
+    assert "Broadcast" in plan_of(resolve.candidates(asked, people)) and [r["status"] for r in resolve.resolve(asked, people, folded=9).orderBy("request_id").collect()] == ["ambiguous", "not_found"]

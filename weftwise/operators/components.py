@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftwise.operators.work import settle
+from weftwise.operators.work import dealt, parts_of, sent_if_few, settle
 
 
 def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -26,25 +26,30 @@ def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     a, b = links.columns
     pairs = settle(links.select(F.col(a).alias("p"), F.col(b).alias("q")).filter("p != q"))
     rounds = []
-    while not pairs.isEmpty():
-        low = pairs.select(F.inline(F.array(F.struct("p", "q"), F.struct(F.col("q").alias("p"), F.col("p").alias("q"))))).groupBy(F.col("p").alias("node")).agg(F.min("q").alias("low"))
+    while left := pairs.count():
+        n = parts_of(2 * left)
+        ends = pairs.select(F.inline(F.array(F.struct("p", "q"), F.struct(F.col("q").alias("p"), F.col("p").alias("q")))))
+        low = dealt(ends, n, "p").groupBy(F.col("p").alias("node")).agg(F.min("q").alias("low"))
         low = settle(low.select("node", F.least("node", "low").alias("low")))
-        step = low.alias("x").join(low.alias("y"), F.col("x.low") == F.col("y.node")).select("x.node", F.col("y.low").alias("label"))
+        step = dealt(low, n, "low").alias("x").join(dealt(low, n, "node").alias("y"), F.col("x.low") == F.col("y.node")).select("x.node", F.col("y.low").alias("label"))
         step = settle(step)
-        rounds.append(step)
-        of = lambda end: step.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))  # noqa: E731, B023
-        between = pairs.join(of("p"), "p").join(of("q"), "q").select(F.col("p_label").alias("p"), F.col("q_label").alias("q"))
+        rounds.append((n, step))
+        of = lambda end: dealt(step.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label")), n, end)  # noqa: E731, B023
+        between = dealt(dealt(pairs, n, "p").join(of("p"), "p"), n, "q").join(of("q"), "q").select(F.col("p_label").alias("p"), F.col("q_label").alias("q"))
         # what a node hangs on may itself hang on another
-        above = step.select(F.col("label").alias("node")).distinct().join(step, "node").select(F.col("node").alias("p"), F.col("label").alias("q"))
-        pairs = settle(between.union(above).filter("p != q").select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct())
-    nodes = nodes.select("node").distinct()
+        above = dealt(step.select(F.col("label").alias("node")), n, "node").distinct().join(dealt(step, n, "node"), "node").select(F.col("node").alias("p"), F.col("label").alias("q"))
+        pairs = between.union(above).filter("p != q").select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))
+        pairs = settle(dealt(pairs, n, "p", "q").distinct())
+    most = parts_of(nodes.count())
+    nodes = dealt(nodes.select("node"), most, "node").distinct()
     if not rounds:
         return nodes.select("node", F.col("node").alias("label"))
-    labels = rounds.pop()
+    _, labels = rounds.pop()
     while rounds:
-        last = labels.select(F.col("node").alias("label"), F.col("label").alias("last"))
-        labels = rounds.pop().join(last, "label", "left").select("node", F.coalesce("last", "label").alias("label"))
-    return settle(nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+        n, step = rounds.pop()
+        last = dealt(labels.select(F.col("node").alias("label"), F.col("label").alias("last")), n, "label")
+        labels = dealt(step, n, "label").join(last, "label", "left").select("node", F.coalesce("last", "label").alias("label"))
+    return settle(nodes.join(dealt(labels, most, "node"), "node", "left").select("node", F.coalesce("label", "node").alias("label")))
 
 
 #: Groups of up to so many rows are put together in one row each.
@@ -79,7 +84,7 @@ def split_by_size(rows: DataFrame, scope: list[str], most: int = FOLDED) -> tupl
         return rows, None
     if seen["least"] > most:
         return None, rows.hint("merge")
-    large = settle(sizes.filter(F.col("count") > most).select(*[F.col(c).alias(f"__{c}") for c in scope]))
+    large = sent_if_few(settle(sizes.filter(F.col("count") > most).select(*[F.col(c).alias(f"__{c}") for c in scope])))
     same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in scope]
     return rows.join(large, same, "left_anti"), rows.join(large, same, "left_semi").hint("merge")
 

@@ -6,16 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftwise.functions.text import blank, utrim
-from weftwise.operators.cluster import best_of, clusters, cross_links, external_id, field_score, keyed_records, linked_across, linked_within, representatives
+from weftwise.operators.cluster import best_of, clusters, cross_scopes, external_id, field_score, keyed_records, linked_across, linked_within, ranked
 from weftwise.operators.components import FOLDED, folded_components, gathered, split_by_size
 from weftwise.operators.graph import person_account
-from weftwise.operators.lookup import by_name, by_phone, domain_filter, first_hits
-from weftwise.operators.work import settle
+from weftwise.operators.lookup import DIRECTORY_PHONES, by_name, by_phone, domain_filter, first_hits
+from weftwise.operators.work import dealt, parts_of, sent_if_few, settle
 from weftwise.sources.model import DIRECTORY, HELPDESK
 from weftwise.sources.settings import Settings
 
 IDENTITY = ["status", "directory_id", "directory_xid", "helpdesk_id", "helpdesk_xid", "display_name", "email"]
 
+#: What is looked at of the persons found.
+_READ = ["record_key", "source", "id", "xid", "first_name", "last_name", "email", *DIRECTORY_PHONES, "phone_no"]
+
 
 def candidates(requests: DataFrame, person: DataFrame, lookup_limit: int | None = None) -> DataFrame:
     """Persons found for each valid request, with ``by_phone`` telling how.
@@ -23,6 +26,7 @@ def candidates(requests: DataFrame, person: DataFrame, lookup_limit: int | None
     With ``lookup_limit``, or that of the settings, only so many a request and source are looked at, before the domain filter.
     """
     lookup_limit = lookup_limit or Settings.of(person.sparkSession).limit
+    requests = sent_if_few(requests)
     asked = requests.withColumns({"phone": blank(F.col("phone")), "name": utrim(F.col("name"))})
     asked = asked.filter((F.col("phone") == "") != (F.col("name") == ""))
     phone = by_phone(asked, person).withColumn("by_phone", F.lit(True))
@@ -51,16 +55,22 @@ def facts_in_rows(found: DataFrame) -> DataFrame:
 
 
 def facts_by_joins(found: DataFrame) -> DataFrame:
-    """As ``facts_in_rows``, for requests with any number of records."""
+    """As ``facts_in_rows``, for requests with any number of records.
+
+    No request comes together in one task: its persons are dealt by cluster, and of each only the best record goes on.
+    """
     scope = ["request_id"]
-    grouped = settle(clusters(found, scope, exclude_phone=F.col("by_phone")))
-    of = lambda s: F.count_distinct(F.when(F.col("source") == s, F.col("cluster")))
-    counts = grouped.groupBy(*scope).agg(of(DIRECTORY).alias("d"), of(HELPDESK).alias("h"))
-    confirmed = cross_links(found, scope).select("request_id").distinct().withColumn("same", F.lit(True))
-    best = representatives(grouped, scope)
-    side = lambda s: best.filter(F.col("source") == s).select("request_id", *[c.alias(f"{s}_{name}") for name, c in zip(_SHOWN, _shown({k: F.col(k) for k in ("id", "xid", "first_name", "last_name", "email")}), strict=True)])
-    joined = counts.join(confirmed, "request_id", "left").join(side(DIRECTORY), "request_id", "left").join(side(HELPDESK), "request_id", "left")
-    return joined.withColumn("same", F.coalesce("same", F.lit(False)))
+    grouped = settle(clusters(found, scope, exclude_phone=F.col("by_phone"), folded=0))
+    record = F.struct("id", "xid", "first_name", "last_name", "email", field_score().alias("__score"))
+    own = [*scope, "source", "cluster"]
+    people = dealt(grouped.select(*own, record.alias("r")), parts_of(grouped.count()), *own).groupBy(*own).agg(F.min(ranked(F.col("r"))).alias("best"))
+    of = lambda s, c: F.when(F.col("source") == s, F.col(c))
+    both = ((DIRECTORY, "d", "x"), (HELPDESK, "h", "y"))
+    counts = people.groupBy(*scope).agg(*[F.count(of(s, "cluster")).alias(n) for s, n, _ in both], *[F.min(of(s, "best")).alias(r) for s, _, r in both])
+    confirmed = cross_scopes(found, scope).withColumn("same", F.lit(True))
+    joined = counts.join(confirmed, "request_id", "left").withColumn("same", F.coalesce("same", F.lit(False)))
+    sides = [F.when(F.col(r).isNotNull(), c).alias(f"{s}_{name}") for s, _, r in both for name, c in zip(_SHOWN, _shown(F.col(r)["r"]), strict=True)]
+    return joined.select("request_id", "d", "h", "same", *sides)
 
 
 def resolve(requests: DataFrame, person: DataFrame, lookup_limit: int | None = None, folded: int = FOLDED) -> DataFrame:
@@ -70,7 +80,7 @@ def resolve(requests: DataFrame, person: DataFrame, lookup_limit: int | None = N
     in each source that no pair of records confirms as the same. Requests that find up to ``folded`` records are
     decided in one row each, the others by joins.
     """
-    few, many = split_by_size(settle(candidates(requests, person, lookup_limit)), ["request_id"], folded)
+    few, many = split_by_size(settle(candidates(requests, person, lookup_limit).select("request_id", "by_phone", *_READ)), ["request_id"], folded)
     made = ([] if few is None else [facts_in_rows(few)]) + ([] if many is None else [facts_by_joins(many)])
     facts = made[0] if len(made) == 1 else made[0].unionByName(made[1])
     all_ = requests.select("request_id", ((blank(F.col("phone")) == "") == (utrim(F.col("name")) == "")).alias("bad"))
