@@ -3,10 +3,12 @@
 from pyspark.sql import functions as F
 from test_plans import FIELDS, d, h, table
 
+from weftwise import queries
 from weftwise.operators import cluster, components, work
 from weftwise.operators.components import split_by_size
 from weftwise.operators.work import settle
 from weftwise.plans import match, resolve
+from weftwise.sources import index as person_index
 from weftwise.sources.index import PersonIndex
 from weftwise.sources.model import MATCH_REQUEST, RESOLVE_REQUEST
 
@@ -107,3 +109,37 @@ def test_persons_of_a_request_do_not_meet_in_a_task(spark, monkeypatch):
     assert all("request_id" in x.split("hashpartitioning(")[1].split(",")[0] and "source" not in x.split("hashpartitioning(")[1].split(")")[0] for x in merged_by_bytes(facts))
     assert [r.asDict() for r in facts.collect()] == want
     assert "Broadcast" in plan_of(resolve.candidates(asked, people)) and [r["status"] for r in resolve.resolve(asked, people, folded=9).orderBy("request_id").collect()] == ["ambiguous", "not_found"]
+
+
+def asked_and_records(spark, index, kind, probes):
+    column, value = ("last_prefix", "lan") if kind == "prefix" else ("last_suffix", "ander")
+    asked = spark.range(probes).select(F.col("id").alias("request_id"), F.expr("left('mai', int(2 + id % 2))").alias("first_prefix"), F.expr(f"left('{value}', int({len(value) - 1} + id % 2))").alias(column))
+    return asked, getattr(index, f"records_by_{kind}")(asked, ["record_key", "email"])
+
+
+def probes_are_dealt(spark, tmp_path, monkeypatch, kind):
+    """Copies of probes are dealt in parts by rows; Spark takes them for one copy, which it would send to all tasks."""
+    index = PersonIndex.write(table(spark, [(d if i % 2 else h)(str(i), "Maik", "Lander", email=f"p{i}@x.example") for i in range(50)]), f"file://{tmp_path}/x", buckets=2, spread=2)
+    monkeypatch.setattr(work, "ROWS_A_TASK", 500)
+    asked, got = asked_and_records(spark, index, kind, 200)
+    joins = [x for x in plan_of(got).splitlines() if "Join" in x and "__dealt" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins)
+    assert not any("__dealt" in x for x in merged_by_bytes(got)) and got.rdd.getNumPartitions() > 4
+    whole = "lan" if kind == "prefix" else "ander"
+    want = [(i, "mai"[: 2 + i % 2], whole[: len(whole) - 1 + i % 2], f"{'directory' if n % 2 else 'helpdesk'}:{n}") for i in range(200) for n in range(50)]
+    assert sorted(tuple(r)[:4] for r in got.collect()) == sorted(want)
+    monkeypatch.setattr(person_index, "FEW", 1)  # so many different pairs that they aren't sent to all either
+    many = asked_and_records(spark, index, kind, 200)[1]
+    assert "Broadcast" not in plan_of(many) and many.count() == len(want)
+    index.close(spark)
+
+
+def test_probes_of_prefixes_do_not_pass_the_driver(spark, tmp_path, monkeypatch):
+    probes_are_dealt(spark, tmp_path, monkeypatch, "prefix")
+
+
+def test_an_index_of_many_persons_has_more_buckets(spark, monkeypatch):
+    people = settle(same_named(spark, 400))
+    assert queries._index(spark, "", people).buckets == 8
+    monkeypatch.setattr(work, "ROWS_A_TASK", 40)
+    assert queries._index(spark, "", people).buckets == 10
