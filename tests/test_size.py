@@ -138,6 +138,10 @@ def test_probes_of_prefixes_do_not_pass_the_driver(spark, tmp_path, monkeypatch)
     probes_are_dealt(spark, tmp_path, monkeypatch, "prefix")
 
 
+def test_probes_of_suffixes_do_not_pass_the_driver(spark, tmp_path, monkeypatch):
+    probes_are_dealt(spark, tmp_path, monkeypatch, "suffix")
+
+
 def test_an_index_of_many_persons_has_more_buckets(spark, monkeypatch):
     people = settle(same_named(spark, 400))
     assert queries._index(spark, "", people).buckets == 8
